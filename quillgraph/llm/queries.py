@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import odd_sketch
+from . import odd_sketch, suffix_dedup
 from .common import load_documents
 
 
+def op7_suffix_lpf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(load_documents(spark, sf_dir), length=50, keep_text=False)
+
+
 def op8_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(load_documents(spark, sf_dir), size=2, percent=80)
 
