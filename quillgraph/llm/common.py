@@ -30,14 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def small_batches(spark: SparkSession, mb: int = 8) -> None:
+    """Bound what goes to a Python worker at once, whatever the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def materialize(df: DataFrame, name: str, codec: str = "zstd", block_mb: int = 16) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     The files are removed when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.block.size", block_mb << 20).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

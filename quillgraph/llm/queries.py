@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import odd_sketch, suffix_dedup
+from . import odd_sketch, plane_store, suffix_dedup
 from .common import load_documents
 
 
@@ -18,6 +18,10 @@ def op8_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(load_documents(spark, sf_dir), size=2, percent=80)
 
 
+def op10_plane_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plane_store.round_trip(load_documents(spark, sf_dir), end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
