@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix64, text_bytes, texts, word_hashes, word_spans
+from .common import components, materialize, mix64, small_batches, text_bytes, texts, word_hashes, word_spans
 
 SAMPLES, ROWS, WORDS = 128, 4, 8  #: MinHash samples; samples in a band; 64-bit words of an odd sketch
 TILE = 1024
@@ -228,6 +228,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shingle sets >= percent * union; component_id is the smallest doc_id reachable by links.
     """
     similarity = percent / 100
+    small_batches(docs.sparkSession, 4)
     docs = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sk = materialize(sketches(docs, size), "sketches")
     named = sk.where("doc_id is not null and n_shingles > 0")
