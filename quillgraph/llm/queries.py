@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import odd_sketch, plane_store, suffix_dedup
+from . import bm25_packing, odd_sketch, plane_store, suffix_dedup
 from .common import load_documents
 
 
+def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_packing.packed(load_documents(spark, sf_dir), window=1024, end_id=0)
+
+
 def op7_suffix_lpf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(load_documents(spark, sf_dir), length=50, keep_text=False)
 
