@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25_packing, odd_sketch, plane_store, suffix_dedup
+from . import bm25_packing, mixing, odd_sketch, plane_store, suffix_dedup
 from .common import load_documents
 
 
@@ -22,6 +22,10 @@ def op8_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(load_documents(spark, sf_dir), size=2, percent=80)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(load_documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, limit=2)
+
+
 def op10_plane_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plane_store.round_trip(load_documents(spark, sf_dir), end_id=2)
 
