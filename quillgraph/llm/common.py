@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 #: ASCII white space that separates words: space and tab to carriage return.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD = r"[^\x20\x09-\x0D]+"
-ANY = None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,6 +63,11 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def held_out(column: str, modulus: int, remainder: int):
+    """Whether crc32 of the id as text leaves this remainder (null ids: never)."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -102,13 +106,17 @@ def _byte_values(fold_case: bool) -> np.ndarray:
     return values
 
 
-def word_spans(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of all rows; a row's bounds always end a word."""
+def word_spans(body: np.ndarray, bounds: np.ndarray, member: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all rows; a row's bounds always end a word.
+
+    ``member``: by byte, whether it belongs to a word; by default all but ASCII white space.
+    """
     if not len(body):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    space = np.zeros(256, bool)
-    space[list(SPACES)] = True
-    inside = ~space[body]
+    if member is None:
+        member = np.ones(256, bool)
+        member[list(SPACES)] = False
+    inside = member[body]
     fresh = np.ones(len(body), bool)
     fresh[1:] = ~inside[:-1]
     edges = bounds[:-1]

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25_packing, mixing, odd_sketch, plane_store, suffix_dedup
+from . import bm25_packing, mixing, noisy_or, odd_sketch, plane_store, suffix_dedup
 from .common import load_documents
 
 
+def op2_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return noisy_or.toxicity(load_documents(spark, sf_dir), labels, modulus=3, remainder=1, threshold=0.7)
+
+
 def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_packing.packed(load_documents(spark, sf_dir), window=1024, end_id=0)
 
