@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25_packing, mixing, noisy_or, odd_sketch, plane_store, suffix_dedup
+from . import bm25_packing, line_crf, mixing, noisy_or, odd_sketch, plane_store, suffix_dedup
 from .common import load_documents
 
 
@@ -19,6 +19,11 @@ def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_packing.packed(load_documents(spark, sf_dir), window=1024, end_id=0)
 
 
+def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return line_crf.quality(load_documents(spark, sf_dir), labels)
+
+
 def op7_suffix_lpf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(load_documents(spark, sf_dir), length=50, keep_text=False)
 
