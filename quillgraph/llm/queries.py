@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25_packing, line_crf, mixing, noisy_or, odd_sketch, plane_store, suffix_dedup
+from . import bm25_packing, centroid_lang, line_crf, mixing, noisy_or, odd_sketch, plane_store, suffix_dedup
 from .common import load_documents
 
 
@@ -24,6 +24,10 @@ def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.quality(load_documents(spark, sf_dir), labels)
 
 
+def op6_centroid_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_lang.languages(load_documents(spark, sf_dir), modulus=5, remainder=0)
+
+
 def op7_suffix_lpf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(load_documents(spark, sf_dir), length=50, keep_text=False)
 
