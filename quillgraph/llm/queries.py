@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25_packing, centroid_lang, line_crf, mixing, noisy_or, odd_sketch, plane_store, suffix_dedup
+from . import bm25_packing, centroid_lang, line_crf, mixing, noisy_or, odd_sketch, pii_surrogates, plane_store, suffix_dedup
 from .common import load_documents
 
 
@@ -19,6 +19,10 @@ def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_packing.packed(load_documents(spark, sf_dir), window=1024, end_id=0)
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replaced(load_documents(spark, sf_dir), count="n_mentions")
+
+
 def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return line_crf.quality(load_documents(spark, sf_dir), labels)
