@@ -9,7 +9,8 @@ Work on large groups stays linear. Documents with equal sets become one node bef
 bucket is built. Within a bucket, first only pairs with a few hubs are tried (its smallest
 id and those first in fixed pseudo-random orders). Once the confirmed links are merged, only
 documents of one bucket that are still in different components are compared with each other,
-in tiles of bounded size, so no link that would join two components is left out.
+in tiles of bounded size, so no link that would join two components is left out; there the
+parity bitmap of the whole set, an exact bound, settles most pairs that no link joins.
 
 Defined results: a null or blank text has an empty set, no link and itself as component. A
 text of fewer words than a shingle is one shingle of all its words. Equal rows are linked
@@ -27,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix64, small_batches, text_bytes, texts, word_hashes, word_spans
+from .common import components, materialize, mix64, release_shuffles, small_batches, text_bytes, texts, word_hashes, word_spans
 
 SAMPLES, ROWS, WORDS = 128, 4, 8  #: MinHash samples; samples in a band; 64-bit words of an odd sketch
+PARITY = 2048  #: bits of the parity bitmap of a whole set
 TILE = 1024
 CHUNK = 256
 HUBS = 2
@@ -101,12 +103,17 @@ def most_flips(similarity: float) -> int:
     return int(bits / 2 * (1 - np.exp(-2 * differ / bits)) + 16)
 
 
+def parity_bitmaps(sets: list[np.ndarray]) -> list[bytes]:
+    """Whole sets folded into parity bitmaps: an XOR's set bits never outnumber the elements that differ."""
+    return [np.packbits((np.bincount((s % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).tobytes() for s in sets]
+
+
 SKETCH = ", ".join(f"o{i} bigint" for i in range(WORDS))
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, s0 and s1 (128 bits of the set), the odd sketch o0.., and bands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), *((f"o{i}", pa.int64()) for i in range(WORDS)), ("bands", pa.list_(pa.int64()))])
+    """doc_id, n_shingles, s0 and s1 (128 bits of the set), the odd sketch o0.., the whole set's parity, and bands."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), *((f"o{i}", pa.int64()) for i in range(WORDS)), ("parity", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -123,9 +130,9 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 one = np.array([np.bitwise_xor.reduce(s) for s in sets], np.uint64) if n else np.zeros(0, np.uint64)
                 two = np.array([mix64(s + np.uint64(7)).sum(dtype=np.uint64) for s in sets], np.uint64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, SAMPLES // ROWS), pa.int32()), pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(WORDS)), flat], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(WORDS)), pa.array(parity_bitmaps(sets), pa.binary()), flat], schema=schema)
 
-    return docs.mapInArrow(run, f"doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, {SKETCH}, bands array<bigint>")
+    return docs.mapInArrow(run, f"doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, {SKETCH}, parity binary, bands array<bigint>")
 
 
 def flips(a: str, b: str):
@@ -172,19 +179,20 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
 def _still_apart(keyed: DataFrame, comp: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     """Pairs of one bucket in different components that sketches let through."""
-    sk = reps.select(F.col("doc_id").alias("doc"), "n_shingles", F.array(*(f"o{i}" for i in range(WORDS))).alias("o"))
+    sk = reps.select(F.col("doc_id").alias("doc"), "n_shingles", F.array(*(f"o{i}" for i in range(WORDS))).alias("o"), "parity")
     named = keyed.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("n") / TILE).alias("t"))
     rows = named.join(mixed, "key").join(sk, "doc").withColumn("tile", F.pmod(F.xxhash64("doc"), "t"))
     # a row of tile i goes to the pairs of tiles (i, j) and (j, i), the smaller first
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("t") - 1)))
-    rows = rows.select("key", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "doc", "component", "n_shingles", "o")
+    rows = rows.select("key", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "doc", "component", "n_shingles", "o", "parity")
     rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "tile")
     limit = most_flips(similarity)
 
     def compare(group: list) -> tuple[np.ndarray, np.ndarray]:
         tile, doc, comp, n = (np.array([r[i] for r in group], np.int64) for i in (3, 4, 5, 6))
         odd = np.array([r[7] for r in group], np.int64).view(np.uint64)
+        parity = np.frombuffer(b"".join(r[8] for r in group), np.uint64).reshape(len(group), -1)
         one, two = (tile == group[0][1], tile == group[0][2])
         if group[0][1] != group[0][2] and not (one.any() and two.any()):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -196,7 +204,10 @@ def _still_apart(keyed: DataFrame, comp: DataFrame, reps: DataFrame, similarity:
             ok &= np.minimum(n[p][:, None], n[j][None, :]) >= similarity * (1 - 1e-9) * np.maximum(n[p][:, None], n[j][None, :])
             u, v = np.nonzero(ok)
             near = np.bitwise_count(odd[p[u]] ^ odd[j[v]]).sum(axis=1) <= limit
-            out.append((doc[p[u[near]]], doc[j[v[near]]]))
+            u, v = p[u[near]], j[v[near]]
+            # with a Jaccard of s, at most (1 - s) / (1 + s) of the sizes' sum differ: this bound loses no link
+            near = np.bitwise_count(parity[u] ^ parity[v]).sum(axis=1) <= (n[u] + n[v]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+            out.append((doc[u[near]], doc[v[near]]))
         a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
         return np.minimum(a, b), np.maximum(a, b)
 
@@ -242,9 +253,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     keyed = materialize(keyed.join(hubs, "key"), "buckets")
     pairs = keyed.select("doc", F.explode(F.array(*(f"h{i}" for i in range(HUBS)))).alias("hub")).where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     links = materialize(confirmed(_plausible(pairs, reps, similarity), docs, size, percent), "links")
+    release_shuffles(docs.sparkSession)
     comp = components(links, "joined")
     rest = _still_apart(keyed.select("key", "doc"), comp, reps, similarity).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = materialize(rest, "apart")
+    release_shuffles(docs.sparkSession)
     if rest.limit(1).count():
         more = materialize(confirmed(rest, docs, size, percent), "late")
         if more.limit(1).count():
