@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25_packing, centroid_lang, line_crf, mixing, noisy_or, odd_sketch, pii_surrogates, plane_store, suffix_dedup
+from . import bm25_packing, centroid_lang, line_crf, mixing, noisy_or, odd_sketch, pii_surrogates, pigeonhole_join, plane_store, suffix_dedup
 from .common import load_documents
 
 
+def op1_pigeonhole_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pigeonhole_join.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.93)
+
+
 def op2_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return noisy_or.toxicity(load_documents(spark, sf_dir), labels, modulus=3, remainder=1, threshold=0.7)
