@@ -79,7 +79,7 @@ def laid_out(docs: DataFrame, buckets: int) -> DataFrame:
     order = Window.partitionBy(*key).orderBy("h", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
     local = d.withColumn("local", F.sum("size").over(order) - F.col("size"))
     same = local["source"].eqNullSafe(before["source"]) & (local["bucket"] == before["bucket"])
-    return local.join(before, same).select("doc_id", "row", local["source"], "size", (F.col("before") + F.col("local")).alias("first"))
+    return local.join(before, same).select("doc_id", "row", "h", local["source"], "size", (F.col("before") + F.col("local")).alias("first"))
 
 
 def sized(docs: DataFrame, seed: str) -> DataFrame:
@@ -128,3 +128,28 @@ def taken_words(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     times = plan.groupBy("source", "block").agg(F.count("*").alias("times"))
     taken = _joined(pieces(placed, block), times, "inner").groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     return placed.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: int = 2, block: int = 128, seed: str = "mix") -> DataFrame:
+    """The mix as documents, with the columns of ``docs``: a row for each document and pass that takes any of it.
+
+    A document that a pass takes in part is cut to the words taken; n_chars, if there, follows
+    the text. Rows that agree in doc_id, source and text share one row's other columns.
+    """
+    placed, plan = apportioned(docs, weights, share, limit, block, seed)
+    part = _joined(pieces(placed, block), plan.groupBy("source", "block", "pass").agg(F.count("*").alias("times")), "inner")
+    part = part.groupBy("row", "pass").agg(F.min("start").alias("start"), F.sum("words").alias("words"))
+    keys = placed.select("row", "doc_id", "source", "size", "h").join(part, "row")
+    spare = "mix"
+    while any(c.startswith(spare) for c in docs.columns):
+        spare += "_"
+    keys = keys.select(*(F.col(c).alias(f"{spare}{c}") for c in ("doc_id", "source", "size", "h", "start", "words")))
+    have = docs.withColumn(f"{spare}t", F.xxhash64(F.lit(seed), F.col("doc_id").cast("bigint"), "text"))
+    have = have.dropDuplicates(["doc_id", "source", f"{spare}t"])
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(f"{spare}doc_id")) & F.col("source").eqNullSafe(F.col(f"{spare}source")) & (F.col(f"{spare}t") == F.col(f"{spare}h"))
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    cut = F.array_join(F.slice(words, (F.col(f"{spare}start") + 1).cast("int"), F.col(f"{spare}words").cast("int")), "")
+    out = have.join(keys, same).withColumn("text", F.when(F.col(f"{spare}words") == F.col(f"{spare}size"), F.col("text")).otherwise(cut))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
