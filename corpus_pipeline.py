@@ -1,8 +1,64 @@
-"""A training-data pipeline over documents, from the operators in quillgraph.llm."""
+"""A training-data pipeline over documents, from the operators in quillgraph.llm.
 
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All
+but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillgraph.llm import bm25_packing, centroid_lang, mixing, odd_sketch, pii_surrogates
+from quillgraph.llm.common import materialize
+
+#: No SQL states the classifier, the schedule and the packing; tests compare with plain versions.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or too far from every learned language go."""
+    model = centroid_lang.train(docs)
+    columns = docs.columns
+    renamed = docs.toDF(*(c if c in ("text", "doc_id") else f"c{i}" for i, c in enumerate(columns)))
+    kept = centroid_lang.predicted(renamed, model).where("not rejected")
+    return kept.select(*(F.col(x).alias(c) for x, c in zip(renamed.columns, columns)))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles, the one with the smallest doc_id stays; rows without an id stay."""
+    kept = odd_sketch.near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id").distinct()
+    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+    return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in text is replaced; n_chars follows."""
+    out = pii_surrogates.replaced(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are cut or repeated to their target weights."""
+    return mixing.mixed_documents(docs, weights=(3, 1, 2), share=1.5, limit=2)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of 1024 ids; a row a piece."""
+    return bm25_packing.packed(docs, window=1024, end_id=0)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id), ("near_dedup", near_dedup), ("pii", surrogates), ("mixing", mixed), ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, name)
+    return docs
