@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +92,16 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return body, at - at[0]
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with about ``size`` bytes of text in one column, one row at least."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    run = (np.cumsum(lengths) - 1) // size if len(lengths) else lengths
+    edge = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(lengths)]
+    for a, z in zip(edge[:-1], edge[1:]):
+        if z > a:
+            yield batch.slice(a, z - a)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(33))

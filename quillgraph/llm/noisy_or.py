@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, text_bytes, texts, word_hashes, word_spans
+from .common import held_out, slices, small_batches, text_bytes, texts, word_hashes, word_spans
 
 SAMPLE, WORDS, ROUNDS = 12_000, 8192, 250
 STEMS = (4, 6)  #: lengths in bytes of the beginnings of words that are features too
@@ -62,37 +62,45 @@ def softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, x)
 
 
-def fit(tables: Iterator[tuple[pa.Array, np.ndarray]], words: int, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sorted word hashes, their weights and the bias, from texts with labels."""
-    pairs, rows, label, sentences = [], [], [], 0
-    for column, y in tables:
+def fit(tables: list[tuple[pa.Array, np.ndarray]], words: int, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sorted feature hashes, their weights and the bias, from texts with labels.
+
+    The texts are read twice: first for the number of documents with each feature, then for
+    the features that stay, so only counts and the sample itself are held.
+    """
+    label = [np.asarray(y).astype(bool) for _, y in tables]
+    y = np.concatenate(label) if label else np.zeros(0, bool)
+    names, a, b = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    parts = [(c.slice(i, 512), o[i : i + 512]) for (c, _), o in zip(tables, label) for i in range(0, len(o), 512)]
+    for column, own in parts:
         h, s, row, *_ = sentence_words(column)
-        order = np.lexsort((h, s))
-        h, s = h[order], s[order]
+        row = row[s]
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
         new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-        pairs.append((h[new], s[new] + sentences))
-        rows.append(row + sum(map(len, label)))
-        label.append(y)
-        sentences += len(row)
-    y = np.concatenate(label).astype(bool) if label else np.zeros(0, bool)
-    if not len(y) or not sentences:
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        h, toxic = h[new], own[row[new]]
+        names, place = np.unique(np.concatenate((names, h)), return_inverse=True)
+        a = np.bincount(place, np.concatenate((a, toxic)), len(names))
+        b = np.bincount(place, np.concatenate((b, ~toxic)), len(names))
+    if not len(names):
         return np.zeros(0, np.uint64), np.zeros(0), -20.0
-    h, s, row = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), np.concatenate(rows)
-    names, word = np.unique(h, return_inverse=True)
-    # documents with each feature, by label; those that tell the labels apart stay
-    held = np.unique(word * len(y) + row[s])
-    word_of, toxic = held // len(y), y[held % len(y)]
-    a, b = np.bincount(word_of[toxic], minlength=len(names)), np.bincount(word_of[~toxic], minlength=len(names))
     p, q = (a + 0.5) / (y.sum() + 1), (b + 0.5) / ((~y).sum() + 1)
     share = y.mean()
     gain = 2 * (a * np.log(np.maximum(a, 1) / np.maximum((a + b) * share, 1e-9)) + b * np.log(np.maximum(b, 1) / np.maximum((a + b) * (1 - share), 1e-9)))
     ranked = np.argsort(-gain, kind="stable")[:words]
-    best = np.sort(ranked[gain[ranked] >= TELLING])
-    at = np.full(len(names), -1)
-    at[best] = np.arange(len(best))
-    keep = at[word] >= 0
-    word, s = at[word][keep], s[keep]
+    best = np.sort(ranked[gain[ranked] >= TELLING])  # those that tell the labels apart
+    kept = names[best]
+    pairs, rows, documents, sentences = [], [], 0, 0
+    for column, own in parts:
+        h, s, row, *_ = sentence_words(column)
+        at = np.minimum(np.searchsorted(kept, h), max(len(kept) - 1, 0))
+        hit = kept[at] == h if len(kept) else np.zeros(len(h), bool)
+        pairs.append(np.unique((s[hit] + sentences) * max(len(kept), 1) + at[hit]))
+        rows.append(row + documents)
+        documents, sentences = documents + len(own), sentences + len(row)
+    row, pair = np.concatenate(rows), np.concatenate(pairs)
+    s, word = pair // max(len(kept), 1), pair % max(len(kept), 1)
 
     w, bias = np.clip(np.log(p / q)[best], -1, 1), -7.0
     theta, m, v = np.append(w, bias), np.zeros(len(best) + 1), np.zeros(len(best) + 1)
@@ -105,18 +113,19 @@ def fit(tables: Iterator[tuple[pa.Array, np.ndarray]], words: int, rounds: int)
         g[:-1] += (0.05 * theta[:-1] + 0.02 * np.sign(theta[:-1])) / len(y)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return names[best], theta[:-1], float(theta[-1])
+    return kept, theta[:-1], float(theta[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
     """Fit on at most ``sample`` labelled rows, those first by a hash of their id."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit("sample")), "doc_id").limit(sample)
+    small_batches(docs.sparkSession)
     # at most ``sample`` pairs of numbers
     rows = texts(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, w, bias = fit(((b.column(1), b.column(2).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows), words, rounds)
+        h, w, bias = fit([(b.column(1), b.column(2).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows], words, rounds)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(h, np.uint64(0)).view(np.int64)), pa.array(np.append(w, bias)), pa.array([False] * len(h) + [True])], names=["h", "w", "bias"])
 
     model = rows.mapInArrow(run, "h bigint, w double, bias boolean").collect()  # at most words + 1 rows
@@ -131,7 +140,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], thresho
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, 1)):
             h, s, row, start, end = sentence_words(batch.column(1))
             at = np.minimum(np.searchsorted(names, h), max(len(names) - 1, 0))
             hit = names[at] == h if len(names) else np.zeros(len(h), bool)
