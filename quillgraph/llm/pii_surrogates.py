@@ -207,7 +207,9 @@ def replaced(docs: DataFrame, key: str = "surrogates", count: str | None = None)
     spare = "pii"
     while any(c.startswith(spare) for c in docs.columns):
         spare += "_"
-    m, h = f"{spare}m", f"{spare}h"
+    if count in docs.columns:
+        raise ValueError(f"the input has a column {count} already")
+    m, h, key_of, outs = (f"{spare}{x}" for x in ("m", "h", "k", "o"))
     found = F.when(F.col("text").rlike(MAYBE), F.regexp_extract_all("text", F.lit(ANYTHING), F.lit(0)))
     marked = docs.withColumn(m, found)
     some = F.coalesce(F.size(m) > 0, F.lit(False))
@@ -217,11 +219,11 @@ def replaced(docs: DataFrame, key: str = "surrogates", count: str | None = None)
     new = surrogates(parts.where("kind <> 'as is'").select("kind", "canon").distinct(), key)
     made = parts.join(new, ["kind", "canon"], "left").withColumn("out", F.when(F.col("kind") == "as is", F.col("form")).otherwise(rendered(F.col("kind"), F.col("form"), F.col("new"))))
     made = materialize(made.groupBy("mention").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "").alias("out")), "rendered")
-    once = hits.select(F.col(h).alias("h"), F.posexplode(m)).distinct()
-    lists = once.join(made, once["col"] == made["mention"]).groupBy("h").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]).alias("outs"))
+    once = hits.select(F.col(h).alias(key_of), F.posexplode(m)).distinct()
+    lists = once.join(made, once["col"] == made["mention"]).groupBy(key_of).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]).alias(outs))
     between = F.split("text", ANYTHING, -1)
-    text = F.array_join(F.zip_with(between, F.col("outs"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = hits.join(lists, hits[h] == lists["h"]).withColumn("text", text)
+    text = F.array_join(F.zip_with(between, F.col(outs), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = hits.join(lists, F.col(h) == F.col(key_of)).withColumn("text", text)
     n = [F.coalesce(F.size(m), F.lit(0)).alias(count)] if count else []
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return marked.where(~some).select(*columns, *([F.lit(0).alias(count)] if count else [])).unionByName(changed.select(*columns, *n))
