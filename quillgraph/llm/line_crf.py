@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, text_bytes, texts, word_hashes, word_spans
+from .common import mix64, slices, small_batches, text_bytes, texts, word_hashes, word_spans
 
 SAMPLE, ROUNDS, TURNS = 6000, 120, 3
 SHARE = 0.5  #: least share of words in content lines
@@ -214,12 +214,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = [F.xxhash64(F.col("doc_id"), F.lit("sample")), F.col("doc_id")]
     picked = known.where("quality = 0").orderBy(*order).limit(sample // 2).unionByName(known.where("quality <> 0").orderBy(*order).limit(sample // 2))
+    small_batches(docs.sparkSession)
     # at most ``sample`` pairs of numbers
     rows = texts(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality").repartition(1).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, row, good, n = [np.zeros((0, len(STEPS) + 1), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], 0
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, 1)):
             b = Batch(batch.column(1))
             ok = batch.column(2).to_numpy(zero_copy_only=False) != 0
             use = (~b.failed())[b.line_row]  # those that fail the base rules teach the field nothing
@@ -241,7 +242,7 @@ def judged(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], share: float =
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, 1)):
             b = Batch(batch.column(1))
             _, first, count = padded(b.line_row)
             label = viterbi(weights[b.features].sum(axis=1), jump, first, count)
