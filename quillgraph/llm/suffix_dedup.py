@@ -15,7 +15,10 @@ around anchors that occur more than once can match.
    contexts are sorted, the length of the longest previous factor of each is got from the
    previous and next smaller document in suffix order, and suffixes where it reaches
    ``length`` are covered.
-4. Covered intervals meet their documents again, where the rest is hashed or returned.
+4. An anchor that occurs very often (``HOT``) would gather in one task. Its strings are
+   settled one by one instead: each chunk keeps the first of equal ones and sends a 128-bit
+   hash of it, so they spread over all buckets and a chunk sends each string once.
+5. Covered intervals meet their documents again, where the rest is hashed or returned.
 
 Everything is compared as UTF-8 bytes on the input, not on what is left. Defined results: a
 null text is empty; texts under ``length`` bytes never lose anything nor cause a removal;
@@ -38,11 +41,13 @@ from .common import materialize, mix64, release_shuffles, text_bytes, texts
 GRAM = 24
 CHUNK_BYTES, BUCKET_ANCHORS = 8 << 20, 2 << 20
 BLOCK = 1 << 16
+HOT = 1 << 15  #: occurrences of an anchor
 SUFFIXES = 1 << 20
 
 ENTRY = np.dtype([("h", "<u8"), ("c", "<u8"), ("d", "<i8"), ("i", "<i4"), ("q", "<i4"), ("l", "<u2"), ("r", "<u2")])
 #: i: the row's place in its chunk's order.
 COVER = np.dtype([("i", "<i4"), ("s", "<i4"), ("e", "<i4")])
+WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("d", "<i8"), ("i", "<i4"), ("s", "<i4")])
 
 
 def ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,6 +135,37 @@ def classes(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e, e["d"][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
 
 
+def later(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows by (a, b, d), and whether a smaller d has the same (a, b)."""
+    w = w[np.lexsort((w["d"], w["b"], w["a"]))]
+    if not len(w):
+        return w, np.zeros(0, bool)
+    fresh = np.concatenate(([True], (w["a"][1:] != w["a"][:-1]) | (w["b"][1:] != w["b"][:-1])))
+    return w, w["d"] > w["d"][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+
+
+def strings(body: np.ndarray, bounds: np.ndarray, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
+    """WINDOW rows of the strings of ``length`` that start in the intervals, each position once."""
+    edge = np.zeros(len(body) + 1, np.int32)
+    np.add.at(edge, lo, 1)
+    np.add.at(edge, hi - length + 1, -1)
+    at = np.flatnonzero(np.cumsum(edge) > 0)
+    out = np.zeros(len(at), WINDOW)
+    a, b = np.full(len(at), 0x2545F4914F6CDD1D, np.uint64), np.full(len(at), 0x9E6C63D0876A9A47, np.uint64)
+    for i in range(0, length, 8):
+        word = words_at(body, at + min(i, length - 8))
+        a, b = mix64(a * np.uint64(0x9E3779B97F4A7C15) + word), mix64((b ^ word) * np.uint64(0xD6E8FEB86659FD93))
+    row = np.searchsorted(bounds, at, "right") - 1
+    out["a"], out["b"], out["d"], out["i"], out["s"] = a, b, ids[row], row, at - bounds[row]
+    return out
+
+
+def window_covers(w: np.ndarray, length: int) -> np.ndarray:
+    out = np.zeros(len(w), COVER)
+    out["i"], out["s"], out["e"] = w["i"], w["s"], w["s"] + length
+    return out
+
+
 def covers(e: np.ndarray) -> np.ndarray:
     out = np.zeros(len(e), COVER)
     out["i"], out["s"], out["e"] = e["i"], e["q"] - e["l"], e["q"] + e["r"]
@@ -183,26 +219,32 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFr
         return pa.Table.from_pylist(rows, schema=blob)
 
     def found(part: pa.Table):
+        """A chunk's rows and anchors, its distinct hashes by bucket, their number, and each bucket's bounds."""
         ids, there, body, bounds = ordered(part)
         q, h = anchors(body, bounds, there, length)
-        b = bucket_of(h, buckets)
+        hashes, back, times = np.unique(h, return_inverse=True, return_counts=True)
+        b = bucket_of(hashes, buckets)
         order = np.argsort(b, kind="stable")
-        return ids, body, bounds, q[order], h[order], np.searchsorted(b[order], np.arange(buckets + 1))
+        return ids, body, bounds, q, h, back, hashes[order], times[order], order, np.searchsorted(b[order], np.arange(buckets + 1))
 
     def send(part: pa.Table) -> pa.Table:
         chunk = part.column("chunk")[0].as_py()
-        *_, h, at = found(part)
-        six = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, 2:])
-        return table([{"kind": "h", "chunk": chunk, "bucket": b, "blob": six[at[b] : at[b + 1]].tobytes()} for b in range(buckets) if at[b + 1] > at[b]])
+        *_, hashes, times, _, at = found(part)
+        both = hashes.view(np.uint8).reshape(-1, 8).copy()
+        both[:, 6:] = np.minimum(times, 0xFFFF).astype("<u2").view(np.uint8).reshape(-1, 2)
+        return table([{"kind": "h", "chunk": chunk, "bucket": b, "blob": both[at[b] : at[b + 1]].tobytes()} for b in range(buckets) if at[b + 1] > at[b]])
 
     def answer(part: pa.Table) -> pa.Table:
-        bucket, blobs = part.column("bucket")[0].as_py(), [np.frombuffer(x, np.uint8).reshape(-1, 6) for x in part.column("blob").to_pylist()]
-        wide = np.zeros((sum(map(len, blobs)), 8), np.uint8)
-        np.concatenate(blobs, out=wide[:, :6])
-        _, back, times = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
-        many, at, rows = times[back] > 1, 0, []
+        bucket, blobs = part.column("bucket")[0].as_py(), [np.frombuffer(x, np.uint8).reshape(-1, 8) for x in part.column("blob").to_pylist()]
+        wide = np.concatenate(blobs)
+        times = np.ascontiguousarray(wide[:, 6:]).view("<u2").ravel()
+        wide[:, 6:] = 0
+        _, back = np.unique(wide.view("<u8").ravel(), return_inverse=True)
+        total = np.bincount(back, times)[back]
+        at, rows = 0, []
         for chunk, x in zip(part.column("chunk").to_pylist(), blobs):
-            rows.append({"kind": "b", "chunk": chunk, "bucket": bucket, "blob": np.packbits(many[at : at + len(x)]).tobytes()})
+            own = total[at : at + len(x)]
+            rows.append({"kind": "b", "chunk": chunk, "bucket": bucket, "blob": np.packbits(np.concatenate((own > 1, own > HOT))).tobytes()})
             at += len(x)
         return table(rows)
 
@@ -210,22 +252,36 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFr
         if not part.num_rows or not bits.num_rows:
             return table([])
         chunk = part.column("chunk")[0].as_py()
-        ids, body, bounds, q, h, at = found(part)
-        many = np.zeros(len(q), bool)
+        ids, body, bounds, q, h, back, hashes, _, order, at = found(part)
+        flags = np.zeros((2, len(hashes)), bool)
         for b, x in zip(bits.column("bucket").to_pylist(), bits.column("blob").to_pylist()):
-            many[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=int(at[b + 1] - at[b]))
+            n = int(at[b + 1] - at[b])
+            flags[:, order[at[b] : at[b + 1]]] = np.unpackbits(np.frombuffer(x, np.uint8), count=2 * n).reshape(2, n)
+        many, hot = flags[0][back], flags[1][back]
+        rows = []
+        if hot.any():
+            p = q[hot]
+            doc = np.searchsorted(bounds, p, "right") - 1
+            w, gone = later(strings(body, bounds, ids, np.maximum(p - left, bounds[doc]), np.minimum(p + length, bounds[doc + 1]), length))
+            rows += _rows({chunk: merged(window_covers(w[gone], length))})
+            w = w[~gone]
+            b = (w["a"] % np.uint64(buckets)).astype(np.int64)
+            cut = np.argsort(b, kind="stable")
+            edge = np.searchsorted(b[cut], np.arange(buckets + 1))
+            rows += [{"kind": "w", "chunk": chunk, "bucket": k, "blob": w[cut[edge[k] : edge[k + 1]]].tobytes()} for k in range(buckets) if edge[k + 1] > edge[k]]
+        many &= ~hot
         q, h = q[many], h[many]
         if not len(q):
-            return table([])
+            return table(rows)
         doc = np.searchsorted(bounds, q, "right") - 1
         lo, hi = np.maximum(q - left, bounds[doc]), np.minimum(q + length, bounds[doc + 1])
         e = np.zeros(len(q), ENTRY)
         e["h"], e["c"], e["d"], e["i"], e["q"], e["l"], e["r"] = h, context_hash(body, lo, hi, q - lo, most), ids[doc], doc, q - bounds[doc], q - lo, hi - q
         e, least = classes(e)
-        later = e["d"] > least
-        mine, e = merged(covers(e[later])), e[~later]
+        behind = e["d"] > least
+        mine, e = merged(covers(e[behind])), e[~behind]
         b = bucket_of(e["h"], buckets)
-        rows = _rows({chunk: mine})
+        rows += _rows({chunk: mine})
         cut = np.argsort(b, kind="stable")
         edge = np.searchsorted(b[cut], np.arange(buckets + 1))
         return table(rows + [{"kind": "e", "chunk": chunk, "bucket": k, "blob": e[cut[edge[k] : edge[k + 1]]].tobytes()} for k in range(buckets) if edge[k + 1] > edge[k]])
@@ -238,9 +294,9 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFr
         order = np.lexsort((e["d"], e["c"], e["h"]))
         e, owner = e[order], owner[order]
         fresh = np.concatenate(([True], (e["h"][1:] != e["h"][:-1]) | (e["c"][1:] != e["c"][:-1])))
-        later = e["d"] > e["d"][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        done, done_at = covers(e[later]), owner[later]
-        e, owner = e[~later], owner[~later]
+        behind = e["d"] > e["d"][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+        done, done_at = covers(e[behind]), owner[behind]
+        e, owner = e[~behind], owner[~behind]
         new = np.concatenate(([True], e["h"][1:] != e["h"][:-1]))
         group, first = np.cumsum(new) - 1, np.flatnonzero(new)
         differ = np.maximum.reduceat(e["d"], first) != np.minimum.reduceat(e["d"], first)
@@ -254,6 +310,16 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFr
                 rows.append({"kind": kind, "chunk": k, "bucket": bucket, "blob": (merged(x) if kind == "i" else x).tobytes()})
         return table(rows)
 
+    def settle_strings(part: pa.Table) -> pa.Table:
+        w = np.concatenate([np.frombuffer(x, WINDOW) for x in part.column("blob").to_pylist()])
+        owner = np.repeat(np.array(part.column("chunk").to_pylist(), np.int32), [len(x) // WINDOW.itemsize for x in part.column("blob").to_pylist()])
+        owner = owner[np.lexsort((w["d"], w["b"], w["a"]))]
+        w, gone = later(w)
+        c, k = window_covers(w[gone], length), owner[gone]
+        cut = np.argsort(k, kind="stable")
+        keys, edge = np.unique(k[cut], return_index=True)
+        return table(_rows({int(v): merged(c[cut[a:z]]) for v, a, z in zip(keys, edge, np.append(edge[1:], len(cut)))}))
+
     LINE = np.dtype([("h", "<u8"), ("d", "<i8"), ("i", "<i4"), ("s", "<i4"), ("n", "<i4"), ("k", "<i4"), ("t", "u1", (most + 4,))])
 
     def fetch(part: pa.Table, asked: pa.Table) -> pa.Table:
@@ -299,7 +365,8 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFr
     release_shuffles(spark)
     lines = d.groupBy("chunk").cogroup(settled.where("kind = 'r'").groupBy("chunk")).applyInArrow(fetch, ddl)
     last = lines.groupBy("bucket").applyInArrow(factors, ddl)
-    spans = reduce_union([shared.where("kind = 'i'"), settled.where("kind = 'i'"), last])
+    often = shared.where("kind = 'w'").groupBy("bucket").applyInArrow(settle_strings, ddl)
+    spans = reduce_union([shared.where("kind = 'i'"), settled.where("kind = 'i'"), last, often])
     return d, spans.select("chunk", "blob")
 
 

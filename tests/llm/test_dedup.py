@@ -108,12 +108,13 @@ def plain_removal(rows, length):
     return {i: sorted(v) for i, v in out.items()}
 
 
-@pytest.mark.parametrize("length", [50, 32])
-def test_passages_equal_brute_force(spark, length, monkeypatch):
+@pytest.mark.parametrize("length, hot", [(50, 1 << 15), (50, 6), (32, 2)])
+def test_passages_equal_brute_force(spark, length, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 3000)
     monkeypatch.setattr(suffix_dedup, "BUCKET_ANCHORS", 100)
     monkeypatch.setattr(suffix_dedup, "SUFFIXES", 500)
-    r = random.Random(length)
+    r = random.Random(length + hot)
     blocks = ["".join(r.choice("abcdé ") for _ in range(r.randint(20, 120))) for _ in range(12)] + ["a" * 200, "ab" * 60]
     rows = [(i, "".join(r.choice(blocks) for _ in range(r.randint(0, 4)))) for i in range(60)]
     rows += [(200, None), (201, ""), (202, "x" * (length - 1)), (203, rows[5][1]), (3, rows[4][1]), (3, blocks[0] + blocks[1]), (None, blocks[2] * 2), (500, blocks[2])]
