@@ -171,7 +171,7 @@ def split_modalities(c: Column) -> Column:
 def first_seen(items: Column, key=lambda x: F.lower(x)) -> Column:
     """Items whose key did not occur before, in order."""
     keys = F.transform(items, key)
-    return F.transform(F.filter(F.transform(items, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.array_position(keys, F.element_at(keys, (s["i"] + 1).cast("int"))) == s["i"] + 1), lambda s: s["x"])
+    return F.transform(F.filter(F.transform(items, lambda x, i: F.named_struct(F.lit("x"), x, F.lit("i"), i)), lambda s: F.array_position(keys, F.element_at(keys, (s["i"] + 1).cast("int"))) == s["i"] + 1), lambda s: s["x"])
 
 
 def title_names(c: Column) -> Column:

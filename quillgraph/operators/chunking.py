@@ -111,5 +111,6 @@ def build(records: dict[str, DataFrame], aliases: DataFrame | None = None, layer
 
 def counts(chunks: DataFrame) -> DataFrame:
     """Passages by source and, with a null source, in all; none at all is an error."""
-    by = chunks.rollup("source").agg(F.count("*").alias("n"), F.grouping("source").alias("all"))
-    return by.select(F.when(F.col("all") == 1, F.lit(None)).otherwise(F.col("source")).alias("source"), F.when((F.col("all") == 1) & (F.col("n") == 0), F.raise_error(F.lit("no passages")).cast("bigint")).otherwise(F.col("n")).alias("n"))
+    by = chunks.groupBy("source").agg(F.count("*").alias("n"))
+    total = by.agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("source"), F.when(F.coalesce("n", F.lit(0)) == 0, F.raise_error(F.lit("no passages")).cast("bigint")).otherwise(F.col("n")).alias("n"))
+    return by.unionByName(total)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key, name_tokens, name_variants
@@ -47,14 +47,16 @@ def by_prefix(names: DataFrame, index: DataFrame) -> DataFrame:
     return hit.groupBy("name").agg(F.count_distinct("entry").alias("n"), F.min("canonical").alias("canonical")).where("n = 1").select("name", "canonical")
 
 
-@F.pandas_udf("double")
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two strings by matching blocks; 0 where it cannot reach 0.85."""
+def ratio(a: str, b: str) -> Column:
+    """Similarity of two string columns by matching blocks; 0 where it cannot reach 0.85."""
     def one(x: str, y: str) -> float:
         m = SequenceMatcher(None, x, y)
         return m.ratio() if m.real_quick_ratio() >= 0.85 and m.quick_ratio() >= 0.85 else 0.0
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+    def each(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([one(p, q) for p, q in zip(x, y)], dtype="float64")
+
+    return F.pandas_udf(each, "double")(a, b)
 
 
 def fuzzy(names: DataFrame, index: DataFrame, threshold: float = FUZZY, margin: float = MARGIN) -> DataFrame:

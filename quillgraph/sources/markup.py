@@ -95,10 +95,12 @@ def walked(html: str | None) -> dict:
     return {"title": "".join(w.title).strip(), "text": "".join(w.out) + ends, "links": w.links, "tags": w.tags}
 
 
-@F.pandas_udf(MARKED)
-def marked(html: pd.Series) -> pd.DataFrame:
+def marked(html: Column) -> Column:
     """title, marked text, links and tag counts of a page."""
-    return pd.DataFrame([walked(h) for h in html], columns=["title", "text", "links", "tags"])
+    def walk(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([walked(h) for h in pages], columns=["title", "text", "links", "tags"])
+
+    return F.pandas_udf(walk, MARKED)(html)
 
 
 def pages(df: DataFrame, html: str = "html") -> DataFrame:
@@ -106,10 +108,14 @@ def pages(df: DataFrame, html: str = "html") -> DataFrame:
     return df.withColumn("page", marked(F.col(html))).drop(html)
 
 
+# What Windows-1252 has in place of the control characters from 0x80 on; five codes are not used.
+_WINDOWS = {0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ", 0x89: "‰", 0x8A: "Š", 0x8B: "‹", 0x8C: "Œ", 0x8E: "Ž", 0x91: "‘", 0x92: "’", 0x93: "“", 0x94: "”", 0x95: "•", 0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›", 0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ"}
+
+
 def decoded(content: Column) -> Column:
     """Bytes of an old page: UTF-8 if they are valid, else Windows-1252."""
-    text = F.try_validate_utf8(content.cast("string"))
-    return F.coalesce(text, F.decode(content, "windows-1252"))
+    old = F.translate(F.decode(content, "iso-8859-1"), "".join(map(chr, _WINDOWS)), "".join(_WINDOWS.values()))
+    return F.coalesce(F.try_validate_utf8(content.cast("string")), old)
 
 
 def plain(c: Column) -> Column:
