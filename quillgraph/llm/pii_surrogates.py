@@ -42,17 +42,17 @@ _KNOWN = "(?:" + "|".join(t for g in GIVEN.values() for t in g) + ")"
 PATTERNS = {
     "mail": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[.\-][0-9]{4})(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[.\- ])[0-9]{3}[.\- ][0-9]{4})(?![0-9])",
     "social": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
     "access": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"""(?<=password=)[^\s"']+|(?<=")[0-9a-f]{32,64}(?=")""",
+    "secret": r"""(?<=(?:password|passwd|secret|api_key|apikey)[=:])[^\s"']+|(?<=")[0-9a-f]{32,64}(?=")""",
     "person": rf"(?<!\p{{L}})(?:{_TITLE}\.? {_NAME}(?: {_NAME})?|{_KNOWN} {_NAME})(?!\p{{L}})",
 }
 ANYTHING = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts without a match of this have none of the above; it is cheap.
-MAYBE = rf"[0-9@]|password=|(?<!\p{{L}})(?:{_TITLE}|{_KNOWN})(?!\p{{L}})"
+MAYBE = rf"[0-9@]|(?:password|passwd|secret|api_key|apikey)[=:]|(?<!\p{{L}})(?:{_TITLE}|{_KNOWN})(?!\p{{L}})"
 DIGITS = ("phone", "card", "social")
 VOWELS, CONSONANTS = "aeiou", "bdfgklmnprstvz"
 VOWELS_2, CONSONANTS_2 = "аеиоу", "бдгклмнпрств"
