@@ -13,18 +13,16 @@ from pyspark.sql import functions as F
 from ..functions.text import index_tokens, query_tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-GAP = 1000  #: positions between columns
 
 
 def postings(docs: DataFrame, id_column: str, *text: str) -> DataFrame:
     """term, id, positions (ascending), length (tokens of all columns), a row for each term of a document."""
-    parts = None
-    for i, c in enumerate(text):
-        one = docs.select(F.col(id_column).alias("id"), F.posexplode(index_tokens(F.coalesce(F.col(c), F.lit("")))).alias("at", "term")).withColumn("at", F.col("at").cast("bigint") + F.lit(i) * (1 << 40) + F.lit(i * GAP))
-        parts = one if parts is None else parts.unionByName(one)
-    listed = parts.groupBy("id", "term").agg(F.array_sort(F.collect_list("at")).alias("positions"))
-    lengths = parts.groupBy("id").agg(F.count("*").alias("length"))
-    return listed.join(lengths, "id").select("term", "id", "positions", "length")
+    tokens = [index_tokens(F.coalesce(F.col(c), F.lit(""))) for c in text]
+    columns = docs.select(F.col(id_column).alias("id"), F.array(*tokens).alias("columns"))
+    sized = columns.withColumn("length", F.aggregate("columns", F.lit(0).cast("bigint"), lambda n, t: n + F.size(t)))
+    places = sized.select("id", "length", F.posexplode("columns").alias("c", "tokens")).select("id", "length", "c", F.posexplode("tokens").alias("at", "term"))
+    at = F.col("at").cast("bigint") + F.col("c").cast("bigint") * F.lit(1 << 40)  # no phrase goes over columns
+    return places.groupBy("term", "id", "length").agg(F.array_sort(F.collect_list(at)).alias("positions")).select("term", "id", "positions", "length")
 
 
 def corpus_statistics(docs: DataFrame, id_column: str, *text: str) -> DataFrame:
@@ -46,8 +44,8 @@ def search(index: DataFrame, statistics: DataFrame, query: str, k: int = 10, amo
     if not asked:
         return spark.createDataFrame([], f"id {index.schema['id'].dataType.simpleString()}, score double")
     terms = spark.createDataFrame([Row(p=p, i=i, term=t) for p, toks in enumerate(asked) for i, t in enumerate(toks)], "p int, i int, term string")
-    # as many rows as the query has words
-    hit = index.join(F.broadcast(terms), "term")
+    # as many rows as the query has words; the semi-join goes below the grouping of the postings
+    hit = index.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").join(F.broadcast(terms), "term")
     # a phrase starts where each of its tokens stands at its own offset
     starts = hit.select("p", "id", "length", "i", F.transform("positions", lambda x: x - F.col("i")).alias("s"))
     sizes = F.element_at(F.array(*(F.lit(len(t)) for t in asked)), F.col("p") + 1)

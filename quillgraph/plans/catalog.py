@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import bm25, chunking, extract, grounding, metrics, overlap, profile, questions, repertory, resolve, sessions
+from ..operators import bm25, calls, chunking, extract, grounding, metrics, overlap, profile, questions, repertory, resolve, sessions
 from ..operators import vectors as vec
-from ..sources import markup
-from ..streaming import latency
+from ..sources import links, markup
+from ..streaming import drain, latency
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -719,3 +719,139 @@ def latency_windows(spark: SparkSession, d: str) -> DataFrame:
     return latency.windowed(views.metrics(spark, d)).select("start", "task", "path", "n", F.round("total_ms", 2).alias("total_ms"), "least_ms", "most_ms")
 
 
+
+
+# functions over names and statements
+
+
+@query("SELECT p_partkey AS id, array_to_string(regexp_extract_all(lower(p_name || '-' || p_type || '.'), '[a-z]+'), ' ') AS key FROM part")
+def name_keys(spark: SparkSession, d: str) -> DataFrame:
+    return views.load(spark, d, "part").select(F.col("p_partkey").alias("id"), text.name_key(F.concat("p_name", F.lit("-"), "p_type", F.lit("."))).alias("key"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort({_toks('text')}), ' ') AS tokens FROM documents")
+def content_token_sets(spark: SparkSession, d: str) -> DataFrame:
+    return views.documents(spark, d).select("doc_id", F.array_join(F.array_sort(text.content_tokens(F.col("text"))), " ").alias("tokens"))
+
+
+@query("SELECT p_partkey AS id, upper(left(p_name, 1)) || substr(p_name, 2) || ',' || p_type AS variants FROM part")
+def name_variants(spark: SparkSession, d: str) -> DataFrame:
+    n = F.concat(F.upper(F.left("p_name", F.lit(1))), F.substring(F.col("p_name"), F.lit(2), F.length("p_name")), F.lit(". ("), "p_type", F.lit(".)"))
+    return views.load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(text.name_variants(n), ",").alias("variants"))
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN p_type ELSE p_type || ' ' || p_name END AS rest FROM part")
+def marker_stripped(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    t = F.when(k == 0, F.upper("p_name")).when(k == 1, F.concat("p_name", F.lit(". ] "), "p_type")).otherwise(F.concat("p_type", F.lit(" "), "p_name"))
+    return views.load(spark, d, "part").select(F.col("p_partkey").alias("id"), text.strip_marker(t, text.markers(F.col("p_name"), F.concat(F.lit("q"), F.left("p_name", F.lit(2))))).alias("rest"))
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 2 WHEN 0 THEN ', from ' || p_type || ';' END AS better, ' in ' || p_name AS worse FROM part""")
+def modalities(spark: SparkSession, d: str) -> DataFrame:
+    t = F.concat(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Better, from "), "p_type", F.lit("; "))).otherwise(""), F.lit("Worse in "), "p_name")
+    m = text.split_modalities(t)
+    return views.load(spark, d, "part").select(F.col("p_partkey").alias("id"), m["better"].alias("better"), F.concat(F.lit(" "), m["worse"]).alias("worse"))
+
+
+@query("""SELECT lang, string_agg('[' || source || ' § ' || doc_id || ']' || chr(10) || left(text, 20), chr(10) || chr(10) ORDER BY doc_id) AS block FROM documents WHERE doc_id < 40 GROUP BY lang""")
+def formatted_sources(spark: SparkSession, d: str) -> DataFrame:
+    t = views.documents(spark, d).where("doc_id < 40").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.concat("source", F.lit(" § "), "doc_id").alias("locator"), F.left("text", F.lit(20)).alias("text")))).alias("h"))
+    return t.select("lang", text.format_sources(F.col("h")).alias("block"))
+
+
+# configuration and topics of sessions
+
+
+@query("""SELECT conv_id AS session, CASE conv_id % 4 WHEN 0 THEN 'First' WHEN 1 THEN 'Other' WHEN 2 THEN 'Other' END AS exam, conv_id % 3 = 0 AS general, CASE WHEN conv_id % 3 = 1 THEN 'Repertory' END AS subject, CASE WHEN conv_id % 3 = 2 THEN 'Sulphur' END AS topic FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def session_configuration(spark: SparkSession, d: str) -> DataFrame:
+    c = views.load(spark, d, "conversations").select(F.col("conv_id").alias("session")).distinct()
+    k, m = F.col("session") % 4, F.col("session") % 3
+    exam = sessions.exam_of(F.when(k == 0, " 1 ").when(k == 1, "some OTHER one").when(k == 2, "2").otherwise("?"), (("First", ("first",)), ("Other", ("other", "general"))))
+    mode = sessions.mode_of(F.when(m == 0, "Mixed").when(m == 1, "the repertory please").otherwise(" Sulphur "), ("Organon of Medicine", "Repertory"))
+    return c.select("session", exam.alias("exam"), mode["general"].alias("general"), mode["subject"].alias("subject"), mode["topic"].alias("topic"))
+
+
+@query()
+def next_topics(spark: SparkSession, d: str) -> DataFrame:
+    a = views.answers(spark, d)
+    misses = a.where("not correct").groupBy("session", "topic").agg(F.count("*").alias("misses"))
+    s = a.select("session").distinct().select("session", F.lit(None).cast("string").alias("subject"), F.when(F.col("session") % 2 == 0, "explicit").alias("topic"), (F.col("session") % 2 == 1).alias("general"))
+    general = spark.createDataFrame([("S", f"topic {i}") for i in range(5)], "subject string, topic string")
+    return sessions.next_topics(s, misses, general, SEED)
+
+
+@query(f"WITH {ANS} SELECT session, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn DESC) AS n FROM ans) WHERE n <= 8 GROUP BY 1")
+def recent_questions(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.recent(views.answers(spark, d).withColumn("question", F.col("turn").cast("string"))).select("session", flat("recent").alias("recent"))
+
+
+@query()
+def rendered_questions(spark: SparkSession, d: str) -> DataFrame:
+    q = questions.keynote(views.statements(spark, d), SEED).where("section_no <= 2")
+    choice = F.when(F.col("section_no") == 1, F.col("correct_index"))
+    return q.select("remedy", "supporting_quote", sessions.rendered(F.col("question"), F.col("options")).alias("question"), sessions.reveal(F.col("question"), F.col("options"), F.col("correct_index"), choice, F.col("difficulty")).alias("reveal"))
+
+
+@query()
+def distractor_insertion(spark: SparkSession, d: str) -> DataFrame:
+    q = questions.rubric_to_remedy(views.rubrics(spark, d), views.entries(spark, d), SEED)
+    new = questions.with_distractors(q.withColumn("distractors", F.array(*(F.lit(f"new {i}") for i in range(3)))))
+    return new.select("rubric_id", flat("options").alias("options"), "correct_index")
+
+
+# discovery and parsers
+
+
+@query()
+def discovered_links(spark: SparkSession, d: str) -> DataFrame:
+    index = markup.pages(views.html_pages(spark, d)).withColumnRenamed("page_id", "position")
+    return links.discovered(index, "^/[A-Za-z]+$").select("position", "at", "url")
+
+
+def _parsed(parser, *names: str, **more) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        pages = markup.pages(views.html_pages(spark, d)).select("url", "page", F.lit("").alias("name"), F.lit("").alias("abbrev"))
+        return parser(pages, "pages", **more).select("url", *(flat(n).alias(n) if n == "keynotes" else n for n in names))
+
+    return run
+
+
+for _name, _parser, _columns, _more in (
+    ("field_monographs", extract.field_monographs, ("remedy", "intro", "keynotes", "raw_text"), {}),
+    ("dictionary_records", extract.dictionary_records, ("remedy", "raw_text"), {}),
+    ("prose_records", extract.prose_records, ("remedy", "raw_text"), {}),
+    ("keynote_records", extract.keynote_records, ("remedy", "name_full", "keynotes_text"), {}),
+    ("sectioned_records", extract.sectioned_records, ("remedy", "n_symptoms", "raw_text"), {}),
+    ("rubric_records", extract.rubric_records, ("chapter", "rubric", "page"), {"chapter_link": "^/[a-z]+$"}),
+    ("aphorisms", extract.aphorisms, ("aphorism_no", "text"), {}),
+    ("lectures", extract.lectures, ("lecture_no", "title", "n_words"), {}),
+):
+    QUERIES[f"extract_{_name}"] = _parsed(_parser, *_columns, **_more)
+
+
+@query()
+def built_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Pages parsed as sectioned records and flattened into passages with their subject."""
+    pages = markup.pages(views.html_pages(spark, d)).select("url", "page", F.lit("").alias("name"), F.lit("").alias("abbrev"))
+    return chunking.build({"sectioned_records": extract.sectioned_records(pages, "pages")}).select("id", "locator", "sparse", "subject", "section_no", "has_important")
+
+
+@query()
+def logged_calls(spark: SparkSession, d: str) -> DataFrame:
+    """The plug point for model calls with a stand-in for the model."""
+    rows = views.documents(spark, d).where("doc_id < 20").select("doc_id", F.left("text", F.lit(30)).alias("prompt"))
+    return calls.called(rows, lambda r: {"answer": r["prompt"][::-1]}, "answer string", 60_000, "coaching", "stand-in").select("doc_id", "answer", "task", "model", "error")
+
+
+# streams
+
+
+@query()
+def latency_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The latency windows of events read as a stream; the last windows stay open behind the watermark."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
+    k = F.get_json_object("props", "$.k").cast("int")
+    m = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("task"), F.when(k % 10 != 0, "deterministic").alias("path"), F.col("value").alias("latency_ms"))
+    return drain.drained(latency.windowed(m), "latency").select("start", "task", "path", "n", F.round("total_ms", 2).alias("total_ms"))

@@ -10,6 +10,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: a file of one row group is one split, and work on texts is worth a small shuffle.
+
+    Tables of more splits than cores stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def rubrics(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("chapter"), F.col("p_name").alias("rubric"), F.lit(None).cast("string").alias("page"), F.lit(None).cast("string").alias("url"))
 
@@ -23,7 +32,7 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents")
+    return spread(load(spark, d, "documents"))
 
 
 def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -63,4 +72,4 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_pages(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "pages")
+    return spread(load(spark, d, "pages"))
