@@ -39,8 +39,9 @@ def scored(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> D
     r = right.select("entity", "pos", F.col("text").alias("r_text"), "section", content_tokens(F.col("text")).alias("u"))
     judged = l.where(F.size("t") >= LEAST_TOKENS)
     # only pairs that share a token can score: joined by token, so long lists don't meet as wholes
-    shared = judged.select("id", "entity", F.explode("t").alias("w")).join(r.select("entity", "pos", F.explode("u").alias("w")), ["entity", "w"]).groupBy("id", "pos").agg(F.count("*").alias("both"))
-    pairs = shared.join(judged.select("id", "entity", F.size("t").alias("nt")), "id").join(r.select("entity", "pos", F.size("u").alias("nu")), ["entity", "pos"])
+    mine = judged.select("id", "entity", F.size("t").alias("nt"), F.explode("t").alias("w"))
+    theirs = r.select("entity", "pos", F.size("u").alias("nu"), F.explode("u").alias("w"))
+    pairs = mine.join(theirs, ["entity", "w"]).groupBy("id", "pos", "nt", "nu").agg(F.count("*").alias("both"))
     score = F.col("both").cast("double") / F.least("nt", "nu")
     best = pairs.withColumn("score", score).groupBy("id").agg(F.max_by(F.struct("pos", "score", (F.col("both").cast("double") / (F.col("nt") + F.col("nu") - F.col("both"))).alias("jaccard")), F.struct("score", (-F.col("pos")).alias("p"))).alias("b"))
     words = r.select("entity", F.explode("u").alias("w")).distinct()
