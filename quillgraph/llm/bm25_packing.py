@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, parallelism, small_batches, texts
+from .common import materialize, mix64, parallelism, small_batches, texts, tidied
 from .tokens import default_vocabulary, encoder
 
 SHARD = 1024  #: remainders in an index
@@ -65,7 +65,7 @@ def remainders(docs: DataFrame, path: str, window: int, end_id: int) -> DataFram
             none = pa.nulls(len(terms))
             yield pa.RecordBatch.from_arrays([none.cast(f.type) for f in list(schema)[:5]] + [pa.array(terms, pa.int32()), pa.array(seen[terms])], schema=schema)
 
-    return texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, doc_tokens bigint, crcs array<bigint>, tail binary, sketch bigint, term int, n bigint")
+    return texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id bigint, doc_tokens bigint, crcs array<bigint>, tail binary, sketch bigint, term int, n bigint")
 
 
 class Index:
@@ -206,4 +206,4 @@ def packed(docs: DataFrame, vocabulary: str | None = None, window: int = 1024, e
         if group:
             yield out()
 
-    return dealt.mapInArrow(run, ", ".join(f"{c} bigint" for c, _ in fields[:7]) + ", ids array<bigint>" * keep_ids)
+    return dealt.mapInArrow(tidied(run), ", ".join(f"{c} bigint" for c, _ in fields[:7]) + ", ids array<bigint>" * keep_ids)

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, mix64, small_batches, text_bytes
+from .common import held_out, mix64, small_batches, text_bytes, tidied
 
-DIMENSIONS, CENTROIDS, SAMPLE = 1 << 13, 4, 1500
+DIMENSIONS, CENTROIDS, SAMPLE = 1 << 13, 4, 1000
 PART = 0.4  #: of the smallest fitted cosine, below which a text is rejected
 ROWS = 128
 
@@ -118,7 +118,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             names, idf, centroids, least = fit(texts, langs)
             yield pa.RecordBatch.from_arrays([pa.array([names], pa.list_(pa.string())), *(pa.array([x.tobytes()], pa.binary()) for x in (idf, centroids, least))], names=["names", "idf", "centroids", "least"])
 
-    found = picked.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(run, "names array<string>, idf binary, centroids binary, least binary").collect()
+    found = picked.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(tidied(run), "names array<string>, idf binary, centroids binary, least binary").collect()
     if not found:
         return None
     m = found[0]
@@ -150,7 +150,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score), pa.array(rejected)], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return docs.mapInArrow(tidied(run), f"{schema}, lang_pred string, score double, rejected boolean")
 
 
 def languages(docs: DataFrame, modulus: int = 5, remainder: int = 0) -> DataFrame:

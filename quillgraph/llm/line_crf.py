@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, small_batches, text_bytes, texts, word_hashes, word_spans
+from .common import mix64, slices, small_batches, text_bytes, texts, tidied, word_hashes, word_spans
 
 SAMPLE, ROUNDS, TURNS = 6000, 120, 3
 SHARE = 0.5  #: least share of words in content lines
@@ -231,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
         w, j = fit(np.concatenate(features), np.concatenate(row), np.concatenate(good), rounds, turns)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((w.ravel(), j.ravel()))), pa.array(np.arange(w.size + 4))], names=["w", "i"])
 
-    theta = np.array([r.w for r in sorted(rows.mapInArrow(run, "w double, i bigint").collect(), key=lambda r: r.i)])
+    theta = np.array([r.w for r in sorted(rows.mapInArrow(tidied(run), "w double, i bigint").collect(), key=lambda r: r.i)])
     return (theta[:-4].reshape(WIDTH, 2), theta[-4:].reshape(2, 2)) if len(theta) else (np.zeros((WIDTH, 2)), np.zeros((2, 2)))
 
 
@@ -254,7 +254,7 @@ def judged(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], share: float =
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *counts, "base_failed", "content_share", "kept", *(["boilerplate"] if keep_labels else [])])
 
     rows = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in counts) + ", base_failed boolean, content_share double, kept boolean" + ", boilerplate array<boolean>" * keep_labels)
+    return rows.mapInArrow(tidied(run), "doc_id bigint, " + ", ".join(f"{c} bigint" for c in counts) + ", base_failed boolean, content_share double, kept boolean" + ", boilerplate array<boolean>" * keep_labels)
 
 
 def quality(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, small_batches, text_bytes, texts, word_hashes, word_spans
+from .common import held_out, slices, small_batches, text_bytes, texts, tidied, word_hashes, word_spans
 
 SAMPLE, WORDS, ROUNDS = 12_000, 8192, 250
 STEMS = (4, 6)  #: lengths in bytes of the beginnings of words that are features too
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
         h, w, bias = fit([(b.column(1), b.column(2).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows], words, rounds)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(h, np.uint64(0)).view(np.int64)), pa.array(np.append(w, bias)), pa.array([False] * len(h) + [True])], names=["h", "w", "bias"])
 
-    model = rows.mapInArrow(run, "h bigint, w double, bias boolean").collect()  # at most words + 1 rows
+    model = rows.mapInArrow(tidied(run), "h bigint, w double, bias boolean").collect()  # at most words + 1 rows
     found = sorted((r.h & 0xFFFFFFFFFFFFFFFF, r.w) for r in model if not r.bias)
     return np.array([x for x, _ in found], np.uint64), np.array([x for _, x in found]), next((r.w for r in model if r.bias), -20.0)
 
@@ -159,7 +159,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], thresho
 
     small_batches(docs.sparkSession)
     rows = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, score double, predicted int, sentences array<struct<start:bigint,end:bigint,score:double>>")
+    return rows.mapInArrow(tidied(run), "doc_id bigint, score double, predicted int, sentences array<struct<start:bigint,end:bigint,score:double>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, threshold: float = 0.7) -> DataFrame:

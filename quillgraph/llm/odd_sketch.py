@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix64, release_shuffles, small_batches, text_bytes, texts, word_hashes, word_spans
+from .common import components, materialize, mix64, release_shuffles, small_batches, text_bytes, texts, tidied, word_hashes, word_spans
 
 SAMPLES, ROWS, WORDS = 128, 4, 8  #: MinHash samples; samples in a band; 64-bit words of an odd sketch
 PARITY = 2048  #: bits of the parity bitmap of a whole set
@@ -132,7 +132,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, SAMPLES // ROWS), pa.int32()), pa.array(bands.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(WORDS)), pa.array(parity_bitmaps(sets), pa.binary()), flat], schema=schema)
 
-    return docs.mapInArrow(run, f"doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, {SKETCH}, parity binary, bands array<bigint>")
+    return docs.mapInArrow(tidied(run), f"doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, {SKETCH}, parity binary, bands array<bigint>")
 
 
 def flips(a: str, b: str):
@@ -174,7 +174,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return have.mapInArrow(run, "a bigint, b bigint").distinct()
+    return have.mapInArrow(tidied(run), "a bigint, b bigint").distinct()
 
 
 def _still_apart(keyed: DataFrame, comp: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
@@ -229,7 +229,7 @@ def _still_apart(keyed: DataFrame, comp: DataFrame, reps: DataFrame, similarity:
         if group:
             yield from out()
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(tidied(run), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

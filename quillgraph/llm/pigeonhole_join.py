@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, small_batches
+from .common import components, materialize, small_batches, tidied
 
 BLOCK, TILE = 8, 1024  #: dimensions of a block; vectors of a tile
 SLACK = 1e-6  #: for rounding, on squared distances of unit vectors
@@ -46,7 +46,7 @@ def moments(vectors: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size * size)), pa.array(total.ravel())], names=["i", "v"])
 
     # as many rows as the square of the dimensions
-    rows = vectors.select("v").mapInArrow(run, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    rows = vectors.select("v").mapInArrow(tidied(run), "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(size * size)
     for r in rows:
         out[r.i] = r.v
@@ -132,7 +132,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
             blobs = [np.array(x, "<f4").tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary()), b.column(2)], names=["vec_id", "v", "label"])
 
-    rows = materialize(v.where(usable).mapInArrow(run, "vec_id bigint, v binary, label string"), "vectors")
+    rows = materialize(v.where(usable).mapInArrow(tidied(run), "vec_id bigint, v binary, label string"), "vectors")
     classes = materialize(rows.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "nodes")
     sizes = [r.n for r in classes.select((F.length("v") / 4).cast("int").alias("n")).distinct().collect()]
     found = None
@@ -164,7 +164,7 @@ def _links(classes: DataFrame, size: int, axes: np.ndarray, least: float) -> Dat
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, at.shape[1]), pa.int32()), pa.array(at.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), b.column(3), b.column(0), lists], names=["label", "node", "n", "v", "cells"])
 
-    dealt = classes.select("v", "node", "label", "n").mapInArrow(cells, "label string, node bigint, n bigint, v binary, cells array<int>")
+    dealt = classes.select("v", "node", "label", "n").mapInArrow(tidied(cells), "label string, node bigint, n bigint, v binary, cells array<int>")
     dealt = materialize(dealt, "cells")
     keyed = dealt.select("label", "node", "n", F.posexplode("cells").alias("block", "cell"))
     # tiles of a cell by its number of nodes; a cell meets itself and the next one
@@ -217,4 +217,4 @@ def _links(classes: DataFrame, size: int, axes: np.ndarray, least: float) -> Dat
         if group and (r := out(group)) is not None:
             yield r
 
-    return sent.mapInArrow(meet, "node bigint, links bigint, up bigint")
+    return sent.mapInArrow(tidied(meet), "node bigint, links bigint, up bigint")

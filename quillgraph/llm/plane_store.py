@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism, small_batches, texts
+from .common import materialize, parallelism, small_batches, texts, tidied
 from .tokens import default_vocabulary, encoder
 
 SEGMENT, BLOCK = 1 << 18, 1 << 16  #: ids
@@ -104,7 +104,7 @@ def encode_store(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2
         if parts:
             yield flush()
 
-    return dealt.mapInArrow(run, STORE)
+    return dealt.mapInArrow(tidied(run), STORE)
 
 
 def decode_store(store: DataFrame, keep_ids: bool = True) -> DataFrame:
@@ -128,7 +128,7 @@ def decode_store(store: DataFrame, keep_ids: bool = True) -> DataFrame:
                     columns.append(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    out = store.mapInArrow(run, "shard int, doc_id bigint, within bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * keep_ids)
+    out = store.mapInArrow(tidied(run), "shard int, doc_id bigint, within bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * keep_ids)
     # a row for each shard: as many as there are partitions, so the broadcast stays small
     shards = store.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     return out.join(F.broadcast(shards), "shard").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if keep_ids else []))

@@ -15,8 +15,8 @@ import numpy as np
 
 from .common import mix64
 
-PIECES = 3_000_000  #: most pieces kept by a worker
-BATCH_CHARS = 1 << 21
+PIECES = 2_000_000  #: most pieces kept by a worker
+BATCH_CHARS = 1 << 20
 
 LETTER, DIGIT, SPACE, OTHER, FOREIGN = range(5)
 
