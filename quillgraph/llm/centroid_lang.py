@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import held_out, mix64, small_batches, text_bytes, tidied
 
 DIMENSIONS, CENTROIDS, SAMPLE = 1 << 13, 4, 1000
-PART = 0.4  #: of the smallest fitted cosine, below which a text is rejected
+PART = 0.3  #: of the smallest fitted cosine, below which a text is rejected
 ROWS = 128
 
 Model = tuple[list[str], np.ndarray, np.ndarray, np.ndarray]  # languages; idf; centroids; least cosines
