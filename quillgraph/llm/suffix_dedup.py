@@ -2,7 +2,7 @@
 
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with a
 smaller doc_id. Sorting every suffix of the corpus is not needed for that: equal strings of
-that length contain the same *anchor*, the least-hashed 24-gram in them, so only passages
+that length contain the same *anchor*, the least-hashed 20-gram in them, so only passages
 around anchors that occur more than once can match.
 
 1. Documents are dealt into chunks of some megabytes. Each chunk sends its anchors' hashes,
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, mix64, release_shuffles, text_bytes, texts
 
-GRAM = 24
+GRAM = 20
 CHUNK_BYTES, BUCKET_ANCHORS = 8 << 20, 2 << 20
 BLOCK = 1 << 16
 HOT = 1 << 15  #: occurrences of an anchor
@@ -75,7 +75,7 @@ def anchors(body: np.ndarray, bounds: np.ndarray, use: np.ndarray, length: int)
         h = {1: value[body[at : at + BLOCK + length - 1]]}
         for n in (1, 2, 4, 8):
             h[2 * n] = h[n][:-n] * power[n] + h[n][n:]
-        gram = h[16][: len(h[8]) - 16] * power[8] + h[8][16:]
+        gram = h[16][: len(h[GRAM - 16]) - 16] * power[GRAM - 16] + h[GRAM - 16][16:]
         key = (gram ^ (gram >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
         key = (key & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(key), dtype=np.uint64)
         low, n = key, 1
