@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import share_floor
 from ..functions.text import collapse, strip
 from ..sources.markup import BOLD, BOLD_END, ITALIC, ITALIC_END, plain
 
+BUCKET = 1 << 16
+
 
 def gaps(numbers: DataFrame, column: str) -> DataFrame:
     """Missing numbers between the least and the greatest: a row a gap (after, n_missing), so a wide gap is one row."""
-    n = numbers.where(F.col(column).isNotNull()).select(F.col(column).cast("bigint").alias("n")).distinct()
-    # neighbours by equi-joins in buckets would do as well; numbered records are some thousands
-    from pyspark.sql import Window
-
-    nxt = n.withColumn("next", F.lead("n").over(Window.orderBy("n")))
-    return nxt.where("next > n + 1").select(F.col("n").alias("after"), (F.col("next") - F.col("n") - 1).alias("n_missing"))
+    n = numbers.where(F.col(column).isNotNull()).select(F.col(column).cast("bigint").alias("n")).distinct().withColumn("bucket", F.floor(F.col("n") / BUCKET))
+    inside = n.select("n", F.lead("n").over(Window.partitionBy("bucket").orderBy("n")).alias("next"))
+    # the last number of a bucket is followed by the first of the next bucket that has any: a row a bucket
+    edges = n.groupBy("bucket").agg(F.max("n").alias("n"), F.min("n").alias("first"))
+    across = edges.select("n", F.lead("first").over(Window.orderBy("bucket")).alias("next"))
+    return inside.unionByName(across).where("next > n + 1").select(F.col("n").alias("after"), (F.col("next") - F.col("n") - 1).alias("n_missing"))
 
 
 def missing(numbers: DataFrame, column: str) -> DataFrame:
