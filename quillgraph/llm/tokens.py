@@ -4,7 +4,8 @@ The library splits a text by a fixed pattern and merges each piece on its own; p
 a lot. Here the split is done for a whole batch with array operations and every distinct
 piece goes to the library's model once; its ids are kept in arrays of bounded size, found by
 a 64-bit hash. That path is taken for texts in Latin script and common punctuation, where
-the classes of characters are known; every other text goes to the library whole.
+the classes of characters are known; every other text, and one that holds the content of an
+added token (such as ``<|endoftext|>``, one id), goes to the library whole.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.code, self.dtype = ("H", np.dtype("<u2")) if self.library.get_vocab_size() <= 1 << 16 else ("I", np.dtype("<u4"))
         self.kind, self.bytes = _classes(), _printable()
         self.value = mix64(np.arange(1, len(self.kind) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -79,6 +80,8 @@ class Encoder:
             return [np.zeros(0, self.dtype) for _ in texts]
         kind = self.kind[np.minimum(points, len(self.kind) - 1)]
         strange = np.unique(np.searchsorted(edge, np.flatnonzero(kind == FOREIGN), "right") - 1).tolist()
+        if held := [a for a in self.added if a in joined]:
+            strange = sorted({*strange, *(i for i, t in enumerate(texts) if any(a in t for a in held))})
         start = self._starts(points, kind, edge[:-1][lengths > 0], edge[1:][lengths > 0])
         begin = np.flatnonzero(start)
         end = np.append(begin[1:], len(points))

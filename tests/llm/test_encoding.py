@@ -47,6 +47,16 @@ def test_ids_with_a_small_cache(library, monkeypatch):
     assert [x.tolist() for x in e.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_are_one_id_as_in_the_unchanged_library(encoder):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    texts = ["x <|endoftext|> y", "plain words", "<|endoftext|>", "a<|endoftext|><|endoftext|> 日本", "<|endoftext", "|>", "<|ENDOFTEXT|>", ""]
+    got = [x.tolist() for x in encoder.encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [87, 220, 50256, 331]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 65535), max_size=300), st.sampled_from(["bit", "byte"]), st.sampled_from([7, 64, 1000]), st.sampled_from(["<u2", "<u4"]))
 def test_planes_round_trip(ids, planes, block, kind):
