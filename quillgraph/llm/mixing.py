@@ -2,15 +2,18 @@
 
 Targets follow from the sources' weights and sizes; a source whose target would exceed its
 limit stops there and the excess is shared by weight among the others until none is above.
-The mix is a row of slots of ``block`` words each. Slot i belongs to the source whose part
-of the cumulated targets holds the i-th point of the golden-ratio sequence, so every
-stretch of the mix is close to the targets. The slots of a source are ranked in order, and
-the slot of rank r takes block r of the source's shuffled documents, laid end to end and
-cut into equal blocks; after the last block a further pass begins.
+The mix is a row of slots of up to ``block`` words each. A source has as many slots as its
+target needs, counted in words: the last block of a pass is short, and the last slot is cut
+to the words that the target still lacks (fractions of a word count as one). Slot i belongs
+to the source whose part of the cumulated slots holds the place of the i-th point of the
+golden-ratio sequence among all points, so every stretch of the mix is close to the targets.
+The slots of a source are ranked in order, and the slot of rank r takes block r of the
+source's shuffled documents, laid end to end and cut into equal blocks; after the last
+block a further pass begins.
 
 Nothing is ordered within one task: documents are laid out in buckets of their hash and
-slots in stretches of the schedule, each with the total of those before it, so a source may
-hold any part of the rows.
+slots in stretches of the schedule, points in cells of their value, each with the total of
+those before it, so a source may hold any part of the rows.
 
 Defined results: a null text has size 0; a null source is a source of its own, behind all
 others; an empty source has the target 0 and takes nothing; rows with equal or null doc_id
@@ -48,20 +51,35 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, limit: flo
     return w.withColumn("at", level["level"]).select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("at") * F.col("weight")).alias("target"))
 
 
+def counted(shares: DataFrame, block: int) -> DataFrame:
+    """``shares`` with wanted, the target in whole words, and slots, the blocks that hold them in passes over the source."""
+    size = F.col("source_size")
+    wanted = F.when((F.col("target") > 0) & (size > 0), F.ceil(F.col("target") - 1e-6).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    s = shares.withColumn("wanted", wanted)
+    passes = F.when(size > 0, F.floor(F.col("wanted") / size)).otherwise(0)
+    return s.withColumn("slots", passes * F.ceil(size / block) + F.ceil((F.col("wanted") - passes * size) / block))
+
+
 def schedule(shares: DataFrame, block: int) -> DataFrame:
-    """slot, source, rank (from 0 within the source) for a row a source (source, target)."""
+    """slot, source, rank (from 0 within the source) for a row a source (source, target[, slots])."""
     spark = shares.sparkSession
-    total = shares.agg(F.sum("target")).first()[0] or 0.0
-    slots = int(round(total / block))
+    if "slots" not in shares.columns:
+        shares = shares.withColumn("slots", F.ceil(F.col("target") / block))
+    slots = int(shares.agg(F.sum("slots")).first()[0] or 0)
     upto = Window.orderBy(F.col("source").isNull(), "source")
-    bounds = shares.where("target > 0").select("source", (F.sum("target").over(upto) / total).alias("hi")).withColumn("lo", F.coalesce(F.lag("hi").over(upto), F.lit(0.0)))
-    bounds = bounds.withColumn("hi", F.when(F.lead("hi").over(upto).isNull(), F.lit(1.1)).otherwise(F.col("hi")))
-    # a source meets the slots of the cells of [0, 1) that its part touches
-    cells = 1024
-    bounds = bounds.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1).cast("bigint")))))
+    bounds = shares.where("slots > 0").select("source", "slots", F.sum("slots").over(upto).alias("hi")).withColumn("lo", F.col("hi") - F.col("slots"))
+    # places of all sources, a stretch of them at a time; a row a slot, so never broadcast
+    begin = F.explode(F.sequence(F.floor(F.col("lo") / STRETCH), F.floor((F.col("hi") - 1) / STRETCH)))
+    cut = bounds.withColumn("part", begin).select("source", F.greatest("lo", F.col("part") * STRETCH).alias("lo"), F.least("hi", (F.col("part") + 1) * STRETCH).alias("hi"))
+    places = cut.repartition(max(1, min(slots // STRETCH, 1 << 12))).select("source", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("place"))
+    # the points' places by value: in their cell, and behind the cells before
+    cells = max(1, slots // 4096)
     point = F.col("id") * F.lit(GOLDEN) - F.floor(F.col("id") * F.lit(GOLDEN))
     points = spark.range(slots).withColumn("point", point).withColumn("cell", F.floor(F.col("point") * cells))
-    dealt = points.join(bounds, "cell").where("lo <= point and point < hi").select(F.col("id").alias("slot"), "source", F.floor(F.col("id") / STRETCH).alias("stretch"))
+    ahead = points.groupBy("cell").count()
+    ahead = ahead.select("cell", (F.sum("count").over(Window.orderBy("cell")) - F.col("count")).alias("ahead"))
+    placed = points.withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy("point", "id")) - 1).join(ahead, "cell").select("id", (F.col("ahead") + F.col("n")).alias("place"))
+    dealt = placed.join(places.hint("merge"), "place").select(F.col("id").alias("slot"), "source", F.floor(F.col("id") / STRETCH).alias("stretch"))
     key = ["source", "stretch"]
     counts = dealt.groupBy(*key).count()
     before = counts.select(*key, (F.sum("count").over(Window.partitionBy("source").orderBy("stretch")) - F.col("count")).alias("before"))
@@ -88,7 +106,7 @@ def sized(docs: DataFrame, seed: str) -> DataFrame:
 
 
 def apportioned(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: int = 2, block: int = 128, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """Documents with size, source_size, target, first; and the schedule with rank and block number.
+    """Documents with size, source_size, target, first; and the schedule with rank, block number and room, the words to take.
 
     ``weights`` repeat over the sources by code point. A block is taken ``limit`` times at most.
     """
@@ -98,9 +116,13 @@ def apportioned(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     shares = materialize(targets(sizes, weights, share, limit), "targets")
     placed = laid_out(d, max(1, -(-n // BUCKET_ROWS)))
     placed = placed.join(shares.withColumnRenamed("source", "s"), placed["source"].eqNullSafe(F.col("s"))).drop("s")
-    plan = schedule(shares.select("source", "target"), block)
+    needs = counted(shares, block)
+    plan = schedule(needs.select("source", "target", "slots"), block)
     blocks = F.ceil(F.col("source_size") / block)
-    plan = plan.join(shares.select(F.col("source").alias("s"), "source_size"), plan["source"].eqNullSafe(F.col("s"))).drop("s").where(F.col("rank") < blocks * limit).select("slot", "source", "rank", F.pmod("rank", blocks).alias("block"), F.floor(F.col("rank") / blocks).alias("pass"))
+    plan = plan.join(needs.select(F.col("source").alias("s"), "source_size", "wanted"), plan["source"].eqNullSafe(F.col("s"))).drop("s")
+    plan = plan.withColumn("block", F.pmod("rank", blocks)).withColumn("pass", F.floor(F.col("rank") / blocks))
+    room = F.least(F.lit(block).cast("bigint"), F.col("wanted") - F.col("pass") * F.col("source_size") - F.col("block") * block)
+    plan = plan.select("slot", "source", "rank", "block", "pass", room.alias("room"))
     return placed, plan
 
 
@@ -108,25 +130,27 @@ def pieces(placed: DataFrame, block: int) -> DataFrame:
     """A row for each document and block that overlap: where in the document, and how many words."""
     d = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block))))
     lo, hi = F.greatest(F.col("first"), F.col("block") * block), F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block)
-    return d.select("doc_id", "row", "source", "block", (lo - F.col("first")).alias("start"), (hi - lo).alias("words"))
+    return d.select("doc_id", "row", "source", "block", (lo - F.col("first")).alias("start"), (hi - lo).alias("words"), (lo - F.col("block") * block).alias("offset"))
 
 
-def _joined(found: DataFrame, plan: DataFrame, how: str) -> DataFrame:
+def _joined(found: DataFrame, plan: DataFrame) -> DataFrame:
+    """Pieces with the slots of their block, cut to the room there."""
     right = plan.withColumnRenamed("source", "s").withColumnRenamed("block", "b")
-    return found.join(right, found["source"].eqNullSafe(F.col("s")) & (found["block"] == F.col("b")), how).drop("s", "b")
+    both = found.join(right, found["source"].eqNullSafe(F.col("s")) & (found["block"] == F.col("b"))).drop("s", "b")
+    return both.withColumn("words", F.least("words", F.col("room") - F.col("offset"))).where("words > 0")
 
 
 def mixture(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: int = 2, block: int = 128, seed: str = "mix") -> DataFrame:
     """The mix itself: slot, pass, doc_id, source, start and words of each piece, in the order of slot."""
     placed, plan = apportioned(docs, weights, share, limit, block, seed)
-    return _joined(pieces(placed, block), plan, "inner").select("slot", "pass", "doc_id", "source", "start", "words")
+    return _joined(pieces(placed, block), plan).select("slot", "pass", "doc_id", "source", "start", "words")
 
 
 def taken_words(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: int = 2, block: int = 128, seed: str = "mix") -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, taken."""
     placed, plan = apportioned(docs, weights, share, limit, block, seed)
-    times = plan.groupBy("source", "block").agg(F.count("*").alias("times"))
-    taken = _joined(pieces(placed, block), times, "inner").groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    times = plan.groupBy("source", "block", "room").agg(F.count("*").alias("times"))
+    taken = _joined(pieces(placed, block), times).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     return placed.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
@@ -137,7 +161,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     the text. Rows that agree in doc_id, source and text share one row's other columns.
     """
     placed, plan = apportioned(docs, weights, share, limit, block, seed)
-    part = _joined(pieces(placed, block), plan.groupBy("source", "block", "pass").agg(F.count("*").alias("times")), "inner")
+    part = _joined(pieces(placed, block), plan.select("source", "block", "pass", "room"))
     part = part.groupBy("row", "pass").agg(F.min("start").alias("start"), F.sum("words").alias("words"))
     keys = placed.select("row", "doc_id", "source", "size", "h").join(part, "row")
     spare = "mix"

@@ -203,6 +203,19 @@ def test_mix_as_documents_holds_the_words_taken(spark):
     assert mixing.taken_words(docs.where("false")).count() == 0
 
 
+def test_tiny_sources_get_their_words(spark):
+    sizes = {"hot": [500] * 40, **{f"t{i:03d}": [3, 7, 10] for i in range(60)}, "one": [1], "odd": [128, 129]}
+    rows = [(100 * k + i, " ".join(["w"] * n), s) for k, (s, ns) in enumerate(sizes.items()) for i, n in enumerate(ns)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.taken_words(docs).toPandas().groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert len(got) == len(sizes) and (got.target > 0).all()
+    assert ((got.taken - got.target) >= -1e-6).all() and ((got.taken - got.target) < 1).all()
+    plan = mixing.mixture(docs).groupBy("source").agg(F.sum("words").alias("n")).collect()
+    assert {r.source: r.n for r in plan} == got.taken.to_dict()
+    made = mixing.mixed_documents(docs).toPandas()
+    assert {s: sum(len(WORD.findall(t)) for t in g.text) for s, g in made.groupby("source")} == got.taken.to_dict()
+
+
 def test_schedule_is_even(spark):
     shares = spark.createDataFrame([("a", 700.0), ("b", 200.0), ("c", 100.0)], "source string, target double")
     rows = mixing.schedule(shares, 1).collect()
