@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,8 @@ from ..functions.text import FOREIGN_TERMS, foreign_term
 K, DEPTH = 8, 32
 HARD, SOFT, MARGIN = 0.65, 0.55, 0.02
 SKIP, COUNT = 1, 4
-MOST_QUERIES = 10_000
+MOST_QUERIES = 10_000  #: in one pass over the vectors
+STEP = 256
 
 
 def search(vectors: DataFrame, query: Sequence[float], subject=None, k: int = K) -> DataFrame:
@@ -28,14 +31,22 @@ def search(vectors: DataFrame, query: Sequence[float], subject=None, k: int = K)
 def batch_search(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, exclude_self: bool = False, same_subject: bool = False) -> DataFrame:
     """query_id, id, similarity, rank of the k nearest of each query (query_id, embedding[, subject]).
 
-    The queries are a stated, checked set; every block of vectors meets them in one matrix
-    product and sends its own k nearest only, which a ranking merges.
+    The queries are met in blocks; every batch of vectors meets a block in matrix products
+    and sends its own k nearest only, which a ranking merges. The driver holds the queries.
+    Those without an embedding find nothing.
     """
-    rows = queries.select("query_id", "embedding", *(["subject"] if same_subject else [])).limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"over {MOST_QUERIES} queries: search them in parts")
-    if not rows:
+    asked = queries.where("embedding is not null").select("query_id", "embedding", *(["subject"] if same_subject else []))
+    rows, parts = asked.toLocalIterator(), []
+    while block := list(islice(rows, MOST_QUERIES)):
+        parts.append(_near(vectors, block, k, exclude_self, same_subject))
+    if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, id bigint, similarity double, rank int")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")
+    return reduce(DataFrame.unionAll, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _near(vectors: DataFrame, rows: list, k: int, exclude_self: bool, same_subject: bool) -> DataFrame:
+    """query_id, id, similarity: of each batch of vectors at least the k nearest of each of these queries."""
     q = np.array([r.embedding for r in rows], np.float64)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
     ids = np.array([r.query_id for r in rows], np.int64)
@@ -48,22 +59,22 @@ def batch_search(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, exclude
                 continue
             x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
             own = b.column(0).to_numpy(zero_copy_only=False)
-            s = q @ x.T / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[None, :]
-            if exclude_self:
-                s[ids[:, None] == own[None, :]] = -np.inf
-            if subjects is not None:
-                s[subjects[:, None] != b.column(2).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+            length = np.maximum(np.linalg.norm(x, axis=1), 1e-300)
             n = min(k, b.num_rows)
-            # a few more than k, so that ties at the edge are settled by id
-            for i in range(len(ids)):
-                edge = np.partition(s[i], b.num_rows - n)[b.num_rows - n]
-                at = np.flatnonzero((s[i] >= edge) & (s[i] > -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[i])), pa.array(own[at]), pa.array(s[i][at])], names=["query_id", "id", "similarity"])
+            for a in range(0, len(ids), STEP):
+                few = ids[a : a + STEP]
+                s = q[a : a + STEP] @ x.T / length[None, :]
+                if exclude_self:
+                    s[few[:, None] == own[None, :]] = -np.inf
+                if subjects is not None:
+                    s[subjects[a : a + STEP, None] != b.column(2).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+                # a few more than k, so that ties at the edge are settled by id
+                edge = np.partition(s, b.num_rows - n, axis=1)[:, b.num_rows - n]
+                row, at = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array(few[row]), pa.array(own[at]), pa.array(s[row, at])], names=["query_id", "id", "similarity"])
 
     usable = vectors.where("embedding is not null").select("id", "embedding", *(["subject"] if same_subject else []))
-    near = usable.mapInArrow(run, "query_id bigint, id bigint, similarity double")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return usable.mapInArrow(run, "query_id bigint, id bigint, similarity double")
 
 
 def tops(hits: DataFrame) -> DataFrame:

@@ -308,9 +308,9 @@ _TOPS = """tops AS (SELECT query_id, n_hits, top_id, top_rank, top_similarity, m
   (SELECT query_id, id AS top_id, rank AS top_rank, similarity AS top_similarity, similarity - nxt AS margin FROM (SELECT *, lead(similarity) OVER w AS nxt, row_number() OVER w AS n FROM hits WHERE NOT sparse WINDOW w AS (PARTITION BY query_id ORDER BY rank)) WHERE n = 1) USING (query_id))"""
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
+def _hits(spark: SparkSession, d: str, asked: str = "id < 10") -> DataFrame:
     v = views.load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", (F.col("vec_id") % 2 == 1).alias("sparse"))
-    q = v.where("id < 10").select(F.col("id").alias("query_id"), "embedding")
+    q = v.where(asked).select(F.col("id").alias("query_id"), "embedding")
     return vec.batch_search(v, q, exclude_self=True).withColumn("sparse", F.col("id") % 2 == 1)
 
 
@@ -322,39 +322,50 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {_QV}, {_HITS} SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM hits")
-def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
-    return _hits(spark, d).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+def vector_topk_batch(spark: SparkSession, d: str, asked: str = "id < 10") -> DataFrame:
+    return _hits(spark, d, asked).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {_QV}, {_HITS}, {_TOPS} SELECT query_id, n_hits, top_id, top_rank, round(top_similarity, 6) AS top_similarity FROM tops")
-def effective_top(spark: SparkSession, d: str) -> DataFrame:
-    return vec.tops(_hits(spark, d)).select("query_id", "n_hits", "top_id", F.col("top_rank").cast("bigint").alias("top_rank"), F.round("top_similarity", 6).alias("top_similarity"))
+def effective_top(spark: SparkSession, d: str, asked: str = "id < 10") -> DataFrame:
+    return vec.tops(_hits(spark, d, asked)).select("query_id", "n_hits", "top_id", F.col("top_rank").cast("bigint").alias("top_rank"), F.round("top_similarity", 6).alias("top_similarity"))
 
 
 @query(f"WITH {_QV}, {_HITS}, {_TOPS} SELECT query_id, round(margin, 6) AS margin FROM tops")
-def vector_margin(spark: SparkSession, d: str) -> DataFrame:
-    return vec.tops(_hits(spark, d)).select("query_id", F.round("margin", 6).alias("margin"))
+def vector_margin(spark: SparkSession, d: str, asked: str = "id < 10") -> DataFrame:
+    return vec.tops(_hits(spark, d, asked)).select("query_id", F.round("margin", 6).alias("margin"))
 
 
 @query(f"""WITH {_QV}, {_HITS}, {_TOPS} SELECT query_id, r AS reason, r IN ('hard', 'soft') AS accepted FROM (SELECT query_id, CASE WHEN query_id = 9 THEN 'out_of_domain' WHEN top_id IS NULL THEN 'only_sparse' WHEN top_similarity >= 0.40 THEN 'hard' WHEN top_similarity >= 0.35 AND margin >= 0.02 THEN 'soft' ELSE 'below_floor' END AS r FROM tops)""")
-def confidence_gate(spark: SparkSession, d: str) -> DataFrame:
-    q = spark.range(10).select(F.col("id").alias("query_id"), F.when(F.col("id") == 9, "Bitcoin at night").otherwise("a topic").alias("text"))
-    return vec.gated(q, vec.tops(_hits(spark, d)), hard=0.40, soft=0.35, margin=0.02).select("query_id", "reason", "accepted")
+def confidence_gate(spark: SparkSession, d: str, asked: str = "id < 10", foreign: str = "id = 9") -> DataFrame:
+    q = views.load(spark, d, "embeddings").withColumnRenamed("vec_id", "id").where(asked).select(F.col("id").alias("query_id"), F.when(F.expr(foreign), "Bitcoin at night").otherwise("a topic").alias("text"))
+    return vec.gated(q, vec.tops(_hits(spark, d, asked)), hard=0.40, soft=0.35, margin=0.02).select("query_id", "reason", "accepted")
 
 
 @query(f"""WITH {_QV}, {_HITS}, {_TOPS} SELECT query_id, id, place FROM (SELECT h.query_id, h.id, row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) - 1 AS place FROM hits h JOIN tops t ON h.query_id = t.query_id WHERE h.rank <= 8 AND (top_id IS NULL OR h.id <> top_id)) WHERE place BETWEEN 1 AND 4""")
-def vector_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    h = _hits(spark, d)
+def vector_neighbours(spark: SparkSession, d: str, asked: str = "id < 10") -> DataFrame:
+    h = _hits(spark, d, asked)
     return vec.neighbours(h, vec.tops(h)).select("query_id", "id", F.col("place").cast("bigint").alias("place"))
 
 
 @query(f"""WITH {_QV}, {_HITS} SELECT query_id, coalesce(bool_or(contains(lower('Vec ' || id || '.'), lower('VEC ' || e || '.'))), FALSE) AS located FROM (SELECT query_id, query_id * 3 + 1 AS e FROM q) x LEFT JOIN (SELECT query_id, id FROM hits WHERE rank <= 8) h USING (query_id) GROUP BY 1""")
-def vector_hit_rate(spark: SparkSession, d: str) -> DataFrame:
-    h = _hits(spark, d).withColumn("locator", F.concat(F.lit("Vec "), "id", F.lit(".")))
-    e = views.load(spark, d, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("VEC "), F.col("vec_id") * 3 + 1, F.lit(".")).alias("expect_locator"))
+def vector_hit_rate(spark: SparkSession, d: str, asked: str = "id < 10") -> DataFrame:
+    h = _hits(spark, d, asked).withColumn("locator", F.concat(F.lit("Vec "), "id", F.lit(".")))
+    e = views.load(spark, d, "embeddings").withColumnRenamed("vec_id", "id").where(asked).select(F.col("id").alias("query_id"), F.concat(F.lit("VEC "), F.col("id") * 3 + 1, F.lit(".")).alias("expect_locator"))
     return vec.hit_rate(h, e)
 
 
+def _whole(name: str, **asked: str) -> None:
+    """The same over the fixed set of queries, every row whose id is divisible by 20."""
+    QUERIES[f"{name}_whole"] = lambda spark, d, f=QUERIES[name]: f(spark, d, "id % 20 = 0", **asked)
+    SQL[f"{name}_whole"] = SQL[name].replace("vec_id < 10", "vec_id % 20 = 0").replace("query_id = 9", "query_id % 100 = 0")
+
+
+for _name in ("vector_topk_batch", "effective_top", "vector_margin", "vector_neighbours", "vector_hit_rate"):
+    _whole(_name)
+_whole("confidence_gate", foreign="id % 100 = 0")
+
+
 @query("""SELECT p_partkey AS id, nullif(regexp_extract(' ' || q || ' ', '(?i)[^a-z0-9_](bitcoin|ct scan|ecg)[^a-z0-9_]', 1), '') AS term FROM (SELECT p_partkey, p_name || CASE p_partkey % 7 WHEN 0 THEN ' and Bitcoin' WHEN 1 THEN ' CT scan, ECG' WHEN 2 THEN ' ecgs' ELSE '' END AS q FROM part)""")
 def out_of_domain_veto(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey") % 7

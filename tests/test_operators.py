@@ -301,6 +301,24 @@ def test_neighbours(spark, top, want):
     assert [r.id for r in vectors.neighbours(hits, found).orderBy("place").collect()] == want
 
 
+def test_batch_search_goes_on_after_a_block_of_queries(spark, data, monkeypatch):
+    v = spark.read.parquet(f"{data}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    key = lambda df: sorted((r.query_id, r.rank, r.id, round(r.similarity, 9)) for r in df.collect())
+    want = key(vectors.batch_search(v, q, 4))
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 7)
+    monkeypatch.setattr(vectors, "STEP", 3)
+    assert key(vectors.batch_search(v, q, 4)) == want and len(want) == 4 * q.count() and q.count() > 20
+
+
+def test_vector_queries_over_the_whole_set(spark, data):
+    from quillgraph.plans.catalog import QUERIES
+
+    asked = {r.vec_id for r in spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+    for name in ("vector_topk_batch", "effective_top", "vector_margin", "confidence_gate", "vector_neighbours", "vector_hit_rate"):
+        assert {r.query_id for r in QUERIES[f"{name}_whole"](spark, data).select("query_id").distinct().collect()} == asked
+
+
 def test_batch_search_equals_single(spark, data):
     v = spark.read.parquet(f"{data}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("subject"))
     batch = vectors.batch_search(v, v.where("id < 3").select(F.col("id").alias("query_id"), "embedding"), 8).collect()
