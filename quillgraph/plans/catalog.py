@@ -540,11 +540,20 @@ def mcq_rubric_to_remedy(spark: SparkSession, d: str) -> DataFrame:
   w AS (SELECT rc, correct, list(rubric ORDER BY k) AS wrong FROM k WHERE k <= 3 GROUP BY ALL HAVING count(*) = 3), o AS (SELECT rc, correct, {_options("list_prepend(correct, wrong)", "rc")} AS op FROM w)
 SELECT rc AS remedy_canonical, f.id AS rubric_id, array_to_string(op, ',') AS options, CAST(list_position(op, o.correct) - 1 AS INT) AS correct_index FROM o JOIN c USING (rc)""")
 def mcq_remedy_to_rubric(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.createDataFrame([(f"Supplier#{i:09d}",) for i in (2, 3, 4, 7)], "remedy_canonical string")
+    return _remedy_to_rubric(spark, d, spark.createDataFrame([(f"Supplier#{i:09d}",) for i in (2, 3, 4, 7)], "remedy_canonical string"))
+
+
+def _remedy_to_rubric(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
     q = questions.remedy_to_rubric(views.rubrics(spark, d), views.entries(spark, d), asked, SEED)
     return q.select("remedy_canonical", "rubric_id", flat("options").alias("options"), "correct_index")
 
 
+@query(SQL["mcq_remedy_to_rubric"].replace("remedy_canonical IN ('Supplier#000000002', 'Supplier#000000003', 'Supplier#000000004', 'Supplier#000000007')", "remedy_canonical IS NOT NULL"))
+def mcq_remedy_to_rubric_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All remedies."""
+    return _remedy_to_rubric(spark, d, views.entries(spark, d).select("remedy_canonical").where("remedy_canonical is not null"))
+
+
 def _pool_sql(by: str, label: str, where: str) -> str:
     part, key = (f"PARTITION BY {by} ", f"{by}::VARCHAR, {label}") if by else ("", label)
     return f"(SELECT {by + ',' if by else ''} list({label} ORDER BY n) AS pool FROM (SELECT *, row_number() OVER ({part}ORDER BY md5(concat_ws('|', {key}, '{SEED}')), {label}) AS n FROM (SELECT DISTINCT {by + ',' if by else ''} {label} FROM sta WHERE {where})) WHERE n <= 4 {'GROUP BY ' + by if by else ''})"
@@ -771,6 +780,14 @@ def formatted_sources(spark: SparkSession, d: str) -> DataFrame:
     return t.select("lang", text.format_sources(F.col("h")).alias("block"))
 
 
+@query("""SELECT lang, doc_id // 8 AS part, string_agg('[' || source || ' § ' || doc_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id) AS block FROM documents GROUP BY ALL""")
+def formatted_sources_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with their whole texts, a block for the language's among eight ids, as many as a search gives."""
+    h = F.array_sort(F.collect_list(F.struct("doc_id", F.concat("source", F.lit(" § "), "doc_id").alias("locator"), "text")))
+    t = views.documents(spark, d).groupBy("lang", F.floor(F.col("doc_id") / 8).alias("part")).agg(h.alias("h"))
+    return t.select("lang", "part", text.format_sources(F.col("h")).alias("block"))
+
+
 # configuration and topics of sessions
 
 
@@ -799,7 +816,7 @@ def recent_questions(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def rendered_questions(spark: SparkSession, d: str) -> DataFrame:
-    q = questions.keynote(views.statements(spark, d), SEED).where("section_no <= 2")
+    q = questions.keynote(views.statements(spark, d), SEED)
     choice = F.when(F.col("section_no") == 1, F.col("correct_index"))
     return q.select("remedy", "supporting_quote", sessions.rendered(F.col("question"), F.col("options")).alias("question"), sessions.reveal(F.col("question"), F.col("options"), F.col("correct_index"), choice, F.col("difficulty")).alias("reveal"))
 
@@ -851,7 +868,7 @@ def built_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def logged_calls(spark: SparkSession, d: str) -> DataFrame:
     """The plug point for model calls with a stand-in for the model."""
-    rows = views.documents(spark, d).where("doc_id < 20").select("doc_id", F.left("text", F.lit(30)).alias("prompt"))
+    rows = views.documents(spark, d).select("doc_id", F.col("text").alias("prompt"))
     return calls.called(rows, lambda r: {"answer": r["prompt"][::-1]}, "answer string", 60_000, "coaching", "stand-in").select("doc_id", "answer", "task", "model", "error")
 
 

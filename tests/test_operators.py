@@ -319,6 +319,18 @@ def test_vector_queries_over_the_whole_set(spark, data):
         assert {r.query_id for r in QUERIES[f"{name}_whole"](spark, data).select("query_id").distinct().collect()} == asked
 
 
+def test_queries_over_whole_tables(spark, data):
+    from quillgraph.plans.catalog import QUERIES
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert {r.doc_id: r.answer for r in QUERIES["logged_calls"](spark, data).collect()} == {i: t[::-1] for i, t in docs.items()}
+    blocks = "\n\n".join(r.block for r in QUERIES["formatted_sources_whole"](spark, data).collect())
+    assert all(f" § {i}]\n{t}" in blocks for i, t in docs.items())
+    assert QUERIES["rendered_questions"](spark, data).count() == QUERIES["mcq_keynote"](spark, data).count()
+    asked = {r.remedy_canonical for r in QUERIES["mcq_remedy_to_rubric_whole"](spark, data).collect()}
+    assert len(asked) > 50
+
+
 def test_batch_search_equals_single(spark, data):
     v = spark.read.parquet(f"{data}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("subject"))
     batch = vectors.batch_search(v, v.where("id < 3").select(F.col("id").alias("query_id"), "embedding"), 8).collect()
