@@ -1,15 +1,17 @@
 """Personal data replaced by keyed, type-consistent surrogates; DataFrame expressions only.
 
 Mentions are found by patterns: mail and IP addresses, phone, card and social security
-numbers, IBANs, secrets (access keys, passwords, quoted tokens), and names of persons after
-a title or with a well-known given name. A mention consists of parts; the distinct parts of
+numbers, IBANs, secrets (access keys, issued tokens, private keys, what is assigned to a
+keyword such as password in any case and quoting, quoted tokens), and names of persons after
+titles or with a well-known given name; further bare mentions of a name in the same text
+follow it. A mention consists of parts; the distinct parts of
 the corpus, each in a canonical form, get surrogates from a keyed SHA-256 stream:
 
 * digits for digits and letters for letters, so length and format stay;
 * phone numbers keep the first digit behind a plus, cards the first digit and a right check
   digit, IBANs country and right check digits, access keys their prefix;
 * domains end in the reserved ``.example`` (or stay below example.com, .org, .net), IP
-  addresses lie in the reserved block from 240 on;
+  addresses lie in the reserved blocks from 240 on and below 2001:db8;
 * given names keep gender, and all names script (Latin or Cyrillic) and case.
 
 One entity gets one surrogate wherever and however it is written. Surrogates are checked
@@ -29,30 +31,44 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 # Titles by gender, and well-known given names by gender.
-TITLES = {"m": ("Mr", "Herr", "Señor", "Monsieur", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Госпожа")}
+TITLES = {"m": ("Mr", "Herr", "Señor", "Monsieur", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Госпожа"), "u": ("Dr", "Prof", "Professor", "Doctor", "Доктор")}
 GIVEN = {
     "m": ("James", "John", "Robert", "Michael", "William", "David", "Thomas", "Hans", "Peter", "Klaus", "Pierre", "Jean", "José", "Juan", "Carlos", "Иван", "Сергей"),
     "f": ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Ursula", "Monika", "Marie", "Sophie", "María", "Carmen", "Ana", "Анна", "Мария"),
 }
 
-_NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_HEX = "[0-9A-Fa-f]{1,4}"
 _TITLE = "(?:" + "|".join(t for g in TITLES.values() for t in g) + ")"
+_NAME = rf"(?!{_TITLE}(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?"
+# keywords of secrets; those that are also common words need an equals sign, a quote, a digit or no blank behind the colon
+_PASS = r"(?i:passw(?:or)?d|pwd|passphrase|api[_\-]?key|access[_\-]?key|secret[_\-]?key|client[_\-]?secret|(?:auth|access|refresh)[_\-]?token)"
+_WORDY = "(?i:secret|token)"
+_KEY_END = r"""["']?[ \t]{0,4}"""
+_BEGIN, _END = (f"-----{x} [A-Z ]*PRIVATE KEY-----" for x in ("BEGIN", "END"))
+_ISSUED = "(?:gh[pousr]_|github_pat_|sk-|xox[abprs]-|glpat-|AIza|eyJ)"
+#: A word that may be a bare mention of a name.
+BARE = r"(?<!\p{L})\p{Lu}\p{L}+(?:-\p{Lu}\p{Ll}+)?(?!\p{L})"
+NO_NAMES = ("the", "he", "she", "it", "we", "you", "they", "and", "but", "this", "that", "in", "on", "der", "die", "das", "er", "sie", "es", "und", "le", "la", "les", "il", "elle", "et", "el", "los", "las", "он", "она")  #: after a title by mistake
 _KNOWN = "(?:" + "|".join(t for g in GIVEN.values() for t in g) + ")"
 PATTERNS = {
+    "pem": rf"{_BEGIN}[\s\S]{{1,20000}}?{_END}",
+    "keyed": rf"""(?:{_PASS}{_KEY_END}[=:]|{_WORDY}{_KEY_END}(?:=|:(?=\S|[ \t]{{1,4}}(?:["']|[^\s"']*[0-9]))))[=:]?>?[ \t]{{0,4}}(?=["']?[^\s"']*[\p{{L}}0-9])(?:"[^"\r\n]+|'[^'\r\n]+|[^\s"']+)""",
+    "issued": r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|sk-[A-Za-z0-9_\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|glpat-[A-Za-z0-9_\-]{20,}|AIza[A-Za-z0-9_\-]{35}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})",
     "mail": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[.\- ])[0-9]{3}[.\- ][0-9]{4})(?![0-9])",
+    "ip6": rf"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{1,7}}:|::(?:{_HEX}:){{0,6}}{_HEX})(?![0-9A-Za-z:]|\.[0-9])",
+    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[.\- ])[0-9]{3}[.\- ][0-9]{4}|0[1-9](?:[ .\-][0-9]{2}){4}(?![ .\-]?[0-9])|(?:\(0[0-9]{1,4}\) ?|0[0-9]{2,4}[ /\-])[0-9]{3,4}[ \-]?[0-9]{3,5}(?![ \-]?[0-9]))(?![0-9])",
     "social": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
     "access": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"""(?<=(?:password|passwd|secret|api_key|apikey)[=:])[^\s"']+|(?<=")[0-9a-f]{32,64}(?=")""",
-    "person": rf"(?<!\p{{L}})(?:{_TITLE}\.? {_NAME}(?: {_NAME})?|{_KNOWN} {_NAME})(?!\p{{L}})",
+    "secret": r"""(?<=")[0-9a-f]{32,64}(?=")""",
+    "person": rf"(?<!\p{{L}})(?:(?:{_TITLE}\.? ){{1,3}}{_NAME}(?: {_NAME})?|{_KNOWN} {_NAME})(?!\p{{L}})",
 }
 ANYTHING = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts without a match of this have none of the above; it is cheap.
-MAYBE = rf"[0-9@]|(?:password|passwd|secret|api_key|apikey)[=:]|(?<!\p{{L}})(?:{_TITLE}|{_KNOWN})(?!\p{{L}})"
+MAYBE = rf"[0-9@]|(?:{_PASS}|{_WORDY}){_KEY_END}[=:]|-----BEGIN|::[A-Fa-f]|(?<!\p{{L}})(?:{_TITLE}|{_KNOWN})(?!\p{{L}})"
 DIGITS = ("phone", "card", "social")
 VOWELS, CONSONANTS = "aeiou", "bdfgklmnprstvz"
 VOWELS_2, CONSONANTS_2 = "аеиоу", "бдгклмнпрств"
@@ -78,19 +94,31 @@ def parts_of(kind: Column, mention: Column) -> Column:
     mail, domain = F.lower(mention), F.lower(F.substring_index(mention, "@", -1))
     words = F.split(mention, " ")
     n = F.size(words)
-    titled = words[0].rlike(f"^{_TITLE}\\.?$")
-    male, female = (F.regexp_replace(words[0], r"\.$", "").isin(*TITLES[g]) for g in "mf")
+    bare = F.transform(words, lambda w: F.regexp_replace(w, r"\.$", ""))
+    male, female = (F.arrays_overlap(bare, F.array(*(F.lit(t) for t in TITLES[g]))) for g in "mf")
 
-    def named(i: int, last: Column) -> Column:
-        gender = F.when(words[i].isin(*GIVEN["f"]), "f").when(words[i].isin(*GIVEN["m"]), "m").when(female, "f").when(male, "m").otherwise("u")
-        return part(F.when(last, F.lit("surname")).otherwise(F.concat(F.lit("given "), gender)), F.lower(words[i]), words[i])
+    def named(w: Column, i: Column) -> Column:
+        gender = F.when(w.isin(*GIVEN["f"]), "f").when(w.isin(*GIVEN["m"]), "m").when(female, "f").when(male, "m").otherwise("u")
+        k = F.when(w.rlike(f"^{_TITLE}\\.?$"), "as is").when(i == n - 1, "surname").otherwise(F.concat(F.lit("given "), gender))
+        blank = F.when(i > 0, " ").otherwise("")
+        return F.array(part("as is", blank, blank), part(k, F.lower(w), w))
 
-    person = F.when(titled & (n == 2), F.array(part("as is", words[0], words[0]), part("as is", F.lit(" "), F.lit(" ")), named(1, F.lit(True))))
-    person = person.when(titled, F.array(part("as is", words[0], words[0]), part("as is", F.lit(" "), F.lit(" ")), named(1, F.lit(False)), part("as is", F.lit(" "), F.lit(" ")), named(2, F.lit(True))))
-    person = person.otherwise(F.array(named(0, F.lit(False)), part("as is", F.lit(" "), F.lit(" ")), named(1, F.lit(True))))
+    person = F.flatten(F.transform(words, named))
+
+    def secret(before: Column, after: Column = F.lit("")) -> Column:
+        inner = F.substring(mention, F.length(before) + 1, F.length(mention) - F.length(before) - F.length(after))
+        return F.array(part("as is", before, before), part("secret", inner, inner), part("as is", after, after))
+
+    halves = F.split(F.lower(mention), "::")
+    left, right = (F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda x: x != "") for i in (0, 1))
+    groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))), right)
     out = F.when(kind.isin(*DIGITS), F.array(part(kind, F.concat(F.when(mention.startswith("+"), "+").otherwise(""), digits), mention)))
     out = out.when(kind == "mail", F.array(part("mail", mail, F.substring(mention, F.lit(1), at - 1)), part("as is", F.lit("@"), F.lit("@")), part("domain", domain, F.substring_index(mention, "@", -1))))
     out = out.when(kind == "iban", F.array(part("iban", F.replace(mention, F.lit(" "), F.lit("")), mention)))
+    out = out.when(kind == "ip6", F.array(part("ip6", F.array_join(F.transform(groups, lambda x: F.lpad(x, 4, "0")), ":"), mention)))
+    out = out.when(kind == "pem", secret(F.regexp_extract(mention, f"^{_BEGIN}", 0), F.regexp_extract(mention, f"{_END}$", 0)))
+    out = out.when(kind == "keyed", secret(F.regexp_extract(mention, r"""^[A-Za-z_\-]+["']?[ \t]*[=:]{1,2}>?[ \t]*["']?""", 0)))
+    out = out.when(kind == "issued", secret(F.regexp_extract(mention, f"^{_ISSUED}", 0)))
     return out.when(kind == "person", person).otherwise(F.array(part(kind, mention, mention)))
 
 
@@ -107,7 +135,7 @@ def _letter(stream: Column, i: Column, letters: str) -> Column:
 def _mapped(stream: Column, text: Column, hexadecimal: Column | None = None) -> Column:
     """Digits to digits and letters to letters of the same case; the rest stays."""
     def one(c: Column, i: Column) -> Column:
-        out = F.when(c.rlike("[0-9]"), _number(stream, i, 10).cast("string")).when(c.rlike("[a-z]"), _letter(stream, i, "abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), _letter(stream, i, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c)
+        out = F.when(c.rlike("[0-9]"), _number(stream, i, 10).cast("string")).when(c.rlike("[a-z]"), _letter(stream, i, "abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), _letter(stream, i, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(c.rlike(r"\p{L}"), _letter(stream, i, "abcdefghijklmnopqrstuvwxyz")).otherwise(c)
         return out if hexadecimal is None else F.when(hexadecimal, _letter(stream, i, "0123456789abcdef")).otherwise(out)
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
@@ -142,13 +170,14 @@ def payload(key: str) -> Column:
     bare = F.regexp_replace(canon, r"\+", "")
     fresh = _mapped(stream, bare)
     opening = (_number(stream, F.lit(63), 8) + 2).cast("string")
-    phone = F.when(plus, F.concat(F.lit("+"), F.substring(bare, 1, 1), opening, F.substring(fresh, F.lit(3), F.length(bare)))).otherwise(F.concat(opening, F.substring(fresh, F.lit(2), F.length(bare))))
+    phone = F.when(plus, F.concat(F.lit("+"), F.substring(bare, 1, 1), opening, F.substring(fresh, F.lit(3), F.length(bare)))).when(bare.startswith("0"), F.concat(F.lit("0"), opening, F.substring(fresh, F.lit(3), F.length(bare)))).otherwise(F.concat(opening, F.substring(fresh, F.lit(2), F.length(bare))))
     body = F.concat(F.substring(bare, 1, 1), F.substring(fresh, F.lit(2), F.length(bare) - 2))
     card = F.concat(body, F.pmod(F.lit(10) - F.pmod(_luhn_sum(body), F.lit(10)), F.lit(10)).cast("string"))
     valid = F.pmod(_luhn_sum(F.substring(bare, F.lit(1), F.length(bare) - 1)) + F.right(bare, F.lit(1)).try_cast("int"), F.lit(10)) == 0
     card = F.when(valid, card).otherwise(F.concat(F.substring(bare, 1, 1), F.substring(fresh, F.lit(2), F.length(bare))))
     social = F.concat(F.lit("9"), F.substring(fresh, F.lit(2), F.length(bare)))
     ip = F.concat_ws(".", (_number(stream, F.lit(0), 15) + 240).cast("string"), *(_number(stream, F.lit(i), 256).cast("string") for i in (1, 2, 3)))
+    ip6 = F.concat_ws(":", F.lit("2001:db8"), *(F.concat(*(_letter(stream, F.lit(4 * g + i), "0123456789abcdef") for i in range(4))) for g in range(6)))
     local = F.concat(_mapped(stream, F.substring_index(canon, "@", 1)), longer)
     reserved = canon.rlike(r"(^|\.)example\.(com|org|net)$")
     above = F.regexp_replace(canon, r"(^|\.)example\.(com|org|net)$", "")
@@ -168,7 +197,7 @@ def payload(key: str) -> Column:
         return F.when(kind == "surname", F.concat(syllables(3, 0, vowels, consonants), _letter(stream, F.lit(20), consonants))).otherwise(F.concat(given, _letter(stream, F.lit(21), consonants), end))
 
     names = F.concat(F.when(canon.rlike(r"\p{IsCyrillic}"), name(VOWELS_2, CONSONANTS_2)).otherwise(name(VOWELS, CONSONANTS)), F.when(canon.rlike(r"\p{IsCyrillic}"), "").otherwise(longer))
-    out = F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "social", social).when(kind == "ip", ip).when(kind == "mail", local).when(kind == "domain", domain)
+    out = F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "social", social).when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "mail", local).when(kind == "domain", domain)
     return out.when(kind == "iban", iban).when(kind == "access", access).when(kind == "secret", secret).otherwise(names)
 
 
@@ -209,7 +238,7 @@ def replaced(docs: DataFrame, key: str = "surrogates", count: str | None = None)
         spare += "_"
     if count in docs.columns:
         raise ValueError(f"the input has a column {count} already")
-    m, h, key_of, outs = (f"{spare}{x}" for x in ("m", "h", "k", "o"))
+    m, h, key_of, outs, names = (f"{spare}{x}" for x in ("m", "h", "k", "o", "n"))
     found = F.when(F.col("text").rlike(MAYBE), F.regexp_extract_all("text", F.lit(ANYTHING), F.lit(0)))
     marked = docs.withColumn(m, found)
     some = F.coalesce(F.size(m) > 0, F.lit(False))
@@ -218,12 +247,28 @@ def replaced(docs: DataFrame, key: str = "surrogates", count: str | None = None)
     parts = materialize(mentions.select("mention", F.posexplode(parts_of(kind_of(F.col("mention")), F.col("mention")))).select("mention", "pos", "col.*"), "parts")
     new = surrogates(parts.where("kind <> 'as is'").select("kind", "canon").distinct(), key)
     made = parts.join(new, ["kind", "canon"], "left").withColumn("out", F.when(F.col("kind") == "as is", F.col("form")).otherwise(rendered(F.col("kind"), F.col("form"), F.col("new"))))
-    made = materialize(made.groupBy("mention").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "").alias("out")), "rendered")
+    named = (F.col("kind").startswith("given") | (F.col("kind") == "surname")) & ~F.col("canon").isin(*NO_NAMES)
+    made = materialize(made.groupBy("mention").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "").alias("out"), F.collect_list(F.when(named, F.struct("canon", "new"))).alias("names")), "rendered")
     once = hits.select(F.col(h).alias(key_of), F.posexplode(m)).distinct()
-    lists = once.join(made, once["col"] == made["mention"]).groupBy(key_of).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]).alias(outs))
-    between = F.split("text", ANYTHING, -1)
-    text = F.array_join(F.zip_with(between, F.col(outs), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = hits.join(lists, F.col(h) == F.col(key_of)).withColumn("text", text)
-    n = [F.coalesce(F.size(m), F.lit(0)).alias(count)] if count else []
+    lists = once.join(made, once["col"] == made["mention"]).groupBy(key_of).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]).alias(outs), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias(names))
+    def known(word: Column) -> Column:
+        return F.get(F.filter(F.col(names), lambda x: x["canon"] == F.lower(word)), F.lit(0))["new"]
+
+    def follow(word: Column) -> Column:
+        return F.coalesce(rendered(F.lit("surname"), word, known(word)), word, F.lit(""))
+
+    def renamed(between: Column) -> Column:
+        return F.array_join(F.zip_with(F.split(between, BARE, -1), F.regexp_extract_all(between, F.lit(BARE), F.lit(0)), lambda a, w: F.concat(a, follow(w))), "")
+
+    between, some_names = F.split("text", ANYTHING, -1), F.size(names) > 0
+    rest = F.when(some_names, F.transform(between, renamed)).otherwise(between)
+    text = F.array_join(F.zip_with(rest, F.col(outs), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    further = F.transform(between, lambda a: F.size(F.filter(F.regexp_extract_all(a, F.lit(BARE), F.lit(0)), lambda w: known(w).isNotNull())))
+    further = F.when(some_names, F.aggregate(further, F.lit(0), lambda acc, x: acc + x)).otherwise(0)
+    joined = hits.join(lists, F.col(h) == F.col(key_of))
+    if count:
+        joined = joined.withColumn(count, F.size(m) + further)
+    changed = joined.withColumn("text", text)
+    n = [F.col(f"`{count}`")] if count else []
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return marked.where(~some).select(*columns, *([F.lit(0).alias(count)] if count else [])).unionByName(changed.select(*columns, *n))

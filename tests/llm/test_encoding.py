@@ -261,6 +261,23 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     assert other != second
 
 
+def test_surrogates_of_more_forms(spark):
+    secrets = {'password="hunter2"': "hunter2", "password = hunter2": "hunter2", "Password: hunter2": "hunter2", "API_KEY=Zx91kkQ": "Zx91kkQ", "'api-key': 'two words 7'": "two words 7", 'token="AbC-77x"': "AbC-77x", "ghp_" + "a1B2" * 9: "a1B2a1B2", "sk-" + "q7" * 12: "q7q7", "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl": "c2lnbmF0dXJl", "-----BEGIN RSA PRIVATE KEY-----\nMIIEow+/x1\n-----END RSA PRIVATE KEY-----": "MIIEow"}
+    other = {"2001:DB9::1": "DB9", "fe80::1ff:fe23:4567:890a": "fe23", "020 7946 0958": "7946", "01 23 45 67 89": "23 45", "(030) 1234567": "1234567", "Dr. Adams": "Adams", "Prof. Dr. Weber": "Weber"}
+    kept = ["The token: an old coin.", "At 12:30:45 on 01-02-2023.", "std::vector and a secret: nobody knows", "The Smith of a village"]
+    rows = [(i, f"Now {t} then.", None) for i, t in enumerate([*secrets, *other])] + [(100 + i, t, None) for i, t in enumerate(kept)]
+    rows += [(200, "Mr Smith came. Smith said so, and SMITH left with Smith's dog; Smithson stayed.", None), (201, "2001:db9:0:0::1 and 2001:DB9::1", None)]
+    out = {r.doc_id: r for r in pii_surrogates.replaced(spark.createDataFrame(rows, "doc_id bigint, text string, x string"), count="n").collect()}
+    for i, (t, gone) in enumerate({**secrets, **other}.items()):
+        assert gone not in out[i].text and out[i].n == 1 and out[i].text.startswith("Now ") and out[i].text.endswith(" then."), (t, out[i].text)
+    assert out[0].text.startswith('Now password="') and out[0].text.count('"') == 2 and "Prof. Dr. " in out[len(secrets) + 6].text
+    assert [out[100 + i].text for i in range(len(kept))] == kept
+    new = re.match(r"Mr (\w+) came\. (\w+) said so, and (\w+) left with (\w+)'s dog; Smithson stayed\.", out[200].text).groups()
+    assert new[0] == new[1] == new[3] and new[2] == new[0].upper() and new[0] != "Smith" and out[200].n == 4
+    a, b = out[201].text.split(" and ")
+    assert a == b and a.startswith("2001:db8:")
+
+
 def test_surrogates_are_distinct_and_new(spark):
     rows = [(i, f"x {chr(97 + i % 26)}@a.example.com 1.1.{i // 250}.{i % 250} y") for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
