@@ -101,8 +101,8 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on about ``sample`` of the rows of each language, all of which may be used."""
-    rows = docs.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
+    """Fit on about ``sample`` of the rows of each language with a letter, all of which may be used."""
+    rows = docs.where("text is not null and lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
     many = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not many:
         return None

@@ -178,3 +178,12 @@ def test_held_out_is_crc32(spark, modulus, remainder):
 
     rows = spark.range(200).select("id", held_out("id", modulus, remainder).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % modulus == remainder) for r in rows)
+
+
+def test_a_labelled_text_without_a_letter_leaves_rejection_on(spark):
+    from quillgraph.llm import centroid_lang
+
+    rows = [(i, f"the cat number {'abcdefghij'[i % 10]} sat on the mat with the dog", "en") for i in range(40)]
+    docs = spark.createDataFrame([*rows, (40, "12345 67890 --", "en"), (41, "", "en")], "doc_id bigint, text string, lang string")
+    least = centroid_lang.train(docs)[3]
+    assert (least > 0).all() and least.tolist() == centroid_lang.train(docs.where("doc_id < 40"))[3].tolist()
