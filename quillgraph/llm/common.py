@@ -1,16 +1,18 @@
 """Helpers that the operators of this subpackage share.
 
 Large intermediate results are written as Parquet below the folder named by
-``spark.checkpoint.dir``; only where that setting is absent (tests, notebooks) is a
-folder of our own made.
+``spark.checkpoint.dir``; only where that setting is absent and all runs in one process
+(tests, notebooks) is a folder of our own made.
 """
 
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,32 +26,69 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set once if the cluster names none."""
+    """The folder that driver and executors share. Without the setting, a folder of our own where all run in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def small_batches(spark: SparkSession, mb: int = 8) -> None:
-    """Bound what goes to a Python worker at once, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Bound what goes to a Python worker at once, whatever the length of the texts; bounds already lower stay."""
+    for name, most in (("maxBytesPerBatch", mb << 20), ("maxRecordsPerBatch", 2000)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}")
+        now = int(now) if re.fullmatch(r"-?\d+", now) else 0
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd", block_mb: int = 16) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    The files are removed when the driver's JVM ends.
+    The files are removed by ``discard``, at the latest when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).option("parquet.block.size", block_mb << 20).parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, store = _folder(spark, path)
+    store.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a materialized frame that no plan still to be run reads."""
+    where, store = _folder(df.sparkSession, df._written)
+    store.delete(where, True)
+
+
+HOT_KEYS, HOT_ROWS = 1000, 256  #: a hot key holds more than 1/HOT_KEYS of the rows, and HOT_ROWS at least
+
+
+def keyed_join(big: DataFrame, small: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, which has at most one short row a key.
+
+    Fewer than HOT_KEYS keys can hold more than 1/HOT_KEYS of the rows each. Their rows of
+    ``small`` are broadcast, which that number bounds, and all others meet by a shuffle, so
+    no task gets all rows of a hot key. ``big`` is read twice: pass a table.
+    """
+    counts = big.groupBy(*key).agg(F.count("*").alias("_n"))
+    least = max(big.count() // HOT_KEYS, HOT_ROWS)
+    hot = materialize(counts.where((F.col("_n") > least) & reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in key))).select(*key), "hot")
+    if not hot.limit(1).count():
+        return big.join(small, key, how)
+    hot = F.broadcast(hot)
+    spread = big.join(hot, key, "left_semi").join(F.broadcast(small.join(hot, key, "left_semi")), key, how)
+    return spread.unionByName(big.join(hot, key, "left_anti").join(small, key, how))
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -123,6 +162,40 @@ def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[
             yield batch.slice(a, z - a)
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The groups of rows that agree in their first ``keys`` columns (without nulls), which the input is sorted by."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        fresh = reduce(np.logical_or, (c[1:] != c[:-1] for c in columns))
+        edge = [0, *(np.flatnonzero(fresh) + 1).tolist(), b.num_rows]
+        for a, z in zip(edge[:-1], edge[1:]):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(a, z - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of nodes 0 to n - 1 linked by pairs (a, b), the smallest node reachable from each, by label propagation with jumps."""
+    low = np.arange(n)
+    while True:
+        least = np.minimum(low[a], low[b])
+        new = low.copy()
+        for x in (a, b, low[a], low[b]):
+            np.minimum.at(new, x, least)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(33))
@@ -196,7 +269,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = near.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        e = materialize(swept(small), name)
+        old, e = e, materialize(swept(small), name)
+        discard(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -5,17 +5,22 @@ samples give buckets of documents that may be similar; an odd sketch (the sample
 into a parity bitmap) estimates the similarity of a pair of a bucket from the population
 count of an XOR, and pairs that the estimate lets through are confirmed on full sets.
 
-Work on large groups stays linear. Documents with equal sets become one node before any
-bucket is built. Within a bucket, first only pairs with a few hubs are tried (its smallest
-id and those first in fixed pseudo-random orders). Once the confirmed links are merged, only
-documents of one bucket that are still in different components are compared with each other,
-in tiles of bounded size, so no link that would join two components is left out; there the
-parity bitmap of the whole set, an exact bound, settles most pairs that no link joins.
+Work on large groups stays linear. Rows are told apart by a number of their own, never by
+doc_id. Rows with equal sets become one node before any bucket is built. Within a bucket,
+first only pairs with a few hubs are tried (its smallest node and those first in fixed
+pseudo-random orders). Once the confirmed links are merged, only nodes of one bucket that
+are still in different components are compared with each other, in tiles of bounded size, so
+no link that would join two components is left out. There the parity bitmap of the whole
+set, an exact bound, settles most pairs that no link joins; texts are fetched only for rows
+that have a candidate left, once a tile, the tile confirms its own pairs on full sets and
+returns a spanning forest of the links, never the pairs. A pair that shares several buckets
+is looked at in the first.
 
 Defined results: a null or blank text has an empty set, no link and itself as component. A
 text of fewer words than a shingle is one shingle of all its words. Equal rows are linked
-like equal texts. Rows with a null doc_id link with nothing and have a null component and
-``kept`` false. Further columns of the input are ignored.
+like equal texts, also those with one doc_id; rows with one doc_id and different texts are
+rows of their own. Rows with a null doc_id link with nothing and have a null component and
+``kept`` false; ``deduplicated`` keeps them. Further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +30,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix64, release_shuffles, small_batches, text_bytes, texts, tidied, word_hashes, word_spans
+from .common import components, forest, keyed_join, materialize, mix64, release_shuffles, runs, small_batches, text_bytes, texts, tidied, word_hashes, word_spans
 
 SAMPLES, ROWS, WORDS = 128, 4, 8  #: MinHash samples; samples in a band; 64-bit words of an odd sketch
 PARITY = 2048  #: bits of the parity bitmap of a whole set
-TILE = 1024
-CHUNK = 256
+TILE, TILE_SHINGLES = 1024, 1 << 20  #: most rows and, about, shingles of a tile
+CHUNK = 1024  #: pairs of a hub that one group confirms
 HUBS = 2
 
 
@@ -112,14 +117,14 @@ SKETCH = ", ".join(f"o{i} bigint" for i in range(WORDS))
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, s0 and s1 (128 bits of the set), the odd sketch o0.., the whole set's parity, and bands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), *((f"o{i}", pa.int64()) for i in range(WORDS)), ("parity", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """Of rows (row, doc_id, text): row, doc_id, n_shingles, s0 and s1 (128 bits of the set), the odd sketch o0.., the whole set's parity, and bands."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), *((f"o{i}", pa.int64()) for i in range(WORDS)), ("parity", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                sets = shingle_sets(batch.column(1), size)
+                sets = shingle_sets(batch.column(2), size)
                 samples = minhash(sets)
                 odd = odd_sketches(samples)
                 n = len(sets)
@@ -130,33 +135,34 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 one = np.array([np.bitwise_xor.reduce(s) for s in sets], np.uint64) if n else np.zeros(0, np.uint64)
                 two = np.array([mix64(s + np.uint64(7)).sum(dtype=np.uint64) for s in sets], np.uint64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, SAMPLES // ROWS), pa.int32()), pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(WORDS)), pa.array(parity_bitmaps(sets), pa.binary()), flat], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(WORDS)), pa.array(parity_bitmaps(sets), pa.binary()), flat], schema=schema)
 
-    return docs.mapInArrow(tidied(run), f"doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, {SKETCH}, parity binary, bands array<bigint>")
+    return docs.mapInArrow(tidied(run), f"row bigint, doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, {SKETCH}, parity binary, bands array<bigint>")
 
 
 def flips(a: str, b: str):
     return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.o{i}").bitwiseXOR(F.col(f"{b}.o{i}"))) for i in range(WORDS)))
 
 
-def _plausible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b), those that sizes and odd sketches let through."""
-    cols = ["doc_id", "n_shingles", *(f"o{i}" for i in range(WORDS))]
-    x, y = (reps.select(F.col("doc_id").alias(k), F.struct(*cols[1:]).alias(f"s{k}")) for k in "ab")
+def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b, n), those that sizes and odd sketches let through; a hub ``a`` may have any part of them."""
+    cols = ["n_shingles", *(f"o{i}" for i in range(WORDS))]
+    x, y = (nodes.select(F.col("row").alias(k), F.struct(*cols).alias(f"s{k}")) for k in "ab")
     low, high = F.least("sa.n_shingles", "sb.n_shingles"), F.greatest("sa.n_shingles", "sb.n_shingles")
-    return pairs.join(x, "a").join(y, "b").where((low >= high * similarity * (1 - 1e-9)) & (flips("sa", "sb") <= most_flips(similarity))).select("a", "b")
+    return keyed_join(pairs, x, ["a"]).join(y, "b").where((low >= high * similarity * (1 - 1e-9)) & (flips("sa", "sb") <= most_flips(similarity))).select("a", "b", "n")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose full sets have 100 * intersection >= percent * union.
+    """Of pairs (a, b) of rows, those whose full sets have 100 * intersection >= percent * union.
 
-    The pairs of one ``a`` are dealt in chunks; in each, ``a`` comes first and the others
-    stream by, so no task holds more than one set and a batch.
+    ``n`` is the size of a bucket that offers the pair, so a hub's pairs are dealt in chunks
+    without being counted; in each, ``a`` comes first and the others stream by, so no task
+    holds more than one set and a batch.
     """
-    dealt = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.ceil(F.count("*").over(Window.partitionBy("a")) / CHUNK)))
-    needs = dealt.select("a", "chunk").distinct().select("a", "chunk", F.col("a").alias("doc_id"), F.lit(0).alias("kind")).unionByName(dealt.select("a", "chunk", F.col("b").alias("doc_id"), F.lit(1).alias("kind")))
-    have = needs.join(docs.where("doc_id is not null"), "doc_id")
-    have = have.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "kind").select("a", "chunk", "kind", "doc_id", "text")
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).alias("chunk"))
+    needs = dealt.select("a", "chunk").distinct().select("a", "chunk", F.col("a").alias("row"), F.lit(0).alias("kind")).unionByName(dealt.select("a", "chunk", F.col("b").alias("row"), F.lit(1).alias("kind")))
+    have = needs.join(docs.select("row", "text"), "row")
+    have = have.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "kind").select("a", "chunk", "kind", "row", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, mine = None, None
@@ -167,69 +173,121 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 for a, kind, b, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), shingle_sets(batch.column(4), size)):
                     if not kind:
                         key, mine = a, s
-                    elif key == a and len(s) and len(mine):
-                        both = len(np.intersect1d(mine, s, assume_unique=True))
-                        if 100 * both >= percent * (len(mine) + len(s) - both):
-                            found.append((a, b))
+                    elif key == a and similar(mine, s, percent):
+                        found.append((a, b))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return have.mapInArrow(tidied(run), "a bigint, b bigint").distinct()
+    return have.mapInArrow(tidied(run), "a bigint, b bigint")
 
 
-def _still_apart(keyed: DataFrame, comp: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of one bucket in different components that sketches let through."""
-    sk = reps.select(F.col("doc_id").alias("doc"), "n_shingles", F.array(*(f"o{i}" for i in range(WORDS))).alias("o"), "parity")
-    named = keyed.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("n") / TILE).alias("t"))
-    rows = named.join(mixed, "key").join(sk, "doc").withColumn("tile", F.pmod(F.xxhash64("doc"), "t"))
-    # a row of tile i goes to the pairs of tiles (i, j) and (j, i), the smaller first
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("t") - 1)))
-    rows = rows.select("key", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "doc", "component", "n_shingles", "o", "parity")
-    rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "tile")
-    limit = most_flips(similarity)
-
-    def compare(group: list) -> tuple[np.ndarray, np.ndarray]:
-        tile, doc, comp, n = (np.array([r[i] for r in group], np.int64) for i in (3, 4, 5, 6))
-        odd = np.array([r[7] for r in group], np.int64).view(np.uint64)
-        parity = np.frombuffer(b"".join(r[8] for r in group), np.uint64).reshape(len(group), -1)
-        one, two = (tile == group[0][1], tile == group[0][2])
-        if group[0][1] != group[0][2] and not (one.any() and two.any()):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        i, j = np.flatnonzero(one), np.flatnonzero(two)
-        out = []
-        for k in range(0, len(i), 64):
-            p = i[k : k + 64]
-            ok = (comp[p][:, None] != comp[j][None, :]) & (doc[p][:, None] != doc[j][None, :])
-            ok &= np.minimum(n[p][:, None], n[j][None, :]) >= similarity * (1 - 1e-9) * np.maximum(n[p][:, None], n[j][None, :])
-            u, v = np.nonzero(ok)
-            near = np.bitwise_count(odd[p[u]] ^ odd[j[v]]).sum(axis=1) <= limit
-            u, v = p[u[near]], j[v[near]]
-            # with a Jaccard of s, at most (1 - s) / (1 + s) of the sizes' sum differ: this bound loses no link
-            near = np.bitwise_count(parity[u] ^ parity[v]).sum(axis=1) <= (n[u] + n[v]) * ((1 - similarity) / (1 + similarity)) + 1e-6
-            out.append((doc[u[near]], doc[v[near]]))
-        a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
-        return np.minimum(a, b), np.maximum(a, b)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list = []
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
-        def out():
-            a, b = compare(group)
-            if len(a):
-                a, b = np.unique(np.stack([a, b], 1), axis=0).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], names=["a", "b"])
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and group[0][:3] != row[:3]:
-                    yield from out()
-                    group = []
-                group.append(row)
-        if group:
-            yield from out()
+def candidates(tile: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (u, v) of a tile's pairs in different components that the bounds let through.
 
-    return rows.mapInArrow(tidied(run), "a bigint, b bigint").distinct()
+    Columns: key, x, y, side, row, component, n_shingles, o, parity, bands. Rows of tile x
+    meet rows of tile y; only the first bucket that a pair shares offers it.
+    """
+    key, x, y = (tile.column(i)[0].as_py() for i in range(3))
+    side, row, comp, n = (tile.column(i).to_numpy() for i in (3, 4, 5, 6))
+    odd, bands = (np.array(tile.column(i).combine_chunks().flatten()).reshape(len(row), -1) for i in (7, 9))
+    parity = np.frombuffer(b"".join(tile.column(8).to_pylist()), np.uint64).reshape(len(row), -1)
+    i, j = np.flatnonzero(side == x), np.flatnonzero(side == y)
+    out = [(i[:0], i[:0])]
+    for k in range(0, len(i), 64):
+        p = i[k : k + 64]
+        ok = comp[p][:, None] != comp[j][None, :]
+        ok &= np.minimum(n[p][:, None], n[j][None, :]) >= similarity * (1 - 1e-9) * np.maximum(n[p][:, None], n[j][None, :])
+        if x == y:
+            ok &= row[p][:, None] < row[j][None, :]
+        u, v = np.nonzero(ok)
+        u, v = p[u], j[v]
+        near = np.bitwise_count(odd[u] ^ odd[v]).sum(axis=1) <= most_flips(similarity)
+        u, v = u[near], v[near]
+        # with a Jaccard of s, at most (1 - s) / (1 + s) of the sizes' sum differ: this bound loses no link
+        near = np.bitwise_count(parity[u] ^ parity[v]).sum(axis=1) <= (n[u] + n[v]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        u, v = u[near], v[near]
+        first = np.argmax(bands[u] == bands[v], axis=1) if len(u) else u
+        near = bands[u, first] == key
+        out.append((u[near], v[near]))
+    return tuple(np.concatenate([o[k] for o in out]) for k in (0, 1))
+
+
+def _still_apart(keyed: DataFrame, comp: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join what is still apart: of each tile of a bucket a spanning forest, at most a row a row of the tile."""
+    similarity = percent / 100
+    named = keyed.join(comp.withColumnRenamed("node", "row"), "row", "left").join(nodes.select("row", "n_shingles"), "row")
+    named = materialize(named.select("key", "row", F.coalesce("component", "row").alias("component"), "n_shingles"), "named")
+    mixed = named.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    mixed = mixed.select("key", F.ceil(F.greatest(F.col("n") / TILE, F.col("size") / TILE_SHINGLES)).alias("t"))
+    rows = keyed_join(named, mixed, ["key"]).withColumn("side", F.pmod(F.xxhash64("row"), "t"))
+    # a row of tile i goes to the pairs of tiles (i, j) and (j, i), the smaller first
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("t") - 1)))
+    rows = rows.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "row", "component", "n_shingles")
+    sk = nodes.select("row", F.array(*(f"o{i}" for i in range(WORDS))).alias("o"), "parity", "bands")
+    order = ["key", "x", "y"]
+    rows = rows.join(sk, "row").select(*order, "side", "row", "component", "n_shingles", "o", "parity", "bands")
+    kinds = "key bigint, x bigint, y bigint, side bigint, row bigint, component bigint, n_shingles bigint, o array<bigint>, parity binary, bands array<bigint>"
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in runs(batches, 3):
+            u, v = candidates(tile, similarity)
+            if len(u):
+                yield from tile.take(np.unique(np.concatenate((u, v)))).to_batches()
+
+    asked = materialize(rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidied(ask), kinds), "asked")
+    release_shuffles(keyed.sparkSession)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in runs(batches, 3):
+            u, v = candidates(tile, similarity)
+            sets = [s for k in range(0, len(tile), 64) for s in shingle_sets(tile.column(10).slice(k, 64), size)]
+            low, found = np.arange(len(tile)), []
+            for a, b in zip(u.tolist(), v.tolist()):
+                if low[a] != low[b] and similar(sets[a], sets[b], percent):
+                    found.append((a, b))
+                    low[low == max(low[a], low[b])] = min(low[a], low[b])
+            if found:
+                row = tile.column(4).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(row[[x[i] for x in found]]) for i in (0, 1)], names=["a", "b"])
+
+    whole = asked.join(docs.select("row", "text"), "row").select(*asked.columns, "text")
+    return materialize(whole.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidied(settle), "a bigint, b bigint"), "late")
+
+
+def linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of a table's rows (row, doc_id, text): row, doc_id, n_shingles, class_id, component_id, and first, the row that stands for its component."""
+    spark = docs.sparkSession
+    sk = materialize(sketches(docs.select("row", "doc_id", "text"), size), "sketches")
+    named = sk.where("doc_id is not null and n_shingles > 0")
+    same = ["s0", "s1", "n_shingles"]
+    classes = materialize(named.groupBy(*same).agg(F.min(F.struct("doc_id", "row")).alias("head")).select(*same, F.col("head.row").alias("node"), F.col("head.doc_id").alias("class_id")), "classes")
+    nodes = materialize(named.join(classes.select(F.col("node").alias("row")), "row", "left_semi"), "nodes")
+
+    keyed = nodes.select("row", F.explode("bands").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("h0"), *(F.min_by("row", F.xxhash64("row", F.lit(i))).alias(f"h{i}") for i in range(1, HUBS))).where("n > 1")
+    keyed = materialize(keyed_join(keyed, hubs, ["key"]), "buckets")
+    pairs = keyed.select("row", "n", F.explode(F.array(*(f"h{i}" for i in range(HUBS)))).alias("hub")).where("row <> hub")
+    pairs = materialize(pairs.groupBy(F.col("hub").alias("a"), F.col("row").alias("b")).agg(F.max("n").alias("n")), "pairs")
+    links = materialize(confirmed(_plausible(pairs, nodes, percent / 100), docs, size, percent), "links")
+    release_shuffles(spark)
+    comp = components(links, "joined")
+    more = _still_apart(keyed.select("key", "row"), comp, nodes, docs, size, percent)
+    release_shuffles(spark)
+    if more.limit(1).count():
+        comp = components(links.unionByName(more), "joined")
+    named = classes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialize(named, "named")
+    tops = named.groupBy("component").agg(F.min(F.struct("class_id", "node")).alias("top")).select("component", F.col("top.class_id").alias("component_id"), F.col("top.node").alias("first"))
+    settled = materialize(keyed_join(named, tops, ["component"]).select(*same, "class_id", "component_id", "first"), "settled")
+    out = keyed_join(sk.select("row", "doc_id", *same), settled, same, "left")
+    there = F.col("doc_id").isNotNull()
+    known = there & (F.col("n_shingles") > 0)
+    return out.select("row", "doc_id", "n_shingles", *(F.when(known, F.col(c)).when(there, F.col("doc_id")).alias(c) for c in ("class_id", "component_id")), F.when(known, F.col("first")).otherwise(F.col("row")).alias("first"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -238,29 +296,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     ``size``: words in a shingle. Two documents are linked if 100 * intersection of their
     shingle sets >= percent * union; component_id is the smallest doc_id reachable by links.
     """
-    similarity = percent / 100
     small_batches(docs.sparkSession, 4)
-    docs = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sk = materialize(sketches(docs, size), "sketches")
-    named = sk.where("doc_id is not null and n_shingles > 0")
-    classes = named.groupBy("s0", "s1", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    members = materialize(sk.select("doc_id", "n_shingles", "s0", "s1").join(classes, ["s0", "s1", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), "classes")
-    firsts = classes.select(F.col("class_id").alias("doc_id"))
-    reps = materialize(named.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "reps")
-
-    keyed = reps.select("doc_id", F.explode("bands").alias("key")).select("key", F.col("doc_id").alias("doc"))
-    hubs = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("h0"), *(F.min_by("doc", F.xxhash64("doc", F.lit(i))).alias(f"h{i}") for i in range(1, HUBS))).where("n > 1")
-    keyed = materialize(keyed.join(hubs, "key"), "buckets")
-    pairs = keyed.select("doc", F.explode(F.array(*(f"h{i}" for i in range(HUBS)))).alias("hub")).where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    links = materialize(confirmed(_plausible(pairs, reps, similarity), docs, size, percent), "links")
-    release_shuffles(docs.sparkSession)
-    comp = components(links, "joined")
-    rest = _still_apart(keyed.select("key", "doc"), comp, reps, similarity).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = materialize(rest, "apart")
-    release_shuffles(docs.sparkSession)
-    if rest.limit(1).count():
-        more = materialize(confirmed(rest, docs, size, percent), "late")
-        if more.limit(1).count():
-            comp = components(links.unionByName(more), "joined")
-    out = members.join(comp.withColumnRenamed("node", "class_id"), "class_id", "left")
-    return out.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    rows = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+    found = linked(materialize(rows, "rows"), size, percent)
+    return found.select("doc_id", "n_shingles", "class_id", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component, one with its smallest doc_id; rows without an id, a text or a word all stay."""
+    small_batches(docs.sparkSession, 4)
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    table = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    named = texts(table, F.col(row).alias("row_of")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("row_of").alias("row"))
+    gone = linked(named, size, percent).where("row <> first").select(F.col("row").alias(row))
+    return table.join(gone, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

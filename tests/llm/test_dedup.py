@@ -67,6 +67,19 @@ def test_near_duplicates_of_odd_rows(spark):
     assert empty.count() == 0
 
 
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, long, "a"), (1, "totally other words are kept here too", "b"), (2, long + " end", "c"), (3, None, "d"), (3, "", "e"), (None, long, "f"), (None, long, "g"), (0, "totally other words are kept here too", "h"), (5, long, "i"), (1, long, "j")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row string")
+    got = sorted((r.doc_id is not None, r.doc_id, r.n_shingles, r.component_id, r.kept) for r in odd_sketch.near_duplicates(docs, 5).collect())
+    assert got == sorted([(True, 1, 46, 1, True)] * 2 + [(True, 1, 3, 0, False), (True, 2, 47, 1, False), (True, 3, 0, 3, True), (True, 3, 0, 3, True), (False, None, 46, None, False), (False, None, 46, None, False), (True, 0, 3, 0, True), (True, 5, 46, 1, False)])
+    kept = odd_sketch.deduplicated(docs, 5)
+    assert kept.columns == docs.columns
+    left = {r.row for r in kept.collect()}
+    assert left - {"a", "j"} == {"d", "e", "f", "g", "h"} and len(left) == 6
+    assert odd_sketch.deduplicated(docs.where("false"), 5).count() == 0
+
+
 def test_links_between_members_that_no_hub_joins(spark, monkeypatch):
     """A chain of near copies whose ends are far apart is one component."""
     words = [f"w{i}" for i in range(200)]

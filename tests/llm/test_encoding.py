@@ -22,9 +22,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)  # as it is
 
 
 @pytest.fixture(scope="module")
@@ -216,6 +214,32 @@ def test_tiny_sources_get_their_words(spark):
     assert {s: sum(len(WORD.findall(t)) for t in g.text) for s, g in made.groupby("source")} == got.taken.to_dict()
 
 
+def test_cuts_find_words_by_number(spark):
+    texts = ["a b c", "  a\t\tb \n c  ", "one", " x", "ä_ _b  c\x0b\x0cd_", "a\u00a0b c"]
+    rows = [(t, a, n) for t in texts for a in range(len(WORD.findall(t))) for n in range(1, len(WORD.findall(t)) - a + 1)]
+    df = spark.createDataFrame(rows, "t string, a bigint, n bigint")
+    for r in df.select("t", "a", "n", mixing.cut(F.col("t"), F.col("a"), F.col("n")).alias("x")).collect():
+        assert WORD.findall(r.x) == WORD.findall(r.t)[r.a : r.a + r.n] and r.x in r.t
+
+
+def test_many_equal_rows_are_taken_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    monkeypatch.setattr(mixing, "PARTS", 3)
+    rows = [(1, "a b c d e", "s", str(i)) for i in range(40)] + [(i, "x " * (i % 9), "t", "z") for i in range(2, 60)] + [(None, "no id", "u", "q")] * 5 + [(3, "long " * 20_000, "v", "l")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, row string")
+    got = mixing.taken_words(docs, block=4)
+    assert got.count() == len(rows)
+    a = {(r.doc_id, r.source): r.n for r in got.groupBy("doc_id", "source").agg(F.sum("taken").alias("n")).collect() if r.n}
+    made = mixing.mixed_documents(docs, block=4).collect()
+    b = {}
+    for r in made:
+        b[(r.doc_id, r.source)] = b.get((r.doc_id, r.source), 0) + len(WORD.findall(r.text))
+    assert a == b
+    # the copies that are taken whole are different rows, once a pass
+    copies = [r.row for r in made if r.source == "s"]
+    assert len(set(copies)) == min(40, len(copies)) and max(copies.count(c) for c in copies) <= 2
+
+
 def test_schedule_is_even(spark):
     shares = spark.createDataFrame([("a", 700.0), ("b", 200.0), ("c", 100.0)], "source string, target double")
     rows = mixing.schedule(shares, 1).collect()
