@@ -74,21 +74,17 @@ def discard(df: DataFrame) -> None:
 HOT_KEYS, HOT_ROWS = 1000, 256  #: a hot key holds more than 1/HOT_KEYS of the rows, and HOT_ROWS at least
 
 
-def keyed_join(big: DataFrame, small: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
-    """``big`` joined with ``small``, which has at most one short row a key.
+def keyed_join(big: DataFrame, small: DataFrame, key: list[str], count: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, which has one short row a key and in ``count`` the rows of ``big`` with that key.
 
     Fewer than HOT_KEYS keys can hold more than 1/HOT_KEYS of the rows each. Their rows of
     ``small`` are broadcast, which that number bounds, and all others meet by a shuffle, so
-    no task gets all rows of a hot key. ``big`` is read twice: pass a table.
+    no task gets all rows of a hot key. Both are read twice: pass tables.
     """
-    counts = big.groupBy(*key).agg(F.count("*").alias("_n"))
     least = max(big.count() // HOT_KEYS, HOT_ROWS)
-    hot = materialize(counts.where((F.col("_n") > least) & reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in key))).select(*key), "hot")
-    if not hot.limit(1).count():
-        return big.join(small, key, how)
-    hot = F.broadcast(hot)
-    spread = big.join(hot, key, "left_semi").join(F.broadcast(small.join(hot, key, "left_semi")), key, how)
-    return spread.unionByName(big.join(hot, key, "left_anti").join(small, key, how))
+    hot = F.broadcast(small.where(F.col(count) > least).drop(count))
+    spread = big.join(hot, key)
+    return spread.unionByName(big.join(F.broadcast(small.where(F.col(count) > least).select(*key)), key, "left_anti").join(small.where(F.col(count) <= least).drop(count), key, how))
 
 
 def release_shuffles(spark: SparkSession) -> None:

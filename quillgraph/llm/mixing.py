@@ -33,7 +33,7 @@ from .common import WORD, keyed_join, materialize
 
 GOLDEN = 0.6180339887498949  #: fixed value: the golden ratio's fraction
 STRETCH = 1 << 14
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 COPIES = 4096  #: copies of one row that are laid out by one task
 PARTS = 256  #: parts in which a group's rows are numbered
 SPACE = r"[\x20\x09-\x0D]"
@@ -211,8 +211,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     part = _joined(pieces(placed, block), plan.select("source", "block", "pass", "room"))
     part = part.groupBy("row", "copy", "pass").agg(F.min("start").alias(start), F.sum("words").alias(words))
     # which row is which copy, where a group has several
-    several = groups.where("copies > 1").select(F.struct(*same).alias("k"), F.col("row").alias("group"))
-    member = keyed_join(rows.select(F.struct(*same).alias("k"), "row"), several, ["k"]).select("group", "row", F.pmod(F.xxhash64("row"), F.lit(PARTS)).alias("part"))
+    several = groups.where("copies > 1").select(F.struct(*same).alias("k"), F.col("row").alias("group"), "copies")
+    member = keyed_join(rows.select(F.struct(*same).alias("k"), "row"), several, ["k"], "copies").select("group", "row", F.pmod(F.xxhash64("row"), F.lit(PARTS)).alias("part"))
     ahead = member.groupBy("group", "part").count()
     ahead = ahead.select("group", "part", (F.sum("count").over(Window.partitionBy("group").orderBy("part")) - F.col("count")).alias("ahead"))
     member = member.withColumn("n", F.row_number().over(Window.partitionBy("group", "part").orderBy("row")) - 1).join(ahead, ["group", "part"])

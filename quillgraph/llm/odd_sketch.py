@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, keyed_join, materialize, mix64, release_shuffles, runs, small_batches, text_bytes, texts, tidied, word_hashes, word_spans
+from .common import components, discard, keyed_join, materialize, mix64, release_shuffles, runs, small_batches, text_bytes, texts, tidied, word_hashes, word_spans
 
 SAMPLES, ROWS, WORDS = 128, 4, 8  #: MinHash samples; samples in a band; 64-bit words of an odd sketch
 PARITY = 2048  #: bits of the parity bitmap of a whole set
@@ -145,11 +145,11 @@ def flips(a: str, b: str):
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b, n), those that sizes and odd sketches let through; a hub ``a`` may have any part of them."""
+    """Of pairs (a, b, n), those that sizes and odd sketches let through."""
     cols = ["n_shingles", *(f"o{i}" for i in range(WORDS))]
     x, y = (nodes.select(F.col("row").alias(k), F.struct(*cols).alias(f"s{k}")) for k in "ab")
     low, high = F.least("sa.n_shingles", "sb.n_shingles"), F.greatest("sa.n_shingles", "sb.n_shingles")
-    return keyed_join(pairs, x, ["a"]).join(y, "b").where((low >= high * similarity * (1 - 1e-9)) & (flips("sa", "sb") <= most_flips(similarity))).select("a", "b", "n")
+    return pairs.join(x, "a").join(y, "b").where((low >= high * similarity * (1 - 1e-9)) & (flips("sa", "sb") <= most_flips(similarity))).select("a", "b", "n")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -221,10 +221,10 @@ def _still_apart(keyed: DataFrame, comp: DataFrame, nodes: DataFrame, docs: Data
     """Links (a, b) that join what is still apart: of each tile of a bucket a spanning forest, at most a row a row of the tile."""
     similarity = percent / 100
     named = keyed.join(comp.withColumnRenamed("node", "row"), "row", "left").join(nodes.select("row", "n_shingles"), "row")
-    named = materialize(named.select("key", "row", F.coalesce("component", "row").alias("component"), "n_shingles"), "named")
+    named = named.select("key", "row", F.coalesce("component", "row").alias("component"), "n_shingles")
     mixed = named.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     mixed = mixed.select("key", F.ceil(F.greatest(F.col("n") / TILE, F.col("size") / TILE_SHINGLES)).alias("t"))
-    rows = keyed_join(named, mixed, ["key"]).withColumn("side", F.pmod(F.xxhash64("row"), "t"))
+    rows = named.join(mixed, "key").withColumn("side", F.pmod(F.xxhash64("row"), "t"))
     # a row of tile i goes to the pairs of tiles (i, j) and (j, i), the smaller first
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("t") - 1)))
     rows = rows.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "row", "component", "n_shingles")
@@ -265,12 +265,14 @@ def linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     sk = materialize(sketches(docs.select("row", "doc_id", "text"), size), "sketches")
     named = sk.where("doc_id is not null and n_shingles > 0")
     same = ["s0", "s1", "n_shingles"]
-    classes = materialize(named.groupBy(*same).agg(F.min(F.struct("doc_id", "row")).alias("head")).select(*same, F.col("head.row").alias("node"), F.col("head.doc_id").alias("class_id")), "classes")
+    classes = materialize(named.groupBy(*same).agg(F.min(F.struct("doc_id", "row")).alias("head"), F.count("*").alias("n")).select(*same, F.col("head.row").alias("node"), F.col("head.doc_id").alias("class_id"), "n"), "classes")
     nodes = materialize(named.join(classes.select(F.col("node").alias("row")), "row", "left_semi"), "nodes")
+    members = materialize(sk.select("row", "doc_id", *same), "members")
+    discard(sk)
 
     keyed = nodes.select("row", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("h0"), *(F.min_by("row", F.xxhash64("row", F.lit(i))).alias(f"h{i}") for i in range(1, HUBS))).where("n > 1")
-    keyed = materialize(keyed_join(keyed, hubs, ["key"]), "buckets")
+    keyed = materialize(keyed.join(hubs, "key"), "buckets")
     pairs = keyed.select("row", "n", F.explode(F.array(*(f"h{i}" for i in range(HUBS)))).alias("hub")).where("row <> hub")
     pairs = materialize(pairs.groupBy(F.col("hub").alias("a"), F.col("row").alias("b")).agg(F.max("n").alias("n")), "pairs")
     links = materialize(confirmed(_plausible(pairs, nodes, percent / 100), docs, size, percent), "links")
@@ -282,9 +284,12 @@ def linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
         comp = components(links.unionByName(more), "joined")
     named = classes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named, "named")
-    tops = named.groupBy("component").agg(F.min(F.struct("class_id", "node")).alias("top")).select("component", F.col("top.class_id").alias("component_id"), F.col("top.node").alias("first"))
-    settled = materialize(keyed_join(named, tops, ["component"]).select(*same, "class_id", "component_id", "first"), "settled")
-    out = keyed_join(sk.select("row", "doc_id", *same), settled, same, "left")
+    tops = named.groupBy("component").agg(F.min(F.struct("class_id", "node")).alias("top"), F.count("*").alias("classes"))
+    tops = materialize(tops.select("component", F.col("top.class_id").alias("component_id"), F.col("top.node").alias("first"), "classes"), "tops")
+    settled = materialize(keyed_join(named, tops, ["component"], "classes").select(*same, "class_id", "component_id", "first", "n"), "settled")
+    for old in (nodes, keyed, pairs, links, classes):
+        discard(old)
+    out = keyed_join(members, settled, same, "n", "left")
     there = F.col("doc_id").isNotNull()
     known = there & (F.col("n_shingles") > 0)
     return out.select("row", "doc_id", "n_shingles", *(F.when(known, F.col(c)).when(there, F.col("doc_id")).alias(c) for c in ("class_id", "component_id")), F.when(known, F.col("first")).otherwise(F.col("row")).alias("first"))
