@@ -50,6 +50,11 @@ def _folder(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    where, store = _folder(spark, path)
+    store.deleteOnExit(where)
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd", block_mb: int = 16) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
@@ -58,8 +63,7 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd", block_mb: int = 1
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).option("parquet.block.size", block_mb << 20).parquet(path)
-    where, store = _folder(spark, path)
-    store.deleteOnExit(where)
+    delete_on_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out

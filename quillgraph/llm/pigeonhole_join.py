@@ -4,18 +4,20 @@ Unit vectors with cosine >= c have a squared distance of at most t = 2 - 2c. The
 onto their principal axes and split into low-dimensional blocks; each block gets the part of
 t that is proportional to its dimensions. If every block's squared distance were above its
 budget, the sum would be above t, so each pair that is sought is within budget in some
-block. Each block is range-joined on its own: its first axis is cut into cells as wide as
-the block's radius, and a vector meets those of its own cell and the one before. Candidates
-are verified by the cosine in double precision; of the blocks that offer a pair only the
-first counts it.
-
-Equal vectors of one label become one node with a multiplicity. Large cells are cut into
+block. Each block is range-joined on its own: its two strongest axes are cut into cells as
+wide as the block's radius, and a vector meets those of its own cell and the eight around
+it. Candidates are verified by the cosine in double precision; of the blocks that offer a
+pair only the first counts it. The axes are those of a sample of bounded size; any rotation
+gives the same pairs, a fitting one fewer candidates.
+
+Rows are told apart by a number of their own, never by vec_id. Equal vectors of one label
+become one node with a multiplicity. Large cells are cut into
 tiles that meet pairwise, whatever their size; a meeting returns counts and a spanning
 forest of its links, never the pairs, so what is sent grows with the vectors only.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite components
 links with nothing, and so does any with a null label; vectors of different lengths don't
-link; equal rows link with each other; rows with a null vec_id have a null component, link
+link; equal rows link with each other, also those with one vec_id; rows with a null vec_id have a null component, link
 with nothing and are not kept. Further columns are ignored.
 """
 
@@ -25,34 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, small_batches, tidied
+from .common import components, forest, keyed_join, materialize, runs, small_batches, tidied
 
 BLOCK, TILE = 8, 1024  #: dimensions of a block; vectors of a tile
+SAMPLE, SAMPLE_BYTES = 20_000, 16 << 20  #: most vectors, and bytes of them, that the axes are taken from
+#: Steps to the cells that a cell meets as the first of two; the cells the other way meet it.
+FORWARD = ((0, 1), (1, -1), (1, 0), (1, 1))
 SLACK = 1e-6  #: for rounding, on squared distances of unit vectors
 
 
-def moments(vectors: DataFrame, size: int) -> np.ndarray:
-    """Mean outer product of the unit vectors: sums of each task, added up by component."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((size, size)), 0
-        for b in batches:
-            x = unit(matrix(b.column(0).to_pylist()))
-            total += x.T @ x
-            n += len(x)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size * size)), pa.array(total.ravel())], names=["i", "v"])
-
-    # as many rows as the square of the dimensions
-    rows = vectors.select("v").mapInArrow(tidied(run), "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(size * size)
-    for r in rows:
-        out[r.i] = r.v
-    return out.reshape(size, size)
-
-
 def matrix(blobs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), "<f4").reshape(len(blobs), -1).astype(np.float64) if blobs else np.zeros((0, 1))
 
@@ -62,8 +48,10 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def rotation(vectors: DataFrame, size: int) -> np.ndarray:
-    """Principal axes, strongest first, in columns."""
-    _, axes = np.linalg.eigh(moments(vectors, size))
+    """Principal axes of at most SAMPLE vectors, those first by a hash, strongest first, in columns."""
+    few = max(min(SAMPLE, SAMPLE_BYTES // (4 * size)), 1)
+    x = unit(matrix([r.v for r in vectors.select("v").orderBy(F.xxhash64("v")).limit(few).collect()]))
+    _, axes = np.linalg.eigh(x.T @ x)
     return np.ascontiguousarray(axes[:, ::-1])
 
 
@@ -100,54 +88,38 @@ def meetings(a: np.ndarray, b: np.ndarray | None, block: int, axes: np.ndarray,
                 yield p[ok], q[ok]
 
 
-class Forest:
-    """Union-find over the rows of one meeting."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def top(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def link(self, pairs: Iterator[tuple[int, int]]) -> None:
-        for x, y in pairs:
-            x, y = self.top(x), self.top(y)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
-
-
 def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """One row a vector (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     small_batches(spark, 4)
-    v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("e"), F.col("label").cast("string").alias("label"))
+    v = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("e"), F.col("label").cast("string").alias("label"))
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("e") > 0) & ~bad & F.exists("e", lambda x: x != 0), F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            blobs = [np.array(x, "<f4").tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary()), b.column(2)], names=["vec_id", "v", "label"])
+            blobs = [np.array(x, "<f4").tobytes() for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(blobs, pa.binary()), b.column(3)], names=["row", "vec_id", "v", "label"])
 
-    rows = materialize(v.where(usable).mapInArrow(tidied(run), "vec_id bigint, v binary, label string"), "vectors")
-    classes = materialize(rows.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "nodes")
+    rows = materialize(v.where(usable).mapInArrow(tidied(run), "row bigint, vec_id bigint, v binary, label string"), "vectors")
+    classes = materialize(rows.groupBy("label", "v").agg(F.min("row").alias("node"), F.min("vec_id").alias("least"), F.count("*").alias("n")), "nodes")
     sizes = [r.n for r in classes.select((F.length("v") / 4).cast("int").alias("n")).distinct().collect()]
     found = None
     for size in sorted(sizes):  # one, as a rule
         own = classes.where(F.length("v") == 4 * size)
         part = _links(own, size, rotation(own, size), least)
         found = part if found is None else found.unionByName(part)
-    members = rows.join(classes, ["label", "v"]).select("vec_id", "node", "n")
     if found is None:
-        linked = members.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+        known = classes.select("label", "v", "n", F.lit(0).cast("bigint").alias("links"), F.col("least").alias("component_id"))
     else:
         found = materialize(found, "met")
         counts = found.where("up is null").groupBy("node").agg(F.sum("links").alias("links"))
-        comp = components(found.where("up is not null").select(F.col("node").alias("a"), F.col("up").alias("b")), "joined").withColumnRenamed("component", "c")
-        linked = members.join(counts, "node", "left").join(comp, "node", "left").select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("bigint").alias("n_links"), F.coalesce("c", "node").alias("component_id"))
+        comp = components(found.where("up is not null").select(F.col("node").alias("a"), F.col("up").alias("b")), "joined")
+        named = materialize(classes.join(counts, "node", "left").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+        tops = materialize(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes")), "tops")
+        known = keyed_join(named, tops, ["component"], "nodes").select("label", "v", "n", F.coalesce("links", F.lit(0)).alias("links"), "component_id")
+    known = materialize(known.withColumn("same", F.col("n")), "known")
+    linked = keyed_join(rows, known, ["label", "v"], "same").select("vec_id", (F.col("links") + F.col("n") - 1).cast("bigint").alias("n_links"), "component_id")
     alone = v.where(~usable).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
@@ -160,61 +132,53 @@ def _links(classes: DataFrame, size: int, axes: np.ndarray, least: float) -> Dat
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             r = unit(matrix(b.column(0).to_pylist())) @ axes
-            at = np.stack([np.floor(r[:, s] / w) for (s, _), w in zip(spans, width)], axis=1).astype(np.int32)
+            at = np.stack([np.floor(r[:, min(s + k, z - 1)] / w) * (s + k < z) for (s, z), w in zip(spans, width) for k in (0, 1)], axis=1).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, at.shape[1]), pa.int32()), pa.array(at.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), b.column(3), b.column(0), lists], names=["label", "node", "n", "v", "cells"])
 
     dealt = classes.select("v", "node", "label", "n").mapInArrow(tidied(cells), "label string, node bigint, n bigint, v binary, cells array<int>")
     dealt = materialize(dealt, "cells")
-    keyed = dealt.select("label", "node", "n", F.posexplode("cells").alias("block", "cell"))
-    # tiles of a cell by its number of nodes; a cell meets itself and the next one
-    tiles = keyed.groupBy("label", "block", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("t"))
-    after = tiles.select("label", "block", (F.col("cell") - 1).alias("cell"), F.col("t").alias("next"))
-    before = tiles.select("label", "block", (F.col("cell") + 1).alias("cell"), F.col("t").alias("prev"))
-    key = ["label", "block", "cell"]
-    plan = materialize(tiles.join(after, key, "left").join(before, key, "left"), "tiles")
-    rows = dealt.select("label", "node", "n", "v", F.posexplode("cells").alias("block", "cell")).join(plan, key).withColumn("tile", F.pmod(F.xxhash64("node"), "t").cast("int"))
-    # of meeting (cell, i, next?, j): as the first side with every tile j it meets, as the second with every i
-    lo = F.transform(F.sequence(F.col("tile"), F.col("t") - 1), lambda j: F.struct(F.col("cell").alias("c"), F.col("tile").alias("i"), F.lit(0).alias("step"), j.alias("j"), F.lit(0).alias("side")))
-    hi = F.transform(F.sequence(F.lit(0), F.col("tile")), lambda i: F.struct(F.col("cell").alias("c"), i.alias("i"), F.lit(0).alias("step"), F.col("tile").alias("j"), F.lit(1).alias("side")))
-    hi = F.filter(hi, lambda x: x["i"] < x["j"])
-    none = F.filter(lo, lambda x: F.lit(False))
-    up = F.when(F.col("next").isNull(), none).otherwise(F.transform(F.sequence(F.lit(0), F.col("next") - 1), lambda j: F.struct(F.col("cell").alias("c"), F.col("tile").alias("i"), F.lit(1).alias("step"), j.alias("j"), F.lit(0).alias("side"))))
-    down = F.when(F.col("prev").isNull(), none).otherwise(F.transform(F.sequence(F.lit(0), F.col("prev") - 1), lambda i: F.struct((F.col("cell") - 1).alias("c"), i.alias("i"), F.lit(1).alias("step"), F.col("tile").alias("j"), F.lit(1).alias("side"))))
-    sent = rows.select("label", "block", "node", "n", "v", F.explode(F.concat(lo, hi, up, down)).alias("m")).select("label", "block", "m.*", "node", "n", "v")
-    order = ["label", "block", "c", "i", "step", "j"]
-    sent = sent.repartition(*order).sortWithinPartitions(*order, "side", "node")
-
-    def out(group: list[tuple]) -> pa.RecordBatch | None:
-        side = np.array([g[6] for g in group])
-        node, n = np.array([g[7] for g in group], np.int64), np.array([g[8] for g in group], np.int64)
-        alone = group[0][4] == 0 and group[0][3] == group[0][5]
-        first = len(group) if alone else int(np.searchsorted(side, 1))
-        if first == 0 or (not alone and first == len(group)):
-            return None
-        x = matrix([g[9] for g in group])
-        links, forest = np.zeros(len(group), np.int64), Forest(len(group))
-        for p, q in meetings(x[:first], None if alone else x[first:], int(group[0][1]), axes, least):
-            q = q if alone else q + first
-            links += np.bincount(p, n[q], len(group)).astype(np.int64) + np.bincount(q, n[p], len(group)).astype(np.int64)
-            forest.link(zip(p.tolist(), q.tolist()))
-        hit = np.flatnonzero(links)
-        if not len(hit):
-            return None
-        top = np.array([forest.top(int(k)) for k in hit])
-        low = top != hit
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate((node[hit], node[hit[low]]))), pa.array(np.concatenate((links[hit], np.zeros(int(low.sum()), np.int64)))), pa.array(np.concatenate((np.zeros(len(hit), np.int64), node[top[low]])), mask=np.concatenate((np.ones(len(hit), bool), np.zeros(int(low.sum()), bool))))], names=["node", "links", "up"])
+    place = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(len(spans) - 1)), lambda k: F.struct(F.element_at("cells", 2 * k + 1).alias("x"), F.element_at("cells", 2 * k + 2).alias("y")))).alias("block", "cell")
+    key = ["label", "block", "x", "y"]
+    # tiles of a cell by its number of nodes
+    tiles = dealt.select("label", place).select("label", "block", "cell.*").groupBy(*key).agg(F.ceil(F.count("*") / TILE).cast("int").alias("t"))
+    tiles = materialize(tiles, "tiles")
+    around = F.array(*(F.struct(F.lit(s * dx).alias("dx"), F.lit(s * dy).alias("dy"), F.lit(k + 1).alias("step"), F.lit(0 if s > 0 else 1).alias("side")) for s in (1, -1) for k, (dx, dy) in enumerate(FORWARD)))
+    asked = tiles.select("label", "block", F.col("x").alias("ox"), F.col("y").alias("oy"), F.explode(around).alias("a")).select("label", "block", "ox", "oy", (F.col("ox") + F.col("a.dx")).alias("x"), (F.col("oy") + F.col("a.dy")).alias("y"), "a.step", "a.side")
+    # at most eight others a cell
+    near = asked.join(tiles, key).groupBy("label", "block", F.col("ox").alias("x"), F.col("oy").alias("y")).agg(F.collect_list(F.struct(F.when(F.col("side") == 0, F.col("ox")).otherwise(F.col("x")).alias("cx"), F.when(F.col("side") == 0, F.col("oy")).otherwise(F.col("y")).alias("cy"), "step", "side", "t")).alias("near"))
+    plan = materialize(tiles.join(near, key, "left"), "plan")
+    rows = dealt.select("label", "node", "n", "v", place).select("label", "node", "n", "v", "block", "cell.*").join(plan, key).withColumn("tile", F.pmod(F.xxhash64("node"), "t").cast("int"))
+
+    def meeting(cx: Column, cy: Column, i: Column, step: Column, j: Column, side: Column) -> Column:
+        return F.struct(cx.alias("cx"), cy.alias("cy"), i.alias("i"), step.alias("step"), j.alias("j"), side.alias("side"))
+
+    # of a meeting (cell, i, step, j): as the first side with every tile j it meets, as the second with every i
+    x, y, tile, zero = F.col("x"), F.col("y"), F.col("tile"), F.lit(0)
+    lo = F.transform(F.sequence(tile, F.col("t") - 1), lambda j: meeting(x, y, tile, zero, j, zero))
+    hi = F.filter(F.transform(F.sequence(zero, tile), lambda i: meeting(x, y, i, zero, tile, F.lit(1))), lambda m: m["i"] < m["j"])
+    out_ = F.flatten(F.transform("near", lambda o: F.transform(F.sequence(zero, o["t"] - 1), lambda k: meeting(o["cx"], o["cy"], F.when(o["side"] == 0, tile).otherwise(k), o["step"], F.when(o["side"] == 0, k).otherwise(tile), o["side"]))))
+    sent = rows.select("label", "block", "node", "n", "v", F.explode(F.concat(lo, hi, F.coalesce(out_, F.filter(lo, lambda m: F.lit(False))))).alias("m")).select("label", "block", "m.*", "node", "n", "v")
+    order = ["label", "block", "cx", "cy", "i", "step", "j"]
+    sent = sent.select(*order, "side", "node", "n", "v").repartition(*order).sortWithinPartitions(*order, "side", "node")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if group and group[0][:6] != row[:6]:
-                    if (r := out(group)) is not None:
-                        yield r
-                    group = []
-                group.append(row)
-        if group and (r := out(group)) is not None:
-            yield r
+        for group in runs(batches, 7):
+            block, i, step, j = (group.column(k)[0].as_py() for k in (1, 4, 5, 6))
+            side, node, n = (group.column(k).to_numpy() for k in (7, 8, 9))
+            alone = step == 0 and i == j
+            first = len(group) if alone else int(np.searchsorted(side, 1))
+            if first == 0 or (not alone and first == len(group)):
+                continue
+            x = matrix(group.column(10).to_pylist())
+            links, low = np.zeros(len(group), np.int64), np.arange(len(group))
+            for p, q in meetings(x[:first], None if alone else x[first:], block, axes, least):
+                q = q if alone else q + first
+                links += np.bincount(p, n[q], len(group)).astype(np.int64) + np.bincount(q, n[p], len(group)).astype(np.int64)
+                low = forest(len(group), np.concatenate((p, np.arange(len(group)))), np.concatenate((q, low)))
+            hit = np.flatnonzero(links)
+            if len(hit):
+                tied = hit[low[hit] != hit]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((node[hit], node[tied]))), pa.array(np.concatenate((links[hit], np.zeros(len(tied), np.int64)))), pa.array(np.concatenate((np.zeros(len(hit), np.int64), node[low[tied]])), mask=np.arange(len(hit) + len(tied)) < len(hit))], names=["node", "links", "up"])
 
     return sent.mapInArrow(tidied(meet), "node bigint, links bigint, up bigint")

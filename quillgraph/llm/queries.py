@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25_packing, centroid_lang, line_crf, mixing, noisy_or, odd_sketch, pii_surrogates, pigeonhole_join, plane_store, suffix_dedup
+from . import bm25_packing, centroid_lang, line_crf, mixing, noisy_or, odd_sketch, oracles, pii_surrogates, pigeonhole_join, plane_store, suffix_dedup
 from .common import load_documents
 
 
@@ -57,4 +57,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Those without a fitted model, a tokenizer or a keyed stream."""
+    return {"op1_pigeonhole_join": oracles.OP1, "op7_suffix_lpf": oracles.OP7, "op8_odd_sketch": oracles.OP8, "op9_mixing": oracles.OP9}

@@ -5,30 +5,35 @@ smaller doc_id. Sorting every suffix of the corpus is not needed for that: equal
 that length contain the same *anchor*, the least-hashed 20-gram in them, so only passages
 around anchors that occur more than once can match.
 
-1. Documents are dealt into chunks of some megabytes. Each chunk sends its anchors' hashes,
-   in buckets; a bucket answers with one bit for each: seen elsewhere or not.
+1. Documents are dealt into chunks of some megabytes, laid out once. Each chunk sends its
+   anchors' hashes, in buckets; a bucket answers with one bit for each: seen elsewhere or not.
 2. Each chunk sends its shared anchors with a hash of their context (all strings of the
-   length that contain the anchor). Equal contexts settle whole groups of copies at once:
-   all but the smallest doc_id's lose the context. Within a chunk this happens before
-   anything is sent.
-3. Anchors whose contexts differ are settled by their text: the suffixes that start in the
-   contexts are sorted, the length of the longest previous factor of each is got from the
-   previous and next smaller document in suffix order, and suffixes where it reaches
-   ``length`` are covered.
-4. An anchor that occurs very often (``HOT``) would gather in one task. Its strings are
-   settled one by one instead: each chunk keeps the first of equal ones and sends a 128-bit
-   hash of it, so they spread over all buckets and a chunk sends each string once.
+   length that contain the anchor). Anchors with equal contexts have equal suffixes and are
+   one entry of the suffix order; of its members all but the smallest doc_id's have the whole
+   context as their longest previous factor, so they lose it. Within a chunk this is found
+   before anything is sent.
+3. Of the contexts that differ, the suffixes of ``length`` bytes and more are put in suffix
+   order; the previous and next smaller position (the nearest suffixes before and after that
+   belong to a smaller document) give each its longest previous factor (``lpf``). Where it
+   reaches ``length`` the suffix is covered.
+4. An anchor that occurs very often (over ``HOT``) would gather in one task, so its suffixes
+   are dealt by all of their first ``length`` bytes instead of by the anchor. They are settled
+   in the same way, by suffix order and factors, first in each chunk, which sends only those
+   that are not covered there, then in their bucket.
 5. Covered intervals meet their documents again, where the rest is hashed or returned.
 
 Everything is compared as UTF-8 bytes on the input, not on what is left. Defined results: a
 null text is empty; texts under ``length`` bytes never lose anything nor cause a removal;
-rows with equal doc_id don't remove each other's text; rows with a null doc_id stay whole
-and cause no removal. Further columns are ignored.
+rows with equal doc_id don't remove each other's text, and all appear; rows with a null
+doc_id stay whole and cause no removal. Further columns are ignored. ``length`` is at least ``GRAM`` + 8;
+less is refused.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,28 +41,37 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, release_shuffles, text_bytes, texts
+from .common import delete_on_exit, materialize, mix64, parallelism, release_shuffles, shared_dir, text_bytes, texts
 
 GRAM = 20
-CHUNK_BYTES, BUCKET_ANCHORS = 8 << 20, 2 << 20
+CHUNK_BYTES, BUCKET_ANCHORS = 8 << 20, 1 << 19
 BLOCK = 1 << 16
-HOT = 1 << 15  #: occurrences of an anchor
-SUFFIXES = 1 << 20
+HOT = 1 << 14  #: occurrences of an anchor
+SUFFIXES = 1 << 19  #: suffixes that are ordered at once, unless one anchor has more
+MOST_FOLDERS = 50_000
 
 ENTRY = np.dtype([("h", "<u8"), ("c", "<u8"), ("d", "<i8"), ("i", "<i4"), ("q", "<i4"), ("l", "<u2"), ("r", "<u2")])
 #: i: the row's place in its chunk's order.
 COVER = np.dtype([("i", "<i4"), ("s", "<i4"), ("e", "<i4")])
-WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("d", "<i8"), ("i", "<i4"), ("s", "<i4")])
 
 
 def ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A chunk's doc_ids (0 where null), whether they are there, its bytes and bounds; in one order whenever it is asked for."""
-    table = table.select(["doc_id", "text"]).take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
+    table = table.take(pc.sort_indices(table.column("row")))
     body, bounds = text_bytes(table.column("text"))
     ids = table.column("doc_id")
     return ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), body, bounds
 
 
+def by_key(rows: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key that occurs, in order, and its rows."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, int)
+    for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        yield int(keys[a]), rows[order[a:z]]
+
+
 def anchors(body: np.ndarray, bounds: np.ndarray, use: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the anchors of every string of ``length`` bytes within a row."""
     window = length - GRAM + 1
@@ -135,34 +149,25 @@ def classes(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e, e["d"][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
 
 
-def later(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows by (a, b, d), and whether a smaller d has the same (a, b)."""
-    w = w[np.lexsort((w["d"], w["b"], w["a"]))]
-    if not len(w):
-        return w, np.zeros(0, bool)
-    fresh = np.concatenate(([True], (w["a"][1:] != w["a"][:-1]) | (w["b"][1:] != w["b"][:-1])))
-    return w, w["d"] > w["d"][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+def string_hash(body: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """To deal strings: equal ones get equal numbers."""
+    h = np.full(len(at), 0x2545F4914F6CDD1D, np.uint64)
+    for i in range(0, length, 8):
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + words_at(body, at + min(i, length - 8)))
+    return h
 
 
-def strings(body: np.ndarray, bounds: np.ndarray, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
-    """WINDOW rows of the strings of ``length`` that start in the intervals, each position once."""
-    edge = np.zeros(len(body) + 1, np.int32)
+def positions(size: int, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
+    """Where the strings of ``length`` in the intervals start, each position once."""
+    edge = np.zeros(size + 1, np.int32)
     np.add.at(edge, lo, 1)
     np.add.at(edge, hi - length + 1, -1)
-    at = np.flatnonzero(np.cumsum(edge) > 0)
-    out = np.zeros(len(at), WINDOW)
-    a, b = np.full(len(at), 0x2545F4914F6CDD1D, np.uint64), np.full(len(at), 0x9E6C63D0876A9A47, np.uint64)
-    for i in range(0, length, 8):
-        word = words_at(body, at + min(i, length - 8))
-        a, b = mix64(a * np.uint64(0x9E3779B97F4A7C15) + word), mix64((b ^ word) * np.uint64(0xD6E8FEB86659FD93))
-    row = np.searchsorted(bounds, at, "right") - 1
-    out["a"], out["b"], out["d"], out["i"], out["s"] = a, b, ids[row], row, at - bounds[row]
-    return out
+    return np.flatnonzero(np.cumsum(edge) > 0)
 
 
-def window_covers(w: np.ndarray, length: int) -> np.ndarray:
-    out = np.zeros(len(w), COVER)
-    out["i"], out["s"], out["e"] = w["i"], w["s"], w["s"] + length
+def string_covers(row: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    out = np.zeros(len(row), COVER)
+    out["i"], out["s"], out["e"] = row, start, start + length
     return out
 
 
@@ -172,30 +177,49 @@ def covers(e: np.ndarray) -> np.ndarray:
     return out
 
 
-def lpf_covered(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
-    """Which suffixes have a previous factor of ``length`` in a smaller document.
+def lpf(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int, least: int = 1) -> np.ndarray:
+    """The longest previous factor of each suffix, by its first ``length`` bytes: the most that it shares with one of a smaller document.
 
-    The suffixes are sorted by their first ``length`` bytes. In that order the longest
-    previous factor is shared with the nearest suffix before or after it that belongs to a
-    smaller document; it reaches ``length`` exactly if that neighbour stands in the same run
-    of equal prefixes, that is, if the run's minimum before or after it is smaller.
+    Adjacent suffixes in suffix order share their common prefix, suffixes further apart the
+    least of those between. The most is shared with the previous or the next smaller position,
+    so only those two count. All suffixes look for them at once: from each neighbour that is
+    not smaller they go on to where that neighbour has got to, and take its least along.
+    A search ends where less than ``least`` is left: of factors below it only that is known.
     """
+    n = len(starts)
     word = [words_at(text, starts + min(i, length - 8)).byteswap() for i in range(0, length, 8)]
     order = np.lexsort(word[::-1])
-    fresh = np.zeros(len(order), bool)
-    fresh[0] = True
-    for w in word:
+    shared, same = np.full(n, length, np.int64), np.ones(max(n - 1, 0), bool)
+    for i, w in zip(range(0, length, 8), word):
         w = w[order]
-        fresh[1:] |= w[1:] != w[:-1]
-    run = np.cumsum(fresh)
-    _, rank = np.unique(docs[order], return_inverse=True)
-    span = int(rank.max()) + 1
-    out = np.zeros(len(order), bool)
-    for side in (slice(None), slice(None, None, -1)):
-        r, d = run[side].astype(np.int64), rank[side].astype(np.int64)
-        r = r if side.step is None else run[-1] - r
-        least = np.minimum.accumulate(d - r * span) + r * span  # of the run so far, itself included
-        out[order[side]] |= least < d
+        at = np.flatnonzero(same & (w[1:] != w[:-1]))
+        x = w[at + 1] ^ w[at]
+        shared[at + 1] = min(i, length - 8) + sum((x < np.uint64(1 << (8 * k))).astype(np.int64) for k in range(1, 8))
+        same[at] = False
+    doc, best = docs[order], np.zeros(n, np.int64)
+    for back in (False, True):
+        d, common = (doc[::-1], np.concatenate(([0], shared[:0:-1]))) if back else (doc, np.concatenate(([0], shared[1:])))
+        common, smaller = common[:n].copy(), np.arange(-1, n - 1)
+        live = np.arange(1, n)
+        while len(live := live[common[live] >= least]):
+            live = live[(smaller[live] >= 0) & (d[smaller[live]] >= d[live])]
+            # all step at once: both are read before either is written
+            step = smaller[live]
+            least_there, there = common[step], smaller[step]
+            common[live] = np.minimum(common[live], least_there)
+            smaller[live] = there
+        common[smaller < 0] = 0
+        best = np.maximum(best, common[::-1] if back else common)
+    out = np.zeros(n, np.int64)
+    out[order] = best
+    return out
+
+
+def covered(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, deal: np.ndarray, length: int) -> np.ndarray:
+    """Which suffixes have a previous factor of ``length``; equal strings have equal ``deal``, by which many are ordered in parts."""
+    out = np.zeros(len(starts), bool)
+    for _, at in by_key(np.arange(len(starts)), mix64(deal) % np.uint64(-(-len(starts) // SUFFIXES) or 1)):
+        out[at] = lpf(text, starts[at], docs[at], length, length) >= length
     return out
 
 
@@ -203,36 +227,51 @@ def _rows(found: dict[int, np.ndarray]) -> list[dict]:
     return [{"kind": "i", "chunk": k, "bucket": None, "blob": v.tobytes()} for k, v in found.items() if len(v)]
 
 
+def laid_out(docs: DataFrame, chunks: int) -> DataFrame:
+    """chunk, row, doc_id, text: written once, a folder's files by chunk, so that no later step shuffles texts."""
+    spark = docs.sparkSession
+    d = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    d = d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    name, folders = f"chunks_{uuid.uuid4().hex}", min(max(chunks, parallelism(spark)), MOST_FOLDERS)
+    path = f"{shared_dir(spark)}/{name}"
+    delete_on_exit(spark, path)
+    d.repartition(folders, "chunk").write.bucketBy(folders, "chunk").option("path", path).option("compression", "zstd").option("parquet.block.size", 16 << 20).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay until the session ends
+    return out
+
+
 def repeated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFrame]:
     """The dealt documents (chunk, doc_id, text), and the intervals to remove (chunk, blob of COVER)."""
+    if length < GRAM + 8:
+        raise ValueError(f"length must be at least {GRAM + 8}")
     spark = docs.sparkSession
-    d = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    size = texts(docs).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     chunks = max(1, -(-size[0] // CHUNK_BYTES), -(-size[1] // 100_000))
     buckets = max(1, -(-size[0] // (14 * BUCKET_ANCHORS)))
-    d = d.select(F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text")
+    d = laid_out(docs, chunks)
     left, most = length - GRAM, 2 * length - GRAM
     blob = pa.schema([("kind", pa.string()), ("chunk", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
     ddl = "kind string, chunk int, bucket int, blob binary"
 
+    STRING = np.dtype([("d", "<i8"), ("i", "<i4"), ("s", "<i4"), ("t", "u1", (length,))])
+
     def table(rows: list[dict]) -> pa.Table:
         return pa.Table.from_pylist(rows, schema=blob)
 
     def found(part: pa.Table):
-        """A chunk's rows and anchors, its distinct hashes by bucket, their number, and each bucket's bounds."""
+        """A chunk's rows and anchors, its distinct hashes by bucket, their number, and the bucket of each."""
         ids, there, body, bounds = ordered(part)
         q, h = anchors(body, bounds, there, length)
         hashes, back, times = np.unique(h, return_inverse=True, return_counts=True)
-        b = bucket_of(hashes, buckets)
-        order = np.argsort(b, kind="stable")
-        return ids, body, bounds, q, h, back, hashes[order], times[order], order, np.searchsorted(b[order], np.arange(buckets + 1))
+        return ids, body, bounds, q, h, back, hashes, times, bucket_of(hashes, buckets)
 
     def send(part: pa.Table) -> pa.Table:
         chunk = part.column("chunk")[0].as_py()
-        *_, hashes, times, _, at = found(part)
+        *_, hashes, times, bucket = found(part)
         both = hashes.view(np.uint8).reshape(-1, 8).copy()
         both[:, 6:] = np.minimum(times, 0xFFFF).astype("<u2").view(np.uint8).reshape(-1, 2)
-        return table([{"kind": "h", "chunk": chunk, "bucket": b, "blob": both[at[b] : at[b + 1]].tobytes()} for b in range(buckets) if at[b + 1] > at[b]])
+        return table([{"kind": "h", "chunk": chunk, "bucket": b, "blob": x.tobytes()} for b, x in by_key(both, bucket)])
 
     def answer(part: pa.Table) -> pa.Table:
         bucket, blobs = part.column("bucket")[0].as_py(), [np.frombuffer(x, np.uint8).reshape(-1, 8) for x in part.column("blob").to_pylist()]
@@ -252,23 +291,24 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFr
         if not part.num_rows or not bits.num_rows:
             return table([])
         chunk = part.column("chunk")[0].as_py()
-        ids, body, bounds, q, h, back, hashes, _, order, at = found(part)
+        ids, body, bounds, q, h, back, hashes, _, bucket = found(part)
         flags = np.zeros((2, len(hashes)), bool)
-        for b, x in zip(bits.column("bucket").to_pylist(), bits.column("blob").to_pylist()):
-            n = int(at[b + 1] - at[b])
-            flags[:, order[at[b] : at[b + 1]]] = np.unpackbits(np.frombuffer(x, np.uint8), count=2 * n).reshape(2, n)
+        told = dict(zip(bits.column("bucket").to_pylist(), bits.column("blob").to_pylist()))
+        for b, at in by_key(np.arange(len(hashes)), bucket):
+            flags[:, at] = np.unpackbits(np.frombuffer(told[b], np.uint8), count=2 * len(at)).reshape(2, -1)
         many, hot = flags[0][back], flags[1][back]
         rows = []
         if hot.any():
             p = q[hot]
             doc = np.searchsorted(bounds, p, "right") - 1
-            w, gone = later(strings(body, bounds, ids, np.maximum(p - left, bounds[doc]), np.minimum(p + length, bounds[doc + 1]), length))
-            rows += _rows({chunk: merged(window_covers(w[gone], length))})
-            w = w[~gone]
-            b = (w["a"] % np.uint64(buckets)).astype(np.int64)
-            cut = np.argsort(b, kind="stable")
-            edge = np.searchsorted(b[cut], np.arange(buckets + 1))
-            rows += [{"kind": "w", "chunk": chunk, "bucket": k, "blob": w[cut[edge[k] : edge[k + 1]]].tobytes()} for k in range(buckets) if edge[k + 1] > edge[k]]
+            at = positions(len(body), np.maximum(p - left, bounds[doc]), np.minimum(p + length, bounds[doc + 1]), length)
+            row, deal = np.searchsorted(bounds, at, "right") - 1, string_hash(body, at, length)
+            gone = covered(body, at, ids[row], deal, length)
+            rows += _rows({chunk: merged(string_covers(row[gone], (at - bounds[row])[gone], length))})
+            for b, k in by_key(np.flatnonzero(~gone), bucket_of(deal[~gone], buckets)):
+                x = np.zeros(len(k), STRING)
+                x["d"], x["i"], x["s"], x["t"] = ids[row[k]], row[k], (at - bounds[row])[k], body[at[k][:, None] + np.arange(length)]
+                rows.append({"kind": "w", "chunk": chunk, "bucket": b, "blob": x.tobytes()})
         many &= ~hot
         q, h = q[many], h[many]
         if not len(q):
@@ -280,11 +320,8 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFr
         e, least = classes(e)
         behind = e["d"] > least
         mine, e = merged(covers(e[behind])), e[~behind]
-        b = bucket_of(e["h"], buckets)
         rows += _rows({chunk: mine})
-        cut = np.argsort(b, kind="stable")
-        edge = np.searchsorted(b[cut], np.arange(buckets + 1))
-        return table(rows + [{"kind": "e", "chunk": chunk, "bucket": k, "blob": e[cut[edge[k] : edge[k + 1]]].tobytes()} for k in range(buckets) if edge[k + 1] > edge[k]])
+        return table(rows + [{"kind": "e", "chunk": chunk, "bucket": b, "blob": x.tobytes()} for b, x in by_key(e, bucket_of(e["h"], buckets))])
 
     def settle(part: pa.Table) -> pa.Table:
         bucket = part.column("bucket")[0].as_py()
@@ -303,22 +340,16 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFr
         ask = differ[group]
         rows = []
         for kind, what, at in (("i", done, done_at), ("r", e[ask], owner[ask])):
-            cut = np.argsort(at, kind="stable")
-            keys, edge = np.unique(at[cut], return_index=True)
-            for k, a, z in zip(keys.tolist(), edge, np.append(edge[1:], len(cut))):
-                x = what[cut[a:z]]
-                rows.append({"kind": kind, "chunk": k, "bucket": bucket, "blob": (merged(x) if kind == "i" else x).tobytes()})
+            rows += [{"kind": kind, "chunk": k, "bucket": bucket, "blob": (merged(x) if kind == "i" else x).tobytes()} for k, x in by_key(what, at)]
         return table(rows)
 
     def settle_strings(part: pa.Table) -> pa.Table:
-        w = np.concatenate([np.frombuffer(x, WINDOW) for x in part.column("blob").to_pylist()])
-        owner = np.repeat(np.array(part.column("chunk").to_pylist(), np.int32), [len(x) // WINDOW.itemsize for x in part.column("blob").to_pylist()])
-        owner = owner[np.lexsort((w["d"], w["b"], w["a"]))]
-        w, gone = later(w)
-        c, k = window_covers(w[gone], length), owner[gone]
-        cut = np.argsort(k, kind="stable")
-        keys, edge = np.unique(k[cut], return_index=True)
-        return table(_rows({int(v): merged(c[cut[a:z]]) for v, a, z in zip(keys, edge, np.append(edge[1:], len(cut)))}))
+        blobs = [np.frombuffer(x, STRING) for x in part.column("blob").to_pylist()]
+        owner = np.repeat(np.array(part.column("chunk").to_pylist(), np.int32), [len(x) for x in blobs])
+        w = np.concatenate(blobs)
+        text, at = np.ascontiguousarray(w["t"]).ravel(), np.arange(len(w)) * length
+        gone = covered(text, at, w["d"], string_hash(text, at, length), length)
+        return table(_rows({k: merged(x) for k, x in by_key(string_covers(w["i"][gone], w["s"][gone], length), owner[gone])}))
 
     LINE = np.dtype([("h", "<u8"), ("d", "<i8"), ("i", "<i4"), ("s", "<i4"), ("n", "<i4"), ("k", "<i4"), ("t", "u1", (most + 4,))])
 
@@ -348,14 +379,12 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFr
             n = x["n"] - length + 1
             line = np.repeat(np.arange(len(x)), n)
             step = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
-            hit = lpf_covered(np.ascontiguousarray(x["t"]).ravel(), line * (most + 4) + step, x["d"][line], length)
-            c = np.zeros(int(hit.sum()), COVER)
-            c["i"], c["s"] = x["i"][line[hit]], x["s"][line[hit]] + step[hit]
-            c["e"] = c["s"] + length
-            out.append((c, x["k"][line[hit]]))
+            text, at = np.ascontiguousarray(x["t"]).ravel(), line * (most + 4) + step
+            hit = covered(text, at, x["d"][line], string_hash(text, at, length), length)
+            out.append((string_covers(x["i"][line[hit]], x["s"][line[hit]] + step[hit], length), x["k"][line[hit]]))
             a = z
         c, k = (np.concatenate([o[i] for o in out]) for i in (0, 1))
-        return table(_rows({int(v): merged(c[k == v]) for v in np.unique(k)}))
+        return table(_rows({v: merged(x) for v, x in by_key(c, k)}))
 
     sent = d.groupBy("chunk").applyInArrow(send, ddl)
     bits = sent.groupBy("bucket").applyInArrow(answer, ddl)

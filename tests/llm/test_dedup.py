@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from quillgraph.llm import odd_sketch, pigeonhole_join, suffix_dedup
+from quillgraph.llm import odd_sketch, pigeonhole_join, queries, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -145,13 +145,42 @@ def test_passages_of_no_rows(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
-def test_covered_suffixes_by_plain_comparison():
-    text = np.frombuffer(b"abcabcabcabcabcabcabcabcabcabcabcabcabcabcabcabc" * 3, np.uint8)
-    starts = np.arange(0, 100)
-    docs = np.repeat([5, 2], 50)
-    hit = suffix_dedup.lpf_covered(np.ascontiguousarray(text), starts, docs, 32)
-    grams = [bytes(text[s : s + 32]) for s in starts]
-    assert hit.tolist() == [any(g == grams[i] and docs[j] < docs[i] for j, g in enumerate(grams)) for i in range(100)]
+def plain_factors(text, starts, docs, length):
+    grams = [bytes(text[s : s + length]) for s in starts]
+    shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), length)
+    return [max([shared(g, h) for h, e in zip(grams, docs) if e < d], default=0) for g, d in zip(grams, docs)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_longest_previous_factors_by_plain_comparison(seed):
+    r = np.random.default_rng(seed)
+    text = np.concatenate([r.integers(97, 97 + 1 + seed, 400).astype(np.uint8), np.frombuffer(b"abcabc" * 40, np.uint8), np.zeros(8, np.uint8)])
+    starts = r.permutation(len(text) - 50)[:300]
+    docs = r.integers(0, (300, 2, 40)[seed % 3], 300)
+    for length in (32, 50):
+        want = plain_factors(text, starts, docs, length)
+        assert suffix_dedup.lpf(text, starts, docs, length).tolist() == want
+        for least in (9, length):
+            got = suffix_dedup.lpf(text, starts, docs, length, least)
+            assert [max(x, least - 1) for x in got] == [max(x, least - 1) for x in want]
+        hit = suffix_dedup.covered(text, starts, docs, suffix_dedup.string_hash(text, starts, length), length)
+        assert hit.tolist() == [x >= length for x in want]
+
+
+def test_short_passages_are_refused(spark):
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), 27)
+
+
+def test_very_long_texts_and_one_id_for_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 100_000)
+    r = random.Random(3)
+    long = "".join(r.choice("abcdefgh ") for _ in range(400_000))
+    rows = [(1, long), (2, long[1000:300_000]), (3, "x" * 200_000)] + [(4, long[i * 100 : i * 100 + 400]) for i in range(100)] + [(0, long[5:60])]
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), keep_text=False).collect()
+    by = {x.doc_id: x for x in found}
+    assert len(found) == len(rows) and by[1].n_removed == 55 and by[2].n_removed == 299_000 and by[3].n_removed == 0
+    assert all(x.n_removed == x.n_bytes for x in found if x.doc_id == 4)
 
 
 def cloud(seed, n=300, size=64):
@@ -197,3 +226,36 @@ def test_embeddings_of_odd_rows(spark):
     rows = sorted(pigeonhole_join.near_duplicates(df).collect(), key=lambda r: r.vec_id or 0)
     assert [(r.vec_id, r.n_links, r.component_id, r.kept) for r in rows] == [(None, 0, None, False), (2, 1, 2, True), (2, 1, 2, True)]
     assert pigeonhole_join.near_duplicates(df.where("false")).count() == 0
+
+
+def test_embeddings_that_share_an_id_and_families_in_a_table(spark):
+    x = cloud(1, 40, 16)
+    rows = [(1, [float(v) for v in x[0]], 1), (1, [float(v) for v in x[0] * 1.01], 1), (2, [float(v) for v in x[0]], 1), (2, [float(-v) for v in x[0]], 1), (0, [float(-v) for v in x[0]], 1), (9, [float(v) for v in x[0]], 2)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in pigeonhole_join.near_duplicates(df).collect())
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (2, 1, 0, False), (0, 1, 0, True), (9, 0, 9, True)])
+    assert pigeonhole_join.near_duplicates(df.where("false")).count() == 0
+
+
+def plain_rows(found):
+    return found[sorted(found.columns)].astype(str).sort_values(sorted(found.columns)).values.tolist()
+
+
+@pytest.mark.parametrize("name", ["op1_pigeonhole_join", "op7_suffix_lpf", "op8_odd_sketch", "op9_mixing"])
+def test_sql_agrees_on_odd_rows(spark, tmp_path, name):
+    """The counterparts in SQL over a fixture with links, repeated rows, nulls and repeated passages."""
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(11)
+    texts = family_texts(4, 48) + [None, "", " ", "One two", "one TWO", "x " * 300]
+    docs = [(i, t, f"s{i % 4}" if i % 7 else None) for i, t in enumerate(texts)] + [(5, texts[5], "s1")] * 3 + [(60 + k, texts[k] + " " + texts[k + 1], "s0") for k in range(0, 20, 2)]
+    r.shuffle(docs)
+    x = cloud(2, 60, 16)
+    vectors = [(i, [float(v) for v in e], i % 2) for i, e in enumerate(x)] + [(70, None, 1), (71, [0.0] * 16, 1), (72, [float(v) for v in x[0]], None), (73, [float(v) for v in x[0]], 0)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    with duckdb.connect() as c:
+        for t in ("documents", "embeddings"):
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+        want = c.execute(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, str(tmp_path)).toPandas()
+    assert len(got) and plain_rows(got) == plain_rows(want)
