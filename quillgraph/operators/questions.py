@@ -141,6 +141,6 @@ def well_formed(options: Column, index: Column) -> Column:
 def with_distractors(rows: DataFrame) -> DataFrame:
     """New wrong options (distractors) in place of the old, only if there are three; the right one goes to a slot by the question's hash."""
     answer = F.element_at("options", F.col("correct_index") + 1)
-    slot = F.pmod(F.xxhash64("question"), F.lit(4)).cast("int")
+    slot = F.pmod(F.conv(F.substring(draw_key("question"), 1, 8), 16, 10).cast("bigint"), F.lit(4)).cast("int")
     fits = F.coalesce(F.size("distractors") == DISTRACTORS, F.lit(False))
     return rows.select(*(c for c in rows.columns if c not in ("options", "correct_index", "distractors")), F.when(fits, F.array_insert("distractors", slot + 1, answer)).otherwise(F.col("options")).alias("options"), F.when(fits, slot).otherwise(F.col("correct_index")).alias("correct_index"))

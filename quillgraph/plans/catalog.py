@@ -12,7 +12,7 @@ from ..operators import bm25, calls, chunking, extract, grounding, metrics, over
 from ..operators import vectors as vec
 from ..sources import links, markup
 from ..streaming import drain, latency
-from . import views
+from . import leaflets, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -182,7 +182,9 @@ def bm25_search_documents(spark: SparkSession, d: str) -> DataFrame:
     return bm25.search(bm25.postings(t, "doc_id", "text"), bm25.corpus_statistics(t, "doc_id", "text"), "the (hation)", 10).select("id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
+  h AS (SELECT id, len(t) AS dl, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS f FROM d), df AS (SELECT count(*) AS df FROM h WHERE f > 0)
+SELECT id, round(-(CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) END * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM h, s, df WHERE f > 0 ORDER BY round(score, 9), id LIMIT 10""")
 def bm25_search_phrase(spark: SparkSession, d: str) -> DataFrame:
     """A quoted token with inner punctuation is a phrase of consecutive words."""
     t = views.documents(spark, d)
@@ -614,28 +616,6 @@ def largest_page(spark: SparkSession, d: str) -> DataFrame:
     return profile.largest(p).select("id", "size")
 
 
-@query()
-def html_text(spark: SparkSession, d: str) -> DataFrame:
-    t = text.clean(markup.plain(F.col("page.text")))
-    return markup.pages(views.html_pages(spark, d)).select("page_id", F.length(t).alias("n_chars"), F.md5(t.cast("binary")).alias("text_md5"))
-
-
-@query()
-def html_sections(spark: SparkSession, d: str) -> DataFrame:
-    b = markup.pages(views.html_pages(spark, d)).select("page_id", F.posexplode(extract.blocks(F.col("page.text"))).alias("at", "b"))
-    return b.select("page_id", "at", F.col("b.bold").alias("bold"), F.length("b.text").alias("n_chars"))
-
-
-@query()
-def html_runs(spark: SparkSession, d: str) -> DataFrame:
-    return profile.run_sizes(markup.pages(views.html_pages(spark, d)))
-
-
-@query()
-def repeated_headings(spark: SparkSession, d: str) -> DataFrame:
-    return profile.repeated_headings(markup.pages(views.html_pages(spark, d)))
-
-
 # text
 
 
@@ -697,7 +677,8 @@ def running_scores(spark: SparkSession, d: str) -> DataFrame:
     return sessions.running(views.answers(spark, d)).select("session", "turn", "answered_so_far", "correct_so_far")
 
 
-@query()
+@query(f"""WITH {ANS}, weak AS (SELECT session, string_agg(topic, ', ' ORDER BY place) AS weak FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY misses DESC, first_miss, topic) AS place FROM (SELECT session, topic, count(*) AS misses, min(turn) AS first_miss FROM ans WHERE NOT correct GROUP BY 1, 2)) WHERE place <= 3 GROUP BY 1)
+SELECT session, 'Score: ' || right_ || '/' || n || ' (' || CAST(round(100 * right_ / n::DOUBLE, 0) AS INT) || '%)' || coalesce(' · Revisiting: ' || weak, '') AS line FROM (SELECT session, count(*) AS n, count(*) FILTER (correct) AS right_ FROM ans GROUP BY 1) LEFT JOIN weak USING (session)""")
 def score_lines(spark: SparkSession, d: str) -> DataFrame:
     return sessions.score_lines(views.answers(spark, d))
 
@@ -800,7 +781,12 @@ def session_configuration(spark: SparkSession, d: str) -> DataFrame:
     return c.select("session", exam.alias("exam"), mode["general"].alias("general"), mode["subject"].alias("subject"), mode["topic"].alias("topic"))
 
 
-@query()
+_UNIFORM = "('0x' || substr(md5(concat_ws('|', {k}, '{s}')), 1, 8))::BIGINT"
+
+
+@query(f"""WITH {ANS}, weak AS (SELECT session, arg_min(topic, (r, topic)) AS weak FROM (SELECT session, topic, -ln(greatest({_UNIFORM.format(k="session::VARCHAR, topic", s=SEED)} / 4294967296.0::DOUBLE, 1e-12::DOUBLE)) / count(*) AS r FROM ans WHERE NOT correct GROUP BY 1, 2) GROUP BY 1),
+  s AS (SELECT session, weak, weak IS NOT NULL AND {_UNIFORM.format(k="session::VARCHAR, 'revisit'", s=SEED)} / 4294967296.0::DOUBLE < 0.3 AS again FROM (SELECT DISTINCT session FROM ans) LEFT JOIN weak USING (session))
+SELECT session, CASE WHEN again THEN weak WHEN session % 2 = 0 THEN 'explicit' ELSE 'topic ' || {_UNIFORM.format(k="session::VARCHAR, 'general'", s=SEED)} % 5 END AS next_topic, CASE WHEN NOT again AND session % 2 = 1 THEN 'S' END AS next_subject FROM s""")
 def next_topics(spark: SparkSession, d: str) -> DataFrame:
     a = views.answers(spark, d)
     misses = a.where("not correct").groupBy("session", "topic").agg(F.count("*").alias("misses"))
@@ -814,14 +800,17 @@ def recent_questions(spark: SparkSession, d: str) -> DataFrame:
     return sessions.recent(views.answers(spark, d).withColumn("question", F.col("turn").cast("string"))).select("session", flat("recent").alias("recent"))
 
 
-@query()
+@query(f"""WITH q AS ({SQL["mcq_keynote"]}), o AS (SELECT *, string_split(options, ',') AS op, substr('ABCD', correct_index + 1, 1) || ') ' || string_split(options, ',')[correct_index + 1] || '. moderate' AS answer FROM q)
+SELECT remedy, supporting_quote, 'Which remedy is characterized by this keynote symptom: "' || supporting_quote || '"?' || chr(10) || 'A) ' || op[1] || chr(10) || 'B) ' || op[2] || chr(10) || 'C) ' || op[3] || chr(10) || 'D) ' || op[4] AS question,
+  CASE WHEN section_no = 1 THEN 'Correct: ' ELSE 'Not understood. The answer is ' END || answer AS reveal FROM o""")
 def rendered_questions(spark: SparkSession, d: str) -> DataFrame:
     q = questions.keynote(views.statements(spark, d), SEED)
     choice = F.when(F.col("section_no") == 1, F.col("correct_index"))
     return q.select("remedy", "supporting_quote", sessions.rendered(F.col("question"), F.col("options")).alias("question"), sessions.reveal(F.col("question"), F.col("options"), F.col("correct_index"), choice, F.col("difficulty")).alias("reveal"))
 
 
-@query()
+@query(f"""WITH q AS ({SQL["mcq_rubric_to_remedy"]}), x AS (SELECT rubric_id, string_split(options, ',')[correct_index + 1] AS answer, CAST(('0x' || substr(md5('Which remedy is graded 3 under the rubric "' || p_name || '" (' || p_brand || ')?|0'), 1, 8))::BIGINT % 4 AS INT) AS slot FROM q JOIN part ON p_partkey = rubric_id)
+SELECT rubric_id, array_to_string(list_concat(['new 0', 'new 1', 'new 2'][1:slot], [answer], ['new 0', 'new 1', 'new 2'][slot + 1:3]), ',') AS options, slot AS correct_index FROM x""")
 def distractor_insertion(spark: SparkSession, d: str) -> DataFrame:
     q = questions.rubric_to_remedy(views.rubrics(spark, d), views.entries(spark, d), SEED)
     new = questions.with_distractors(q.withColumn("distractors", F.array(*(F.lit(f"new {i}") for i in range(3)))))
@@ -831,41 +820,128 @@ def distractor_insertion(spark: SparkSession, d: str) -> DataFrame:
 # discovery and parsers
 
 
-@query()
+@query(r"""WITH l AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)', 1) AS host, CAST(generate_subscripts(l, 1) - 1 AS INT) AS "at", replace(unnest(l), '&amp;', '&') AS href FROM (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1) AS l FROM pages))
+SELECT "position", "at", url FROM (SELECT page_id AS "position", "at", host || split_part(href, '#', 1) AS url, row_number() OVER (PARTITION BY host || split_part(href, '#', 1) ORDER BY page_id, "at") AS n FROM l WHERE regexp_matches(split_part(href, '#', 1), '^/[A-Za-z]+$')) WHERE n = 1""")
 def discovered_links(spark: SparkSession, d: str) -> DataFrame:
     index = markup.pages(views.html_pages(spark, d)).withColumnRenamed("page_id", "position")
     return links.discovered(index, "^/[A-Za-z]+$").select("position", "at", "url")
 
 
-def _parsed(parser, *names: str, **more) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        pages = markup.pages(views.html_pages(spark, d)).select("url", "page", F.lit("").alias("name"), F.lit("").alias("abbrev"))
-        return parser(pages, "pages", **more).select("url", *(flat(n).alias(n) if n == "keynotes" else n for n in names))
+_LEAF = """p AS (SELECT p_partkey AS id, 'http://leaflets.example.com/' || p_partkey AS url, upper(left(p_name, 1)) || substr(p_name, 2) AS n, p_name AS low, lower(p_type) AS kind, p_brand AS brand,
+  split_part(p_name, ' ', 1) AS first, split_part(p_name, ' ', -1) AS last, upper(left(p_name, 1)) || substr(split_part(p_name, ' ', 1), 2) AS capital, p_partkey % 290 + 1 AS no, p_partkey % 290 + 2 AS more, chr(10) AS nl FROM part)"""
 
-    return run
 
+def _entries(m: str) -> Column:
+    return F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
 
-for _name, _parser, _columns, _more in (
-    ("field_monographs", extract.field_monographs, ("remedy", "intro", "keynotes", "raw_text"), {}),
-    ("dictionary_records", extract.dictionary_records, ("remedy", "raw_text"), {}),
-    ("prose_records", extract.prose_records, ("remedy", "raw_text"), {}),
-    ("keynote_records", extract.keynote_records, ("remedy", "name_full", "keynotes_text"), {}),
-    ("sectioned_records", extract.sectioned_records, ("remedy", "n_symptoms", "raw_text"), {}),
-    ("rubric_records", extract.rubric_records, ("chapter", "rubric", "page"), {"chapter_link": "^/[a-z]+$"}),
-    ("aphorisms", extract.aphorisms, ("aphorism_no", "text"), {}),
-    ("lectures", extract.lectures, ("lecture_no", "title", "n_words"), {}),
-):
-    QUERIES[f"extract_{_name}"] = _parsed(_parser, *_columns, **_more)
 
+def _leaflets(spark: SparkSession, d: str, form: str) -> DataFrame:
+    return leaflets.pages(spark, d, form).drop("id")
 
-@query()
+
+@query(f"""WITH {_LEAF} SELECT url, n AS remedy, 'Leaflet ' || id || '.' || nl || low || ' of ' || kind || nl || ' and ' || nl || n AS intro, low || ' of ' || kind || ',' || n AS keynotes,
+  'Mind=Calm as ' || brand || '.|Modalities=Better, from ' || low || '; Worse, at ' || id || '.|Relationship=Compare: ' || n || ', Rhus.' AS fields, ', from ' || low || ';' AS better, ', at ' || id || '.' AS worse, capital || ',Rhus' AS related,
+  'Leaflet ' || id || '.' || nl || low || ' of ' || kind || nl || ' and ' || nl || n || nl || 'Mind.--' || nl || 'Calm as ' || brand || '.' || nl || 'Modalities.--' || nl || 'Better, from ' || low || '; Worse, at ' || id || '.' || nl || 'Relationship.--' || nl || 'Compare: ' || n || ', Rhus.' AS raw_text FROM p""")
+def extract_field_monographs(spark: SparkSession, d: str) -> DataFrame:
+    r = extract.field_monographs(_leaflets(spark, d, "field_monographs"), "pages")
+    return r.select("url", "remedy", "intro", flat("keynotes").alias("keynotes"), _entries("fields").alias("fields"), F.col("modalities")["better"].alias("better"), F.col("modalities")["worse"].alias("worse"), flat("relations.remedies").alias("related"), "raw_text")
+
+
+@query(f"""WITH {_LEAF} SELECT url, n AS remedy, low || ' ' || kind AS clinical, 'Aggravation=At ' || id || '.|Amelioration=In rest.|Clinical=Used for ' || kind || '.|Mind=Calm as ' || brand || '. Again ' || id || '.|Relations=Compare ' || n || '.' AS fields, 'In rest.' AS better, 'At ' || id || '.' AS worse, capital AS related,
+  low || ' ' || kind || ' -- Clinical.— Used for ' || kind || '. SYMPTOMS. Mind.— Calm as ' || brand || '. Aggravation.– At ' || id || '. Amelioration.— In rest. Relations.— Compare ' || n || '. Mind.— Again ' || id || '.' AS raw_text FROM p""")
+def extract_dictionary_records(spark: SparkSession, d: str) -> DataFrame:
+    r = extract.dictionary_records(_leaflets(spark, d, "dictionary_records"), "pages")
+    return r.select("url", "remedy", flat("clinical").alias("clinical"), _entries("fields").alias("fields"), F.col("modalities")["better"].alias("better"), F.col("modalities")["worse"].alias("worse"), flat("relations.remedies").alias("related"), "raw_text")
+
+
+@query(f"""WITH {_LEAF} SELECT url, n[1] || first[2:] || ' ' || upper(last[1]) || last[2:] AS remedy, n || ',Rhus tox' AS mentions, 'Compare ' || n || '.' AS relations, capital AS related, 'A leaflet of ten words or more about the ' || low || ' of part number ' || id || '. Compare ' || n || '.' AS raw_text FROM p""")
+def extract_prose_records(spark: SparkSession, d: str) -> DataFrame:
+    r = extract.prose_records(_leaflets(spark, d, "prose_records"), "pages")
+    return r.select("url", "remedy", flat("remedy_mentions").alias("mentions"), F.col("relations.raw").alias("relations"), flat("relations.remedies").alias("related"), "raw_text")
+
+
+@query(f"""WITH {_LEAF} SELECT url, n AS remedy, n || '. The leaflet' AS name_full, 'First of the ' || kind || ';,second of part ' || id || '.' AS keynotes, 'First of the ' || kind || '; second of part ' || id || '. Third.' AS keynotes_text, 'at ' || id || '.' AS worse, capital || ',Rhus' AS related FROM p
+UNION ALL SELECT url, 'Other thing', 'Other thing. Of ' || brand, 'Nothing else is known here.', 'Nothing else is known here.', NULL, '' FROM p""")
+def extract_keynote_records(spark: SparkSession, d: str) -> DataFrame:
+    r = extract.keynote_records(_leaflets(spark, d, "keynote_records"), "pages")
+    return r.select("url", "remedy", "name_full", flat("keynotes").alias("keynotes"), "keynotes_text", F.col("modalities")["worse"].alias("worse"), flat("relations.remedies").alias("related"))
+
+
+@query(f"""WITH {_LEAF} SELECT url, n AS remedy, 7 AS n_symptoms, '1:Mind,2:Head: Hair,48:Relations' AS sections, 'Second thing of part ' || id || '.' AS important, 'fever ' || id AS clinical, capital || ',Rhus' AS related,
+  n || '. Calm as ' || brand || '. Fears the ' || low || ' Second thing of part ' || id || '. Pain of ' || kind || '; At night ' || id || '. Compare ' || n || ', Rhus.' AS raw_text FROM p""")
+def extract_sectioned_records(spark: SparkSession, d: str) -> DataFrame:
+    r = extract.sectioned_records(_leaflets(spark, d, "sectioned_records"), "pages")
+    each = F.flatten(F.transform("sections", lambda x: x["symptoms"]))
+    titles = F.array_join(F.transform("sections", lambda x: F.concat(x["no"].cast("string"), F.lit(":"), x["name"])), ",")
+    return r.select("url", "remedy", "n_symptoms", titles.alias("sections"), flat(F.filter(each, lambda x: x["important"]), "text").alias("important"), flat(F.filter(each, lambda x: x["clinical"].isNotNull()), "clinical").alias("clinical"), flat("relations.remedies").alias("related"), "raw_text")
+
+
+@query(f"""WITH {_LEAF} SELECT url, 'Mind' AS chapter, 'Anger' AS rubric, id::VARCHAR AS page, first || ':3,' || last || ':2,' || kind || ':1' AS remedies, first AS grade3 FROM p UNION ALL SELECT url, 'Mind', 'Anger > evening ' || id, id::VARCHAR, first || ':2', '' FROM p
+UNION ALL SELECT url, 'Head', 'Anger > Pain', id::VARCHAR, last || ':1', '' FROM p UNION ALL SELECT url, 'Head', 'Vertigo > rising', id::VARCHAR, first || ':3', first FROM p""")
+def extract_rubric_records(spark: SparkSession, d: str) -> DataFrame:
+    r = extract.rubric_records(_leaflets(spark, d, "rubric_records"), "pages", chapter_link="^/[a-z]+$")
+    return r.select("url", "chapter", "rubric", "page", flat(F.transform("remedies", lambda x: F.concat(x["name"], F.lit(":"), x["grade"].cast("string")))).alias("remedies"), flat("grade3").alias("grade3"))
+
+
+@query(f"""WITH {_LEAF} SELECT url || '#P' || no AS url, no::INT AS aphorism_no, 'The ' || low || ' of part ' || id || '.' AS text, '1:A note on ' || kind || '.' AS footnotes FROM p UNION ALL SELECT url || '#P' || more || 'E6', more::INT, 'The ' || kind || '.', '*:starred ' || id FROM p""")
+def extract_aphorisms(spark: SparkSession, d: str) -> DataFrame:
+    r = extract.aphorisms(_leaflets(spark, d, "aphorisms"), "pages")
+    return r.select("url", "aphorism_no", "text", flat(F.transform("footnotes", lambda x: F.concat(x["marker"], F.lit(":"), x["text"]))).alias("footnotes"))
+
+
+@query(f"""WITH {_LEAF} SELECT url, no::INT AS lecture_no, n || 's and their use' AS title, no || ' and ' || more AS reference, no || ',' || more AS aphorisms, array_to_string(list_sort(list_distinct([no, more, 7, 8, 9])), ',') AS mentions,
+  n || 's and their use. The ' || low || ' of part ' || id || ' is named in § ' || more || ' and paragraph 7-9.' AS text, 19 AS n_words FROM p""")
+def extract_lectures(spark: SparkSession, d: str) -> DataFrame:
+    r = extract.lectures(_leaflets(spark, d, "lectures"), "pages")
+    return r.select("url", "lecture_no", "title", "reference", flat("aphorisms").alias("aphorisms"), flat("mentions").alias("mentions"), "text", "n_words")
+
+
+@query(f"""WITH {_LEAF}, r AS (
+  SELECT 'sectioned_records' AS source, n || ' § Mind' AS locator, 'Calm as ' || brand || '. Fears the ' || low || ' Second thing of part ' || id || '.' AS text, true AS sparse, 'Materia Medica' AS subject, 1 AS section_no, true AS has_important FROM p
+  UNION ALL SELECT 'sectioned_records', n || ' § Head: Hair', 'Pain of ' || kind || '; At night ' || id || '.', true, 'Materia Medica', 2, false FROM p
+  UNION ALL SELECT 'sectioned_records', n || ' § Relations', 'Compare ' || n || ', Rhus.', true, 'Materia Medica', 48, false FROM p
+  UNION ALL SELECT 'aphorisms', '§ ' || no, 'The ' || low || ' of part ' || id || '.', true, 'Organon of Medicine', NULL, NULL FROM p
+  UNION ALL SELECT 'aphorisms', '§ ' || no || ', footnote 1', 'A note on ' || kind || '.', true, 'Organon of Medicine', NULL, NULL FROM p
+  UNION ALL SELECT 'aphorisms', '§ ' || more, 'The ' || kind || '.', true, 'Organon of Medicine', NULL, NULL FROM p
+  UNION ALL SELECT 'aphorisms', '§ ' || more || ', footnote *', 'starred ' || id, true, 'Organon of Medicine', NULL, NULL FROM p
+  UNION ALL SELECT 'field_monographs', n || ' § ' || f.k, n || ' — ' || f.k || '. ' || f.v, len(string_split(f.v, ' ')) < 15 OR f.k = 'Relationship', 'Materia Medica', NULL, NULL
+    FROM (SELECT n, unnest([{{'k': 'Mind', 'v': 'Calm as ' || brand || '.'}}, {{'k': 'Modalities', 'v': 'Better, from ' || low || '; Worse, at ' || id || '.'}}, {{'k': 'Relationship', 'v': 'Compare: ' || n || ', Rhus.'}}]) AS f FROM p)
+  UNION ALL SELECT 'prose_records', n[1] || first[2:] || ' ' || upper(last[1]) || last[2:], 'A leaflet of ten words or more about the ' || low || ' of part number ' || id || '. Compare ' || n || '.', false, 'Materia Medica', NULL, NULL FROM p)
+SELECT DISTINCT substr(sha1(source || '|' || locator || '|' || text), 1, 16) AS id, source, locator, text, sparse, subject, section_no, has_important FROM r""")
 def built_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Pages parsed as sectioned records and flattened into passages with their subject."""
-    pages = markup.pages(views.html_pages(spark, d)).select("url", "page", F.lit("").alias("name"), F.lit("").alias("abbrev"))
-    return chunking.build({"sectioned_records": extract.sectioned_records(pages, "pages")}).select("id", "locator", "sparse", "subject", "section_no", "has_important")
+    """Leaflets of five forms parsed and flattened into passages with their subject."""
+    forms = ("sectioned_records", "aphorisms", "field_monographs", "prose_records")
+    records = {f: getattr(extract, f)(_leaflets(spark, d, f), "pages") for f in forms}
+    return chunking.build(records).select("id", "source", "locator", "text", "sparse", "subject", "section_no", "has_important")
 
 
-@query()
+@query(f"""WITH {_LEAF} SELECT page.k AS page, page.t AS text FROM (SELECT id, unnest([{{'k': url || '/text', 't': 'The ' || low || ' of part ' || id || '.'}}]) AS page FROM p)""")
+def html_text(spark: SparkSession, d: str) -> DataFrame:
+    """Scripts, styles, comments and titles leave nothing of a page; entities and blanks are what they stand for."""
+    f = leaflets.filled("<title>{n}</title><style>p{{margin:0}}</style><script>var t = '</p>';</script><!-- {id} --><p>The&nbsp;  {low}<br> of <b>part</b>\n{id} .</p>")
+    return leaflets.walked(spark, d, f).select(F.concat("url", F.lit("/text")).alias("page"), text.collapse(text.clean(markup.plain(F.col("page.text")))).alias("text"))
+
+
+@query(f"""WITH {_LEAF}, b AS (SELECT url, unnest([{{'a': 0, 'b': false, 't': 'The ' || low || ' of'}}, {{'a': 1, 'b': true, 't': 'Part ' || id || '.'}}, {{'a': 2, 'b': false, 't': 'Not ' || kind || '.'}}]) AS x FROM p) SELECT url, x.a AS at, x.b AS bold, x.t AS text FROM b""")
+def html_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks with their text, and whether most of it is bold."""
+    f = leaflets.filled("<p>The <i>{low}</i> of</p><div><a name='x'></a><b>Part</b> <b>{id}.</b></div><p> </p><table><tr><td>Not <b>{kind}.</b> </td></tr></table>".replace("<b>{kind}.</b>", "{kind}."))
+    b = leaflets.walked(spark, d, f).select("url", F.posexplode(extract.blocks(F.col("page.text"))).alias("at", "b"))
+    return b.select("url", "at", F.col("b.bold").alias("bold"), F.col("b.text").alias("text"))
+
+
+@query("SELECT unnest(['bold', 'italic']) AS kind, unnest([count(*), 0]) AS noise, unnest([0, count(*)]) AS short, unnest([2 * count(*), count(*)]) AS substantive FROM part")
+def html_runs(spark: SparkSession, d: str) -> DataFrame:
+    f = leaflets.filled("<p><b>--</b><strong>Number</strong> <i>ab</i></p><p><b>{low} {id}</b><em>{kind}</em></p>")
+    return profile.run_sizes(leaflets.walked(spark, d, f))
+
+
+@query(f"""WITH {_LEAF}, h AS (SELECT 'Aggravation:' AS h FROM p UNION ALL SELECT 'Relations.' FROM p UNION ALL SELECT n || '. The leaflet' FROM p UNION ALL SELECT 'Other thing. Of ' || brand FROM p) SELECT h AS heading, count(*) AS n FROM h GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
+def repeated_headings(spark: SparkSession, d: str) -> DataFrame:
+    return profile.repeated_headings(_leaflets(spark, d, "keynote_records"))
+
+
+@query("SELECT doc_id, array_to_string(list_reverse(regexp_extract_all(text, '(?s).')), '') AS answer, 'coaching' AS task, 'stand-in' AS model, NULL::VARCHAR AS error FROM documents")
 def logged_calls(spark: SparkSession, d: str) -> DataFrame:
     """The plug point for model calls with a stand-in for the model."""
     rows = views.documents(spark, d).select("doc_id", F.col("text").alias("prompt"))
@@ -875,7 +951,8 @@ def logged_calls(spark: SparkSession, d: str) -> DataFrame:
 # streams
 
 
-@query()
+@query(f"""WITH {MET}, l AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM met WHERE latency_ms IS NOT NULL)
+SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS start, task, coalesce(path, 'generative') AS path, count(*) AS n, round(sum(latency_ms), 2) AS total_ms FROM met, l WHERE latency_ms IS NOT NULL AND time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= mark GROUP BY ALL""")
 def latency_stream(spark: SparkSession, d: str) -> DataFrame:
     """The latency windows of events read as a stream; the last windows stay open behind the watermark."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
