@@ -5,12 +5,15 @@ a lot. Here the split is done for a whole batch with array operations and every
 piece goes to the library's model once; its ids are kept in arrays of bounded size, found by
 a 64-bit hash. That path is taken for texts in Latin script and common punctuation, where
 the classes of characters are known; every other text, and one that holds the content of an
-added token (such as ``<|endoftext|>``, one id), goes to the library whole.
+added token (such as ``<|endoftext|>``, one id), goes to the library whole. So does every
+text if the vocabulary's file asks for another way of splitting than the one known here.
 """
 
 from __future__ import annotations
 
+import json
 from array import array
+from functools import lru_cache
 
 import numpy as np
 
@@ -41,6 +44,15 @@ def _printable() -> dict[int, str]:
     return {b: chr(b) if b in own else chr(next(rest)) for b in range(256)}
 
 
+def splits_as_known(file: dict) -> bool:
+    """Whether a vocabulary's file asks for byte-level pairs, split by that kind's own pattern, and nothing more."""
+    split, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    plain = not file.get("normalizer") and not file.get("truncation") and not file.get("padding")
+    pieces = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    pairs = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    return bool(plain and pieces and pairs)
+
+
 class Encoder:
     """Ids of texts; 16 bits each where the vocabulary allows it, else 32."""
 
@@ -48,6 +60,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.known = splits_as_known(json.loads(self.library.to_str()))
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.code, self.dtype = ("H", np.dtype("<u2")) if self.library.get_vocab_size() <= 1 << 16 else ("I", np.dtype("<u4"))
         self.kind, self.bytes = _classes(), _printable()
@@ -61,6 +74,8 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.known:
+            return [self.whole(t) for t in texts]
         out: list[np.ndarray] = []
         group, size = [], 0
         for t in texts:
@@ -170,14 +185,10 @@ class Encoder:
         self.pool = np.concatenate((self.pool, np.frombuffer(ids, self.dtype)))
 
 
+@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder a worker process, whatever number of tasks it runs."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    return Encoder(path)
 
 
 def default_vocabulary() -> str:

@@ -116,6 +116,7 @@ def check_packing(rows, docs, library, window=1024):
 @pytest.mark.parametrize("window, shard", [(1024, 1024), (64, 5)])
 def test_packing(spark, data, library, window, shard, monkeypatch):
     monkeypatch.setattr(bm25_packing, "SHARD", shard)
+    monkeypatch.setattr(bm25_packing, "PART_BYTES", 1 << 16)
     docs = load_documents(spark, data).where("doc_id < 150") if window == 64 else load_documents(spark, data)
     rows = bm25_packing.packed(docs, window=window).collect()
     check_packing(rows, [(r.doc_id, r.text) for r in docs.collect()], library, window)
@@ -149,6 +150,42 @@ def test_scores_equal_plain_bm25():
         assert np.allclose(index.scores(seed), want, rtol=1e-5)
 
 
+def test_shards_hold_nearer_neighbours_than_chance(spark, data):
+    """Of the eight best neighbours in one index of all remainders, the part that the own shard holds; a tenth of it is chance."""
+    enc, size = tokens.Encoder(PATH), 100
+    tails = [np.append(x, np.uint16(0))[len(x) // 1024 * 1024 :] for x in enc.encode([r.text or "" for r in load_documents(spark, data).orderBy("doc_id").collect()])]
+    df = np.zeros(50257)
+    for t in tails:
+        df[np.unique(t)] += 1
+    n = len(tails)
+    idf = np.where(df > 0, np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0), 0)
+    keys = bm25_packing.sketches(tails, bm25_packing.term_ranks(idf))
+    shard = np.empty(n, int)
+    shard[np.lexsort(keys.T[::-1])] = np.arange(n) // size
+    whole = bm25_packing.Index(tails, idf, np.mean([len(t) for t in tails]))
+    found = []
+    for seed in range(0, n, 20):
+        score = whole.scores(seed)
+        score[seed] = -1
+        best = np.lexsort((np.arange(n), -score))[:8]
+        found.append((shard[best] == shard[seed]).mean())
+    assert np.mean(found) > 2 * size / n
+    equal = bm25_packing.sketches([tails[0], tails[0][:1].repeat(3), tails[0]], bm25_packing.term_ranks(idf))
+    assert (equal[0] == equal[2]).all() and (np.diff(equal[0]) >= 0).all()
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}])
+def test_another_way_of_splitting_goes_to_the_library(tmp_path, change):
+    import json
+
+    from tokenizers import Tokenizer
+
+    (tmp_path / "v.json").write_text(json.dumps(json.loads(open(PATH).read()) | change))
+    e, plain = tokens.Encoder(str(tmp_path / "v.json")), Tokenizer.from_file(str(tmp_path / "v.json"))
+    texts = ["Some Words here, it's", "", "日本 X", "a  b"]
+    assert not e.known and [x.tolist() for x in e.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def filled(sizes, weights, share, limit):
     """Shares by raising a common level until the total is met."""
     total, lo, hi = share * sum(sizes), 0.0, 10.0 * sum(sizes) + 1
