@@ -3,8 +3,8 @@
 Mentions are found by patterns: mail and IP addresses, phone, card and social security
 numbers, IBANs, secrets (access keys, issued tokens, private keys, what is assigned to a
 keyword such as password in any case and quoting, quoted tokens), and names of persons after
-titles or with a well-known given name; further bare mentions of a name in the same text
-follow it. A mention consists of parts; the distinct parts of
+titles, after phrases that introduce a name ("my name is") or with a well-known given name;
+further bare mentions of a name in the same text follow it. A mention consists of parts; the distinct parts of
 the corpus, each in a canonical form, get surrogates from a keyed SHA-256 stream:
 
 * digits for digits and letters for letters, so length and format stay;
@@ -16,8 +16,10 @@ the corpus, each in a canonical form, get surrogates from a keyed SHA-256 stream
 
 One entity gets one surrogate wherever and however it is written. Surrogates are checked
 against each other and against the corpus's own entities; those that collide are drawn anew
-with the next counter, and grow by letters if the short form is used up. What repeats is
-settled once: texts are replaced by distinct text, not by row.
+with the next counter. Every eight draws the form grows: names, mail names, domains, IBANs and
+secrets by letters, numbers by digits, IPv4 addresses become IPv6 ones; so there is always a
+free one. What repeats is settled once: texts are replaced by distinct text, not by row, and
+the patterns go over each text once.
 
 Defined results: null and empty texts stay as they are; all other columns stay, whatever
 their names; rows with equal or null ids are replaced alike; the number of rows stays.
@@ -28,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import keyed_join, materialize
 
 # Titles by gender, and well-known given names by gender.
 TITLES = {"m": ("Mr", "Herr", "Señor", "Monsieur", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Госпожа"), "u": ("Dr", "Prof", "Professor", "Doctor", "Доктор")}
@@ -37,6 +39,9 @@ GIVEN = {
     "f": ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Ursula", "Monika", "Marie", "Sophie", "María", "Carmen", "Ana", "Анна", "Мария"),
 }
 
+# What introduces a name.
+CUES = ("my name is", "My name is", "Name:", "mein Name ist", "Mein Name ist", "ich heiße", "Ich heiße", "je m'appelle", "Je m'appelle", "mon nom est", "Mon nom est", "me llamo", "Me llamo", "mi nombre es", "Mi nombre es", "меня зовут", "Меня зовут")
+_CUE = "(?:" + "|".join(CUES) + ")"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _HEX = "[0-9A-Fa-f]{1,4}"
 _TITLE = "(?:" + "|".join(t for g in TITLES.values() for t in g) + ")"
@@ -64,16 +69,15 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
     "access": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "secret": r"""(?<=")[0-9a-f]{32,64}(?=")""",
-    "person": rf"(?<!\p{{L}})(?:(?:{_TITLE}\.? ){{1,3}}{_NAME}(?: {_NAME})?|{_KNOWN} {_NAME})(?!\p{{L}})",
+    "person": rf"(?<!\p{{L}})(?:(?:{_TITLE}\.? ){{1,3}}{_NAME}(?: {_NAME})?|{_CUE} {_NAME}(?: {_NAME})?|{_KNOWN} {_NAME})(?!\p{{L}})",
 }
 ANYTHING = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts without a match of this have none of the above; it is cheap.
-MAYBE = rf"[0-9@]|(?:{_PASS}|{_WORDY}){_KEY_END}[=:]|-----BEGIN|::[A-Fa-f]|(?<!\p{{L}})(?:{_TITLE}|{_KNOWN})(?!\p{{L}})"
+MAYBE = rf"[0-9@]|(?:{_PASS}|{_WORDY}){_KEY_END}[=:]|-----BEGIN|::[A-Fa-f]|(?<!\p{{L}})(?:{_TITLE}|{_KNOWN}|{_CUE})(?!\p{{L}})"
 DIGITS = ("phone", "card", "social")
 VOWELS, CONSONANTS = "aeiou", "bdfgklmnprstvz"
 VOWELS_2, CONSONANTS_2 = "аеиоу", "бдгклмнпрств"
-STREAM = 64
-MOST_DRAWS = 24
+STREAM, EACH = 64, 8  #: numbers of a stream; draws before a form grows
 
 
 def kind_of(mention: Column) -> Column:
@@ -99,7 +103,7 @@ def parts_of(kind: Column, mention: Column) -> Column:
 
     def named(w: Column, i: Column) -> Column:
         gender = F.when(w.isin(*GIVEN["f"]), "f").when(w.isin(*GIVEN["m"]), "m").when(female, "f").when(male, "m").otherwise("u")
-        k = F.when(w.rlike(f"^{_TITLE}\\.?$"), "as is").when(i == n - 1, "surname").otherwise(F.concat(F.lit("given "), gender))
+        k = F.when(w.rlike(f"^{_TITLE}\\.?$") | w.isin(*{c for cue in CUES for c in cue.split()}), "as is").when(i == n - 1, "surname").otherwise(F.concat(F.lit("given "), gender))
         blank = F.when(i > 0, " ").otherwise("")
         return F.array(part("as is", blank, blank), part(k, F.lower(w), w))
 
@@ -164,26 +168,32 @@ def payload(key: str) -> Column:
     kind, canon, draw = F.col("kind"), F.col("canon"), F.col("draw")
     seed = F.concat_ws("|", F.lit(key), kind, canon, draw.cast("string"))
     stream = F.concat(*(F.sha2(F.concat(F.lit(f"{i}|"), seed), 256) for i in range(4)))
-    longer = F.when(draw >= 8, F.concat(*(_letter(stream, F.lit(60 + i), "abcdefghijklmnopqrstuvwxyz") for i in range(3)))).otherwise("")
+    more = F.when(draw >= EACH, F.sequence(F.lit(1), F.floor(draw / EACH).cast("int"))).otherwise(F.array().cast("array<int>"))
 
+    def grown(letters: str, each: int = 3) -> Column:
+        return F.array_join(F.transform(more, lambda k: F.concat(*(_letter(stream, k * each + i, letters) for i in range(each)))), "")
+
+    longer, digits = grown("abcdefghijklmnopqrstuvwxyz"), grown("0123456789", 1)
     plus = F.startswith(canon, F.lit("+"))
     bare = F.regexp_replace(canon, r"\+", "")
     fresh = _mapped(stream, bare)
     opening = (_number(stream, F.lit(63), 8) + 2).cast("string")
     phone = F.when(plus, F.concat(F.lit("+"), F.substring(bare, 1, 1), opening, F.substring(fresh, F.lit(3), F.length(bare)))).when(bare.startswith("0"), F.concat(F.lit("0"), opening, F.substring(fresh, F.lit(3), F.length(bare)))).otherwise(F.concat(opening, F.substring(fresh, F.lit(2), F.length(bare))))
-    body = F.concat(F.substring(bare, 1, 1), F.substring(fresh, F.lit(2), F.length(bare) - 2))
+    phone = F.concat(phone, digits)
+    body = F.concat(F.substring(bare, 1, 1), F.substring(fresh, F.lit(2), F.length(bare) - 2), digits)
     card = F.concat(body, F.pmod(F.lit(10) - F.pmod(_luhn_sum(body), F.lit(10)), F.lit(10)).cast("string"))
     valid = F.pmod(_luhn_sum(F.substring(bare, F.lit(1), F.length(bare) - 1)) + F.right(bare, F.lit(1)).try_cast("int"), F.lit(10)) == 0
-    card = F.when(valid, card).otherwise(F.concat(F.substring(bare, 1, 1), F.substring(fresh, F.lit(2), F.length(bare))))
-    social = F.concat(F.lit("9"), F.substring(fresh, F.lit(2), F.length(bare)))
+    card = F.when(valid, card).otherwise(F.concat(F.substring(bare, 1, 1), F.substring(fresh, F.lit(2), F.length(bare)), digits))
+    social = F.concat(F.lit("9"), F.substring(fresh, F.lit(2), F.length(bare)), digits)
     ip = F.concat_ws(".", (_number(stream, F.lit(0), 15) + 240).cast("string"), *(_number(stream, F.lit(i), 256).cast("string") for i in (1, 2, 3)))
     ip6 = F.concat_ws(":", F.lit("2001:db8"), *(F.concat(*(_letter(stream, F.lit(4 * g + i), "0123456789abcdef") for i in range(4))) for g in range(6)))
+    ip = F.when(draw < EACH, ip).otherwise(ip6)
     local = F.concat(_mapped(stream, F.substring_index(canon, "@", 1)), longer)
     reserved = canon.rlike(r"(^|\.)example\.(com|org|net)$")
     above = F.regexp_replace(canon, r"(^|\.)example\.(com|org|net)$", "")
     domain = F.when(reserved & (above == ""), canon).when(reserved, F.concat(_mapped(stream, above), longer, F.regexp_extract(canon, r"\.example\.(?:com|org|net)$", 0)))
     domain = domain.otherwise(F.concat(_mapped(stream, F.regexp_replace(canon, r"\.[a-z]+$", "")), longer, F.lit(".example")))
-    country, account = F.substring(canon, 1, 2), _mapped(stream, F.substring(canon, F.lit(5), F.length(canon)))
+    country, account = F.substring(canon, 1, 2), F.concat(_mapped(stream, F.substring(canon, F.lit(5), F.length(canon))), F.upper(longer))
     iban = F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
     access = F.concat(F.lit("AKIA"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: _letter(stream, i, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")), ""))
     secret = F.concat(_mapped(stream, canon, canon.rlike("^[0-9a-f]+$")), longer)
@@ -196,7 +206,7 @@ def payload(key: str) -> Column:
         end = F.when(kind == "given f", vowels[0]).when(kind == "given m", _letter(stream, F.lit(20), consonants)).otherwise(vowels[1])
         return F.when(kind == "surname", F.concat(syllables(3, 0, vowels, consonants), _letter(stream, F.lit(20), consonants))).otherwise(F.concat(given, _letter(stream, F.lit(21), consonants), end))
 
-    names = F.concat(F.when(canon.rlike(r"\p{IsCyrillic}"), name(VOWELS_2, CONSONANTS_2)).otherwise(name(VOWELS, CONSONANTS)), F.when(canon.rlike(r"\p{IsCyrillic}"), "").otherwise(longer))
+    names = F.concat(F.when(canon.rlike(r"\p{IsCyrillic}"), F.concat(name(VOWELS_2, CONSONANTS_2), grown(VOWELS_2 + CONSONANTS_2))).otherwise(F.concat(name(VOWELS, CONSONANTS), longer)))
     out = F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "social", social).when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "mail", local).when(kind == "domain", domain)
     return out.when(kind == "iban", iban).when(kind == "access", access).when(kind == "secret", secret).otherwise(names)
 
@@ -207,7 +217,7 @@ def rendered(kind: Column, form: Column, new: Column) -> Column:
         def step(acc: Column, c: Column) -> Column:
             return F.when(c.rlike(member), F.struct(F.concat(acc["s"], F.substring(chars, acc["i"], F.lit(1))).alias("s"), (acc["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(acc["s"], c).alias("s"), acc["i"].alias("i")))
 
-        return F.aggregate(F.split(form, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("i")), step, lambda a: a["s"])
+        return F.aggregate(F.split(form, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("i")), step, lambda a: F.concat(a["s"], F.substring(chars, a["i"], F.length(chars))))
 
     shout = (F.upper(form) == form) & (F.lower(form) != form) & (F.length(form) > 1)
     out = F.when(kind.isin(*DIGITS), put("[0-9]", F.regexp_replace(new, r"\+", ""))).when(kind == "iban", put("[A-Z0-9]", new))
@@ -216,33 +226,46 @@ def rendered(kind: Column, form: Column, new: Column) -> Column:
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """kind, canon, new for distinct entities (kind, canon): distinct, and none that the corpus has."""
+    """kind, canon, new for distinct entities (kind, canon): distinct, and none that the corpus has.
+
+    Only those that collide are drawn again. Of equal draws the first stands; what stands once
+    is never given again.
+    """
     scope = F.when(F.col("kind") == "mail", F.substring_index("canon", "@", -1)).otherwise("")
-    live = entities.select("kind", "canon", F.lit(0).alias("draw")).withColumn("scope", scope)
-    for _ in range(MOST_DRAWS):
+    own = entities.select("kind", F.when(F.col("kind") == "mail", F.substring_index("canon", "@", 1)).otherwise(F.col("canon")).alias("new")).distinct()
+    live, settled = entities.select("kind", "canon", F.lit(0).alias("draw")).withColumn("scope", scope), None
+    while True:
         drawn = live.withColumn("new", payload(key))
-        own = entities.select(F.col("kind").alias("k"), F.when(F.col("kind") == "mail", F.substring_index("canon", "@", 1)).otherwise(F.col("canon")).alias("c")).distinct()
-        taken = drawn.join(own, (F.col("kind") == F.col("k")) & (F.col("new") == F.col("c")), "left").withColumn("exists", F.col("k").isNotNull() & ~(F.col("kind").isin("domain") & (F.col("new") == F.col("canon")))).drop("k", "c")
-        rank = F.row_number().over(Window.partitionBy("kind", "scope", "new").orderBy("draw", "canon"))
-        checked = materialize(taken.withColumn("again", F.col("exists") | (rank > 1)), "surrogates")
+        taken = drawn.join(own.withColumn("had", F.lit(True)), ["kind", "new"], "left")
+        # a reserved domain stands for itself
+        again = F.col("had").isNotNull() & ~((F.col("kind") == "domain") & (F.col("new") == F.col("canon")))
+        if settled is not None:
+            taken = taken.join(settled.select("kind", "scope", "new", F.lit(True).alias("given")), ["kind", "scope", "new"], "left")
+            again = again | F.col("given").isNotNull()
+        rank = F.row_number().over(Window.partitionBy("kind", "scope", "new").orderBy("canon"))
+        checked = materialize(taken.select("kind", "canon", "draw", "scope", "new", (again | (rank > 1)).alias("again")), "surrogates")
+        done = checked.where("not again")
+        settled = done if settled is None else settled.unionByName(done)
         if not checked.where("again").limit(1).count():
-            return checked.select("kind", "canon", "new")
-        live = checked.select("kind", "canon", F.when(F.col("again"), F.col("draw") + 1).otherwise(F.col("draw")).alias("draw"), "scope")
-    raise ValueError(f"surrogates still collide after {MOST_DRAWS} draws")
+            return settled.select("kind", "canon", "new")
+        live = checked.where("again").select("kind", "canon", (F.col("draw") + 1).alias("draw"), "scope")
 
 
-def replaced(docs: DataFrame, key: str = "surrogates", count: str | None = None) -> DataFrame:
-    """``docs`` with surrogates in text; with ``count`` a further column of that name with the number of mentions."""
+def replaced(docs: DataFrame, key: str, count: str | None = None) -> DataFrame:
+    """``docs`` with surrogates in text, drawn by a secret ``key``; with ``count`` a further column of that name with the number of mentions."""
     spare = "pii"
     while any(c.startswith(spare) for c in docs.columns):
         spare += "_"
     if count in docs.columns:
         raise ValueError(f"the input has a column {count} already")
-    m, h, key_of, outs, names = (f"{spare}{x}" for x in ("m", "h", "k", "o", "n"))
+    if not key:
+        raise ValueError("a key is needed")
+    m, h, key_of, outs, names, split = (f"{spare}{x}" for x in ("m", "h", "k", "o", "n", "s"))
     found = F.when(F.col("text").rlike(MAYBE), F.regexp_extract_all("text", F.lit(ANYTHING), F.lit(0)))
-    marked = docs.withColumn(m, found)
+    # written once, as the patterns are dear
+    marked = materialize(docs.withColumn(m, found), "marked")
     some = F.coalesce(F.size(m) > 0, F.lit(False))
-    hits = materialize(marked.where(some).withColumn(h, F.sha2("text", 256)), "mentions")
+    hits = materialize(marked.where(some).withColumns({h: F.sha2("text", 256), split: F.split("text", ANYTHING, -1)}).drop("text"), "mentions")
     mentions = hits.select(F.explode(F.array_distinct(m)).alias("mention")).distinct()
     parts = materialize(mentions.select("mention", F.posexplode(parts_of(kind_of(F.col("mention")), F.col("mention")))).select("mention", "pos", "col.*"), "parts")
     new = surrogates(parts.where("kind <> 'as is'").select("kind", "canon").distinct(), key)
@@ -250,7 +273,9 @@ def replaced(docs: DataFrame, key: str = "surrogates", count: str | None = None)
     named = (F.col("kind").startswith("given") | (F.col("kind") == "surname")) & ~F.col("canon").isin(*NO_NAMES)
     made = materialize(made.groupBy("mention").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "").alias("out"), F.collect_list(F.when(named, F.struct("canon", "new"))).alias("names")), "rendered")
     once = hits.select(F.col(h).alias(key_of), F.posexplode(m)).distinct()
-    lists = once.join(made, once["col"] == made["mention"]).groupBy(key_of).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]).alias(outs), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias(names))
+    once = materialize(once.withColumnRenamed("col", "mention"), "once")
+    made = materialize(made.join(once.groupBy("mention").agg(F.count("*").alias("times")), "mention"), "made")
+    lists = keyed_join(once, made, ["mention"], "times").groupBy(key_of).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]).alias(outs), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias(names))
     def known(word: Column) -> Column:
         return F.get(F.filter(F.col(names), lambda x: x["canon"] == F.lower(word)), F.lit(0))["new"]
 
@@ -260,7 +285,7 @@ def replaced(docs: DataFrame, key: str = "surrogates", count: str | None = None)
     def renamed(between: Column) -> Column:
         return F.array_join(F.zip_with(F.split(between, BARE, -1), F.regexp_extract_all(between, F.lit(BARE), F.lit(0)), lambda a, w: F.concat(a, follow(w))), "")
 
-    between, some_names = F.split("text", ANYTHING, -1), F.size(names) > 0
+    between, some_names = F.col(split), F.size(names) > 0
     rest = F.when(some_names, F.transform(between, renamed)).otherwise(between)
     text = F.array_join(F.zip_with(rest, F.col(outs), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     further = F.transform(between, lambda a: F.size(F.filter(F.regexp_extract_all(a, F.lit(BARE), F.lit(0)), lambda w: known(w).isNotNull())))

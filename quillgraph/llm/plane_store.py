@@ -31,6 +31,7 @@ from .common import materialize, parallelism, small_batches, texts, tidied
 from .tokens import default_vocabulary, encoder
 
 SEGMENT, BLOCK = 1 << 18, 1 << 16  #: ids
+SHARD_BYTES = 32 << 20  #: of text in a shard, about
 STORE = "shard int, segment int, first_id bigint, doc_ids array<bigint>, n_tokens array<bigint>, width int, planes string, block int, n_ids bigint, index array<bigint>, data binary"
 
 
@@ -78,7 +79,10 @@ def encode_store(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2
     """Segments of all documents, ``end_id`` after each (columns of STORE)."""
     path = vocabulary or default_vocabulary()
     small_batches(docs.sparkSession)
-    dealt = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(parallelism(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # rows that share an id are dealt by how their texts begin, which agrees with their order
+    dealt = rows.repartitionByRange(max(parallelism(docs.sparkSession), size // SHARD_BYTES), "doc_id", F.left("text", F.lit(64))).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(path), TaskContext.get().partitionId()

@@ -24,7 +24,7 @@ def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_surrogates.replaced(load_documents(spark, sf_dir), count="n_mentions")
+    return pii_surrogates.replaced(load_documents(spark, sf_dir), key="key of the query", count="n_mentions")
 
 
 def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

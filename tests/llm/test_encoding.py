@@ -297,7 +297,7 @@ def luhn(digits):
 
 def test_surrogates_keep_type_format_and_coreference(spark):
     docs = spark.createDataFrame([(1, PII, "v", "w"), (2, "again anna.b@mail.example.com and 10.1.2.3", "v", "w"), (3, "nothing here", None, None), (4, None, None, None), (5, "", None, None), (1, PII, "v", "w")], "doc_id bigint, text string, pii string, h string")
-    rows = pii_surrogates.replaced(docs, count="n").collect()
+    rows = pii_surrogates.replaced(docs, "k", count="n").collect()
     out = [r.text for r in rows if r.doc_id == 1]
     assert len(rows) == 6 and out[0] == out[1]
     new, second = out[0], next(r for r in rows if r.doc_id == 2).text
@@ -328,7 +328,7 @@ def test_surrogates_of_more_forms(spark):
     kept = ["The token: an old coin.", "At 12:30:45 on 01-02-2023.", "std::vector and a secret: nobody knows", "The Smith of a village"]
     rows = [(i, f"Now {t} then.", None) for i, t in enumerate([*secrets, *other])] + [(100 + i, t, None) for i, t in enumerate(kept)]
     rows += [(200, "Mr Smith came. Smith said so, and SMITH left with Smith's dog; Smithson stayed.", None), (201, "2001:db9:0:0::1 and 2001:DB9::1", None)]
-    out = {r.doc_id: r for r in pii_surrogates.replaced(spark.createDataFrame(rows, "doc_id bigint, text string, x string"), count="n").collect()}
+    out = {r.doc_id: r for r in pii_surrogates.replaced(spark.createDataFrame(rows, "doc_id bigint, text string, x string"), "k", count="n").collect()}
     for i, (t, gone) in enumerate({**secrets, **other}.items()):
         assert gone not in out[i].text and out[i].n == 1 and out[i].text.startswith("Now ") and out[i].text.endswith(" then."), (t, out[i].text)
     assert out[0].text.startswith('Now password="') and out[0].text.count('"') == 2 and "Prof. Dr. " in out[len(secrets) + 6].text
@@ -342,7 +342,7 @@ def test_surrogates_of_more_forms(spark):
 def test_surrogates_are_distinct_and_new(spark):
     rows = [(i, f"x {chr(97 + i % 26)}@a.example.com 1.1.{i // 250}.{i % 250} y") for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    out = {r.doc_id: r.text.split() for r in pii_surrogates.replaced(docs).collect()}
+    out = {r.doc_id: r.text.split() for r in pii_surrogates.replaced(docs, "k").collect()}
     mails, ips = {}, {}
     for i, t in rows:
         mails.setdefault(t.split()[1], set()).add(out[i][1])
@@ -353,11 +353,35 @@ def test_surrogates_are_distinct_and_new(spark):
         assert len(set(made)) == len(m) and not set(made) & set(m)
 
 
+def test_used_up_forms_grow(spark):
+    """As many entities of a form as it has members: each gets one of its own all the same."""
+    rows = [(i, f"Call 0{i:02d} 100 200 or Mr. {a}{b}. Host 10.0.{i % 8}.{i // 8}.") for i, (a, b) in enumerate((x, y) for x in "ABCDEFGHIJ" for y in "abcdefgh")]
+    rows += [(500, "Господин Ив"), (501, "secret=a1"), (502, "secret=b2")] + [(600 + i, f"token={c}{d}") for i, (c, d) in enumerate((x, y) for x in range(10) for y in range(10))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r.doc_id: r.text for r in pii_surrogates.replaced(docs, "k").collect()}
+    tokens_, names = [out[600 + i] for i in range(100)], [out[i].split("Mr. ")[1].split(".")[0] for i in range(80)]
+    assert len(set(tokens_)) == 100 and not set(tokens_) & {t for _, t in rows}
+    assert len(set(names)) == 80
+    assert any(len(t) > len("token=00") for t in tokens_)
+
+
+def test_names_behind_phrases_that_introduce_them(spark):
+    texts = ["Hello, my name is Zoltan Vexley and Zoltan smiles.", "Меня зовут Григорий Лапин.", "Je m'appelle Odile.", "Name: Quentin Marsh", "My name is not known."]
+    long = "word " * 60_000 + "mail me at a.b@c.org or a.b@c.org. " + "word " * 60_000
+    docs = spark.createDataFrame([*enumerate(texts), (9, long)], "doc_id bigint, text string")
+    out = {r.doc_id: r for r in pii_surrogates.replaced(docs, "k", count="n").collect()}
+    for i, gone in enumerate(("Zoltan", "Григорий", "Odile", "Quentin")):
+        assert gone not in out[i].text and out[i].n >= 1, out[i].text
+    assert out[0].text.startswith("Hello, my name is ") and out[4].text == texts[4] and out[9].n == 2 and "a.b@c.org" not in out[9].text
+    with pytest.raises(ValueError):
+        pii_surrogates.replaced(docs, "")
+
+
 def test_surrogates_use_no_python_and_no_rows(spark):
     docs = spark.createDataFrame([(1, PII)], "doc_id bigint, text string")
-    plan = pii_surrogates.replaced(docs)._jdf.queryExecution().toString()
+    plan = pii_surrogates.replaced(docs, "k")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
-    assert pii_surrogates.replaced(docs.where("false")).count() == 0
+    assert pii_surrogates.replaced(docs.where("false"), "k").count() == 0
 
 
 def test_pipeline_stages(spark, data):
