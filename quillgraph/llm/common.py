@@ -196,6 +196,27 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
+SAMPLE_BYTES = 128 << 20  #: most text that a model is fitted on
+
+
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` of the rows (doc_id, text, ...) for a fit, however often an id or a row repeats; in one partition, in the order of a hash."""
+    n = rows.count()
+    part = min(1.0, most / n) if n else 1.0
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("part")), F.lit(1_000_000)) < part * 1_000_000).limit(2 * most) if part < 1 else rows
+    return some.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", "text"), "doc_id", "text")
+
+
+def up_to(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows up to ``size`` bytes in one column, one row at least."""
+    for whole in batches:
+        for b in slices(whole, column):
+            yield b
+            size -= pc.sum(pc.fill_null(pc.binary_length(b.column(column)), 0)).as_py() or 0
+            if size <= 0:
+                return
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(33))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, small_batches, text_bytes, texts, tidied, word_hashes, word_spans
+from .common import SAMPLE_BYTES, bounded, mix64, slices, small_batches, text_bytes, texts, tidied, up_to, word_hashes, word_spans
 
 SAMPLE, ROUNDS, TURNS = 6000, 120, 3
 SHARE = 0.5  #: least share of words in content lines
@@ -216,11 +216,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
     picked = known.where("quality = 0").orderBy(*order).limit(sample // 2).unionByName(known.where("quality <> 0").orderBy(*order).limit(sample // 2))
     small_batches(docs.sparkSession)
     # at most ``sample`` pairs of numbers
-    rows = texts(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality").repartition(1).sortWithinPartitions("doc_id", "text")
+    rows = bounded(texts(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality"), sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, row, good, n = [np.zeros((0, len(STEPS) + 1), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], 0
-        for batch in (x for whole in batches for x in slices(whole, 1)):
+        for batch in up_to(batches, 1, SAMPLE_BYTES):
             b = Batch(batch.column(1))
             ok = batch.column(2).to_numpy(zero_copy_only=False) != 0
             use = (~b.failed())[b.line_row]  # those that fail the base rules teach the field nothing

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, small_batches, text_bytes, texts, tidied, word_hashes, word_spans
+from .common import SAMPLE_BYTES, bounded, held_out, slices, small_batches, text_bytes, texts, tidied, up_to, word_hashes, word_spans
 
 SAMPLE, WORDS, ROUNDS = 12_000, 8192, 250
 STEMS = (4, 6)  #: lengths in bytes of the beginnings of words that are features too
@@ -122,10 +122,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
     known = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit("sample")), "doc_id").limit(sample)
     small_batches(docs.sparkSession)
     # at most ``sample`` pairs of numbers
-    rows = texts(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions("doc_id", "text")
+    rows = bounded(texts(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic"), sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, w, bias = fit([(b.column(1), b.column(2).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows], words, rounds)
+        h, w, bias = fit([(b.column(1), b.column(2).to_numpy(zero_copy_only=False)) for b in up_to(batches, 1, SAMPLE_BYTES) if b.num_rows], words, rounds)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(h, np.uint64(0)).view(np.int64)), pa.array(np.append(w, bias)), pa.array([False] * len(h) + [True])], names=["h", "w", "bias"])
 
     model = rows.mapInArrow(tidied(run), "h bigint, w double, bias boolean").collect()  # at most words + 1 rows

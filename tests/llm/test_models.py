@@ -53,6 +53,16 @@ def test_field_without_labels_or_rows(spark):
     assert line_crf.quality(docs.where("false"), labels).count() == 0
 
 
+def test_share_of_one_half_is_kept_and_rows_that_share_an_id_are_judged_each(spark):
+    width = line_crf.WIDTH
+    weights, jump = np.zeros((width, 2)), np.zeros((2, 2))
+    words = " ".join(f"w{i}" for i in range(11))
+    docs = spark.createDataFrame([(1, words), (1, words + "\nother " + words), (1, "short"), (None, words)], "doc_id bigint, text string")
+    rows = line_crf.judged(docs, (weights, jump)).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.base_failed, r.kept) for r in rows) == [(0, 11, False, True), (1, 1, True, False), (1, 11, False, True), (1, 23, True, False)]
+    assert len(rows) == 4 and all(r.kept == (not r.base_failed and r.content_share >= line_crf.SHARE) for r in rows)
+
+
 def test_viterbi_and_marginals_by_enumeration():
     r = np.random.default_rng(1)
     for n in (1, 2, 5):
@@ -140,7 +150,8 @@ def test_noisy_or_score_is_one_minus_the_product():
 def test_toxicity_on_the_tables(spark, data):
     labels = spark.read.parquet(f"{data}/labels.parquet")
     r = noisy_or.toxicity(load_documents(spark, data), labels).join(labels, "doc_id").toPandas()
-    assert r[r.toxic == 0].predicted.mean() < 0.02 and r[(r.toxic == 1)].predicted.mean() > 0.5
+    r = r[r.held_out]
+    assert r[r.toxic == 0].predicted.mean() < 0.02 and r[r.toxic == 1].predicted.mean() >= 0.5
 
 
 def test_language_held_out(spark, data):
@@ -163,13 +174,86 @@ def test_language_of_odd_rows(spark):
     assert centroid_lang.languages(docs.where("false")).count() == 0
 
 
-def test_counts_equal_plain_ngrams():
-    x = centroid_lang.counts(pa.array(["Ab, c", "", None, "aa aa"]))
-    assert x.sum(axis=1).tolist()[1:3] == [0, 0]
-    one = "ab  c"
-    pairs = [one[i : i + 2] for i in range(4) if one[i : i + 2] != "  "]
-    triples = [one[i : i + 3] for i in range(3) if one[i : i + 2] != "  "]
-    assert x[0].sum() == len(pairs) + len(triples)
+def plain_grams(text):
+    """n-grams of one text by slices."""
+    import unicodedata
+
+    x = "".join(c if unicodedata.category(c)[0] in "LM" or c >= "\u3400" else " " for c in (text or "").lower())
+    return Counter(g for n in (1, 2, 3) for g in (x[i : i + n] for i in range(len(x) - n + 1)) if not g.startswith("  ") and g != " ")
+
+
+def test_counts_equal_plain_ngrams(monkeypatch):
+    texts = ["Ab, c", "", None, "aa aa", "ÜBER die Straße", "ПРИВЕТ мир", "日本語 x", "a" * 3000, "é\u0301 \U0001d11e𐐷", " 12 "]
+    for chars in (centroid_lang.CHARS, 5):
+        monkeypatch.setattr(centroid_lang, "CHARS", chars)
+        x = centroid_lang.counts(texts)
+        for t, row in zip(texts, x):
+            want = plain_grams(t)
+            # equal but for grams that share a dimension
+            assert row.sum() == want.total() and (row > 0).sum() <= len(want) and (len(want) > 200 or (row > 0).sum() >= len(want) - 2)
+            one = centroid_lang.counts([t])[0]
+            assert (one == row).all()
+    assert (centroid_lang.counts(["ABC Straße"]) == centroid_lang.counts(["abc straße"])).all()
+
+
+def test_language_is_that_of_the_nearest_centroid():
+    """Plain cosines, one text and centroid at a time; ties go to the first name."""
+    rows = [(f"the cat and the {w} are here", "en") for w in ("hat", "dog", "mat", "rat")] + [(f"der hund und {w} sind nicht da", "de") for w in ("katze", "haus", "maus")]
+    names, idf, centroids, least = centroid_lang.fit([t for t, _ in rows], [v for _, v in rows])
+    for t in ["the hat", "der hund", "und", "zzz", "the und", "katze hat"]:
+        x, root = centroid_lang.vectors([t], idf)
+        plain = [sum(float(a) * float(b) for a, b in zip(x[0], c)) for c in centroids]
+        assert np.allclose(x[0] @ centroids.T, plain, atol=1e-5) and np.isclose(np.linalg.norm(x[0]), 1, atol=1e-5)
+        assert root[0] == np.sqrt(len(set(plain_grams(t))))
+    twice = centroid_lang.fit([t for t, _ in rows] * 2, ["b"] * len(rows) + ["a"] * len(rows))
+    x, _ = centroid_lang.vectors(["the cat"], twice[1])
+    assert twice[0][int((x @ twice[2].T).argmax()) // centroid_lang.CENTROIDS] == "a"
+
+
+def test_foreign_scripts_are_rejected_and_short_clean_texts_stay(spark, data):
+    docs = load_documents(spark, data)
+    model = centroid_lang.train(docs)
+    texts = ["これは日本語です。今日は天気がいい。" * 5, "привет как дела " * 9, "Ελληνικό κείμενο " * 9, "qzxj wvkq xxzzq kjqz " * 20]
+    clean = [" ".join(WORD.findall(r.text)[:4]) for r in docs.where("lang is not null").limit(200).collect()]
+    rows = spark.createDataFrame(list(enumerate(texts + clean)), "doc_id bigint, text string")
+    got = {r.doc_id: r.rejected for r in centroid_lang.predicted(rows, model).collect()}
+    assert all(got[i] for i in range(4)) and np.mean([got[i] for i in range(4, len(got))]) < 0.02
+
+
+def test_fits_are_bounded_however_often_a_row_repeats(spark):
+    from quillgraph.llm.common import bounded, up_to
+
+    rows = spark.createDataFrame([(1, "same")] * 500 + [(i, f"t{i}") for i in range(500)], "doc_id bigint, text string")
+    assert bounded(rows, 2000).count() == 1000 and bounded(rows, 50).count() <= 100
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(["x" * 1_100_000] * 10)], names=["i", "t"])
+    assert sum(b.num_rows for b in up_to(iter([batch]), 1, 2_000_000)) == 2
+
+
+def test_noisy_or_scores_equal_a_plain_version(spark):
+    """The scorer on whole texts against words, sentences and the product written out."""
+    rows = slur_rows(300, 5)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(900, "Bad! badword?\nvileness. É badwordy"), (901, "")], "doc_id bigint, text string")
+    names, weights, bias = noisy_or.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int"))
+    weight = dict(zip(names.tolist(), weights.tolist()))
+
+    def code(word, n=None):
+        b = word.encode()[: n or None]
+        h = noisy_or.word_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]), True)[0]
+        return int(h + np.uint64(n or 0))
+
+    def plain(text):
+        keep = 1.0
+        for sentence in re.split(r"[.!?\n\r]", text):
+            words = re.findall(r"[A-Za-z\u0080-\U0010ffff]+", sentence)
+            if words:
+                found = {code(w) for w in words} | {code(w, n) for w in words for n in noisy_or.STEMS}
+                keep *= 1 - 1 / (1 + np.exp(-(bias + sum(weight.get(f, 0) for f in found))))
+        return 1 - keep
+
+    got = {r.doc_id: r for r in noisy_or.scored(docs, (names, weights, bias)).collect()}
+    for r in docs.collect():
+        assert np.isclose(got[r.doc_id].score, plain(r.text), atol=1e-9)
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.7)
 
 
 @pytest.mark.parametrize("modulus, remainder", [(3, 1), (5, 0)])
