@@ -75,6 +75,25 @@ def discard(df: DataFrame) -> None:
     store.delete(where, True)
 
 
+MOST_FOLDERS, FOLDER_BYTES = 50_000, 32 << 20
+
+
+def laid_out(df: DataFrame, key: str, folders: int) -> DataFrame:
+    """``df`` written in files by a hash of ``key``, so that joins and groups by it move none of its rows again.
+
+    The table's name in the catalogue goes at once; its files stay until the JVM ends.
+    """
+    spark = df.sparkSession
+    name, folders = f"laid_out_{uuid.uuid4().hex}", min(max(folders, parallelism(spark)), MOST_FOLDERS)
+    path = f"{shared_dir(spark)}/{name}"
+    delete_on_exit(spark, path)
+    df.repartition(folders, key).write.bucketBy(folders, key).option("path", path).option("compression", "zstd").option("parquet.block.size", 16 << 20).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    release_shuffles(spark)
+    return out
+
+
 HOT_KEYS, HOT_ROWS = 1000, 256  #: a hot key holds more than 1/HOT_KEYS of the rows, and HOT_ROWS at least
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, keyed_join, materialize, mix64, release_shuffles, runs, small_batches, text_bytes, texts, tidied, word_hashes, word_spans
+from .common import FOLDER_BYTES, components, discard, keyed_join, laid_out, materialize, mix64, release_shuffles, runs, small_batches, text_bytes, texts, tidied, word_hashes, word_spans
 
 SAMPLES, ROWS, WORDS = 128, 4, 8  #: MinHash samples; samples in a band; 64-bit words of an odd sketch
 PARITY = 2048  #: bits of the parity bitmap of a whole set
@@ -295,6 +295,12 @@ def linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return out.select("row", "doc_id", "n_shingles", *(F.when(known, F.col(c)).when(there, F.col("doc_id")).alias(c) for c in ("class_id", "component_id")), F.when(known, F.col("first")).otherwise(F.col("row")).alias("first"))
 
 
+def _by_row(rows: DataFrame, key: str) -> DataFrame:
+    """The rows laid out by their number: texts are asked for by it up to three times."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return laid_out(rows, key, size // FOLDER_BYTES)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: doc_id, n_shingles, class_id (smallest doc_id with an equal set), component_id, kept.
 
@@ -303,7 +309,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     small_batches(docs.sparkSession, 4)
     rows = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
-    found = linked(materialize(rows, "rows"), size, percent)
+    found = linked(_by_row(rows, "row"), size, percent)
     return found.select("doc_id", "n_shingles", "class_id", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -313,7 +319,7 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     row = "row"
     while row in docs.columns:
         row += "_"
-    table = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    table = _by_row(docs.withColumn(row, F.monotonically_increasing_id()), row)
     named = texts(table, F.col(row).alias("row_of")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("row_of").alias("row"))
     gone = linked(named, size, percent).where("row <> first").select(F.col("row").alias(row))
     return table.join(gone, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

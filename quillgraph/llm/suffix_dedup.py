@@ -32,7 +32,6 @@ less is refused.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,14 +40,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_on_exit, materialize, mix64, parallelism, release_shuffles, shared_dir, text_bytes, texts
+from .common import laid_out, materialize, mix64, release_shuffles, text_bytes, texts
 
 GRAM = 20
 CHUNK_BYTES, BUCKET_ANCHORS = 8 << 20, 1 << 19
 BLOCK = 1 << 16
 HOT = 1 << 14  #: occurrences of an anchor
 SUFFIXES = 1 << 19  #: suffixes that are ordered at once, unless one anchor has more
-MOST_FOLDERS = 50_000
 
 ENTRY = np.dtype([("h", "<u8"), ("c", "<u8"), ("d", "<i8"), ("i", "<i4"), ("q", "<i4"), ("l", "<u2"), ("r", "<u2")])
 #: i: the row's place in its chunk's order.
@@ -227,18 +225,10 @@ def _rows(found: dict[int, np.ndarray]) -> list[dict]:
     return [{"kind": "i", "chunk": k, "bucket": None, "blob": v.tobytes()} for k, v in found.items() if len(v)]
 
 
-def laid_out(docs: DataFrame, chunks: int) -> DataFrame:
-    """chunk, row, doc_id, text: written once, a folder's files by chunk, so that no later step shuffles texts."""
-    spark = docs.sparkSession
+def dealt(docs: DataFrame, chunks: int) -> DataFrame:
+    """chunk, row, doc_id, text: written once by chunk, so that no later step moves texts."""
     d = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    d = d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    name, folders = f"chunks_{uuid.uuid4().hex}", min(max(chunks, parallelism(spark)), MOST_FOLDERS)
-    path = f"{shared_dir(spark)}/{name}"
-    delete_on_exit(spark, path)
-    d.repartition(folders, "chunk").write.bucketBy(folders, "chunk").option("path", path).option("compression", "zstd").option("parquet.block.size", 16 << 20).saveAsTable(name)
-    out = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay until the session ends
-    return out
+    return laid_out(d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "chunk", chunks)
 
 
 def repeated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -249,7 +239,7 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFr
     size = texts(docs).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     chunks = max(1, -(-size[0] // CHUNK_BYTES), -(-size[1] // 100_000))
     buckets = max(1, -(-size[0] // (14 * BUCKET_ANCHORS)))
-    d = laid_out(docs, chunks)
+    d = dealt(docs, chunks)
     left, most = length - GRAM, 2 * length - GRAM
     blob = pa.schema([("kind", pa.string()), ("chunk", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
     ddl = "kind string, chunk int, bucket int, blob binary"
