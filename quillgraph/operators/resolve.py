@@ -47,11 +47,11 @@ def by_prefix(names: DataFrame, index: DataFrame) -> DataFrame:
     return hit.groupBy("name").agg(F.count_distinct("entry").alias("n"), F.min("canonical").alias("canonical")).where("n = 1").select("name", "canonical")
 
 
-def ratio(a: str, b: str) -> Column:
-    """Similarity of two string columns by matching blocks; 0 where it cannot reach 0.85."""
+def ratio(a: str, b: str, least: float = FUZZY - MARGIN) -> Column:
+    """Similarity of two string columns by matching blocks; 0 where it cannot reach ``least``."""
     def one(x: str, y: str) -> float:
         m = SequenceMatcher(None, x, y)
-        return m.ratio() if m.real_quick_ratio() >= 0.85 and m.quick_ratio() >= 0.85 else 0.0
+        return m.ratio() if m.real_quick_ratio() >= least - 1e-9 and m.quick_ratio() >= least - 1e-9 else 0.0
 
     def each(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([one(p, q) for p, q in zip(x, y)], dtype="float64")
@@ -62,14 +62,15 @@ def ratio(a: str, b: str) -> Column:
 def fuzzy(names: DataFrame, index: DataFrame, threshold: float = FUZZY, margin: float = MARGIN) -> DataFrame:
     """name, canonical, score of the entry whose best key is similar enough and leads the next entry by the margin.
 
-    The ratio is at most 2 min / (la + lb); pairs where that is below 0.85 change nothing, so
-    only keys of near lengths meet: an equi-join on the length.
+    The ratio is at most 2 min / (la + lb); pairs where that is below the threshold less the
+    margin change nothing, so only keys of near lengths meet: an equi-join on the length.
     """
+    least = max(threshold - margin, 0.01)
     n = names.select("name", name_key(F.col("name")).alias("k")).where(F.length("k") >= SHORTEST)
     la = F.length("k")
-    n = n.withColumn("len", F.explode(F.sequence(F.ceil(la * 0.85 / 1.15).cast("int"), F.floor(la * 1.15 / 0.85).cast("int"))))
+    n = n.withColumn("len", F.explode(F.sequence(F.ceil(la * (least / (2 - least)) - 1e-9).cast("int"), F.floor(la * ((2 - least) / least) + 1e-9).cast("int"))))
     i = index.where("name_key <> ''").select("entry", "canonical", "name_key").distinct().withColumn("len", F.length("name_key"))
-    best = n.join(i, "len").withColumn("score", ratio("k", "name_key")).groupBy("name", "entry", "canonical").agg(F.max("score").alias("score"))
+    best = n.join(i, "len").withColumn("score", ratio("k", "name_key", least)).groupBy("name", "entry", "canonical").agg(F.max("score").alias("score"))
     order = Window.partitionBy("name").orderBy(F.desc("score"), "entry")
     top = best.withColumn("at", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).where("at = 1")
     return top.where((F.col("score") >= threshold) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= margin))).select("name", "canonical", "score")

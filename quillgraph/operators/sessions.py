@@ -95,6 +95,25 @@ def recent(asked: DataFrame, n: int = 8) -> DataFrame:
     return few.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "question"))), lambda x: x["question"]).alias("recent"))
 
 
+def next_questions(topics: DataFrame, candidates: DataFrame, asked: DataFrame, seed: int | str) -> DataFrame:
+    """session, topic, question: the first one of its topic that the session has not had, null if it had all.
+
+    topics: session, topic; candidates: topic, question; asked: session, question. Each topic's
+    questions stand in a ring in seeded order; a session starts at a place of its own and looks
+    at one more than it has had, so the work grows with what was asked, not with all pairs.
+    """
+    order = Window.partitionBy("topic").orderBy(draw_key("topic", "question", seed=seed), "question")
+    ring = candidates.select("topic", "question").distinct().withColumn("place", F.row_number().over(order) - 1)
+    sizes = ring.groupBy("topic").agg(F.count("*").cast("int").alias("n"))
+    had = asked.select("session", "question").distinct()
+    t = topics.join(had.groupBy("session").agg(F.count("*").cast("int").alias("had")), "session", "left").join(sizes, "topic", "left")
+    start = F.pmod(F.conv(F.substring(draw_key("session", "topic", seed=seed), 1, 8), 16, 10).cast("bigint"), F.col("n"))
+    looks = t.where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.coalesce("had", F.lit(0)), F.col("n") - 1)))).select("session", "topic", "k", F.pmod(start + F.col("k"), F.col("n")).cast("int").alias("place"))
+    fresh = looks.join(ring, ["topic", "place"]).join(had, ["session", "question"], "left_anti")
+    chosen = fresh.groupBy("session", "topic").agg(F.min_by("question", "k").alias("question"))
+    return topics.select("session", "topic").join(chosen, ["session", "topic"], "left")
+
+
 def reveal(question: Column, options: Column, correct: Column, choice: Column, explanation: Column) -> Column:
     """What a player sees after an answer: right, wrong, or not understood."""
     letter = F.substring(F.lit("ABCD"), correct + 1, F.lit(1))

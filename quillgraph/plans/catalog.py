@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import bm25, calls, chunking, extract, grounding, metrics, overlap, profile, questions, repertory, resolve, sessions
+from ..operators import bm25, build, calls, chunking, extract, grounding, metrics, overlap, profile, questions, repertory, resolve, sessions
 from ..operators import vectors as vec
-from ..sources import links, markup
+from ..session import shared_dir
+from ..sources import links, markup, stores
 from ..streaming import drain, latency
 from . import leaflets, views
 
@@ -258,14 +260,18 @@ def failure_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {RUB}, {ENT}, f AS (SELECT id, bool_or(grade = 3 AND remedy_raw = a) AS ok, NOT bool_or(grade = 3 AND remedy_raw = w) AS valid, id % 10 = 0 AS error FROM rub JOIN ent ON id = rubric_id
-  JOIN (SELECT rubric_id AS i, min(remedy_raw) AS a, max(remedy_raw) AS w FROM ent GROUP BY 1) ON i = id GROUP BY id)
-SELECT count(*) FILTER (NOT error) AS n_forward, 0::BIGINT AS n_reverse, count(*) FILTER (error) AS n_errors, round(count(*) FILTER (NOT error AND ok) / count(*) FILTER (NOT error)::DOUBLE, 4) AS answer_correctness, round(count(*) FILTER (NOT error AND valid) / count(*) FILTER (NOT error)::DOUBLE, 4) AS distractor_validity FROM f""")
+  JOIN (SELECT rubric_id AS i, min(remedy_raw) AS a, max(remedy_raw) AS w FROM ent GROUP BY 1) ON i = id GROUP BY id),
+  v AS (SELECT rc, bool_or(grade = 3 AND rubric_id = a) AS ok, rc LIKE '%7' AS error FROM ent JOIN (SELECT remedy_canonical AS rc, min(rubric_id) AS a FROM ent WHERE remedy_canonical IS NOT NULL GROUP BY 1) ON rc = remedy_canonical GROUP BY rc),
+  n AS (SELECT (SELECT count(*) FILTER (NOT error) FROM f) AS nf, (SELECT count(*) FILTER (NOT error) FROM v) AS nv, (SELECT count(*) FILTER (error) FROM f) + (SELECT count(*) FILTER (error) FROM v) AS ne,
+    (SELECT count(*) FILTER (NOT error AND ok) FROM f) + (SELECT count(*) FILTER (NOT error AND ok) FROM v) AS ok, (SELECT count(*) FILTER (NOT error AND valid) FROM f) AS valid)
+SELECT nf AS n_forward, nv AS n_reverse, ne AS n_errors, round(ok / (nf + nv)::DOUBLE, 4) AS answer_correctness, round(valid / nf::DOUBLE, 4) AS distractor_validity FROM n""")
 def repertory_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Forward: is the name that a rubric is answered with one of its grade 3. Reverse: is the rubric that a name is answered with one where it has grade 3."""
     e = views.entries(spark, d)
     g = e.groupBy("rubric_id").agg(F.collect_set(F.when(F.col("grade") == 3, F.col("remedy_raw"))).alias("grade3_all"), F.min("remedy_raw").alias("answer"), F.array(F.max("remedy_raw")).alias("distractors"))
     forward = g.withColumn("error", F.when(F.col("rubric_id") % 10 == 0, "none made"))
-    reverse = spark.createDataFrame([], "answer string, expect_rubrics array<string>, error string")
-    return metrics.repertory_report(forward, reverse)
+    r = e.where("remedy_canonical is not null").groupBy("remedy_canonical").agg(F.collect_set(F.when(F.col("grade") == 3, F.col("rubric_id").cast("string"))).alias("expect_rubrics"), F.min("rubric_id").cast("string").alias("answer"))
+    return metrics.repertory_report(forward, r.withColumn("error", F.when(F.col("remedy_canonical").endswith("7"), "none made")))
 
 
 # passages
@@ -941,6 +947,99 @@ def repeated_headings(spark: SparkSession, d: str) -> DataFrame:
     return profile.repeated_headings(_leaflets(spark, d, "keynote_records"))
 
 
+# a build from index pages to records, and their files
+
+_RECORDS = {"field_monographs": 1, "dictionary_records": 1, "prose_records": 1, "keynote_records": 2, "sectioned_records": 1, "rubric_records": 4, "aphorisms": 2, "lectures": 0}
+
+
+# links as written that are rooted or go up and down again do not fit a pattern anchored at its beginning
+_LINKED = {k: "count(*) FILTER (p_partkey % 10 NOT IN (4, 5))" if k in ("field_monographs", "dictionary_records") else "count(*)" for k in _RECORDS}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS kind, {c} AS n_pages, {n} * {c} AS n_accepted, {0 if n else 1} * {c} AS n_rejected FROM part WHERE p_partkey % 10 <> 3" for (k, n), c in zip(_RECORDS.items(), _LINKED.values())))
+def registry_build(spark: SparkSession, d: str) -> DataFrame:
+    """All collections of the registry: linked leaflets parsed, thin lectures set aside."""
+    out = None
+    for kind in stores.REGISTRY:
+        name = "p{id}x.htm" if kind == "keynote_records" else "lect{id}.htm"
+        bits = name.split("{id}")
+        pages = leaflets.pages(spark, d, kind).withColumn("url", F.concat(F.lit("http://leaflets.example.com/a/" + bits[0]), F.col("id").cast("string"), F.lit(bits[1]))).drop("id")
+        more = {"chapter_link": "^/[a-z]+$"} if kind == "rubric_records" else {}
+        one = build.summary(kind, *build.built(kind, leaflets.indexes(spark, d, name), pages, **more))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {_LEAF} SELECT 'http://leaflets.example.com/a/lect' || id || '.htm' AS url, n || ' ' || id AS name, 'leaflet' AS abbrev FROM p WHERE id % 10 <> 3""")
+def named_pages(spark: SparkSession, d: str) -> DataFrame:
+    return links.named_pages(leaflets.indexes(spark, d), r"lect\d+\.htm$", r"main\.htm")
+
+
+@query(f"""WITH {_LEAF} SELECT 'http://leaflets.example.com/a/lect' || id || '.htm' AS url FROM p WHERE id % 10 <> 3 ORDER BY 1""")
+def two_level_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Chapters that an index names, and the pages that those link to; front matter is left out."""
+    fields = "<a href='x/0.htm'>Title</a><a href='x/1.htm'>One</a>"
+    top = markup.pages(spark.createDataFrame([("http://leaflets.example.com/top.htm", 0, fields)], "url string, position int, html string"))
+    chapters = leaflets.indexes(spark, d).withColumn("url", F.lit("http://leaflets.example.com/x/1.htm")).withColumn("page", F.col("page"))
+    base = links.two_level(top, r"x/\d+\.htm", r"x/0\.htm", chapters, r"lect\d+\.htm$")
+    return base.select(F.regexp_replace("url", "/x/a/", "/a/").alias("url")).distinct()
+
+
+@query("SELECT page_id, CASE WHEN contains(url, '://www.') THEN replace(url, '://www.', '://') ELSE replace(url, '://', '://www.') END AS url FROM pages")
+def other_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return views.load(spark, d, "pages").select("page_id", links.other_host(F.col("url")).alias("url"))
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END AS s_acctbal FROM supplier")
+def json_array_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Records as one JSON array in one file, read back by its schema."""
+    df = views.load(spark, d, "supplier").withColumn("s_acctbal", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal")))
+    at = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    stores.write_json_array(df, at, "s_suppkey")
+    return stores.records(spark, at, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema))
+
+
+@query("SELECT n_name, n_nationkey, CASE WHEN n_regionkey > 0 THEN n_regionkey END AS n_regionkey FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT 'late', 99, 1")
+def json_lines_log(spark: SparkSession, d: str) -> DataFrame:
+    """Records as lines, a log that grows, and lines without the required field left out."""
+    df = views.load(spark, d, "nation").select(F.when(F.col("n_nationkey") % 5 != 0, F.col("n_name")).alias("n_name"), "n_nationkey", F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")).alias("n_regionkey"))
+    at, schema = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    stores.write_json_lines(df, at)
+    stores.append_log(spark.createDataFrame([("late", 99, 1)], schema), at)
+    return stores.json_lines(spark, at, schema, required="n_name")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def table_if_missing(spark: SparkSession, d: str) -> DataFrame:
+    """A table is built where it is missing and left as it is where it is there."""
+    at = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    make = lambda more: lambda: views.load(spark, d, "region").select(F.col("r_regionkey") + more, "r_name").toDF("r_regionkey", "r_name")
+    stores.ensure(spark, at, make(0))
+    return stores.ensure(spark, at, make(1000))
+
+
+@query("SELECT p_partkey AS id, p_name AS text FROM part")
+def rule_stripped(spark: SparkSession, d: str) -> DataFrame:
+    """A box-drawing dash before a text goes, one inside stays away from it."""
+    t = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("─ "), "p_name")).otherwise(F.col("p_name"))
+    return views.load(spark, d, "part").select(F.col("p_partkey").alias("id"), text.strip_rule(t).alias("text"))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT conv_id AS session, 'topic ' || conv_id % 5 AS topic FROM conversations), c AS (SELECT DISTINCT 'topic ' || p_partkey % 6 AS topic, p_name || ' ' || p_partkey AS question FROM part),
+  ring AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY md5(concat_ws('|', topic, question, '{SEED}')), question) - 1 AS place, count(*) OVER (PARTITION BY topic) AS n FROM c),
+  had AS (SELECT conv_id AS session, p_name || ' ' || p_partkey AS question FROM (SELECT DISTINCT conv_id, turn FROM conversations) JOIN part ON p_partkey = conv_id % 5 + 6 * turn),
+  s AS (SELECT t.session, t.topic, ('0x' || substr(md5(concat_ws('|', t.session::VARCHAR, t.topic, '{SEED}')), 1, 8))::BIGINT AS h FROM t),
+  f AS (SELECT s.session, s.topic, arg_min(question, (place - h % n + n) % n) AS question FROM s JOIN ring USING (topic) WHERE NOT EXISTS (SELECT 1 FROM had WHERE had.session = s.session AND had.question = ring.question) GROUP BY 1, 2)
+SELECT t.session, t.topic, question FROM t LEFT JOIN f USING (session, topic)""")
+def next_questions(spark: SparkSession, d: str) -> DataFrame:
+    """What each session is asked next, of what it has not had."""
+    c, p = views.load(spark, d, "conversations"), views.load(spark, d, "part")
+    question = F.concat("p_name", F.lit(" "), "p_partkey")
+    topics = c.select(F.col("conv_id").alias("session"), F.concat(F.lit("topic "), F.col("conv_id") % 5).alias("topic")).distinct()
+    had = c.select(F.col("conv_id").alias("session"), (F.col("conv_id") % 5 + 6 * F.col("turn")).alias("p_partkey")).distinct().join(p, "p_partkey").select("session", question.alias("question"))
+    return sessions.next_questions(topics, p.select(F.concat(F.lit("topic "), F.col("p_partkey") % 6).alias("topic"), question.alias("question")), had, SEED)
+
+
 @query("SELECT doc_id, array_to_string(list_reverse(regexp_extract_all(text, '(?s).')), '') AS answer, 'coaching' AS task, 'stand-in' AS model, NULL::VARCHAR AS error FROM documents")
 def logged_calls(spark: SparkSession, d: str) -> DataFrame:
     """The plug point for model calls with a stand-in for the model."""

@@ -45,3 +45,20 @@ def walked(spark: SparkSession, d: str, body: Column) -> DataFrame:
 
 def pages(spark: SparkSession, d: str, form: str) -> DataFrame:
     return walked(spark, d, filled(FORMS[form]))
+
+
+def indexes(spark: SparkSession, d: str, name: str = "lect{id}.htm") -> DataFrame:
+    """url, position and walked page of an index for each brand: its parts' names in bold, each before a link to its leaflet.
+
+    Parts whose key ends in 3 are not linked; those whose key ends in 4 are linked by a rooted
+    address, those in 5 by one that goes up and down again.
+    """
+    bits = name.split("{id}")
+    file = F.concat(F.lit(bits[0]), F.col("p_partkey").cast("string"), F.lit(bits[1]))
+    last = F.col("p_partkey") % 10
+    href = F.when(last == 4, F.concat(F.lit("/a/"), file)).when(last == 5, F.concat(F.lit("a/../a/./"), file, F.lit("#top"))).otherwise(F.concat(F.lit("a/"), file))
+    entry = F.concat(F.lit("<p><b>"), F.expr(FIELDS["n"]), F.lit(" "), F.col("p_partkey").cast("string"), F.lit('</b> <a href="'), href, F.lit('">leaflet</a></p>'))
+    p = load(spark, d, "part").where("p_partkey % 10 <> 3")
+    g = p.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))), lambda x: x["e"]), "").alias("body"))
+    number = F.regexp_replace("p_brand", "[^0-9]", "").cast("int")
+    return markup.pages(g.select(F.lit("http://leaflets.example.com/index.htm").alias("url"), number.alias("position"), F.concat(F.lit("<html><body><a href='main.htm'>Main</a>"), "body", F.lit("</body></html>")).alias("html")))

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
+from ..session import shared_dir
+
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """The rows that an append-mode stream closes over the input as it is, read back from Parquet.
 
-    The files and the stream's checkpoint lie below spark.checkpoint.dir; a folder of our own
-    serves only where that is not set.
+    The files and the stream's checkpoint lie below spark.checkpoint.dir.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-")
+    base = shared_dir(spark)
     at = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
