@@ -308,7 +308,8 @@ def packed_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 # vectors
 
-_QV = "q AS (SELECT vec_id AS query_id, embedding AS qe, label AS ql FROM embeddings WHERE vec_id < 10)"
+ASKED = "id % 20 = 0"  #: the fixed set of queries, asked of all rows
+_QV = "q AS (SELECT vec_id AS query_id, embedding AS qe, label AS ql FROM embeddings WHERE vec_id % 20 = 0)"
 _SIM = "list_cosine_similarity(qe::DOUBLE[], embedding::DOUBLE[])"
 _HITS = f"""hits AS (SELECT * FROM (SELECT query_id, vec_id AS id, vec_id % 2 = 1 AS sparse, {_SIM} AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round({_SIM}, 12) DESC, vec_id) AS rank
   FROM q, embeddings WHERE vec_id <> query_id) WHERE rank <= 32)"""
@@ -316,9 +317,9 @@ _TOPS = """tops AS (SELECT query_id, n_hits, top_id, top_rank, top_similarity, m
   (SELECT query_id, id AS top_id, rank AS top_rank, similarity AS top_similarity, similarity - nxt AS margin FROM (SELECT *, lead(similarity) OVER w AS nxt, row_number() OVER w AS n FROM hits WHERE NOT sparse WINDOW w AS (PARTITION BY query_id ORDER BY rank)) WHERE n = 1) USING (query_id))"""
 
 
-def _hits(spark: SparkSession, d: str, asked: str = "id < 10") -> DataFrame:
+def _hits(spark: SparkSession, d: str) -> DataFrame:
     v = views.load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", (F.col("vec_id") % 2 == 1).alias("sparse"))
-    q = v.where(asked).select(F.col("id").alias("query_id"), "embedding")
+    q = v.where(ASKED).select(F.col("id").alias("query_id"), "embedding")
     return vec.batch_search(v, q, exclude_self=True).withColumn("sparse", F.col("id") % 2 == 1)
 
 
@@ -330,50 +331,39 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {_QV}, {_HITS} SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM hits")
-def vector_topk_batch(spark: SparkSession, d: str, asked: str = "id < 10") -> DataFrame:
-    return _hits(spark, d, asked).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(spark, d).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {_QV}, {_HITS}, {_TOPS} SELECT query_id, n_hits, top_id, top_rank, round(top_similarity, 6) AS top_similarity FROM tops")
-def effective_top(spark: SparkSession, d: str, asked: str = "id < 10") -> DataFrame:
-    return vec.tops(_hits(spark, d, asked)).select("query_id", "n_hits", "top_id", F.col("top_rank").cast("bigint").alias("top_rank"), F.round("top_similarity", 6).alias("top_similarity"))
+def effective_top(spark: SparkSession, d: str) -> DataFrame:
+    return vec.tops(_hits(spark, d)).select("query_id", "n_hits", "top_id", F.col("top_rank").cast("bigint").alias("top_rank"), F.round("top_similarity", 6).alias("top_similarity"))
 
 
 @query(f"WITH {_QV}, {_HITS}, {_TOPS} SELECT query_id, round(margin, 6) AS margin FROM tops")
-def vector_margin(spark: SparkSession, d: str, asked: str = "id < 10") -> DataFrame:
-    return vec.tops(_hits(spark, d, asked)).select("query_id", F.round("margin", 6).alias("margin"))
+def vector_margin(spark: SparkSession, d: str) -> DataFrame:
+    return vec.tops(_hits(spark, d)).select("query_id", F.round("margin", 6).alias("margin"))
 
 
-@query(f"""WITH {_QV}, {_HITS}, {_TOPS} SELECT query_id, r AS reason, r IN ('hard', 'soft') AS accepted FROM (SELECT query_id, CASE WHEN query_id = 9 THEN 'out_of_domain' WHEN top_id IS NULL THEN 'only_sparse' WHEN top_similarity >= 0.40 THEN 'hard' WHEN top_similarity >= 0.35 AND margin >= 0.02 THEN 'soft' ELSE 'below_floor' END AS r FROM tops)""")
-def confidence_gate(spark: SparkSession, d: str, asked: str = "id < 10", foreign: str = "id = 9") -> DataFrame:
-    q = views.load(spark, d, "embeddings").withColumnRenamed("vec_id", "id").where(asked).select(F.col("id").alias("query_id"), F.when(F.expr(foreign), "Bitcoin at night").otherwise("a topic").alias("text"))
-    return vec.gated(q, vec.tops(_hits(spark, d, asked)), hard=0.40, soft=0.35, margin=0.02).select("query_id", "reason", "accepted")
+@query(f"""WITH {_QV}, {_HITS}, {_TOPS} SELECT query_id, r AS reason, r IN ('hard', 'soft') AS accepted FROM (SELECT query_id, CASE WHEN query_id % 100 = 0 THEN 'out_of_domain' WHEN top_id IS NULL THEN 'only_sparse' WHEN top_similarity >= 0.40 THEN 'hard' WHEN top_similarity >= 0.35 AND margin >= 0.02 THEN 'soft' ELSE 'below_floor' END AS r FROM tops)""")
+def confidence_gate(spark: SparkSession, d: str) -> DataFrame:
+    q = views.load(spark, d, "embeddings").withColumnRenamed("vec_id", "id").where(ASKED).select(F.col("id").alias("query_id"), F.when(F.expr("id % 100 = 0"), "Bitcoin at night").otherwise("a topic").alias("text"))
+    return vec.gated(q, vec.tops(_hits(spark, d)), hard=0.40, soft=0.35, margin=0.02).select("query_id", "reason", "accepted")
 
 
 @query(f"""WITH {_QV}, {_HITS}, {_TOPS} SELECT query_id, id, place FROM (SELECT h.query_id, h.id, row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) - 1 AS place FROM hits h JOIN tops t ON h.query_id = t.query_id WHERE h.rank <= 8 AND (top_id IS NULL OR h.id <> top_id)) WHERE place BETWEEN 1 AND 4""")
-def vector_neighbours(spark: SparkSession, d: str, asked: str = "id < 10") -> DataFrame:
-    h = _hits(spark, d, asked)
+def vector_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    h = _hits(spark, d)
     return vec.neighbours(h, vec.tops(h)).select("query_id", "id", F.col("place").cast("bigint").alias("place"))
 
 
 @query(f"""WITH {_QV}, {_HITS} SELECT query_id, coalesce(bool_or(contains(lower('Vec ' || id || '.'), lower('VEC ' || e || '.'))), FALSE) AS located FROM (SELECT query_id, query_id * 3 + 1 AS e FROM q) x LEFT JOIN (SELECT query_id, id FROM hits WHERE rank <= 8) h USING (query_id) GROUP BY 1""")
-def vector_hit_rate(spark: SparkSession, d: str, asked: str = "id < 10") -> DataFrame:
-    h = _hits(spark, d, asked).withColumn("locator", F.concat(F.lit("Vec "), "id", F.lit(".")))
-    e = views.load(spark, d, "embeddings").withColumnRenamed("vec_id", "id").where(asked).select(F.col("id").alias("query_id"), F.concat(F.lit("VEC "), F.col("id") * 3 + 1, F.lit(".")).alias("expect_locator"))
+def vector_hit_rate(spark: SparkSession, d: str) -> DataFrame:
+    h = _hits(spark, d).withColumn("locator", F.concat(F.lit("Vec "), "id", F.lit(".")))
+    e = views.load(spark, d, "embeddings").withColumnRenamed("vec_id", "id").where(ASKED).select(F.col("id").alias("query_id"), F.concat(F.lit("VEC "), F.col("id") * 3 + 1, F.lit(".")).alias("expect_locator"))
     return vec.hit_rate(h, e)
 
 
-def _whole(name: str, **asked: str) -> None:
-    """The same over the fixed set of queries, every row whose id is divisible by 20."""
-    QUERIES[f"{name}_whole"] = lambda spark, d, f=QUERIES[name]: f(spark, d, "id % 20 = 0", **asked)
-    SQL[f"{name}_whole"] = SQL[name].replace("vec_id < 10", "vec_id % 20 = 0").replace("query_id = 9", "query_id % 100 = 0")
-
-
-for _name in ("vector_topk_batch", "effective_top", "vector_margin", "vector_neighbours", "vector_hit_rate"):
-    _whole(_name)
-_whole("confidence_gate", foreign="id % 100 = 0")
-
-
 @query("""SELECT p_partkey AS id, nullif(regexp_extract(' ' || q || ' ', '(?i)[^a-z0-9_](bitcoin|ct scan|ecg)[^a-z0-9_]', 1), '') AS term FROM (SELECT p_partkey, p_name || CASE p_partkey % 7 WHEN 0 THEN ' and Bitcoin' WHEN 1 THEN ' CT scan, ECG' WHEN 2 THEN ' ecgs' ELSE '' END AS q FROM part)""")
 def out_of_domain_veto(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey") % 7
@@ -540,7 +530,7 @@ def mcq_rubric_to_remedy(spark: SparkSession, d: str) -> DataFrame:
     return q.select("rubric_id", flat("options").alias("options"), "correct_index")
 
 
-@query(f"""WITH {RUB}, {ENT}, own AS (SELECT DISTINCT remedy_canonical AS rc, rubric_id FROM ent WHERE grade = 3 AND remedy_canonical IN ('Supplier#000000002', 'Supplier#000000003', 'Supplier#000000004', 'Supplier#000000007')),
+@query(f"""WITH {RUB}, {ENT}, own AS (SELECT DISTINCT remedy_canonical AS rc, rubric_id FROM ent WHERE grade = 3 AND remedy_canonical IS NOT NULL),
   lb AS (SELECT rc, rubric, min(struct_pack(chapter := chapter, id := id)) AS f FROM own JOIN rub ON id = rubric_id GROUP BY 1, 2),
   c AS (SELECT rc, arg_min(rubric, md5(concat_ws('|', rc, rubric, '{SEED}'))) AS correct, arg_min(f, md5(concat_ws('|', rc, rubric, '{SEED}'))) AS f FROM lb GROUP BY 1),
   pool AS (SELECT rc, correct, rubric, row_number() OVER (PARTITION BY rc ORDER BY md5(concat_ws('|', rc, id::VARCHAR, '{SEED}')), id) AS n FROM c JOIN rub ON chapter = f.chapter AND rubric <> correct WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.rc = c.rc AND own.rubric_id = id)),
@@ -548,20 +538,12 @@ def mcq_rubric_to_remedy(spark: SparkSession, d: str) -> DataFrame:
   w AS (SELECT rc, correct, list(rubric ORDER BY k) AS wrong FROM k WHERE k <= 3 GROUP BY ALL HAVING count(*) = 3), o AS (SELECT rc, correct, {_options("list_prepend(correct, wrong)", "rc")} AS op FROM w)
 SELECT rc AS remedy_canonical, f.id AS rubric_id, array_to_string(op, ',') AS options, CAST(list_position(op, o.correct) - 1 AS INT) AS correct_index FROM o JOIN c USING (rc)""")
 def mcq_remedy_to_rubric(spark: SparkSession, d: str) -> DataFrame:
-    return _remedy_to_rubric(spark, d, spark.createDataFrame([(f"Supplier#{i:09d}",) for i in (2, 3, 4, 7)], "remedy_canonical string"))
-
-
-def _remedy_to_rubric(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
+    """All remedies are asked for."""
+    asked = views.entries(spark, d).select("remedy_canonical").where("remedy_canonical is not null")
     q = questions.remedy_to_rubric(views.rubrics(spark, d), views.entries(spark, d), asked, SEED)
     return q.select("remedy_canonical", "rubric_id", flat("options").alias("options"), "correct_index")
 
 
-@query(SQL["mcq_remedy_to_rubric"].replace("remedy_canonical IN ('Supplier#000000002', 'Supplier#000000003', 'Supplier#000000004', 'Supplier#000000007')", "remedy_canonical IS NOT NULL"))
-def mcq_remedy_to_rubric_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All remedies."""
-    return _remedy_to_rubric(spark, d, views.entries(spark, d).select("remedy_canonical").where("remedy_canonical is not null"))
-
-
 def _pool_sql(by: str, label: str, where: str) -> str:
     part, key = (f"PARTITION BY {by} ", f"{by}::VARCHAR, {label}") if by else ("", label)
     return f"(SELECT {by + ',' if by else ''} list({label} ORDER BY n) AS pool FROM (SELECT *, row_number() OVER ({part}ORDER BY md5(concat_ws('|', {key}, '{SEED}')), {label}) AS n FROM (SELECT DISTINCT {by + ',' if by else ''} {label} FROM sta WHERE {where})) WHERE n <= 4 {'GROUP BY ' + by if by else ''})"
@@ -761,14 +743,8 @@ def modalities(spark: SparkSession, d: str) -> DataFrame:
     return views.load(spark, d, "part").select(F.col("p_partkey").alias("id"), m["better"].alias("better"), F.concat(F.lit(" "), m["worse"]).alias("worse"))
 
 
-@query("""SELECT lang, string_agg('[' || source || ' § ' || doc_id || ']' || chr(10) || left(text, 20), chr(10) || chr(10) ORDER BY doc_id) AS block FROM documents WHERE doc_id < 40 GROUP BY lang""")
-def formatted_sources(spark: SparkSession, d: str) -> DataFrame:
-    t = views.documents(spark, d).where("doc_id < 40").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.concat("source", F.lit(" § "), "doc_id").alias("locator"), F.left("text", F.lit(20)).alias("text")))).alias("h"))
-    return t.select("lang", text.format_sources(F.col("h")).alias("block"))
-
-
 @query("""SELECT lang, doc_id // 8 AS part, string_agg('[' || source || ' § ' || doc_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id) AS block FROM documents GROUP BY ALL""")
-def formatted_sources_whole(spark: SparkSession, d: str) -> DataFrame:
+def formatted_sources(spark: SparkSession, d: str) -> DataFrame:
     """All documents with their whole texts, a block for the language's among eight ids, as many as a search gives."""
     h = F.array_sort(F.collect_list(F.struct("doc_id", F.concat("source", F.lit(" § "), "doc_id").alias("locator"), "text")))
     t = views.documents(spark, d).groupBy("lang", F.floor(F.col("doc_id") / 8).alias("part")).agg(h.alias("h"))

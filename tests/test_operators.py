@@ -316,7 +316,7 @@ def test_vector_queries_over_the_whole_set(spark, data):
 
     asked = {r.vec_id for r in spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
     for name in ("vector_topk_batch", "effective_top", "vector_margin", "confidence_gate", "vector_neighbours", "vector_hit_rate"):
-        assert {r.query_id for r in QUERIES[f"{name}_whole"](spark, data).select("query_id").distinct().collect()} == asked
+        assert {r.query_id for r in QUERIES[name](spark, data).select("query_id").distinct().collect()} == asked
 
 
 def test_queries_over_whole_tables(spark, data):
@@ -324,10 +324,10 @@ def test_queries_over_whole_tables(spark, data):
 
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     assert {r.doc_id: r.answer for r in QUERIES["logged_calls"](spark, data).collect()} == {i: t[::-1] for i, t in docs.items()}
-    blocks = "\n\n".join(r.block for r in QUERIES["formatted_sources_whole"](spark, data).collect())
+    blocks = "\n\n".join(r.block for r in QUERIES["formatted_sources"](spark, data).collect())
     assert all(f" § {i}]\n{t}" in blocks for i, t in docs.items())
     assert QUERIES["rendered_questions"](spark, data).count() == QUERIES["mcq_keynote"](spark, data).count()
-    asked = {r.remedy_canonical for r in QUERIES["mcq_remedy_to_rubric_whole"](spark, data).collect()}
+    asked = {r.remedy_canonical for r in QUERIES["mcq_remedy_to_rubric"](spark, data).collect()}
     assert len(asked) > 50
 
 
