@@ -163,11 +163,15 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), add)
 
 
-def payload(key: str) -> Column:
-    """The surrogate of an entity (kind, canon, draw), in canonical form."""
-    kind, canon, draw = F.col("kind"), F.col("canon"), F.col("draw")
-    seed = F.concat_ws("|", F.lit(key), kind, canon, draw.cast("string"))
-    stream = F.concat(*(F.sha2(F.concat(F.lit(f"{i}|"), seed), 256) for i in range(4)))
+def stream_of(key: str) -> Column:
+    """The keyed stream of an entity (kind, canon, draw)."""
+    seed = F.concat_ws("|", F.lit(key), "kind", "canon", F.col("draw").cast("string"))
+    return F.concat(*(F.sha2(F.concat(F.lit(f"{i}|"), seed), 256) for i in range(4)))
+
+
+def payload() -> Column:
+    """The surrogate of an entity (kind, canon, draw, stream), in canonical form."""
+    kind, canon, draw, stream = (F.col(c) for c in ("kind", "canon", "draw", "stream"))
     more = F.when(draw >= EACH, F.sequence(F.lit(1), F.floor(draw / EACH).cast("int"))).otherwise(F.array().cast("array<int>"))
 
     def grown(letters: str, each: int = 3) -> Column:
@@ -235,7 +239,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     own = entities.select("kind", F.when(F.col("kind") == "mail", F.substring_index("canon", "@", 1)).otherwise(F.col("canon")).alias("new")).distinct()
     live, settled = entities.select("kind", "canon", F.lit(0).alias("draw")).withColumn("scope", scope), None
     while True:
-        drawn = live.withColumn("new", payload(key))
+        # the stream is a column of its own, else each of its hundred uses would spell it out
+        drawn = live.withColumn("stream", stream_of(key)).withColumn("new", payload()).drop("stream")
         taken = drawn.join(own.withColumn("had", F.lit(True)), ["kind", "new"], "left")
         # a reserved domain stands for itself
         again = F.col("had").isNotNull() & ~((F.col("kind") == "domain") & (F.col("new") == F.col("canon")))
