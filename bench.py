@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 HEADLINES = (
     "grade3_rubrics_for_remedy", "eligible_rubrics", "rubric_summary", "stratified_sample", "goldset_forward", "bm25_search_labels", "bm25_search_documents",
     "latency_report", "wilson_rates", "cost_model", "chunk_counts", "packed_chunks", "vector_topk_batch", "confidence_gate", "near_duplicates", "dedup_suppression",
-    "alias_cascade", "quote_exact", "quote_fuzzy", "mcq_rubric_to_remedy", "mcq_keynote", "html_tag_histogram", "normalize_text", "session_scores",
+    "alias_cascade", "quote_exact", "quote_fuzzy", "mcq_rubric_to_remedy", "mcq_keynote", "html_tag_histogram", "normalize_text", "session_scores", "load_and_resolve", "registry_build",
 )
 
 
