@@ -286,21 +286,29 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Smallest node reachable from every node of ``edges`` (columns a, b): columns node, component.
 
     Alternates large-star and small-star contraction; each round is written to the shared
-    folder, so a lost executor costs one round at most. Nodes without an edge do not appear.
+    folder, so a lost executor costs one round at most. The centre of a large star is a hot key:
+    its edges meet its smallest neighbour by a broadcast, see ``keyed_join``. Nodes without an
+    edge do not appear.
     """
     def swept(df: DataFrame) -> DataFrame:
         return df.where("u <> v").distinct()
 
+    def starred(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``near`` with m, the smallest neighbour of u or u itself; and the written table of m."""
+        low = materialize(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("times")), name)
+        return keyed_join(near, low, ["u"], "times"), low
+
     e = materialize(swept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), name)
     seen = None
     while True:
-        near = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = near.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+        near, low = starred(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = materialize(near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
+        discard(low)
+        near, low = starred(large)  # all v are below u here, so m is one of them
+        small = near.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         old, e = e, materialize(swept(small), name)
-        discard(old)
+        for done in (old, low, large):
+            discard(done)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
