@@ -97,3 +97,37 @@ SELECT doc_id, p.source, size, source_size, target,
     (CASE WHEN source_size > 0 THEN wanted // source_size * size + greatest(0, least(size, wanted % source_size - first)) ELSE 0 END)::BIGINT AS taken
 FROM placed p JOIN wanted w ON w.source IS NOT DISTINCT FROM p.source
 """
+
+OP11 = """
+WITH cut AS (
+    SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS d FROM documents
+), drawn AS (
+    SELECT *, len(u)::BIGINT AS n, ('0x' || d[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || d[9:16])::BIGINT % (len(u) + 1) AS b, ('0x' || d[17:24])::BIGINT % 100 AS c, ('0x' || d[25:32])::BIGINT % 100 AS f FROM cut
+), parts AS (
+    SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain' WHEN f < 20 THEN 'spm' ELSE 'psm' END AS form,
+        array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
+TERMS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13 = f"""
+WITH held AS MATERIALIZED (
+    SELECT row_number() OVER () AS rn, doc_id, {TERMS.format("text")} AS w FROM documents WHERE text IS NOT NULL
+), occurrences AS MATERIALIZED (
+    SELECT rn, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM held
+), entries AS MATERIALIZED (
+    SELECT rn, doc_id, n, term, count(*)::BIGINT AS tf FROM occurrences GROUP BY ALL
+), totals AS (SELECT count(*)::BIGINT AS nn, sum(len(w))::BIGINT AS ll FROM held WHERE len(w) > 0),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS wt FROM entries, totals GROUP BY term, nn
+), items AS (SELECT DISTINCT item_id, unnest({TERMS.format("text")}) AS term FROM benchmark),
+scores AS (
+    SELECT item_id, rn, doc_id, sum(wt * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::BIGINT AS score
+    FROM items JOIN weights USING (term) JOIN entries USING (term), totals GROUP BY item_id, rn, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) <= 50
+"""

@@ -1,4 +1,4 @@
-"""Queries over the ten operators with production parameters, one opN_<name> each."""
+"""Queries over the operators with production parameters, one opN_<name> each."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25_packing, centroid_lang, line_crf, mixing, noisy_or, odd_sketch, oracles, pii_surrogates, pigeonhole_join, plane_store, suffix_dedup
+from . import block_max, bm25_packing, centroid_lang, cut_index, line_crf, mixing, noisy_or, odd_sketch, oracles, piece_merges, pii_surrogates, pigeonhole_join, plane_store, suffix_dedup
 from .common import load_documents
 
 
@@ -52,10 +52,22 @@ def op10_plane_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plane_store.round_trip(load_documents(spark, sf_dir), end_id=2)
 
 
+def op11_cut_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_index.digests(load_documents(spark, sf_dir), seed=1)
+
+
+def op12_piece_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_merges.round_trip(load_documents(spark, sf_dir))
+
+
+def op13_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_max.ranked(load_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Those without a fitted model, a tokenizer or a keyed stream."""
-    return {"op1_pigeonhole_join": oracles.OP1, "op7_suffix_lpf": oracles.OP7, "op8_odd_sketch": oracles.OP8, "op9_mixing": oracles.OP9}
+    return {"op1_pigeonhole_join": oracles.OP1, "op7_suffix_lpf": oracles.OP7, "op8_odd_sketch": oracles.OP8, "op9_mixing": oracles.OP9, "op11_cut_index": oracles.OP11, "op13_block_max": oracles.OP13}
