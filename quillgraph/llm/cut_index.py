@@ -1,7 +1,7 @@
 """Fill-in-the-middle with an index of distinct texts.
 
 Identical texts are grouped by content: rows meet by the SHA-256 of their text and each group
-keeps the set of its texts, so a group is split if contents differ. For every text of the
+keeps the set of its texts, which must be one (else the job fails). For every text of the
 index the ends of its units (runs of ASCII letters, every other code point alone) are computed
 once and kept as an Elias-Fano list: the low bits of each end packed, the high bits as a
 unary bitmap, in which the i-th end is found by counting set bits. Documents, reduced to id
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, HOT_ROWS, small_batches, text_bytes, texts
+from .common import HOT_KEYS, HOT_ROWS, materialize, small_batches, text_bytes, texts
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 ENDS = "n bigint, low int, lows binary, highs binary"
@@ -110,11 +110,14 @@ def joined_index(docs: DataFrame) -> DataFrame:
     keyed = texts(docs).withColumn("key", F.unhex(F.sha2("text", 256)))
     short = keyed.select("key", "doc_id")
     most = max(docs.count() // HOT_KEYS, HOT_ROWS)
-    distinct = short.groupBy("key", "doc_id").agg(F.count("*").alias("times"))
+    distinct = materialize(short.groupBy("key", "doc_id").agg(F.count("*").alias("times")), "distinct")
     hot = distinct.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > most).select("key", F.ceil(F.col("rows") / most).alias("parts"))
     same = _with_parts(keyed, hot).groupBy("key", "part").agg(F.collect_set("text").alias("same"))
-    index = same.select("key", "part", F.explode("same").alias("text")).withColumn("e", _ends_udf()("text"))
-    return _with_parts(distinct, hot).join(index, ["key", "part"]).select("doc_id", "times", "text", "e.*")
+    one = F.when(F.size("same") == 1, F.get("same", F.lit(0))).otherwise(F.raise_error(F.lit("different texts share a SHA-256")).cast("string"))
+    text = same.select("key", "part", one.alias("text"))
+    # a Python function gives up the partitioning, so only the lists of ends move again; both sides read one exchange of the texts
+    ends = text.select("key", "part", _ends_udf()("text").alias("e"))
+    return _with_parts(distinct, hot).join(text, ["key", "part"]).join(ends, ["key", "part"]).select("doc_id", "times", "text", "e.*")
 
 
 def _draw(seed: int, k: int) -> Column:
