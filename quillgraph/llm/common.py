@@ -235,11 +235,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _byte_values(fold_case: bool) -> np.ndarray:
-    values = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    if fold_case:
-        values[65:91] = values[97:123]
-    return values
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_spans(body: np.ndarray, bounds: np.ndarray, member: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -265,21 +263,28 @@ def word_spans(body: np.ndarray, bounds: np.ndarray, member: np.ndarray | None =
     return starts, np.flatnonzero(inside & last) + 1
 
 
+def _eights(body: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position, as one number; those beyond ``left`` bytes count as 0. ``body`` ends with 8 spare bytes."""
+    window = np.lib.stride_tricks.as_strided(body, (len(body) - 7, 8), (1, 1))
+    word = np.ascontiguousarray(window[at]).view("<u8").ravel()
+    return word & (np.uint64(2**64 - 1) >> (np.uint64(8) * (np.uint64(8) - np.minimum(left, 8).astype(np.uint64))))
+
+
 def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, A-Z as a-z if ``fold_case``."""
+    """A 64-bit hash of each word's bytes, A-Z as a-z if ``fold_case``: eight bytes a step, scrambled after each."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    values, out, lengths = _byte_values(fold_case), np.zeros(len(starts), np.uint64), ends - starts
-    for i in range(int(min(lengths.max(), 24))):
-        live = np.flatnonzero(lengths > i) if i >= int(lengths.min()) else slice(None)
-        out[live] = out[live] * np.uint64(0x9E3779B97F4A7C15) + values[body[starts[live] + i]]
-    for k in np.flatnonzero(lengths > 24):
-        rest, h = values[body[starts[k] + 24 : ends[k]]], out[k : k + 1]
-        power = np.full(len(rest) + 1, 0x9E3779B97F4A7C15, np.uint64)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        out[k] = (h * power[-1] + (rest * power[-2::-1]).sum(dtype=np.uint64))[0]
-    return mix64(out + lengths.astype(np.uint64))
+    body = np.concatenate((_FOLDED[body] if fold_case else body, np.zeros(8, np.uint8)))
+    lengths = ends - starts
+    out = mix64(lengths.astype(np.uint64) + STEP)
+    for i in range(0, int(min(lengths.max(), 32)), 8):
+        live = np.flatnonzero(lengths > i) if i else slice(None)
+        out[live] = mix64(out[live] * STEP + _eights(body, starts[live] + i, lengths[live] - i))
+    for k in np.flatnonzero(lengths > 32).tolist():  # the rest of long words: each eight bytes scrambled with their place
+        at = np.arange(starts[k] + 32, ends[k], 8)
+        eights = mix64(_eights(body, at, ends[k] - at) + mix64(np.arange(1, len(at) + 1, dtype=np.uint64) * STEP))
+        out[k : k + 1] = mix64(out[k : k + 1] * STEP + eights.sum(dtype=np.uint64))
+    return out
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -2,8 +2,9 @@
 
 The library splits a text by a fixed pattern and merges each piece on its own; pieces repeat
 a lot. Here the split is done for a whole batch with array operations and every distinct
-piece goes to the library's model once; its ids are kept in arrays of bounded size, found by
-a 64-bit hash. That path is taken for texts in Latin script and common punctuation, where
+piece goes to the library's model once; its ids are kept in arrays of bounded size. Pieces of
+up to 32 characters are found by a 63-bit hash, scrambled after every step, longer ones by
+their content. That path is taken for texts in Latin script and common punctuation, where
 the classes of characters are known; every other text, and one that holds the content of an
 added token (such as ``<|endoftext|>``, one id), goes to the library whole. So does every
 text if the vocabulary's file asks for another way of splitting than the one known here.
@@ -20,6 +21,7 @@ import numpy as np
 from .common import mix64
 
 PIECES = 2_000_000  #: most pieces kept by a worker
+SHORT, LONG_CHARS = 32, 16 << 20  #: characters of pieces found by a hash; of all longer ones kept, about
 BATCH_CHARS = 1 << 20
 
 LETTER, DIGIT, SPACE, OTHER, FOREIGN = range(5)
@@ -64,10 +66,10 @@ class Encoder:
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.code, self.dtype = ("H", np.dtype("<u2")) if self.library.get_vocab_size() <= 1 << 16 else ("I", np.dtype("<u4"))
         self.kind, self.bytes = _classes(), _printable()
-        self.value = mix64(np.arange(1, len(self.kind) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.forget()
 
     def forget(self) -> None:
+        self.long, self.long_chars = {}, 0
         self.keys, self.at, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
     def whole(self, text: str) -> np.ndarray:
@@ -100,7 +102,7 @@ class Encoder:
         start = self._starts(points, kind, edge[:-1][lengths > 0], edge[1:][lengths > 0])
         begin = np.flatnonzero(start)
         end = np.append(begin[1:], len(points))
-        h = self._hashes(points, begin, end)
+        h = self._keys(joined, points, begin, end)
         keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         self._learn(joined, kind, keys, begin[first], end[first])
         row = np.searchsorted(self.keys, keys)
@@ -145,27 +147,31 @@ class Encoder:
                 start[after[(kind[after] == LETTER)]] = True
         return start
 
-    def _hashes(self, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        out, length = np.zeros(len(begin), np.uint64), end - begin
-        point = np.minimum(points, len(self.kind) - 1)
-        step, live = np.uint64(0x9E3779B97F4A7C15), np.arange(len(begin))
-        for i in range(32):
-            live = live[length[live] > i]
+    def _keys(self, joined: str, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A key of each piece: a hash below 2^63 for short ones, a number of its own above for every long one."""
+        if len(self.keys) > PIECES or self.long_chars > LONG_CHARS:
+            self.forget()
+        length = end - begin
+        out, step = mix64(length.astype(np.uint64)), np.uint64(0x9E3779B97F4A7C15)
+        point = np.concatenate((np.minimum(points, len(self.kind) - 1).astype(np.uint64), np.zeros(4, np.uint64)))
+        for i in range(0, SHORT, 4):
+            live = np.flatnonzero(length > i)
             if not len(live):
                 break
-            out[live] = out[live] * step + self.value[point[begin[live] + i]]
-        for k in live[length[live] > 32].tolist():
-            for a in range(int(begin[k]) + 32, int(end[k]), 4096):
-                part = self.value[point[a : min(a + 4096, int(end[k]))]]
-                power = np.full(len(part) + 1, step, np.uint64)
-                power[0] = 1
-                power = np.multiply.accumulate(power)
-                out[k : k + 1] = out[k : k + 1] * power[-1] + (part * power[-2::-1]).sum(dtype=np.uint64)
-        return mix64(out + length.astype(np.uint64))
+            at, left, four = begin[live] + i, length[live] - i, np.zeros(len(live), np.uint64)
+            for k in range(4):
+                four |= np.where(left > k, point[at + k], 0) << np.uint64(16 * k)
+            out[live] = mix64(out[live] * step + four)
+        out &= np.uint64(2**63 - 1)
+        for k in np.flatnonzero(length > SHORT).tolist():
+            text = joined[begin[k] : end[k]]
+            if text not in self.long:
+                self.long[text] = len(self.long)
+                self.long_chars += len(text)
+            out[k] = 2**63 + self.long[text]
+        return out
 
     def _learn(self, joined: str, kind: np.ndarray, keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
-        if len(self.keys) > PIECES:
-            self.forget()
         row = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), bool)
         old = row < len(self.keys)
