@@ -3,7 +3,8 @@
 Mentions are found by patterns: mail and IP addresses, phone, card and social security
 numbers, IBANs, secrets (access keys, issued tokens, private keys, what is assigned to a
 keyword such as password in any case and quoting, quoted tokens), and names of persons after
-titles, after phrases that introduce a name ("my name is") or with a well-known given name;
+titles, after phrases that introduce a name ("my name is") or with a well-known given name,
+with particles ("von", "de la") and openings ("O'", "Mc");
 further bare mentions of a name in the same text follow it. A mention consists of parts; the distinct parts of
 the corpus, each in a canonical form, get surrogates from a keyed SHA-256 stream:
 
@@ -22,7 +23,8 @@ free one. What repeats is settled once: texts are replaced by distinct text, not
 the patterns go over each text once.
 
 Defined results: null and empty texts stay as they are; all other columns stay, whatever
-their names; rows with equal or null ids are replaced alike; the number of rows stays.
+their names; rows with equal or null ids are replaced alike; the number of rows stays. Texts and
+mentions may be of any length: no pattern repeats a group by recursion more than a few times.
 """
 
 from __future__ import annotations
@@ -35,17 +37,30 @@ from .common import keyed_join, materialize
 # Titles by gender, and well-known given names by gender.
 TITLES = {"m": ("Mr", "Herr", "Señor", "Monsieur", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Госпожа"), "u": ("Dr", "Prof", "Professor", "Doctor", "Доктор")}
 GIVEN = {
-    "m": ("James", "John", "Robert", "Michael", "William", "David", "Thomas", "Hans", "Peter", "Klaus", "Pierre", "Jean", "José", "Juan", "Carlos", "Иван", "Сергей"),
-    "f": ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Ursula", "Monika", "Marie", "Sophie", "María", "Carmen", "Ana", "Анна", "Мария"),
+    "m": (
+        "Ahmed", "Alexander", "Andreas", "Andrew", "Anthony", "Antonio", "Benjamin", "Bob", "Brian", "Carlos", "Charles", "Christopher", "Daniel", "David", "Edward", "Eric", "François", "Frank", "George", "Hans", "Henry",
+        "Hiroshi", "Jack", "James", "Javier", "Jean", "John", "José", "Joseph", "Juan", "Jürgen", "Kevin", "Klaus", "Luis", "Manuel", "Mark", "Martin", "Matthew", "Michael", "Michel", "Miguel", "Mohammed", "Paul", "Peter",
+        "Philippe", "Pierre", "Richard", "Robert", "Samuel", "Stefan", "Stephen", "Steven", "Thomas", "Timothy", "William", "Wolfgang", "Алексей", "Дмитрий", "Иван", "Михаил", "Сергей",
+    ),
+    "f": (
+        "Alice", "Amanda", "Amy", "Ana", "Angela", "Anna", "Barbara", "Carmen", "Carol", "Catherine", "Charlotte", "Christine", "Claudia", "Deborah", "Dorothy", "Elena", "Elizabeth", "Emily", "Emma", "Fatima", "Helen",
+        "Isabel", "Isabelle", "Jennifer", "Jessica", "Julia", "Karen", "Katherine", "Laura", "Linda", "Lisa", "Lucía", "Margaret", "María", "Marie", "Mary", "Monika", "Nancy", "Nathalie", "Nicole", "Olivia", "Patricia",
+        "Petra", "Priya", "Rachel", "Rebecca", "Ruth", "Sabine", "Sandra", "Sarah", "Sharon", "Sophie", "Stephanie", "Susan", "Ursula", "Анна", "Екатерина", "Мария", "Наталья", "Ольга",
+    ),
 }
+# Words between given name and surname, and what surnames begin with.
+PARTICLES = ("von", "van", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "zu", "zur", "ter", "bin", "al")
+OPENINGS = ("O'", "O’", "D'", "D’", "Mc", "Mac")
 
 # What introduces a name.
 CUES = ("my name is", "My name is", "Name:", "mein Name ist", "Mein Name ist", "ich heiße", "Ich heiße", "je m'appelle", "Je m'appelle", "mon nom est", "Mon nom est", "me llamo", "Me llamo", "mi nombre es", "Mi nombre es", "меня зовут", "Меня зовут")
 _CUE = "(?:" + "|".join(CUES) + ")"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_LABEL = r"[A-Za-z0-9\-]++"
 _HEX = "[0-9A-Fa-f]{1,4}"
 _TITLE = "(?:" + "|".join(t for g in TITLES.values() for t in g) + ")"
-_NAME = rf"(?!{_TITLE}(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?"
+_NAME = rf"(?!{_TITLE}(?!\p{{L}}))(?:{'|'.join(OPENINGS)})?\p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?"
+_FAMILY = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{_NAME}"
 # keywords of secrets; those that are also common words need an equals sign, a quote, a digit or no blank behind the colon
 _PASS = r"(?i:passw(?:or)?d|pwd|passphrase|api[_\-]?key|access[_\-]?key|secret[_\-]?key|client[_\-]?secret|(?:auth|access|refresh)[_\-]?token)"
 _WORDY = "(?i:secret|token)"
@@ -53,27 +68,28 @@ _KEY_END = r"""["']?[ \t]{0,4}"""
 _BEGIN, _END = (f"-----{x} [A-Z ]*PRIVATE KEY-----" for x in ("BEGIN", "END"))
 _ISSUED = "(?:gh[pousr]_|github_pat_|sk-|xox[abprs]-|glpat-|AIza|eyJ)"
 #: A word that may be a bare mention of a name.
-BARE = r"(?<!\p{L})\p{Lu}\p{L}+(?:-\p{Lu}\p{Ll}+)?(?!\p{L})"
+BARE = r"(?<!\p{L})(?:[OD]['’])?\p{Lu}\p{L}+(?:-\p{Lu}\p{Ll}+)?(?!\p{L})"
 NO_NAMES = ("the", "he", "she", "it", "we", "you", "they", "and", "but", "this", "that", "in", "on", "der", "die", "das", "er", "sie", "es", "und", "le", "la", "les", "il", "elle", "et", "el", "los", "las", "он", "она")  #: after a title by mistake
-_KNOWN = "(?:" + "|".join(t for g in GIVEN.values() for t in g) + ")"
+_INITIALS = sorted({t[0] for g in GIVEN.values() for t in g})
+_KNOWN = "(?:" + "|".join(f"{c}(?:" + "|".join(t[1:] for g in GIVEN.values() for t in g if t[0] == c) + ")" for c in _INITIALS) + ")"
 PATTERNS = {
-    "pem": rf"{_BEGIN}[\s\S]{{1,20000}}?{_END}",
+    "pem": rf"{_BEGIN}(?:[^\-]*+(?:-(?!----)[^\-]*+)*+{_END}|(?:\s*+[A-Za-z0-9+/=]{{16,}}+)++)",
     "keyed": rf"""(?:{_PASS}{_KEY_END}[=:]|{_WORDY}{_KEY_END}(?:=|:(?=\S|[ \t]{{1,4}}(?:["']|[^\s"']*[0-9]))))[=:]?>?[ \t]{{0,4}}(?=["']?[^\s"']*[\p{{L}}0-9])(?:"[^"\r\n]+|'[^'\r\n]+|[^\s"']+)""",
     "issued": r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|sk-[A-Za-z0-9_\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|glpat-[A-Za-z0-9_\-]{20,}|AIza[A-Za-z0-9_\-]{35}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})",
-    "mail": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
+    "mail": rf"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@{_LABEL}(?:\.{_LABEL}(?=(?:\.{_LABEL}){{0,8}}?\.[A-Za-z]{{2}}))*+\.[A-Za-z]{{2,}}+",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "ip6": rf"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{1,7}}:|::(?:{_HEX}:){{0,6}}{_HEX})(?![0-9A-Za-z:]|\.[0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[.\- ])[0-9]{3}[.\- ][0-9]{4}|0[1-9](?:[ .\-][0-9]{2}){4}(?![ .\-]?[0-9])|(?:\(0[0-9]{1,4}\) ?|0[0-9]{2,4}[ /\-])[0-9]{3,4}[ \-]?[0-9]{3,5}(?![ \-]?[0-9]))(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[.\- ])[0-9]{3}[.\- ][0-9]{4}|0[1-9](?:[ .\-][0-9]{2}){4}(?![ .\-]?[0-9])|1[3-9][0-9]{9}|(?:\(0[0-9]{1,4}\) ?|0[0-9]{2,4}[ /\-])[0-9]{3,4}[ \-]?[0-9]{3,5}(?![ \-]?[0-9]))(?![0-9])",
     "social": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
     "access": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "secret": r"""(?<=")[0-9a-f]{32,64}(?=")""",
-    "person": rf"(?<!\p{{L}})(?:(?:{_TITLE}\.? ){{1,3}}{_NAME}(?: {_NAME})?|{_CUE} {_NAME}(?: {_NAME})?|{_KNOWN} {_NAME})(?!\p{{L}})",
+    "person": rf"(?<!\p{{L}})(?:(?=\p{{Lu}})(?:(?:{_TITLE}\.? ){{1,3}}{_FAMILY}(?: {_FAMILY})?|{_KNOWN} {_FAMILY})|{_CUE} {_NAME}(?: {_FAMILY})?)(?!\p{{L}})",
 }
 ANYTHING = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts without a match of this have none of the above; it is cheap.
-MAYBE = rf"[0-9@]|(?:{_PASS}|{_WORDY}){_KEY_END}[=:]|-----BEGIN|::[A-Fa-f]|(?<!\p{{L}})(?:{_TITLE}|{_KNOWN}|{_CUE})(?!\p{{L}})"
+MAYBE = rf"[0-9@]|(?:{_PASS}|{_WORDY}){_KEY_END}[=:]|-----BEGIN|::[A-Fa-f]|(?<![A-Za-z0-9])(?:AKIA|{_ISSUED})|(?<!\p{{L}})(?:(?=\p{{Lu}})(?:{_TITLE}|{_KNOWN})|{_CUE})(?!\p{{L}})"
 DIGITS = ("phone", "card", "social")
 VOWELS, CONSONANTS = "aeiou", "bdfgklmnprstvz"
 VOWELS_2, CONSONANTS_2 = "аеиоу", "бдгклмнпрств"
@@ -103,7 +119,7 @@ def parts_of(kind: Column, mention: Column) -> Column:
 
     def named(w: Column, i: Column) -> Column:
         gender = F.when(w.isin(*GIVEN["f"]), "f").when(w.isin(*GIVEN["m"]), "m").when(female, "f").when(male, "m").otherwise("u")
-        k = F.when(w.rlike(f"^{_TITLE}\\.?$") | w.isin(*{c for cue in CUES for c in cue.split()}), "as is").when(i == n - 1, "surname").otherwise(F.concat(F.lit("given "), gender))
+        k = F.when(w.rlike(f"^{_TITLE}\\.?$") | w.isin(*{c for cue in CUES for c in cue.split()}, *PARTICLES), "as is").when(i == n - 1, "surname").otherwise(F.concat(F.lit("given "), gender))
         blank = F.when(i > 0, " ").otherwise("")
         return F.array(part("as is", blank, blank), part(k, F.lower(w), w))
 
