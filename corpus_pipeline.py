@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from quillgraph.llm import bm25_packing, centroid_lang, mixing, odd_sketch, pii_surrogates
 from quillgraph.llm.common import materialize
 
-#: The key of the surrogates; one of your own keeps them from being drawn by others.
-PII_KEY = "corpus pipeline"
+#: The setting that holds the key of the surrogates, and the key without it; one of your own keeps them from being drawn by others.
+PII_SETTING, PII_KEY = "spark.quillgraph.pii.key", "corpus pipeline"
 #: No SQL states the classifier, the schedule and the packing; tests compare with plain versions.
 ORACLE_SQL = None
 
@@ -44,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in text is replaced, n_chars follows; every row and column stays, null and empty texts as they are."""
-    out = pii_surrogates.replaced(docs, key=PII_KEY)
+    out = pii_surrogates.replaced(docs, key=spark.conf.get(PII_SETTING, PII_KEY))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
