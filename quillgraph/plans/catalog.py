@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import bm25, build, calls, chunking, extract, grounding, metrics, overlap, profile, questions, repertory, resolve, sessions
 from ..operators import vectors as vec
+from ..operators.text_index import TextIndex
 from ..session import shared_dir
 from ..sources import links, markup, stores
+from ..sources.versions import Versions, merge_collection
 from ..streaming import drain, latency
 from . import leaflets, views
 
@@ -180,17 +183,41 @@ def bm25_search_chapter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_bm25_sql("documents", "doc_id", ["text"], ["the", "hation"], 10))
 def bm25_search_documents(spark: SparkSession, d: str) -> DataFrame:
+    """By the index on disk: only the first search of a folder of tables reads a text."""
+    return _index(spark, d).search("the (hation)", 10).select("id", F.round("score", 6).alias("score"))
+
+
+def _index(spark: SparkSession, d: str) -> TextIndex:
+    """The index of the documents of ``d``, built if it is not there yet."""
+    index = TextIndex(spark, f"{shared_dir(spark)}/text-index-{hashlib.md5(d.encode()).hexdigest()}")
+    if not index.versions.newest():
+        index.append(views.documents(spark, d), "doc_id", "text")
+    return index
+
+
+@query(_bm25_sql("documents", "doc_id", ["text"], ["the", "hation"], 10))
+def bm25_search_without_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same over postings made for one search."""
     t = views.documents(spark, d)
     return bm25.search(bm25.postings(t, "doc_id", "text"), bm25.corpus_statistics(t, "doc_id", "text"), "the (hation)", 10).select("id", F.round("score", 6).alias("score"))
 
 
+@query(_bm25_sql("documents", "doc_id", ["text"], ["the", "and"], 25))
+def bm25_search_appended(spark: SparkSession, d: str) -> DataFrame:
+    """An index that grew by thirds of the documents and was then merged, as if it had been built at once."""
+    index, t = TextIndex(spark, f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}"), views.documents(spark, d)
+    for i in range(3):
+        index.append(t.where(F.col("doc_id") % 3 == i), "doc_id", "text")
+    index.merge()
+    return index.search("the and", 25).select("id", F.round("score", 6).alias("score"))
+
+
 @query("""WITH d AS (SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
   h AS (SELECT id, len(t) AS dl, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS f FROM d), df AS (SELECT count(*) AS df FROM h WHERE f > 0)
 SELECT id, round(-(CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) END * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM h, s, df WHERE f > 0 ORDER BY round(score, 9), id LIMIT 10""")
 def bm25_search_phrase(spark: SparkSession, d: str) -> DataFrame:
     """A quoted token with inner punctuation is a phrase of consecutive words."""
-    t = views.documents(spark, d)
-    return bm25.search(bm25.postings(t, "doc_id", "text"), bm25.corpus_statistics(t, "doc_id", "text"), "of,the", 10).select("id", F.round("score", 6).alias("score"))
+    return _index(spark, d).search("of,the", 10).select("id", F.round("score", 6).alias("score"))
 
 
 # metrics
@@ -1023,6 +1050,21 @@ def logged_calls(spark: SparkSession, d: str) -> DataFrame:
     return calls.called(rows, lambda r: {"answer": r["prompt"][::-1]}, "answer string", 60_000, "coaching", "stand-in").select("doc_id", "answer", "task", "model", "error")
 
 
+# versions of a collection
+
+
+@query("SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total, vec_id % 7 = 3 AND label = 4 AS changed FROM embeddings")
+def merged_collection(spark: SparkSession, d: str) -> DataFrame:
+    """A collection built twice: the second time one label's rows have changed, and only they are written again."""
+    v = Versions(spark, f"{shared_dir(spark)}/collection-{uuid.uuid4().hex}")
+    rows = views.load(spark, d, "embeddings").select("vec_id", "label", "embedding", F.lit(False).alias("changed"))
+    merge_collection(v, rows, "label")
+    merge_collection(v, rows.withColumn("changed", (F.col("vec_id") % 7 == 3) & (F.col("label") == 4)), "label")
+    now = v.read(v.parts(), rows.schema)
+    total = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return now.select("vec_id", "label", F.round(total, 4).alias("total"), "changed")
+
+
 # streams
 
 
