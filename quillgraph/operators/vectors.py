@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +15,9 @@ from ..functions.text import FOREIGN_TERMS, foreign_term
 K, DEPTH = 8, 32
 HARD, SOFT, MARGIN = 0.65, 0.55, 0.02
 SKIP, COUNT = 1, 4
-MOST_QUERIES = 10_000  #: in one pass over the vectors
-STEP = 256
+QUERY_BLOCK, VECTOR_BLOCK = 256, 4096  #: rows of a block, about
+USABLE = "embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
+HELD = 64  #: blocks of queries whose best a task keeps at once
 
 
 def search(vectors: DataFrame, query: Sequence[float], subject=None, k: int = K) -> DataFrame:
@@ -31,50 +30,81 @@ def search(vectors: DataFrame, query: Sequence[float], subject=None, k: int = K)
 def batch_search(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, exclude_self: bool = False, same_subject: bool = False) -> DataFrame:
     """query_id, id, similarity, rank of the k nearest of each query (query_id, embedding[, subject]).
 
-    The queries are met in blocks; every batch of vectors meets a block in matrix products
-    and sends its own k nearest only, which a ranking merges. The driver holds the queries.
-    Those without an embedding find nothing.
+    Both sides are packed into blocks by a hash of the id. Every block of queries meets every
+    block of vectors in one matrix product; a task keeps the k nearest of each query over the
+    blocks it has and sends only those to the ranking. Rows without an embedding or with null or
+    non-finite components find nothing and are not found; only vectors of one length meet.
     """
-    asked = queries.where("embedding is not null").select("query_id", "embedding", *(["subject"] if same_subject else []))
-    rows, parts = asked.toLocalIterator(), []
-    while block := list(islice(rows, MOST_QUERIES)):
-        parts.append(_near(vectors, block, k, exclude_self, same_subject))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, id bigint, similarity double, rank int")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")
-    return reduce(DataFrame.unionAll, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _near(vectors: DataFrame, rows: list, k: int, exclude_self: bool, same_subject: bool) -> DataFrame:
-    """query_id, id, similarity: of each batch of vectors at least the k nearest of each of these queries."""
-    q = np.array([r.embedding for r in rows], np.float64)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    ids = np.array([r.query_id for r in rows], np.int64)
-    subjects = np.array([r.subject for r in rows]) if same_subject else None
+    more = ["subject"] if same_subject else []
+    v, blocks = packed(vectors.select("id", "embedding", *more), "id", VECTOR_BLOCK)
+    q, _ = packed(queries.select(F.col("query_id"), "embedding", *more), "query_id", QUERY_BLOCK)
+    asked = q.select(F.col("block").alias("q_block"), F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("block"))
+    pairs = asked.join(v, "block").sortWithinPartitions("q_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(1)
-            if not b.num_rows:
-                continue
-            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            own = b.column(0).to_numpy(zero_copy_only=False)
-            length = np.maximum(np.linalg.norm(x, axis=1), 1e-300)
-            n = min(k, b.num_rows)
-            for a in range(0, len(ids), STEP):
-                few = ids[a : a + STEP]
-                s = q[a : a + STEP] @ x.T / length[None, :]
-                if exclude_self:
-                    s[few[:, None] == own[None, :]] = -np.inf
-                if subjects is not None:
-                    s[subjects[a : a + STEP, None] != b.column(2).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
-                # a few more than k, so that ties at the edge are settled by id
-                edge = np.partition(s, b.num_rows - n, axis=1)[:, b.num_rows - n]
-                row, at = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array(few[row]), pa.array(own[at]), pa.array(s[row, at])], names=["query_id", "id", "similarity"])
-
-    usable = vectors.where("embedding is not null").select("id", "embedding", *(["subject"] if same_subject else []))
-    return usable.mapInArrow(run, "query_id bigint, id bigint, similarity double")
+        best: dict[int, Nearest] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number = batch.column(0)[i].as_py()
+                if number not in best:
+                    if len(best) == HELD:
+                        yield best.pop(next(iter(best))).rows()
+                    best[number] = Nearest(batch.column(1)[i].values, k, exclude_self, same_subject)
+                best[number].meet(batch.column(2)[i].values)
+        for b in best.values():
+            yield b.rows()
+
+    found = pairs.select("q_block", "q_rows", "rows").mapInArrow(run, "query_id bigint, id bigint, similarity double")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def packed(rows: DataFrame, id_column: str, size: int) -> tuple[DataFrame, int]:
+    """Rows with an embedding in blocks of about ``size`` (block, rows: array of struct), and the number of blocks."""
+    good = rows.where(USABLE)
+    blocks = max(1, -(-good.count() // size))
+    # vectors of several lengths never share a block
+    return good.groupBy(F.size("embedding").alias("length"), F.pmod(F.xxhash64(id_column), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows")).drop("length"), blocks
+
+
+def matrix(lists: pa.Array) -> np.ndarray:
+    """Unit rows of equally long lists; zeros stay."""
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+class Nearest:
+    """The k nearest of a block of queries over the blocks of vectors it meets."""
+
+    def __init__(self, queries: pa.StructArray, k: int, exclude_self: bool, same_subject: bool):
+        self.ids, self.q = queries.flatten()[0].to_numpy(zero_copy_only=False), matrix(queries.flatten()[1])
+        self.subjects = queries.flatten()[2].to_numpy(zero_copy_only=False) if same_subject else None
+        self.k, self.exclude_self = k, exclude_self
+        self.best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # place of the query, id, similarity
+
+    def meet(self, vectors: pa.StructArray) -> None:
+        fields = vectors.flatten()
+        x, own = matrix(fields[1]), fields[0].to_numpy(zero_copy_only=False)
+        if x.shape[1] != self.q.shape[1]:
+            return
+        s = self.q @ x.T
+        if self.exclude_self:
+            s[self.ids[:, None] == own[None, :]] = -np.inf
+        if self.subjects is not None:
+            s[self.subjects[:, None] != fields[2].to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+        n = min(self.k, len(own))
+        edge = np.partition(s, len(own) - n, axis=1)[:, len(own) - n] - 1e-12  # ties at the edge are settled by id
+        row, at = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
+        place, ids, sim = (np.concatenate(p) for p in zip(self.best, (row, own[at], s[row, at])))
+        order = np.lexsort((ids, -np.round(sim, 12), place))
+        place = place[order]
+        first = np.searchsorted(place, place)
+        keep = order[np.arange(len(place)) - first < self.k]
+        self.best = (place[np.arange(len(place)) - first < self.k], ids[keep], sim[keep])
+
+    def rows(self) -> pa.RecordBatch:
+        place, ids, sim = self.best
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[place], pa.int64()), pa.array(ids, pa.int64()), pa.array(sim, pa.float64())], names=["query_id", "id", "similarity"])
 
 
 def tops(hits: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import bm25, build, calls, chunking, extract, grounding, metrics, overlap, profile, questions, repertory, resolve, sessions
+from ..operators import vector_index
 from ..operators import vectors as vec
 from ..operators.text_index import TextIndex
+from ..operators.vector_index import VectorIndex
 from ..session import shared_dir
 from ..sources import links, markup, stores
 from ..sources.versions import Versions, merge_collection
@@ -362,6 +364,28 @@ def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     return _hits(spark, d).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def _vector_index(spark: SparkSession, d: str) -> tuple[VectorIndex, DataFrame]:
+    v = views.load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = VectorIndex.built(v, f"{shared_dir(spark)}/vector-index-{uuid.uuid4().hex}")
+    return index, v.where(ASKED).select(F.col("id").alias("query_id"), "embedding")
+
+
+@query()
+def vector_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The eight nearest by the inverted file, a row a query, with the part of the exact eight among them."""
+    index, q = _vector_index(spark, d)
+    found = index.calibrated(0.95).search(q, 8, exclude_self=True)
+    right = vector_index.recall(found, index.search(q, 8, exact=True, exclude_self=True))
+    return found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids")).join(right, "query_id").select("query_id", flat("ids").alias("ids"), "recall")
+
+
+@query(f"WITH {_QV}, {_HITS} SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM hits WHERE rank <= 8")
+def vector_index_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The same index with every list searched by full vectors."""
+    index, q = _vector_index(spark, d)
+    return index.search(q, 8, exact=True, exclude_self=True).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(f"WITH {_QV}, {_HITS}, {_TOPS} SELECT query_id, n_hits, top_id, top_rank, round(top_similarity, 6) AS top_similarity FROM tops")
 def effective_top(spark: SparkSession, d: str) -> DataFrame:
     return vec.tops(_hits(spark, d)).select("query_id", "n_hits", "top_id", F.col("top_rank").cast("bigint").alias("top_rank"), F.round("top_similarity", 6).alias("top_similarity"))

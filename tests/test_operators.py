@@ -306,8 +306,8 @@ def test_batch_search_goes_on_after_a_block_of_queries(spark, data, monkeypatch)
     q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
     key = lambda df: sorted((r.query_id, r.rank, r.id, round(r.similarity, 9)) for r in df.collect())
     want = key(vectors.batch_search(v, q, 4))
-    monkeypatch.setattr(vectors, "MOST_QUERIES", 7)
-    monkeypatch.setattr(vectors, "STEP", 3)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vectors, "HELD", 2)
     assert key(vectors.batch_search(v, q, 4)) == want and len(want) == 4 * q.count() and q.count() > 20
 
 
