@@ -10,15 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import bm25, build, calls, chunking, extract, grounding, metrics, overlap, profile, questions, repertory, resolve, sessions
+from ..operators import bm25, build, calls, chunking, containment, extract, grounding, metrics, overlap, profile, questions, repertory, resolve, sessions
 from ..operators import vector_index
 from ..operators import vectors as vec
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
 from ..session import shared_dir
-from ..sources import links, markup, stores
+from ..sources import contracts, frontier, links, markup, stores
 from ..sources.versions import Versions, merge_collection
-from ..streaming import drain, latency
+from ..streaming import drain, latency, live_sessions, sketches
 from . import leaflets, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -487,6 +487,27 @@ def entity_match(spark: SparkSession, d: str) -> DataFrame:
     return overlap.matched_entities(left, right)
 
 
+_SETS = """st AS MATERIALIZED (SELECT doc_id AS id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 2 AND NOT list_contains({stop}, x)))) AS s FROM documents),
+  cl AS MATERIALIZED (SELECT id, min(id) OVER (PARTITION BY s) AS class_id, s FROM st WHERE len(s) >= 10), each_one AS MATERIALIZED (SELECT id, len(s) AS n, unnest(s) AS w FROM cl WHERE id = class_id),
+  ln AS MATERIALIZED (SELECT a.id AS small, b.id AS large, count(*) AS shared, count(*) / any_value(a.n)::DOUBLE AS containment FROM each_one a JOIN each_one b ON a.w = b.w AND (a.n < b.n OR (a.n = b.n AND a.id < b.id)) GROUP BY 1, 2 HAVING count(*) * 100 >= any_value(a.n) * 80)""".format(stop="[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]")
+
+
+def _contained(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    members = containment.classes(views.documents(spark, d), "doc_id", "text")
+    return members, containment.linked(containment.representatives(members))
+
+
+@query(f"WITH {_SETS} SELECT small, large, shared, round(containment, 6) AS containment FROM ln")
+def containment_links(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose words lie in another's to four fifths, over the whole table; equal sets are one class."""
+    return _contained(spark, d)[1].select("small", "large", F.col("shared").cast("bigint").alias("shared"), F.round("containment", 6).alias("containment"))
+
+
+@query(f"WITH {_SETS} SELECT id, class_id, (SELECT count(*) FROM ln WHERE small = class_id OR large = class_id) AS n_links FROM cl")
+def containment_classes(spark: SparkSession, d: str) -> DataFrame:
+    return containment.overview(*_contained(spark, d))
+
+
 # names
 
 
@@ -1074,6 +1095,76 @@ def logged_calls(spark: SparkSession, d: str) -> DataFrame:
     return calls.called(rows, lambda r: {"answer": r["prompt"][::-1]}, "answer string", 60_000, "coaching", "stand-in").select("doc_id", "answer", "task", "model", "error")
 
 
+@query(f"""WITH {ANS}, t AS (SELECT *, make_timestamp((1704067200 + session * 600 + turn * 60) * 1000000) AS ts FROM ans), mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM t),
+  m AS (SELECT session, topic, count(*) AS misses, min(turn) AS first FROM t WHERE NOT correct GROUP BY 1, 2),
+  w AS (SELECT session, string_agg(topic, ', ' ORDER BY misses DESC, first, topic) AS weak FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY misses DESC, first, topic) AS place FROM m) WHERE place <= 3 GROUP BY 1)
+SELECT t.session, count(*) AS answered, count(*) FILTER (correct) AS correct, CAST(round(100 * count(*) FILTER (correct) / count(*)::DOUBLE, 0) AS INT) AS percent, coalesce(any_value(weak), '') AS weak
+FROM t LEFT JOIN w ON w.session = t.session, mark GROUP BY t.session HAVING max(ts) + INTERVAL 1801 SECOND <= any_value(mark.w)""")
+def closed_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions as keyed state of a stream, closed by a timer once they are quiet; those still open at the end send nothing."""
+    schema = spark.read.parquet(f"{d}/conversations.parquet").schema
+    turns = spark.readStream.schema(schema).parquet(f"{d}/conversations.parque[t]").where("role = 'user'")
+    answers = turns.select(F.col("conv_id").alias("session"), "turn", F.lower(F.regexp_extract("text", "([A-Za-z]+)", 1)).alias("topic"), (F.length("text") % 3 != 0).alias("correct"), F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 600 + F.col("turn") * 60).alias("ts"))
+    with live_sessions.with_rocksdb(spark):
+        return drain.drained(live_sessions.closed_sessions(answers, "1801 seconds"), "sessions")
+
+
+@query(f"""WITH {MET}, l AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM met WHERE latency_ms IS NOT NULL),
+  c AS (SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d') AS day, task, coalesce(path, 'generative') AS path FROM met, l WHERE latency_ms IS NOT NULL AND time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= mark)
+SELECT level, label, count(*) AS n, true AS p50_near, true AS p95_near FROM (SELECT 'day' AS level, day AS label FROM c UNION ALL SELECT 'task', task FROM c UNION ALL SELECT 'path', path FROM c) GROUP BY ALL""")
+def latency_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of the event stream kept as sketches and merged to day, task and path; each estimate's exact rank is near the asked one."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+
+    def calls_of(e: DataFrame) -> DataFrame:
+        return e.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("task"), F.when(F.get_json_object("props", "$.k").cast("int") % 10 != 0, "deterministic").alias("path"), F.col("value").alias("latency_ms"))
+
+    windows = drain.drained(sketches.sketched(calls_of(spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]"))), "sketches")
+    told = sketches.merged(windows).select("level", "label", "n", sketches.quantile(F.col("sketch"), 0.5).alias("p50"), sketches.quantile(F.col("sketch"), 0.95).alias("p95"))
+    closed = windows.select(F.col("start").alias("hour")).distinct()
+    exact = calls_of(views.load(spark, d, "events")).where("latency_ms is not null").withColumn("hour", F.date_trunc("hour", "ts")).join(closed, "hour", "left_semi")
+    exact = exact.select("latency_ms", sketches.levels(F.col("ts"), F.col("task"), F.coalesce("path", F.lit("generative"))).alias("g")).select("latency_ms", "g.*")
+    ranked = exact.join(told, ["level", "label"]).groupBy("level", "label", "n")
+
+    def near(p: str, at: float) -> Column:
+        return ((F.count_if(F.col("latency_ms") < F.col(p)) / F.count("*") <= at + sketches.RANK_ERROR) & (F.count_if(F.col("latency_ms") <= F.col(p)) / F.count("*") >= at - sketches.RANK_ERROR)).alias(f"{p}_near")
+
+    return ranked.agg(near("p50", 0.5), near("p95", 0.95))
+
+
+# discovery and contracts
+
+
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1)) AS h FROM pages), e AS (SELECT 'page ' || page_id AS src, 'to ' || replace(h, '&amp;', '&') AS dst FROM l UNION SELECT 'to ' || replace(h, '&amp;', '&'), 'page ' || page_id FROM l),
+  r(node, depth) AS (SELECT 'page 0', 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 7)
+SELECT node, min(depth) AS depth FROM r GROUP BY 1""")
+def frontier_depths(spark: SparkSession, d: str) -> DataFrame:
+    """What the first page reaches over its links and the pages that share them, with the fewest steps."""
+    l = markup.pages(views.html_pages(spark, d)).select(F.concat(F.lit("page "), "page_id").alias("page"), F.explode("page.links").alias("l")).select("page", F.concat(F.lit("to "), "l.href").alias("to")).distinct()
+    edges = l.select(F.col("page").alias("src"), F.col("to").alias("dst")).unionByName(l.select(F.col("to").alias("src"), F.col("page").alias("dst")))
+    return frontier.reached(edges, spark.createDataFrame([("page 0",)], "node string"), 7)
+
+
+_PROPS = """CASE event_id % 10 WHEN 1 THEN left(props, length(props) - 1) WHEN 2 THEN replace(replace(props, ': ', ': "'), '}', '"}') WHEN 3 THEN '{}' WHEN 4 THEN replace(props, ': ', ': -1') WHEN 5 THEN NULL WHEN 6 THEN '[1]' WHEN 7 THEN replace(props, '}', ', "kind": "odd"}') ELSE props END"""
+
+
+def _contract(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.load(spark, d, "events").select("event_id", F.expr(_PROPS).alias("p"))
+    return contracts.checked(rows, "p", [contracts.Field("k", "$.k", "bigint", least=0, most=99), contracts.Field("kind", "$.kind", "string", required=False, among=("plain",))])
+
+
+@query(f"""SELECT event_id, (p->>'$.k')::BIGINT AS k FROM (SELECT event_id, {_PROPS} AS p FROM events) WHERE event_id % 10 IN (0, 8, 9)""")
+def contract_good(spark: SparkSession, d: str) -> DataFrame:
+    """Events whose properties keep their contract, typed."""
+    return contracts.good(_contract(spark, d)).select("event_id", "k")
+
+
+@query("""SELECT event_id, CASE event_id % 10 WHEN 1 THEN 'p: not JSON' WHEN 2 THEN 'k: not bigint' WHEN 3 THEN 'k: missing' WHEN 4 THEN 'k: below 0' WHEN 5 THEN 'p: null' WHEN 6 THEN 'p: not an object' ELSE 'kind: not listed' END AS reason FROM events WHERE event_id % 10 BETWEEN 1 AND 7""")
+def contract_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Events that break it, a row a reason."""
+    return contracts.quarantined(_contract(spark, d), "event_id")
+
+
 # versions of a collection
 
 
