@@ -3,11 +3,13 @@
 The index has a row for each alias: entry (its number), canonical, alias, source, name_key,
 tokens. Names resolve in sets: each step takes what the steps before left over. The build
 with feedback, where each resolved name becomes an alias at once, depends on order and is a
-separate operator over distinct names (``extended``).
+separate operator over groups of names that can influence one another (``extended``).
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key, name_tokens, name_variants
+from ..session import shared_dir
 
 FUZZY, MARGIN, SHORTEST = 0.90, 0.05, 5
 
@@ -59,18 +62,40 @@ def ratio(a: str, b: str, least: float = FUZZY - MARGIN) -> Column:
     return F.pandas_udf(each, "double")(a, b)
 
 
+def near_keys(left: DataFrame, right: DataFrame, least: float = FUZZY - MARGIN) -> DataFrame:
+    """Pairs of keys (a of ``left``, b of ``right``; columns k) whose ratio can reach ``least``: an equi-join on pairs of letters.
+
+    A ratio r of keys with S letters together leaves at most (1 - r) S unmatched; these part
+    the matched r S / 2 of each key into one block more than they are, and a block holds one
+    pair of letters less than letters. So at least (1.5 r - 1) S - 1 pairs of letters, counted
+    as often as they occur, are in both.
+    """
+    shortest = SHORTEST + math.ceil(SHORTEST * least / (2 - least))
+    if (1.5 * least - 1) * shortest - 1 <= 0:
+        raise ValueError(f"pairs of letters don't tell keys apart at a ratio of {least}")
+
+    def grams(df: DataFrame, name: str) -> DataFrame:
+        k = F.col("k")
+        pairs = F.transform(F.sequence(F.lit(1), F.length(k) - 1), lambda i: F.substring(k, i, F.lit(2)))
+        numbered = F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda x: x == g)).cast("string")))
+        return df.where(F.length("k") >= 2).select(k.alias(name), F.length(k).alias(f"l{name}"), F.explode(numbered).alias("gram"))
+
+    la, lb = F.col("la").cast("double"), F.col("lb").cast("double")
+    met = grams(left.select("k").distinct(), "a").join(grams(right.select("k").distinct(), "b"), "gram").where(F.least(la, lb) * 2 >= least * (la + lb) - 1e-9)
+    return met.groupBy("a", "b", "la", "lb").agg(F.count("*").alias("both")).where(F.col("both") >= (1.5 * least - 1) * (la + lb) - 1 - 1e-9).select("a", "b")
+
+
 def fuzzy(names: DataFrame, index: DataFrame, threshold: float = FUZZY, margin: float = MARGIN) -> DataFrame:
     """name, canonical, score of the entry whose best key is similar enough and leads the next entry by the margin.
 
-    The ratio is at most 2 min / (la + lb); pairs where that is below the threshold less the
-    margin change nothing, so only keys of near lengths meet: an equi-join on the length.
+    Pairs below the threshold less the margin change nothing, so only keys that share enough
+    pairs of letters to reach that are compared (``near_keys``).
     """
     least = max(threshold - margin, 0.01)
     n = names.select("name", name_key(F.col("name")).alias("k")).where(F.length("k") >= SHORTEST)
-    la = F.length("k")
-    n = n.withColumn("len", F.explode(F.sequence(F.ceil(la * (least / (2 - least)) - 1e-9).cast("int"), F.floor(la * ((2 - least) / least) + 1e-9).cast("int"))))
-    i = index.where("name_key <> ''").select("entry", "canonical", "name_key").distinct().withColumn("len", F.length("name_key"))
-    best = n.join(i, "len").withColumn("score", ratio("k", "name_key", least)).groupBy("name", "entry", "canonical").agg(F.max("score").alias("score"))
+    i = index.where("name_key <> ''").select("entry", "canonical", F.col("name_key").alias("k")).distinct()
+    near = near_keys(n, i, least).withColumn("score", ratio("a", "b", least))
+    best = n.withColumnRenamed("k", "a").join(near, "a").join(i.withColumnRenamed("k", "b"), "b").groupBy("name", "entry", "canonical").agg(F.max("score").alias("score"))
     order = Window.partitionBy("name").orderBy(F.desc("score"), "entry")
     top = best.withColumn("at", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).where("at = 1")
     return top.where((F.col("score") >= threshold) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= margin))).select("name", "canonical", "score")
@@ -116,79 +141,87 @@ def identifiers(records: DataFrame, kind: str) -> DataFrame:
     return own.distinct()
 
 
+def influence(members: DataFrame) -> DataFrame:
+    """node, grp: nodes (node, word) that share a word, or words through other nodes, are in one group.
+
+    Groups take the least label of their words, round by round, until none changes; rounds are
+    written, so plans stay short.
+    """
+    spark = members.sparkSession
+    at = f"{shared_dir(spark)}/influence-{uuid.uuid4().hex}"
+    members.distinct().write.parquet(f"{at}/members")
+    m = spark.read.schema(members.schema).parquet(f"{at}/members")
+    labels, n = m.select("node", F.col("node").alias("grp")).distinct(), 0
+    while True:
+        by_word = m.join(labels, "node").groupBy("word").agg(F.min("grp").alias("grp"))
+        new = m.join(by_word, "word").groupBy("node").agg(F.min("grp").alias("grp"))
+        new.join(labels.withColumnRenamed("grp", "before"), "node").write.parquet(f"{at}/{n}")
+        rows = spark.read.schema("node string, grp string, before string").parquet(f"{at}/{n}")
+        labels, n = rows.select("node", "grp"), n + 1
+        if not rows.where("grp <> before").limit(1).count():
+            return labels
+
+
 def extended(index: DataFrame, names: DataFrame) -> DataFrame:
     """name, source, canonical with feedback: sources in order of ``batch``, names sorted, each resolved name an alias at once.
 
-    names: batch, source, name. What a name resolves to depends on all before it, so this is
-    one task by nature; it holds distinct names only, of which there are some thousands.
+    names: batch, source, name. What a name resolves to depends on names before it, but only on
+    those that it can meet: with an equal key, an equal first word or a key similar enough, or
+    through others. Names and entries that can influence one another are a group; each is
+    settled in order, in a task of its own.
     """
-    kind = index.select(F.lit(0).alias("g"), F.lit(-1).alias("batch"), "source", F.col("alias").alias("name"), "entry", "canonical")
-    asked = names.select(F.lit(0).alias("g"), "batch", "source", "name", F.lit(None).cast(index.schema["entry"].dataType).alias("entry"), F.lit(None).cast("string").alias("canonical")).distinct()
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        known = _Names()
-        for r in rows[rows["batch"] < 0].sort_values("entry", kind="stable").itertuples():
-            known.add(int(r.entry), r.canonical, r.name)
-        out = []
-        for r in rows[rows["batch"] >= 0].sort_values(["batch", "name"]).itertuples():
-            entry = known.find(r.name)
-            if entry is not None:
-                known.add(entry, known.canonical[entry], r.name)
-            out.append((r.name, r.source, None if entry is None else known.canonical[entry]))
-        return pd.DataFrame(out, columns=["name", "source", "canonical"])
-
-    return kind.unionByName(asked).groupBy("g").applyInPandas(run, "name string, source string, canonical string")
-
-
-class _Names:
-    """What is known so far, for ``extended``."""
-
-    def __init__(self) -> None:
-        self.canonical: dict[int, str] = {}
-        self.key: dict[str, int] = {}
-        self.keys: dict[int, set[str]] = {}
-        self.first: dict[str, list[tuple[int, list[str]]]] = {}
-
-    @staticmethod
-    def tokens(name: str) -> list[str]:
-        import re
-
-        return re.findall("[a-z]+", name.lower())
-
-    @staticmethod
-    def variants(name: str) -> list[str]:
-        import re
-
-        def bare(x: str) -> str:
-            return x.strip().rstrip(".").strip()
-
-        main = bare(" ".join(re.sub(r"\s*\([^)]*\)\s*", " ", name).split()))
-        bases = dict.fromkeys(b for b in [main, *map(bare, re.findall(r"\(([^)]*)\)", name))] if b)
-        return [bare(p) for b in bases for p in re.split(r"\s*--\s*|\s+—\s+", b) if p.strip()] or [name.strip()]
-
-    def add(self, entry: int, canonical: str, name: str) -> None:
-        self.canonical.setdefault(entry, canonical)
-        toks = self.tokens(name)
-        if toks:
-            self.keys.setdefault(entry, set()).add(" ".join(toks))
-            self.first.setdefault(toks[0], []).append((entry, toks))
-        for key in self.keys.get(entry, ()):
-            self.key[key] = entry
-
-    def find(self, name: str) -> int | None:
-        for v in self.variants(name):
-            if (hit := self.key.get(" ".join(self.tokens(v)))) is not None:
-                return hit
-        toks = self.tokens(name)
-        if toks and len(toks[0]) >= 3:
-            hits = {e for e, own in self.first.get(toks[0], ()) if len(toks) <= len(own) and all(o.startswith(t) for o, t in zip(own, toks))}
-            if len(hits) == 1:
-                return hits.pop()
-        key = " ".join(toks)
-        if len(key) < SHORTEST:
-            return None
-        scores = sorted(((max(SequenceMatcher(None, key, k).ratio() for k in ks), e) for e, ks in self.keys.items()), key=lambda x: -x[0])
-        if scores and scores[0][0] >= FUZZY and (len(scores) == 1 or scores[0][0] - scores[1][0] >= MARGIN):
-            return scores[0][1]
+    asked = names.select("batch", "source", "name").where("name is not null").distinct()
+    own = asked.select("batch", "source", "name", name_key(F.col("name")).alias("key"), name_tokens(F.col("name")).alias("tokens"), F.array_distinct(F.filter(F.transform(name_variants(F.col("name")), name_key), lambda k: k != "")).alias("keys"))
+    known = index.where("name_key <> ''").select("entry", "canonical", F.col("name_key").alias("key"), "tokens").distinct()
+    name_node, entry_node = F.concat(F.lit("name "), "name"), F.concat(F.lit("entry "), "entry")
+    keys = own.select(name_node.alias("node"), F.explode(F.array_union("keys", F.array("key"))).alias("k")).unionByName(known.select(entry_node.alias("node"), F.col("key").alias("k"))).where("k <> ''").distinct()
+    firsts = own.select(name_node.alias("node"), F.get("tokens", F.lit(0)).alias("t")).unionByName(known.select(entry_node.alias("node"), F.get("tokens", F.lit(0)).alias("t"))).where(F.length("t") >= 3)
+    near = near_keys(keys, keys).where("a < b").select(F.explode(F.array("a", "b")).alias("k"), F.concat_ws("|", F.lit("near"), "a", "b").alias("word"))
+    words = keys.select("node", F.concat(F.lit("key "), "k").alias("word")).unionByName(firsts.select("node", F.concat(F.lit("first "), "t").alias("word"))).unionByName(keys.join(near, "k").select("node", "word"))
+    alone = own.select(name_node.alias("node"), name_node.alias("word")).unionByName(known.select(entry_node.alias("node"), entry_node.alias("word")))
+    group = influence(words.unionByName(alone))
+    nothing = F.lit(None).cast("string")
+    rows = own.withColumn("node", name_node).join(group, "node").select("grp", "batch", "source", "name", "key", "tokens", "keys", F.lit(None).cast("bigint").alias("entry"), nothing.alias("canonical"))
+    rows = rows.unionByName(known.withColumn("node", entry_node).join(group, "node").select("grp", F.lit(-1).cast(asked.schema["batch"].dataType).alias("batch"), nothing.alias("source"), nothing.alias("name"), "key", "tokens", F.lit(None).cast("array<string>").alias("keys"), F.col("entry").cast("bigint").alias("entry"), "canonical"))
+    return rows.groupBy("grp").applyInPandas(_settled, "name string, source string, canonical string")
+
+
+def _settled(rows: pd.DataFrame) -> pd.DataFrame:
+    """The names of one group in their order; every name that finds an entry joins its aliases."""
+    old, new = rows[rows["batch"] < 0], rows[rows["batch"] >= 0].sort_values(["batch", "name"])
+    aliases = pd.DataFrame({"entry": old["entry"].astype("int64"), "key": old["key"], "tokens": old["tokens"].map(tuple)}).sort_values("entry", ignore_index=True)
+    canonical = dict(zip(old["entry"].astype("int64"), old["canonical"]))
+    latest = {e: n for n, e in enumerate(sorted(canonical))}  # of entries with one key the one last added to stands
+    out = []
+    for r in new.itertuples():
+        entry = next((e for e in (by(aliases, latest, r) for by in (_by_key, _by_beginnings, _by_likeness)) if e is not None), None)
+        if entry is not None:
+            latest[entry] = len(latest) + len(out)
+            if r.key:
+                aliases.loc[len(aliases)] = [entry, r.key, tuple(r.tokens)]
+        out.append((r.name, r.source, canonical.get(entry)))
+    return pd.DataFrame(out, columns=["name", "source", "canonical"])
+
+
+def _by_key(aliases: pd.DataFrame, latest: dict[int, int], r) -> int | None:
+    for key in r.keys:
+        hits = aliases.loc[aliases["key"] == key, "entry"]
+        if len(hits):
+            return max(hits, key=latest.__getitem__)
+    return None
+
+
+def _by_beginnings(aliases: pd.DataFrame, latest: dict[int, int], r) -> int | None:
+    if not len(r.tokens) or len(r.tokens[0]) < 3:
         return None
+    fit = aliases["tokens"].map(lambda t: len(t) >= len(r.tokens) and t[0] == r.tokens[0] and all(map(str.startswith, t, r.tokens)))
+    hits = aliases.loc[fit.astype(bool), "entry"].unique()
+    return int(hits[0]) if len(hits) == 1 else None
+
 
+def _by_likeness(aliases: pd.DataFrame, latest: dict[int, int], r) -> int | None:
+    if len(r.key) < SHORTEST or aliases.empty:
+        return None
+    likeness = aliases["key"].map(lambda k: SequenceMatcher(None, r.key, k).ratio()).groupby(aliases["entry"]).max().nlargest(2)
+    best, second = likeness.iloc[0], likeness.iloc[1] if len(likeness) > 1 else -1.0
+    return int(likeness.index[0]) if best >= FUZZY and best - second >= MARGIN else None

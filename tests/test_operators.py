@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -158,13 +159,33 @@ SEED = [(0, "Actea Racemosa. (Cimicifuga.)", "Act. r."), (1, "Kali Bichromicum",
 NAMES = ["cimicifuga", "ACTEA RACEMOSA", "kali-bi", "Kali", "kali br", "na m", "nat m", "Actaea Racemosa", "Natrum Muriatikum", "Zzz", "Ka b", "Beladonna (x)", "bell"]
 
 
-def plain_resolve(names):
-    known = resolve._Names()
-    for seq, remedy, abbrev in SEED:
-        v = known.variants(remedy)
-        for a in [*v, abbrev]:
-            known.add(seq, v[0], a)
-    return {n: known.canonical.get(known.find(n)) for n in names}
+def plain_resolve(names, feedback=False):
+    """One name after the other, by the three rules, over a plain list of (entry, alias)."""
+    words = lambda x: re.findall("[a-z]+", x.lower())
+    split = lambda x: [p for p in re.split(r"[()]", x) if words(p)]
+    aliases = [(seq, a) for seq, remedy, abbrev in SEED for a in [*split(remedy), abbrev]]
+    order, out = {seq: seq for seq, _, _ in SEED}, {}
+    for n in names:
+        own, hit = words(n), None
+        for v in split(n):
+            held = [e for e, a in aliases if words(a) == words(v)]
+            if held and hit is None:
+                hit = max(held, key=order.get)
+        fits = {e for e, a in aliases if own and len(own[0]) >= 3 and words(a)[:1] == own[:1] and len(words(a)) >= len(own) and all(y.startswith(x) for x, y in zip(own, words(a)))}
+        if hit is None and len(fits) == 1:
+            hit = next(iter(fits))
+        if hit is None and len(" ".join(own)) >= 5:
+            best = {}
+            for e, a in aliases:
+                best[e] = max(best.get(e, 0), SequenceMatcher(None, " ".join(own), " ".join(words(a))).ratio())
+            top = sorted(best, key=best.get, reverse=True)
+            if best[top[0]] >= 0.9 and best[top[0]] - best[top[1]] >= 0.05:
+                hit = top[0]
+        if feedback and hit is not None:
+            aliases.append((hit, n))
+            order[hit] = 1000 + len(aliases)
+        out[n] = next((re.split(r"[(.]", r)[0].strip() for s, r, _ in SEED if s == hit), None)
+    return out
 
 
 def test_resolution(spark):
@@ -200,6 +221,25 @@ def test_feedback_changes_what_follows(spark):
     assert report == {"a": (1, 1, []), "b": (2, 1, ["Unknown thing"])}
 
 
+def test_feedback_equals_one_name_after_the_other(spark):
+    rnd = random.Random(8)
+    names = {"".join(c if rnd.random() > 0.12 else rnd.choice("aeiklnr ") for c in rnd.choice([*NAMES, *(r for _, r, _ in SEED), "Kali Bromicum", "Natrum Bromatum"])) for _ in range(250)}
+    names = sorted(n for n in names if n.strip() and n.count("(") == n.count(")") <= 1)
+    index = resolve.seeded(spark.createDataFrame(SEED, "seq bigint, remedy string, abbrev string"))
+    got = {r.name: r.canonical for r in resolve.extended(index, spark.createDataFrame([(0, "s", n) for n in names], "batch int, source string, name string")).collect()}
+    assert got == plain_resolve(names, feedback=True)
+
+
+def test_pairs_of_letters_lose_no_similar_key(spark):
+    rnd = random.Random(2)
+    keys = {"".join(rnd.choice("abc d") for _ in range(rnd.randint(4, 12))) for _ in range(60)}
+    keys |= {k[: len(k) // 2] + rnd.choice("abcx") + k[len(k) // 2 + rnd.randint(0, 1) :] for k in keys}
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    met = {(r.a, r.b) for r in resolve.near_keys(df, df).collect()}
+    alike = {(a, b) for a in keys for b in keys if len(a) >= 5 and SequenceMatcher(None, a, b).ratio() >= 0.85}
+    assert alike <= met and len(met) < len(keys) ** 2 / 4
+
+
 # overlap
 
 
