@@ -112,5 +112,8 @@ def build(records: dict[str, DataFrame], aliases: DataFrame | None = None, layer
 def counts(chunks: DataFrame) -> DataFrame:
     """Passages by source and, with a null source, in all; none at all is an error."""
     by = chunks.groupBy("source").agg(F.count("*").alias("n"))
-    total = by.agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("source"), F.when(F.coalesce("n", F.lit(0)) == 0, F.raise_error(F.lit("no passages")).cast("bigint")).otherwise(F.col("n")).alias("n"))
-    return by.unionByName(total)
+    none = chunks.sparkSession.range(1).select(F.lit(True).alias("all"), F.lit(None).cast("string").alias("source"), F.lit(0).cast("bigint").alias("n"))
+    # each source's count also goes to the total, so the passages are counted once
+    both = by.select(F.explode(F.array(F.struct(F.lit(False).alias("all"), F.col("source"), F.col("n")), F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("source"), F.col("n")))).alias("x")).select("x.*").unionByName(none)
+    n = both.groupBy("all", "source").agg(F.sum("n").alias("n"))
+    return n.select("source", F.when(F.col("all") & (F.col("n") == 0), F.raise_error(F.lit("no passages")).cast("bigint")).otherwise(F.col("n")).alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import percentile, rate_report
@@ -109,6 +109,7 @@ def cost_ranking(tokens: DataFrame, questions: int = 50_000, prices: Sequence[tu
     """Monthly cost of each model, and the percent saved against the baseline."""
     p = tokens.sparkSession.createDataFrame(list(prices), "model string, price_in double, price_out double")
     cost = tokens.crossJoin(p).select("model", (F.lit(float(questions)) * F.col("tokens_in") / 1e6 * F.col("price_in") + F.lit(float(questions)) * F.col("tokens_out") / 1e6 * F.col("price_out")).alias("cost"))  # one row times the price list
-    base = cost.where(F.col("model") == baseline).select(F.col("cost").alias("base"))
+    base = F.max(F.when(F.col("model") == baseline, F.col("cost"))).over(Window.partitionBy())  # over the price list
+    cost = cost.withColumn("base", base).where("base is not null")
     saved = F.when(F.col("cost") < F.col("base"), F.round(100 * (1 - F.try_divide("cost", "base")), 0))
-    return cost.crossJoin(base).select("model", F.round("cost", 2).alias("cost"), saved.alias("saved_percent")).orderBy("cost", "model")
+    return cost.select("model", F.round("cost", 2).alias("cost"), saved.alias("saved_percent")).orderBy("cost", "model")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import draw_key, share_floor
+from .order import numbered
 
 
 def members(entries: DataFrame) -> DataFrame:
@@ -110,10 +111,9 @@ def normalized(records: DataFrame, order: list[str], aliases: DataFrame | None =
 
     Records whose grade-3 entries are not all in their list ``grade3`` stop the load.
     """
-    # ids are positions in the whole load, so the ranking is global; records are counted in tens of thousands
-    numbered = records.withColumn("id", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    rows = numbered(records.drop("id"), order, "id") if "id" not in order else numbered(records.withColumnRenamed("id", "_id"), ["_id" if c == "id" else c for c in order], "id").drop("_id")
     listed = F.forall("remedies", lambda r: (r["grade"] != 3) | F.array_contains(F.coalesce(F.col("grade3"), F.array().cast("array<string>")), r["name"]))
-    checked = numbered.withColumn("rubric", F.when(F.coalesce(listed, F.lit(True)), F.col("rubric")).otherwise(F.raise_error(F.concat(F.lit("grade 3 entries of rubric "), F.col("id"), F.lit(" are not listed")))))
+    checked = rows.withColumn("rubric", F.when(F.coalesce(listed, F.lit(True)), F.col("rubric")).otherwise(F.raise_error(F.concat(F.lit("grade 3 entries of rubric "), F.col("id"), F.lit(" are not listed")))))
     rubrics = checked.select("id", "chapter", "rubric", "page", "url")
     entries = checked.select(F.col("id").alias("rubric_id"), F.explode("remedies").alias("r")).select("rubric_id", F.col("r.name").alias("remedy_raw"), F.col("r.grade").alias("grade"))
     if aliases is None:

@@ -563,6 +563,26 @@ def alias_table(spark: SparkSession, d: str) -> DataFrame:
     return resolve.table(resolve.seeded(seed)).select("canonical", flat("aliases").alias("aliases"), flat("sources").alias("sources"))
 
 
+@query(f"""WITH {_NAMES}, keys AS (SELECT key AS k, arg_max(canonical, seq) AS canonical FROM ix WHERE key <> '' GROUP BY 1),
+  asked AS (SELECT DISTINCT p_name || '.' AS name, p_brand AS source FROM part UNION SELECT DISTINCT 'no ' || p_name, p_brand FROM part)
+SELECT source, count(*) AS n_names, count(canonical) AS n_resolved, string_agg(CASE WHEN canonical IS NULL THEN name END, ',' ORDER BY name) AS unresolved
+FROM asked LEFT JOIN keys ON k = array_to_string(regexp_extract_all(lower(name), '[a-z]+'), ' ') GROUP BY 1""")
+def alias_report(spark: SparkSession, d: str) -> DataFrame:
+    """What each source's names come to."""
+    seed, _ = _names(spark, d)
+    p = views.load(spark, d, "part")
+    asked = p.select(F.concat("p_name", F.lit(".")).alias("name"), F.col("p_brand").alias("source")).unionByName(p.select(F.concat(F.lit("no "), "p_name").alias("name"), F.col("p_brand").alias("source"))).distinct()
+    found = asked.join(resolve.exact(asked.select("name").distinct(), resolve.seeded(seed), variants=False), "name", "left")
+    return resolve.report(found).select("source", "n_names", "n_resolved", flat("unresolved").alias("unresolved"))
+
+
+@query()
+def alias_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Names looked up at run time: aliases as they are, then beginnings, then likeness."""
+    seed, names = _names(spark, d)
+    return resolve.canonical(names, resolve.seeded(seed))
+
+
 # quotes
 
 
@@ -579,6 +599,15 @@ def quote_exact(spark: SparkSession, d: str) -> DataFrame:
     return grounding.exact(_quotes(spark, d)).select("doc_id", "quote_exact")
 
 
+@query("""WITH x AS (SELECT a.doc_id, trim(regexp_replace(lower(q), '\\s+', ' ', 'g')) <> '' AND contains(trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(q), '\\s+', ' ', 'g'))) AS found
+  FROM (SELECT doc_id, replace(substr(split_part(text, chr(10), 1), 11, 40), ' ', '  ') AS q, doc_id + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS o FROM documents) a JOIN documents b ON b.doc_id = o)
+SELECT doc_id, doc_id % 4 <> 0 AND found AS supported, CASE WHEN doc_id % 2 = 0 AND found THEN 'a claim' WHEN doc_id % 2 = 0 THEN 'a claim,supporting quote not found in source' WHEN found THEN '' ELSE 'supporting quote not found in source' END AS claims FROM x""")
+def quote_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """A verdict stands only if its quote is in the source; else the claim counts as unsupported and says why."""
+    rows = grounding.exact(_quotes(spark, d)).select("doc_id", F.col("quote_exact").alias("quote_found"), (F.col("doc_id") % 4 != 0).alias("supported"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a claim"))).alias("unsupported_claims"))
+    return grounding.verdicts(rows).select("doc_id", "supported", flat("unsupported_claims").alias("claims"))
+
+
 @query()
 def quote_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return grounding.present(_quotes(spark, d)).select("doc_id", "quote_found")
@@ -1013,7 +1042,7 @@ def registry_build(spark: SparkSession, d: str) -> DataFrame:
         bits = name.split("{id}")
         pages = leaflets.pages(spark, d, kind).withColumn("url", F.concat(F.lit("http://leaflets.example.com/a/" + bits[0]), F.col("id").cast("string"), F.lit(bits[1]))).drop("id")
         more = {"chapter_link": "^/[a-z]+$"} if kind == "rubric_records" else {}
-        one = build.summary(kind, *build.built(kind, leaflets.indexes(spark, d, name), pages, **more))
+        one = build.summary(kind, *build.parsed(kind, leaflets.indexes(spark, d, name), pages, **more))
         out = one if out is None else out.unionByName(one)
     return out
 
