@@ -288,7 +288,9 @@ def replaced(docs: DataFrame, key: str, count: str | None = None) -> DataFrame:
     some = F.coalesce(F.size(m) > 0, F.lit(False))
     hits = materialize(marked.where(some).withColumns({h: F.sha2("text", 256), split: F.split("text", ANYTHING, -1)}).drop("text"), "mentions")
     mentions = hits.select(F.explode(F.array_distinct(m)).alias("mention")).distinct()
-    parts = materialize(mentions.select("mention", F.posexplode(parts_of(kind_of(F.col("mention")), F.col("mention")))).select("mention", "pos", "col.*"), "parts")
+    # the kind is a column of its own, else each of its uses would spell out all patterns
+    kinds = mentions.withColumn("kind", kind_of(F.col("mention")))
+    parts = materialize(kinds.select("mention", F.posexplode(parts_of(F.col("kind"), F.col("mention")))).select("mention", "pos", "col.*"), "parts")
     new = surrogates(parts.where("kind <> 'as is'").select("kind", "canon").distinct(), key)
     made = parts.join(new, ["kind", "canon"], "left").withColumn("out", F.when(F.col("kind") == "as is", F.col("form")).otherwise(rendered(F.col("kind"), F.col("form"), F.col("new"))))
     named = (F.col("kind").startswith("given") | (F.col("kind") == "surname")) & ~F.col("canon").isin(*NO_NAMES)
