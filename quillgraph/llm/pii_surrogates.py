@@ -186,7 +186,7 @@ def stream_of(key: str) -> Column:
 
 
 def payload() -> Column:
-    """The surrogate of an entity (kind, canon, draw, stream), in canonical form."""
+    """The surrogate of an entity (kind, canon, draw, stream, hexadecimal: whether canon is), in canonical form."""
     kind, canon, draw, stream = (F.col(c) for c in ("kind", "canon", "draw", "stream"))
     more = F.when(draw >= EACH, F.sequence(F.lit(1), F.floor(draw / EACH).cast("int"))).otherwise(F.array().cast("array<int>"))
 
@@ -216,7 +216,7 @@ def payload() -> Column:
     country, account = F.substring(canon, 1, 2), F.concat(_mapped(stream, F.substring(canon, F.lit(5), F.length(canon))), F.upper(longer))
     iban = F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
     access = F.concat(F.lit("AKIA"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: _letter(stream, i, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")), ""))
-    secret = F.concat(_mapped(stream, canon, canon.rlike("^[0-9a-f]+$")), longer)
+    secret = F.concat(_mapped(stream, canon, F.col("hexadecimal")), longer)
 
     def syllables(n: int, first: int, vowels: str, consonants: str) -> Column:
         return F.concat(*(x for i in range(n) for x in (_letter(stream, F.lit(first + 2 * i), consonants), _letter(stream, F.lit(first + 2 * i + 1), vowels))))
@@ -256,7 +256,9 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     live, settled = entities.select("kind", "canon", F.lit(0).alias("draw")).withColumn("scope", scope), None
     while True:
         # the stream is a column of its own, else each of its hundred uses would spell it out
-        drawn = live.withColumn("stream", stream_of(key)).withColumn("new", payload()).drop("stream")
+        # and no test of the whole is made for each of its letters
+        given = live.withColumns({"stream": stream_of(key), "hexadecimal": F.col("canon").rlike("^[0-9a-f]+$")})
+        drawn = given.withColumn("new", payload()).drop("stream", "hexadecimal")
         taken = drawn.join(own.withColumn("had", F.lit(True)), ["kind", "new"], "left")
         # a reserved domain stands for itself
         again = F.col("had").isNotNull() & ~((F.col("kind") == "domain") & (F.col("new") == F.col("canon")))
