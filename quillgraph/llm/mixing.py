@@ -13,7 +13,7 @@ block a further pass begins.
 
 Nothing is ordered within one task: documents are laid out in buckets by the MD5 of the seed,
 their id and text, slots in stretches of the schedule and points in cells of their value,
-each with the total of those before it, so a source may hold any part of the rows. Rows that
+each with the total of those before it (added up in ranges first), so a source may hold any part of the rows. Rows that
 agree in all that counts are laid out as one with a number of copies, end to end.
 
 Defined results: a null text has size 0; a null source is a source of its own, behind all
@@ -35,6 +35,7 @@ GOLDEN = 0.6180339887498949  #: fixed value: the golden ratio's fraction
 STRETCH = 1 << 14
 BUCKET_ROWS = 1024
 COPIES = 4096  #: copies of one row that are laid out by one task
+RANGE = 4096  #: numbers whose totals one task adds up
 PARTS = 256  #: parts in which a group's rows are numbered
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -65,6 +66,23 @@ def counted(shares: DataFrame, block: int) -> DataFrame:
     return s.withColumn("slots", passes * F.ceil(size / block) + F.ceil((F.col("wanted") - passes * size) / block))
 
 
+def _before(counts: DataFrame, group: list[str], at: str, n: str, name: str) -> DataFrame:
+    """``counts`` (group, at, n; a row a number) with ``name``, the sum of n before each row of its group in the order of ``at``, for n.
+
+    Sums over ranges of RANGE numbers come first, so no task sorts more than one range, or
+    the ranges of one group: 1/RANGE of its numbers.
+    """
+    c = counts.withColumn("range", F.floor(F.col(at) / RANGE))
+    upto = Window.partitionBy(*group).orderBy("range")
+    wide = c.groupBy(*group, "range").agg(F.sum(n).alias("own"))
+    wide = wide.select(*(F.col(g).alias(f"{g}_") for g in group), F.col("range").alias("range_"), (F.sum("own").over(upto) - F.col("own")).alias("wide"))
+    local = c.withColumn("local", F.sum(n).over(Window.partitionBy(*group, "range").orderBy(at)) - F.col(n))
+    same = F.col("range") == F.col("range_")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"{g}_"))
+    return local.join(wide, same).select(*group, at, (F.col("wide") + F.col("local")).alias(name))
+
+
 def schedule(shares: DataFrame, block: int) -> DataFrame:
     """slot, source, rank (from 0 within the source) and the further columns, for a row a source (source, target[, slots, ...])."""
     spark = shares.sparkSession
@@ -81,13 +99,11 @@ def schedule(shares: DataFrame, block: int) -> DataFrame:
     cells = max(1, slots // 4096)
     point = F.col("id") * F.lit(GOLDEN) - F.floor(F.col("id") * F.lit(GOLDEN))
     points = spark.range(slots).withColumn("point", point).withColumn("cell", F.floor(F.col("point") * cells))
-    ahead = points.groupBy("cell").count()
-    ahead = ahead.select("cell", (F.sum("count").over(Window.orderBy("cell")) - F.col("count")).alias("ahead"))
+    ahead = _before(points.groupBy("cell").count(), [], "cell", "count", "ahead")
     placed = points.withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy("point", "id")) - 1).join(ahead, "cell").select("id", (F.col("ahead") + F.col("n")).alias("place"))
     dealt = placed.join(places.hint("merge"), "place").select(F.col("id").alias("slot"), "source", F.floor(F.col("id") / STRETCH).alias("stretch"))
     key = ["source", "stretch"]
-    counts = dealt.groupBy(*key).count()
-    before = counts.select(*key, (F.sum("count").over(Window.partitionBy("source").orderBy("stretch")) - F.col("count")).alias("before"))
+    before = _before(dealt.groupBy(*key).count(), ["source"], "stretch", "count", "before")
     local = dealt.withColumn("local", F.row_number().over(Window.partitionBy(*key).orderBy("slot")) - 1)
     more = [c for c in shares.columns if c not in ("source", "target", "slots")]
     # a row a source and stretch, with what is known of the source
@@ -101,8 +117,7 @@ def laid_out(rows: DataFrame, shares: DataFrame, buckets: int) -> DataFrame:
     """The copies of ``rows`` (row, doc_id, source, size, h, copies), each with ``copy``, source_size, target and ``first``: the words of its source before it, in the order of h."""
     d = rows.withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") * buckets / (1 << 32)))
     key, words = ["source", "bucket"], F.col("size") * F.col("copies")
-    sums = d.groupBy(*key).agg(F.sum(words).alias("n"))
-    before = sums.select(*key, (F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("before"))
+    before = _before(d.groupBy(*key).agg(F.sum(words).alias("n")), ["source"], "bucket", "n", "before")
     known = shares.withColumnRenamed("source", "s")
     before = before.join(known, before["source"].eqNullSafe(known["s"])).drop("s")
     order = Window.partitionBy(*key).orderBy("h", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)

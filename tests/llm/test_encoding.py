@@ -277,6 +277,26 @@ def test_many_equal_rows_are_taken_one_by_one(spark, monkeypatch):
     assert len(set(copies)) == min(40, len(copies)) and max(copies.count(c) for c in copies) <= 2
 
 
+def test_totals_before_by_ranges(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(g, k, r.randint(0, 50)) for g in ("a", "b", None) for k in r.sample(range(300), 90)]
+    df = spark.createDataFrame(rows, "g string, k bigint, n bigint")
+    want = {(g, k): sum(n for h, j, n in rows if h == g and j < k) for g, k, _ in rows}
+    for size in (1, 7, 64, 4096):
+        monkeypatch.setattr(mixing, "RANGE", size)
+        assert {(x.g, x.k): x.b for x in mixing._before(df, ["g"], "k", "n", "b").collect()} == want
+    whole = mixing._before(df.groupBy("k").agg(F.sum("n").alias("n")), [], "k", "n", "b").collect()
+    assert {x.k: x.b for x in whole} == {k: sum(n for _, j, n in rows if j < k) for _, k, _ in rows}
+    docs = spark.createDataFrame([(i, "w " * r.randint(0, 400), f"s{i % 3}") for i in range(3000)], "doc_id bigint, text string, source string")
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(mixing, "STRETCH", 64)
+    got = []
+    for size in (3, 4096):
+        monkeypatch.setattr(mixing, "RANGE", size)
+        got.append(sorted(mixing.taken_words(docs).collect()))
+    assert got[0] == got[1] and len(got[0]) == 3000
+
+
 def test_schedule_is_even(spark):
     shares = spark.createDataFrame([("a", 700.0), ("b", 200.0), ("c", 100.0)], "source string, target double")
     rows = mixing.schedule(shares, 1).collect()
