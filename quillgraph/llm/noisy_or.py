@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 Only documents have labels, but it is sentences that offend. A sentence's probability is a
-logistic function of the words in it; a document's is the noisy-or of its sentences,
+logistic function of the words in it, their beginnings, and which of these it repeats; a document's is the noisy-or of its sentences,
 1 - prod(1 - p). The weights are fitted on document labels through that combination, so
 they settle on the words of the offending sentences, and those sentences can be pointed at.
 
@@ -29,6 +29,7 @@ from .common import SAMPLE_BYTES, bounded, held_out, slices, small_batches, text
 SAMPLE, WORDS, ROUNDS = 12_000, 8192, 250
 STEMS = (4, 6)  #: lengths in bytes of the beginnings of words that are features too
 TELLING = 15.0  #: least likelihood ratio (G squared) of a feature
+TWICE = np.uint64(0x9E3779B97F4A7C15)  #: turns a feature's hash into that of its repetition within a sentence
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +59,25 @@ def sentence_words(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return np.concatenate(kinds), np.tile(np.cumsum(fresh) - 1, len(kinds)), row[first], starts[first] - bounds[row[first]], ends[last] - bounds[row[first]]
 
 
+def with_repeats(h: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and their sentences, and further ones for each hash that a sentence holds again."""
+    order = np.lexsort((h, s))
+    again = order[1:][(h[order][1:] == h[order][:-1]) & (s[order][1:] == s[order][:-1])]
+    return np.concatenate((h, h[again] ^ TWICE)), np.concatenate((s, s[again]))
+
+
+def known(h: np.ndarray, s: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Sorted distinct sentence * number of names + place of the name, of all ``names`` (sorted) that occur."""
+    if not len(names) or not len(h):
+        return np.zeros(0, np.int64)
+    wanted = np.unique(np.concatenate((names, names ^ TWICE)))
+    some = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+    h, s = with_repeats(h[some], s[some])
+    at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+    hit = names[at] == h
+    return np.unique(s[hit] * len(names) + at[hit])
+
+
 def softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, x)
 
@@ -74,6 +94,7 @@ def fit(tables: list[tuple[pa.Array, np.ndarray]], words: int, rounds: int) -> t
     parts = [(c.slice(i, 512), o[i : i + 512]) for (c, _), o in zip(tables, label) for i in range(0, len(o), 512)]
     for column, own in parts:
         h, s, row, *_ = sentence_words(column)
+        h, s = with_repeats(h, s)
         row = row[s]
         order = np.lexsort((h, row))
         h, row = h[order], row[order]
@@ -94,15 +115,13 @@ def fit(tables: list[tuple[pa.Array, np.ndarray]], words: int, rounds: int) -> t
     pairs, rows, documents, sentences = [], [], 0, 0
     for column, own in parts:
         h, s, row, *_ = sentence_words(column)
-        at = np.minimum(np.searchsorted(kept, h), max(len(kept) - 1, 0))
-        hit = kept[at] == h if len(kept) else np.zeros(len(h), bool)
-        pairs.append(np.unique((s[hit] + sentences) * max(len(kept), 1) + at[hit]))
+        pairs.append(known(h, s, kept) + sentences * len(kept))
         rows.append(row + documents)
         documents, sentences = documents + len(own), sentences + len(row)
     row, pair = np.concatenate(rows), np.concatenate(pairs)
     s, word = pair // max(len(kept), 1), pair % max(len(kept), 1)
 
-    w, bias = np.clip(np.log(p / q)[best], -1, 1), -7.0
+    w, bias = np.clip(np.log(p / q)[best], -1, 5), -7.0
     theta, m, v = np.append(w, bias), np.zeros(len(best) + 1), np.zeros(len(best) + 1)
     for t in range(1, rounds + 1):
         z = np.bincount(s, theta[:-1][word], sentences) + theta[-1]
@@ -142,9 +161,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], thresho
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for whole in batches for x in slices(whole, 1)):
             h, s, row, start, end = sentence_words(batch.column(1))
-            at = np.minimum(np.searchsorted(names, h), max(len(names) - 1, 0))
-            hit = names[at] == h if len(names) else np.zeros(len(h), bool)
-            pair = np.unique(s[hit] * len(names) + at[hit])
+            pair = known(h, s, names)
             some, word = (pair // len(names), pair % len(names)) if len(names) else (pair, pair)
             ids, place = np.unique(some, return_inverse=True)
             z = np.bincount(place, weights[word], len(ids)) + bias if len(ids) else np.zeros(0)

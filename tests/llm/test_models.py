@@ -232,10 +232,16 @@ def test_fits_are_bounded_however_often_a_row_repeats(spark):
 def test_noisy_or_scores_equal_a_plain_version(spark):
     """The scorer on whole texts against words, sentences and the product written out."""
     rows = slur_rows(300, 5)
-    docs = spark.createDataFrame([r[:2] for r in rows] + [(900, "Bad! badword?\nvileness. É badwordy"), (901, "")], "doc_id bigint, text string")
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(900, "Bad! badword?\nvileness. É badwordy"), (901, ""), (902, "badword x badword, vileness badword")], "doc_id bigint, text string")
     names, weights, bias = noisy_or.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int"))
     weight = dict(zip(names.tolist(), weights.tolist()))
 
+    # weights for repetitions too, whether or not the fit found them telling
+    again = [f ^ int(noisy_or.TWICE) for f in weight]
+    weight |= {f: 0.75 for f in again if f not in weight}
+    names = np.array(sorted(weight), np.uint64)
+    weights = np.array([weight[f] for f in names.tolist()])
+
     def code(word, n=None):
         b = word.encode()[: n or None]
         h = noisy_or.word_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]), True)[0]
@@ -246,7 +252,8 @@ def test_noisy_or_scores_equal_a_plain_version(spark):
         for sentence in re.split(r"[.!?\n\r]", text):
             words = re.findall(r"[A-Za-z\u0080-\U0010ffff]+", sentence)
             if words:
-                found = {code(w) for w in words} | {code(w, n) for w in words for n in noisy_or.STEMS}
+                met = [code(w, n) for w in words for n in (None, *noisy_or.STEMS)]
+                found = set(met) | {f ^ int(noisy_or.TWICE) for f in met if met.count(f) > 1}
                 keep *= 1 - 1 / (1 + np.exp(-(bias + sum(weight.get(f, 0) for f in found))))
         return 1 - keep
 
