@@ -16,7 +16,7 @@ from ..operators import vectors as vec
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
 from ..session import shared_dir
-from ..sources import contracts, frontier, links, markup, stores
+from ..sources import contracts, frontier, growing, links, markup, stores
 from ..sources.versions import Versions, merge_collection
 from ..streaming import drain, latency, live_sessions, sketches
 from . import leaflets, views
@@ -1221,3 +1221,26 @@ def latency_stream(spark: SparkSession, d: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     m = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("task"), F.when(k % 10 != 0, "deterministic").alias("path"), F.col("value").alias("latency_ms"))
     return drain.drained(latency.windowed(m), "latency").select("start", "task", "path", "n", F.round("total_ms", 2).alias("total_ms"))
+
+
+# logs and archives that grow
+
+
+@query("SELECT event_id, epoch_us(ts) AS us, user_id, event_type, value, props FROM events")
+def followed_log(spark: SparkSession, d: str) -> DataFrame:
+    """A log of events followed as a stream: drained, appended to, and drained again from the checkpoint."""
+    at, schema = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}", "event_id bigint, us bigint, user_id bigint, event_type string, value double, props string"
+    rows = views.load(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "user_id", "event_type", "value", "props")
+    late = F.col("event_id") % 3 == 0
+    stores.append_log(rows.where(~late), f"{at}/log")
+    drain.drained_at(growing.follow(spark, f"{at}/log", schema), at)
+    stores.append_log(rows.where(late), f"{at}/log")
+    return drain.drained_at(growing.follow(spark, f"{at}/log", schema), at)
+
+
+@query("SELECT page_id, url, md5(html) AS html_md5 FROM pages")
+def page_archive(spark: SparkSession, d: str) -> DataFrame:
+    """Pages kept as lines of an archive, read back by ranges of bytes."""
+    at = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    stores.append_log(views.load(spark, d, "pages").select("page_id", "url", "html"), at)
+    return growing.read(spark, at, "page_id bigint, url string, html string", 1 << 20).select("page_id", "url", F.md5("html").alias("html_md5"))

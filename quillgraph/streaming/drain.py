@@ -14,9 +14,11 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
 
     The files and the stream's checkpoint lie below spark.checkpoint.dir.
     """
-    spark = stream.sparkSession
-    base = shared_dir(spark)
-    at = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return drained_at(stream, f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def drained_at(stream: DataFrame, at: str) -> DataFrame:
+    """The same below a folder of the caller's: a stream that was drained there before goes on where it stopped."""
     q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
