@@ -99,3 +99,20 @@ def test_prefixes_are_never_longer_than_the_set(spark, size, percent):
     looked_up, shared = containment.prefix(F.lit(size), percent)
     r = spark.range(1).select(looked_up.alias("p"), shared.alias("s"), containment.required(F.lit(size), percent).alias("n")).first()
     assert 1 <= r.s <= r.p <= size and size - r.p + r.s == r.n
+
+
+def test_containment_over_many_blocks_makes_no_rows_of_chance_meetings(spark, monkeypatch):
+    """Every pair of these sets shares words; only those that link may become rows."""
+    monkeypatch.setattr(containment, "LEAST_BLOCK", 200)
+    monkeypatch.setattr(containment, "AT_ONCE", 50)
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("bcdfgh") for _ in range(4)) for _ in range(60)]
+    sets = [rnd.sample(words, rnd.randint(5, 40)) for _ in range(150)] + [rnd.sample(words[:12], rnd.randint(5, 10)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(sets)], "doc_id long, text string")
+    reps = containment.representatives(containment.classes(docs, "doc_id", "text", 5))
+    whole = {r.class_id: frozenset(r.set) for r in reps.collect()}
+    want = {(a, b, len(whole[a] & whole[b])) for a in whole for b in whole if (len(whole[a]), a) < (len(whole[b]), b) and 100 * len(whole[a] & whole[b]) >= 80 * len(whole[a])}
+    links = containment.linked(reps)
+    assert {(r.small, r.large, r.shared) for r in links.collect()} == want and len(want) > 20
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Join" not in plan  # meetings are counted where they are found
