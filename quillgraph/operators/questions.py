@@ -6,14 +6,17 @@ collections that appear in wording are parameters.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import draw_key, uniform
+from ..session import shared_dir
 
 DISTRACTORS, SAMPLED = 3, 20
+LIKELY, TILE = 100, 4096  #: rows of a pool expected below the bound of its draw; names, and rubrics, of a tile about
 RATE, ELIGIBLE = 0.40, ("Repertory", "Materia Medica")
 
 
@@ -51,9 +54,7 @@ def remedy_to_rubric(rubrics: DataFrame, entries: DataFrame, remedies: DataFrame
     labels = hits.groupBy("remedy_canonical", "rubric").agg(F.min(F.struct("chapter", "id")).alias("f"))
     correct = labels.groupBy("remedy_canonical").agg(F.min(F.struct(draw_key("remedy_canonical", "rubric", seed=seed).alias("h"), "rubric", F.col("f.chapter").alias("chapter"), F.col("f.id").alias("id"))).alias("c"))
     correct = correct.select("remedy_canonical", F.col("c.rubric").alias("correct"), F.col("c.chapter").alias("chapter"), F.col("c.id").alias("rubric_id"))
-    # chapters are met by the questions asked of them, not by each other
-    pool = correct.join(rubrics.select("chapter", F.col("id").alias("other"), "rubric"), "chapter").where("rubric <> correct")
-    pool = pool.join(own.select("remedy_canonical", F.col("rubric_id").alias("other")), ["remedy_canonical", "other"], "left_anti")
+    pool = _pool(correct, hits, rubrics.select("chapter", F.col("id").alias("other"), "rubric"), seed)
     drawn = pool.withColumn("n", F.row_number().over(Window.partitionBy("remedy_canonical").orderBy(draw_key("remedy_canonical", "other", seed=seed), "other"))).where(F.col("n") <= SAMPLED)
     distinct = drawn.groupBy("remedy_canonical", "correct", "chapter", "rubric_id", "rubric").agg(F.min("n").alias("n"))
     ranked = distinct.withColumn("k", F.row_number().over(Window.partitionBy("remedy_canonical").orderBy("n"))).where(F.col("k") <= DISTRACTORS)
@@ -63,6 +64,44 @@ def remedy_to_rubric(rubrics: DataFrame, entries: DataFrame, remedies: DataFrame
     return q.select("remedy_canonical", "rubric_id", F.format_string(wording, "remedy_canonical").alias("question"), "options", "correct_index", why.alias("explanation"), F.col("correct").alias("supporting_quote"), F.lit("hard").alias("difficulty"), F.concat("chapter", F.lit(' — "'), "correct", F.lit('"')).alias("locator"))
 
 
+def _pool(correct: DataFrame, hits: DataFrame, rubrics: DataFrame, seed: int | str) -> DataFrame:
+    """Of the rubrics (chapter, other, rubric) that each question may draw from, those that can be among its first SAMPLED.
+
+    The pool's size follows from counts: all of the chapter but equal labels and the name's own
+    rubrics. The draw is by a hash, so nearly all questions find their first ones below the
+    bound under which LIKELY of the pool are expected; hashes are compared while tiles of
+    names and rubrics meet, and what lies above moves nowhere. A question that finds too few
+    is asked again without a bound.
+    """
+    sizes = rubrics.groupBy("chapter").agg(F.count("rubric").alias("n_all"))
+    alike = rubrics.groupBy("chapter", F.col("rubric").alias("correct")).agg(F.count("rubric").alias("n_alike"))
+    mine = hits.alias("h").join(correct.alias("c"), (F.col("h.remedy_canonical") == F.col("c.remedy_canonical")) & (F.col("h.chapter") == F.col("c.chapter")) & (F.col("h.rubric") != F.col("c.correct")))
+    mine = mine.groupBy("h.remedy_canonical").agg(F.count("*").alias("n_mine"))
+    names = correct.groupBy("chapter").agg(F.count("*").alias("n_names"))
+    tiles = sizes.join(names, "chapter").select("chapter", "n_all", F.ceil(F.col("n_all") / TILE).alias("blocks"), F.ceil(F.col("n_names") / TILE).alias("groups"))
+    asked = correct.join(tiles, "chapter").join(alike, ["chapter", "correct"], "left").join(mine, "remedy_canonical", "left")
+    size = F.col("n_all") - F.coalesce("n_alike", F.lit(0)) - F.coalesce("n_mine", F.lit(0))
+    bound = F.when(size <= LIKELY, "g").otherwise(F.lower(F.lpad(F.hex(F.floor(F.lit(LIKELY << 32) / size).cast("bigint")), 8, "0")))  # all hashes lie below "g"
+    asked = asked.select("remedy_canonical", "correct", "chapter", "rubric_id", "blocks", "groups", size.alias("size"), bound.alias("bound"))
+    own = hits.select("remedy_canonical", F.col("id").alias("other")).distinct()
+    dealt = rubrics.join(tiles.select("chapter", "blocks", "groups"), "chapter").withColumn("block", F.pmod(F.xxhash64("other"), "blocks"))
+    dealt = dealt.select("chapter", "other", "rubric", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)).alias("group"))
+
+    def met(some: DataFrame) -> DataFrame:
+        sides = some.withColumn("group", F.pmod(F.xxhash64("remedy_canonical"), "groups")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks", "groups")
+        both = sides.join(dealt, ["chapter", "group", "block"]).where((F.col("rubric") != F.col("correct")) & (draw_key("remedy_canonical", "other", seed=seed) < F.col("bound")))
+        return both.select("remedy_canonical", "other", "correct", "chapter", "rubric_id", "rubric").join(own, ["remedy_canonical", "other"], "left_anti")
+
+    spark = correct.sparkSession
+    first, path = met(asked), f"{shared_dir(spark)}/pool-{uuid.uuid4().hex}"
+    first.write.parquet(path)
+    first = spark.read.schema(first.schema).parquet(path)
+    found = first.groupBy("remedy_canonical").agg(F.count("*").alias("n_found"))
+    short = asked.join(found, "remedy_canonical", "left").where(F.coalesce("n_found", F.lit(0)) < F.least(F.col("size"), F.lit(SAMPLED))).drop("n_found")
+    again = met(short.withColumn("bound", F.lit("g")))
+    return first.join(short.select("remedy_canonical"), "remedy_canonical", "left_anti").unionByName(again)
+
+
 def _first_labels(rows: DataFrame, label: str, by: list[str], seed: int | str) -> DataFrame:
     """For each group the first labels of the seeded order, one more than a question needs."""
     distinct = rows.select(*by, label).distinct()
