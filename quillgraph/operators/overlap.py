@@ -40,14 +40,15 @@ def scored(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> D
     judged = l.where(F.size("t") >= LEAST_TOKENS)
     # only pairs that share a token can score: joined by token, so long lists don't meet as wholes
     mine = judged.select("id", "entity", F.size("t").alias("nt"), F.explode("t").alias("w"))
-    theirs = r.select("entity", "pos", F.size("u").alias("nu"), F.explode("u").alias("w"))
-    pairs = mine.join(theirs, ["entity", "w"]).groupBy("id", "pos", "nt", "nu").agg(F.count("*").alias("both"))
+    # a row a word of the entity, with all statements that hold it: the words meet once, for pairs and for the entity as a whole
+    theirs = r.select("entity", "pos", F.size("u").alias("nu"), F.explode("u").alias("w")).groupBy("entity", "w").agg(F.collect_list(F.struct("pos", "nu")).alias("held"))
+    sizes = theirs.groupBy("entity").agg(F.count("*").alias("n_all"))
+    met = mine.join(theirs, ["entity", "w"]).select("id", "nt", F.posexplode("held").alias("nth", "h")).select("id", "nt", "nth", "h.*")
+    pairs = met.groupBy("id", "pos", "nt", "nu").agg(F.count("*").alias("both"), F.count_if(F.col("nth") == 0).alias("firsts"))
     score = F.col("both").cast("double") / F.least("nt", "nu")
-    best = pairs.withColumn("score", score).groupBy("id").agg(F.max_by(F.struct("pos", "score", (F.col("both").cast("double") / (F.col("nt") + F.col("nu") - F.col("both"))).alias("jaccard")), F.struct("score", (-F.col("pos")).alias("p"))).alias("b"))
-    words = r.select("entity", F.explode("u").alias("w")).distinct()
-    sizes = words.groupBy("entity").agg(F.count("*").alias("n_all"))
-    inside = judged.select("id", "entity", F.explode("t").alias("w")).join(words, ["entity", "w"]).groupBy("id").agg(F.count("*").alias("n_in"))
-    out = l.join(best, "id", "left").join(inside, "id", "left").join(sizes, "entity", "left").join(r.select("entity", "pos", "r_text", "section").withColumnRenamed("entity", "e"), (F.col("e") == F.col("entity")) & (F.col("pos") == F.col("b.pos")), "left")
+    greatest = F.max_by(F.struct("pos", "score", (F.col("both").cast("double") / (F.col("nt") + F.col("nu") - F.col("both"))).alias("jaccard")), F.struct("score", (-F.col("pos")).alias("p"))).alias("b")
+    best = pairs.withColumn("score", score).groupBy("id").agg(greatest, F.sum("firsts").alias("n_in"))
+    out = l.join(best, "id", "left").join(sizes, "entity", "left").join(r.select("entity", "pos", "r_text", "section").withColumnRenamed("entity", "e"), (F.col("e") == F.col("entity")) & (F.col("pos") == F.col("b.pos")), "left")
     s = F.coalesce(F.col("b.score"), F.lit(0.0))
     duplicate = (F.size("t") >= LEAST_TOKENS) & (s >= threshold)
     in_all = F.when(F.size("t") >= LEAST_TOKENS, F.coalesce(F.try_divide(F.col("n_in").cast("double"), F.least(F.size("t"), "n_all")), F.lit(0.0)))
