@@ -79,7 +79,9 @@ def suppressed(statements: DataFrame, gone: DataFrame) -> DataFrame:
 def similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Rows with jaccard and containment of two text columns' tokens."""
     x, y = content_tokens(F.col(a)), content_tokens(F.col(b))
-    return pairs.withColumn("jaccard", jaccard(x, y)).withColumn("containment", containment(x, y))
+    # made once for each row; an expression is made again wherever it stands
+    tokens = pairs.withColumn("_x", x).withColumn("_y", y)
+    return tokens.withColumn("jaccard", jaccard(F.col("_x"), F.col("_y"))).withColumn("containment", containment(F.col("_x"), F.col("_y"))).drop("_x", "_y")
 
 
 def first_of(rows: DataFrame, by: str, *order: str) -> DataFrame:
