@@ -43,15 +43,15 @@ def windows_match(q: str, s: str, threshold: float) -> bool:
 
 
 def present(rows: DataFrame, quote: str = "quote", source: str = "source", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows with quote_found: exact, or in some window. Python sees the rows that fail the exact test only."""
+    """Rows with quote_found: exact, or in some window. Python gets the texts of the rows that fail the exact test only."""
     @F.pandas_udf("boolean")
     def near(q: pd.Series, s: pd.Series) -> pd.Series:
         return pd.Series([windows_match(a, b, threshold) for a, b in zip(q.fillna(""), s.fillna(""))], dtype=bool)
 
     tested = exact(rows, quote, source)
-    sure = tested.where("quote_exact").withColumn("quote_found", F.lit(True))
-    rest = tested.where("not quote_exact").withColumn("quote_found", near(folded(F.col(quote)), folded(F.col(source))))
-    return sure.unionByName(rest)
+    missed = ~F.col("quote_exact")
+    rest = near(F.when(missed, folded(F.col(quote))), F.when(missed, folded(F.col(source))))
+    return tested.withColumn("quote_found", F.col("quote_exact") | rest)
 
 
 def verdicts(rows: DataFrame) -> DataFrame:
