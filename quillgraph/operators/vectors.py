@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import cosine
@@ -15,9 +15,11 @@ from ..functions.text import FOREIGN_TERMS, foreign_term
 K, DEPTH = 8, 32
 HARD, SOFT, MARGIN = 0.65, 0.55, 0.02
 SKIP, COUNT = 1, 4
-QUERY_BLOCK, VECTOR_BLOCK = 256, 4096  #: rows of a block, about
+QUERY_BLOCK, VECTOR_BLOCK = 256, 4096  #: rows of a block
 USABLE = "embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
-HELD = 64  #: blocks of queries whose best a task keeps at once
+HELD, STRIPE = 64, 4  #: most blocks of queries, and of vectors, about, that meet in a cell
+ASKED, MET = ("query_id", "asked", "asked_subject"), ("met_id", "met", "met_subject")  #: columns of a cell's sides, which may stem from one table
+FOUND = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
 
 
 def search(vectors: DataFrame, query: Sequence[float], subject=None, k: int = K) -> DataFrame:
@@ -30,41 +32,56 @@ def search(vectors: DataFrame, query: Sequence[float], subject=None, k: int = K)
 def batch_search(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, exclude_self: bool = False, same_subject: bool = False) -> DataFrame:
     """query_id, id, similarity, rank of the k nearest of each query (query_id, embedding[, subject]).
 
-    Both sides are packed into blocks by a hash of the id. Every block of queries meets every
-    block of vectors in one matrix product; a task keeps the k nearest of each query over the
-    blocks it has and sends only those to the ranking. Rows without an embedding or with null or
-    non-finite components find nothing and are not found; only vectors of one length meet.
+    Groups of up to HELD blocks of queries meet stripes of up to STRIPE blocks of vectors, both by
+    a hash of the id, in cells; a cell takes one matrix product of two blocks at a time and sends
+    only its k nearest of each query to the ranking. So a vector moves once a group of queries, a
+    query once a stripe. Rows without an embedding or with null or non-finite components find
+    nothing and are not found; only vectors of one length meet.
     """
     more = ["subject"] if same_subject else []
-    v, blocks = packed(vectors.select("id", "embedding", *more), "id", VECTOR_BLOCK)
-    q, _ = packed(queries.select(F.col("query_id"), "embedding", *more), "query_id", QUERY_BLOCK)
-    asked = q.select(F.col("block").alias("q_block"), F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("block"))
-    pairs = asked.join(v, "block").sortWithinPartitions("q_block")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, Nearest] = {}
-        for batch in batches:
-            for i in range(batch.num_rows):
-                number = batch.column(0)[i].as_py()
-                if number not in best:
-                    if len(best) == HELD:
-                        yield best.pop(next(iter(best))).rows()
-                    best[number] = Nearest(batch.column(1)[i].values, k, exclude_self, same_subject)
-                best[number].meet(batch.column(2)[i].values)
-        for b in best.values():
-            yield b.rows()
-
-    found = pairs.select("q_block", "q_rows", "rows").mapInArrow(run, "query_id bigint, id bigint, similarity double")
+    v, q = vectors.select("id", "embedding", *more).where(USABLE), queries.select("query_id", "embedding", *more).where(USABLE)
+    groups, stripes = cells(q, q.count(), v.count(), HELD * QUERY_BLOCK, STRIPE * VECTOR_BLOCK)
+    length = F.size("embedding").alias("length")
+    asked = q.select(length, dealt("query_id", groups).alias("group"), every(stripes).alias("stripe"), *(F.col(c).alias(a) for c, a in zip(q.columns, ASKED)))
+    rows = v.select(length, every(groups).alias("group"), dealt("id", stripes).alias("stripe"), *(F.col(c).alias(a) for c, a in zip(v.columns, MET)))
+    n_asked, n_rows = QUERY_BLOCK, VECTOR_BLOCK
+
+    def met(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        blocks = [Nearest(*columns(asked.slice(a, n_asked), ASKED), k, exclude_self) for a in range(0, asked.num_rows, n_asked)]
+        for b in range(0, rows.num_rows if blocks else 0, n_rows):
+            own = columns(rows.slice(b, n_rows), MET)
+            for x in blocks:
+                x.meet(*own)
+        return pa.Table.from_batches([x.rows() for x in blocks], FOUND)
+
+    key = ("length", "group", "stripe")
+    found = asked.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(met, "query_id bigint, id bigint, similarity double")
+    return ranked(found, k)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def packed(rows: DataFrame, id_column: str, size: int) -> tuple[DataFrame, int]:
-    """Rows with an embedding in blocks of about ``size`` (block, rows: array of struct), and the number of blocks."""
-    good = rows.where(USABLE)
-    blocks = max(1, -(-good.count() // size))
-    # vectors of several lengths never share a block
-    return good.groupBy(F.size("embedding").alias("length"), F.pmod(F.xxhash64(id_column), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows")).drop("length"), blocks
+def cells(df: DataFrame, asked: int, rows: int, group: int, stripe: int) -> tuple[int, int]:
+    """Groups of queries and stripes of vectors: of up to about so many rows, and with a cell for each core if that leaves blocks whole."""
+    groups, blocks = max(1, -(-asked // group)), max(1, -(-rows // VECTOR_BLOCK))
+    return groups, max(1, -(-rows // stripe), min(blocks, -(-df.sparkSession.sparkContext.defaultParallelism // groups)))
+
+
+def dealt(by: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
+
+
+def every(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def columns(cell: pa.Table, names: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Ids, unit rows and, where there is one, the subjects of a cell's rows."""
+    ids, embedding, *subject = (cell.column(c).combine_chunks() for c in names if c in cell.column_names)
+    return ids.to_numpy(zero_copy_only=False), matrix(embedding), subject[0].to_numpy(zero_copy_only=False) if subject else None
 
 
 def matrix(lists: pa.Array) -> np.ndarray:
@@ -76,35 +93,35 @@ def matrix(lists: pa.Array) -> np.ndarray:
 class Nearest:
     """The k nearest of a block of queries over the blocks of vectors it meets."""
 
-    def __init__(self, queries: pa.StructArray, k: int, exclude_self: bool, same_subject: bool):
-        self.ids, self.q = queries.flatten()[0].to_numpy(zero_copy_only=False), matrix(queries.flatten()[1])
-        self.subjects = queries.flatten()[2].to_numpy(zero_copy_only=False) if same_subject else None
+    def __init__(self, ids: np.ndarray, q: np.ndarray, subjects: np.ndarray | None, k: int, exclude_self: bool):
+        self.ids, self.q, self.subjects = ids, q, subjects
         self.k, self.exclude_self = k, exclude_self
         self.best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # place of the query, id, similarity
+        self.edge = np.full(len(ids), -np.inf)  # what a vector must reach; ties are settled by id
 
-    def meet(self, vectors: pa.StructArray) -> None:
-        fields = vectors.flatten()
-        x, own = matrix(fields[1]), fields[0].to_numpy(zero_copy_only=False)
-        if x.shape[1] != self.q.shape[1]:
-            return
+    def meet(self, own: np.ndarray, x: np.ndarray, subjects: np.ndarray | None) -> None:
         s = self.q @ x.T
         if self.exclude_self:
             s[self.ids[:, None] == own[None, :]] = -np.inf
         if self.subjects is not None:
-            s[self.subjects[:, None] != fields[2].to_numpy(zero_copy_only=False)[None, :]] = -np.inf
-        n = min(self.k, len(own))
-        edge = np.partition(s, len(own) - n, axis=1)[:, len(own) - n] - 1e-12  # ties at the edge are settled by id
-        row, at = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
+            s[self.subjects[:, None] != subjects[None, :]] = -np.inf
+        edge = self.edge
+        if np.isneginf(edge).all() and len(own) > self.k:
+            edge = np.partition(s, len(own) - self.k, axis=1)[:, len(own) - self.k] - 2e-12
+        row, at = np.nonzero(s >= np.maximum(edge, -2)[:, None])
+        if not len(row):
+            return
         place, ids, sim = (np.concatenate(p) for p in zip(self.best, (row, own[at], s[row, at])))
         order = np.lexsort((ids, -np.round(sim, 12), place))
         place = place[order]
-        first = np.searchsorted(place, place)
-        keep = order[np.arange(len(place)) - first < self.k]
-        self.best = (place[np.arange(len(place)) - first < self.k], ids[keep], sim[keep])
+        n = np.arange(len(place)) - np.searchsorted(place, place)
+        keep = order[n < self.k]
+        self.best = (place[n < self.k], ids[keep], sim[keep])
+        self.edge[place[n == self.k - 1]] = sim[order[n == self.k - 1]] - 2e-12
 
     def rows(self) -> pa.RecordBatch:
         place, ids, sim = self.best
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[place], pa.int64()), pa.array(ids, pa.int64()), pa.array(sim, pa.float64())], names=["query_id", "id", "similarity"])
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[place], pa.int64()), pa.array(ids, pa.int64()), pa.array(sim, pa.float64())], schema=FOUND)
 
 
 def tops(hits: DataFrame) -> DataFrame:

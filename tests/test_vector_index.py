@@ -53,3 +53,48 @@ def test_ties_and_blocks_of_an_exact_search(spark, monkeypatch):
     x = np.repeat(np.eye(4), 20, axis=0)
     got = vectors.batch_search(table(spark, x).repartition(3), table(spark, np.eye(4)).withColumnRenamed("id", "query_id"), 5).collect()
     assert {(r.query_id, r["rank"], r.id) for r in got} == {(i, n + 1, 20 * i + n) for i in range(4) for n in range(5)}
+
+
+def most_returned(df):
+    """Most rows that a Python step of the plan returned."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        metric = p.metrics().get("pythonNumRowsReceived")
+        most = max(most, metric.get().value() if metric.isDefined() else 0)
+        children = p.children().iterator()
+        todo += [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.plan()] if p.nodeName().endswith("QueryStage") else []
+        while children.hasNext():
+            todo.append(children.next())
+    return most
+
+
+def test_a_search_sends_only_what_can_be_among_the_best(spark, tmp_path, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(600, 8))
+    index = VectorIndex.built(table(spark, x), str(tmp_path / "v"), lists=12)
+    q = table(spark, x[::20]).withColumnRenamed("id", "query_id")
+    key = lambda df: sorted((r.query_id, r["rank"], r.id, round(r.similarity, 9)) for r in df.collect())
+    found = index.search(q, 5, probes=9, rerank=20)
+    assert 0 < most_returned(found) <= 30 * 20  # not that many from each of nine lists
+    want = key(found)
+    assert len(want) == 30 * 5
+    for name, n in (("ASKED", 7), ("LEAST_ASKED", 7), ("CODED", 90), ("PAIRS", 100)):
+        monkeypatch.setattr(vector_index, name, n)
+    for name, n in (("QUERY_BLOCK", 4), ("VECTOR_BLOCK", 30), ("HELD", 2), ("STRIPE", 2)):
+        monkeypatch.setattr(vectors, name, n)
+    assert key(index.search(q, 5, probes=9, rerank=20)) == want  # many small cells
+
+
+def test_groups_of_queries_meet_all_stripes(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(vectors, "VECTOR_BLOCK", 10)
+    monkeypatch.setattr(vectors, "HELD", 2)
+    x = np.random.default_rng(5).normal(size=(200, 6))
+    v = table(spark, x).withColumn("subject", F.col("id") % 3)
+    q = v.where("id % 10 = 0").withColumnRenamed("id", "query_id")  # both sides of one table
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for same in (False, True):
+        got = vectors.batch_search(v, q, 4, exclude_self=True, same_subject=same).collect()
+        near = {i: sorted((-(unit[i] @ unit[j]), j) for j in range(200) if j != i and (not same or (i - j) % 3 == 0))[:4] for i in range(0, 200, 10)}
+        assert {(r.query_id, r["rank"], r.id) for r in got} == {(i, n + 1, j) for i, few in near.items() for n, (_, j) in enumerate(few)}
