@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import containment, jaccard
+from ..functions.stats import containment, jaccard, rounded
 from ..functions.text import content_tokens, first_word, letters, statement_key
 
 LEAST_TOKENS, THRESHOLD = 3, 0.7
@@ -53,15 +53,15 @@ def scored(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> D
     duplicate = (F.size("t") >= LEAST_TOKENS) & (s >= threshold)
     in_all = F.when(F.size("t") >= LEAST_TOKENS, F.coalesce(F.try_divide(F.col("n_in").cast("double"), F.least(F.size("t"), "n_all")), F.lit(0.0)))
     return out.select(
-        "id", "entity", "text", duplicate.alias("duplicate"), F.round(s, 2).alias("score"),
-        F.round(F.when(F.size("t") >= LEAST_TOKENS, F.coalesce(F.col("b.jaccard"), F.lit(0.0))), 2).alias("jaccard"), F.round(in_all, 2).alias("in_all"),
+        "id", "entity", "text", duplicate.alias("duplicate"), rounded(s, 2).alias("score"),
+        rounded(F.when(F.size("t") >= LEAST_TOKENS, F.coalesce(F.col("b.jaccard"), F.lit(0.0))), 2).alias("jaccard"), rounded(in_all, 2).alias("in_all"),
         F.when(F.size("t") < LEAST_TOKENS, "too_short").alias("note"), F.when(duplicate, F.col("r_text")).alias("match_text"), F.when(duplicate, F.col("section")).alias("match_section"),
     )
 
 
 def duplicate_ratio(flagged: DataFrame) -> DataFrame:
     """Part of each entity's statements that are duplicates, to two digits."""
-    return flagged.groupBy("entity").agg(F.count("*").alias("n"), F.count_if("duplicate").alias("n_duplicates"), F.round(F.count_if("duplicate") / F.greatest(F.count("*"), F.lit(1)), 2).alias("duplicate_ratio"))
+    return flagged.groupBy("entity").agg(F.count("*").alias("n"), F.count_if("duplicate").alias("n_duplicates"), rounded(F.count_if("duplicate") / F.greatest(F.count("*"), F.lit(1)), 2).alias("duplicate_ratio"))
 
 
 def suppressions(flagged: DataFrame, canonical: Column | str = "entity") -> DataFrame:
