@@ -9,9 +9,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions import digest
 from ..functions.stats import draw_key, uniform
 from ..session import shared_dir
 
@@ -20,6 +24,13 @@ LIKELY, TILE = 100, 4096  #: rows of a pool expected below the bound of its draw
 RATE, ELIGIBLE = 0.40, ("Repertory", "Materia Medica")
 
 
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows from files in the shared folder, made once however often they are read."""
+    path = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _assembled(rows: DataFrame, key: list[str], correct: str, wrong: str, seed: int | str) -> DataFrame:
     """options (in hash order), correct_index of rows with a right answer and an array of wrong ones; four options exactly."""
     options = F.concat(F.array(F.col(correct)), F.col(wrong))
@@ -51,9 +62,11 @@ def remedy_to_rubric(rubrics: DataFrame, entries: DataFrame, remedies: DataFrame
     asked = remedies.select("remedy_canonical").distinct()
     own = entries.where("grade = 3").join(asked, "remedy_canonical", "left_semi").select("remedy_canonical", "rubric_id").distinct()
     hits = own.join(rubrics.select("id", "chapter", "rubric"), own["rubric_id"] == F.col("id")).select("remedy_canonical", "id", "chapter", "rubric")
+    hits = _written(hits, "hits")  # read for the right answers, the pool's sizes and what the pool leaves out, before and after the first draw
     labels = hits.groupBy("remedy_canonical", "rubric").agg(F.min(F.struct("chapter", "id")).alias("f"))
     correct = labels.groupBy("remedy_canonical").agg(F.min(F.struct(draw_key("remedy_canonical", "rubric", seed=seed).alias("h"), "rubric", F.col("f.chapter").alias("chapter"), F.col("f.id").alias("id"))).alias("c"))
     correct = correct.select("remedy_canonical", F.col("c.rubric").alias("correct"), F.col("c.chapter").alias("chapter"), F.col("c.id").alias("rubric_id"))
+    correct = _written(correct, "correct")
     pool = _pool(correct, hits, rubrics.select("chapter", F.col("id").alias("other"), "rubric"), seed)
     drawn = pool.withColumn("n", F.row_number().over(Window.partitionBy("remedy_canonical").orderBy(draw_key("remedy_canonical", "other", seed=seed), "other"))).where(F.col("n") <= SAMPLED)
     distinct = drawn.groupBy("remedy_canonical", "correct", "chapter", "rubric_id", "rubric").agg(F.min("n").alias("n"))
@@ -69,9 +82,9 @@ def _pool(correct: DataFrame, hits: DataFrame, rubrics: DataFrame, seed: int | s
 
     The pool's size follows from counts: all of the chapter but equal labels and the name's own
     rubrics. The draw is by a hash, so nearly all questions find their first ones below the
-    bound under which LIKELY of the pool are expected; hashes are compared while tiles of
-    names and rubrics meet, and what lies above moves nowhere. A question that finds too few
-    is asked again without a bound.
+    limit under which LIKELY of the pool are expected; hashes are compared while tiles of
+    names and rubrics meet, many at once, and what lies above is no row. A question that finds
+    too few is asked again without a limit.
     """
     sizes = rubrics.groupBy("chapter").agg(F.count("rubric").alias("n_all"))
     alike = rubrics.groupBy("chapter", F.col("rubric").alias("correct")).agg(F.count("rubric").alias("n_alike"))
@@ -81,24 +94,35 @@ def _pool(correct: DataFrame, hits: DataFrame, rubrics: DataFrame, seed: int | s
     tiles = sizes.join(names, "chapter").select("chapter", "n_all", F.ceil(F.col("n_all") / TILE).alias("blocks"), F.ceil(F.col("n_names") / TILE).alias("groups"))
     asked = correct.join(tiles, "chapter").join(alike, ["chapter", "correct"], "left").join(mine, "remedy_canonical", "left")
     size = F.col("n_all") - F.coalesce("n_alike", F.lit(0)) - F.coalesce("n_mine", F.lit(0))
-    bound = F.when(size <= LIKELY, "g").otherwise(F.lower(F.lpad(F.hex(F.floor(F.lit(LIKELY << 32) / size).cast("bigint")), 8, "0")))  # all hashes lie below "g"
-    asked = asked.select("remedy_canonical", "correct", "chapter", "rubric_id", "blocks", "groups", size.alias("size"), bound.alias("bound"))
+    limit = F.when(size <= LIKELY, F.lit(1 << 32)).otherwise(F.floor(F.lit(LIKELY << 32) / size).cast("bigint"))  # of the first four bytes of a hash
+    asked = asked.select("remedy_canonical", "correct", "chapter", "rubric_id", "blocks", "groups", size.alias("size"), limit.alias("limit"))
     own = hits.select("remedy_canonical", F.col("id").alias("other")).distinct()
     dealt = rubrics.join(tiles.select("chapter", "blocks", "groups"), "chapter").withColumn("block", F.pmod(F.xxhash64("other"), "blocks"))
     dealt = dealt.select("chapter", "other", "rubric", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)).alias("group"))
 
-    def met(some: DataFrame) -> DataFrame:
-        sides = some.withColumn("group", F.pmod(F.xxhash64("remedy_canonical"), "groups")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks", "groups")
-        both = sides.join(dealt, ["chapter", "group", "block"]).where((F.col("rubric") != F.col("correct")) & (draw_key("remedy_canonical", "other", seed=seed) < F.col("bound")))
-        return both.select("remedy_canonical", "other", "correct", "chapter", "rubric_id", "rubric").join(own, ["remedy_canonical", "other"], "left_anti")
+    def sides(some: DataFrame) -> DataFrame:
+        return some.withColumn("group", F.pmod(F.xxhash64("remedy_canonical"), "groups")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks", "groups")
+
+    def kept(both: DataFrame) -> DataFrame:
+        return both.where(F.col("rubric") != F.col("correct")).select("remedy_canonical", "other", "correct", "chapter", "rubric_id", "rubric").join(own, ["remedy_canonical", "other"], "left_anti")
+
+    key, mine, theirs = ["chapter", "group", "block"], ["remedy_canonical", "correct", "chapter", "rubric_id"], ["other", "rubric"]
+    tails = dealt.withColumn("tail", F.concat_ws("|", F.col("other").cast("string"), F.lit(str(seed))))  # what draw_key hashes behind the name and a bar
+
+    def meet(names: pa.Table, rest: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64),) * 2]
+        if len(names) and len(rest):
+            found += digest.below(*([x.encode() for x in t[c].to_pylist()] for t, c in ((names, "remedy_canonical"), (rest, "tail"))), names["limit"].to_numpy())
+        i, j = (np.concatenate(x) for x in zip(*found))
+        left, right = names.select(mine).take(i), rest.select(theirs).take(j)
+        return pa.table({c: t[c] for t in (left, right) for c in t.column_names})
 
-    spark = correct.sparkSession
-    first, path = met(asked), f"{shared_dir(spark)}/pool-{uuid.uuid4().hex}"
-    first.write.parquet(path)
-    first = spark.read.schema(first.schema).parquet(path)
+    types = {f.name: f for f in (*asked.schema, *dealt.schema)}
+    schema = StructType([types[c] for c in (*mine, *theirs)])
+    first = _written(kept(sides(asked).groupBy(*key).cogroup(tails.groupBy(*key)).applyInArrow(meet, schema)), "pool")
     found = first.groupBy("remedy_canonical").agg(F.count("*").alias("n_found"))
     short = asked.join(found, "remedy_canonical", "left").where(F.coalesce("n_found", F.lit(0)) < F.least(F.col("size"), F.lit(SAMPLED))).drop("n_found")
-    again = met(short.withColumn("bound", F.lit("g")))
+    again = kept(sides(short).join(dealt, key))
     return first.join(short.select("remedy_canonical"), "remedy_canonical", "left_anti").unionByName(again)
 
 
